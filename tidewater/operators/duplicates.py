@@ -1,18 +1,22 @@
 """Duplicate flags for UNIQUE (one column) and DUPLICATE_CHECK (whole row).
 
 Every occurrence of a value (or row) that appears at least twice fails; NULLs
-count as equal values.
+count as equal values.  The result is exact.
 
-Plan, chosen for skew (one value may hold a third of all rows):
+Plan, chosen for long keys (document text, whole rows) and for skew (one
+value may hold a third of all rows):
 
-1. ``groupBy(keys).count()`` — partial aggregation collapses a hot value to
-   one row per map task before the shuffle, so the hot value never reaches a
-   single reducer as raw rows.
-2. keep the keys with ``n > 1`` and left-join them back with null-safe
-   equality.  The duplicate side has exactly one row per key, so the join's
-   hot side is only the probe side: AQE's skew-join splits that partition
-   across tasks, and when the duplicate set is small AQE broadcasts it from
-   its *measured* size.  No size is assumed up front.
+1. ``candidates`` — ``groupBy(xxhash64(keys)).count() > 1``: an aggregate on
+   an 8-byte key with map-side partial aggregation, so neither long text nor
+   a hot value's raw rows cross the shuffle.
+2. ``duplicates`` — only rows whose hash is a candidate are grouped by the
+   real key values (exact; a hash collision is resolved here), again with
+   partial aggregation.  Result: one row per duplicated value.
+3. the flag is a left join on ``(hash, keys)`` with null-safe equality.  The
+   duplicate side has one row per value, so the only possibly hot side is the
+   probe side: when the duplicate set is small AQE broadcasts it from its
+   *measured* size; otherwise the sort-merge join's skewed partitions are
+   split by AQE's skew-join handling.  Nothing is broadcast on assumption.
 
 A window ``count() over (partition by key)`` would instead pull all rows of a
 hot value into one task and sort them.
@@ -20,7 +24,7 @@ hot value into one task and sort them.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 
@@ -28,11 +32,24 @@ def _q(name: str) -> str:
     return "`" + name.replace("`", "``") + "`"
 
 
+def key_hash(cols: list[str]) -> Column:
+    # xxhash64 skips NULL inputs, so different NULL patterns may collide;
+    # step 2 compares the real values, which keeps the result exact.
+    return F.xxhash64(*[F.col(_q(c)) for c in cols])
+
+
+def candidate_hashes(df: DataFrame, cols: list[str]) -> DataFrame:
+    """Hashes occurring at least twice (8-byte keys, partial aggregation)."""
+    return (df.select(key_hash(cols).alias("__h")).groupBy("__h")
+              .agg(F.count(F.lit(1)).alias("__n")).where(F.col("__n") > 1).select("__h"))
+
+
 def duplicate_keys(df: DataFrame, cols: list[str]) -> DataFrame:
-    """Keys occurring at least twice, with their multiplicity ``__n``."""
-    return (df.groupBy(*[F.col(_q(c)) for c in cols])
-              .agg(F.count(F.lit(1)).alias("__n"))
-              .where(F.col("__n") > 1))
+    """Exact duplicated values with their hash ``__h`` and multiplicity ``__n``."""
+    cand = candidate_hashes(df, cols)
+    rows = df.select(key_hash(cols).alias("__h"), *[F.col(_q(c)) for c in cols]).join(cand, "__h", "left_semi")
+    return (rows.groupBy("__h", *[F.col(_q(c)) for c in cols])
+                .agg(F.count(F.lit(1)).alias("__n")).where(F.col("__n") > 1))
 
 
 def flag_duplicates(df: DataFrame, cols: list[str], flag: str, base: DataFrame | None = None) -> DataFrame:
@@ -43,13 +60,14 @@ def flag_duplicates(df: DataFrame, cols: list[str], flag: str, base: DataFrame |
     """
     keys = [f"__dk{i}" for i in range(len(cols))]
     dups = duplicate_keys(base if base is not None else df, cols).select(
+        F.col("__h").alias("__dh"),
         *[F.col(_q(c)).alias(k) for c, k in zip(cols, keys)],
         F.lit(True).alias(flag),
     )
-    cond = None
+    probe = df.withColumn("__ph", key_hash(cols))
+    cond = probe["__ph"] == dups["__dh"]
     for c, k in zip(cols, keys):
-        e = df[_q(c)].eqNullSafe(dups[k])
-        cond = e if cond is None else cond & e
-    joined = df.join(dups, cond, "left")
-    return joined.select(*[df[_q(c)] for c in df.columns],
+        cond = cond & probe[_q(c)].eqNullSafe(dups[k])
+    joined = probe.join(dups, cond, "left")
+    return joined.select(*[probe[_q(c)] for c in df.columns],
                          F.coalesce(F.col(flag), F.lit(False)).alias(flag))

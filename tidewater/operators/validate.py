@@ -78,7 +78,7 @@ class ValidationOutcome:
         return self.flagged.where(self.reject_mask).select(*[F.col(_q(c)) for c in self.data_columns])
 
     def violations(self, row_key: tuple[str, ...] | list[str] = (), include_source: bool = True,
-                   row_number_col: str | None = None) -> DataFrame:
+                   row_number_col: str | None = None, frame: DataFrame | None = None) -> DataFrame:
         """One record per (row, failing rule): key columns, optional row number,
         ``source_data`` (the whole row as a typed struct), error column / rule /
         message and the action."""
@@ -97,12 +97,13 @@ class ValidationOutcome:
             sel.append(F.col(_q(row_number_col)).alias("row_number"))
         if include_source:
             sel.append(F.struct(*[F.col(_q(c)) for c in self.data_columns]).alias("source_data"))
+        base = frame if frame is not None else self.flagged
         if not recs:
-            empty = self.flagged.where(F.lit(False)).select(*sel)
+            empty = base.where(F.lit(False)).select(*sel)
             return empty.select("*", *[F.lit(None).cast(t).alias(n) for n, t in (
                 ("rule_index", "int"), ("error_column", "string"), ("error_rule", "string"),
                 ("error_message", "string"), ("action", "string"))])
-        exploded = (self.flagged.where(self.any_failure)
+        exploded = (base.where(self.any_failure)
                     .select(*sel, F.explode(F.filter(F.array(*recs), lambda x: x.isNotNull())).alias("__v")))
         keep = [c for c in exploded.columns if c != "__v"]
         return exploded.select(*[F.col(_q(c)) for c in keep], "__v.*")

@@ -2,14 +2,13 @@
 high-water mark, with a run record, a step log and quarantined rows.
 
 Spark shape: the spec becomes one lazy frame with flag columns; the actions
-are (1) an emptiness probe (``limit 1``), (2) one aggregate that yields every
-rule's failure count (and, through an Observation, the source row count),
-(3) the violation append, (4) the target write whose Observation also yields
-the rows written and the new mark.  Only counters and a few log lines ever
-reach the driver.
-
-Order of effects (at-least-once, keyed by run id): target write, violations,
-mark, run record.
+are (1) an emptiness probe (``limit 1``), (2) the violation append, whose
+Observations also yield every rule's failure count and the source row count,
+(3) the target write, whose Observation yields the rows written and the new
+mark.  Only counters and a few log lines ever reach the driver.
+
+Order of effects (at-least-once, keyed by run id): violations, STOP decision,
+target write, mark, run record + step log.
 """
 
 from __future__ import annotations
@@ -21,7 +20,7 @@ from dataclasses import dataclass, field
 from pyspark.sql import DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
-from tidewater.errors import DataFlowError, ValidationStop
+from tidewater.errors import DataFlowError
 from tidewater.fixed import TEST_RUN_DEFAULT_ROWS
 from tidewater.operators.drift import check_drift
 from tidewater.operators.mapping import apply_mappings
@@ -145,30 +144,28 @@ def run_job(spark: SparkSession, spec: JobSpec, store: RunStore | None = None, r
         if spec.rules:
             log.info("VALIDATION_START", f"{len(spec.rules)} validation kuralı çalıştırılıyor")
             outcome = validate(mapped, spec.rules, extra_columns=extra)
-            counts = outcome.counts()
+            # One pass both appends the violation records and, through an
+            # Observation on the flagged frame, counts every rule's failures.
+            counts_obs = Observation(f"rules-{run_id[:8]}")
+            observed = outcome.flagged.observe(counts_obs, *outcome.count_exprs())
+            viol = outcome.violations(row_key=spec.row_key, include_source=True,
+                                      row_number_col=extra[0] if extra else None, frame=observed)
+            store.append_violations(viol.select(
+                F.lit(run_id).alias("job_run_id"), F.lit(spec.id).alias("pipeline_id"), "*",
+                F.to_json(F.col("source_data"), {"timestampNTZFormat": "yyyy-MM-dd'T'HH:mm:ss.SSSSSS"})
+                 .alias("source_json"),
+                F.lit(started).alias("created_at"), F.lit(started.date()).alias("run_date")))
+            counts = {k: int(v or 0) for k, v in counts_obs.get.items()}
             res.per_rule = outcome.per_rule(counts)
             res.rejected_rows = counts["__rejected_rows"]
             res.rejected_count = outcome.violation_record_count(counts)
             for w in outcome.warnings(counts):
                 log.warn("VALIDATION_WARN", w)
                 res.warnings.append(w)
-            stop_error = None
-            try:
-                outcome.check_stop(counts)
-            except ValidationStop as e:
-                stop_error = e
-            if res.rejected_count or stop_error:
-                viol = outcome.violations(row_key=spec.row_key, include_source=True,
-                                          row_number_col=extra[0] if extra else None)
-                viol = viol.where(F.col("action") != "STOP") if stop_error is None else viol
-                store.append_violations(viol.select(
-                    F.lit(run_id).alias("job_run_id"), F.lit(spec.id).alias("pipeline_id"), "*",
-                    F.to_json(F.col("source_data"), {"timestampNTZFormat": "yyyy-MM-dd'T'HH:mm:ss.SSSSSS"})
-                     .alias("source_json"),
-                    F.lit(started).alias("created_at"), F.lit(started.date()).alias("run_date")))
+            if res.rejected_count:
                 log.warn("VALIDATION_DONE", f"{res.rejected_count} kayıt reddedildi")
-            if stop_error is not None:
-                raise stop_error
+            # STOP: violations are kept, the target is not touched
+            outcome.check_stop(counts)
             valid = outcome.valid()
             log.info("VALIDATION_DONE", f"Validation tamamlandı: {counts['__rows'] - res.rejected_rows:,} geçerli kayıt")
 

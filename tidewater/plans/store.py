@@ -56,12 +56,20 @@ class RunStore:
     def logs(self) -> DataFrame:
         return self._read("run_logs", LOGS_SCHEMA)
 
-    def violations(self) -> DataFrame:
+    def violations(self) -> DataFrame | None:
+        """All violation records (None before the first one was written).
+
+        Each job has its own row shape (key columns, typed ``source_data``), so
+        there is no fixed schema; appends with no records leave no files.
+        """
         from tidewater.sources.sinks import path_exists
         p = self.path("violations")
-        if path_exists(self.spark, p):
-            return self.spark.read.parquet(p)
-        return None
+        if not path_exists(self.spark, p):
+            return None
+        try:
+            return self.spark.read.option("mergeSchema", "true").parquet(p)
+        except Exception:  # noqa: BLE001 - only empty appends so far
+            return None
 
     def marks(self) -> DataFrame:
         """Latest high-water mark per job."""
