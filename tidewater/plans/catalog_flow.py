@@ -119,6 +119,29 @@ select {ORDER_COLS}, cast(null as varchar) from src where o_orderkey is null
 """
 
 
+def l_upsert_partitioned(spark, d):
+    """UPSERT into a target partitioned by a key column: only the partitions
+    the source touches are read and rewritten."""
+    o = table(spark, d, "orders").withColumn("o_year", F.year("o_orderdate"))
+    t = _target(spark, "l_upsert_part", partition_by=("o_year",))
+    write_frame(spark, o, t, "FULL_LOAD")
+    src = (o.where(F.col("o_year") >= 1999).withColumn("o_orderstatus", F.lit("U"))
+           .unionByName(o.where(F.col("o_year") == 2001).withColumn("o_orderkey", F.col("o_orderkey") + 10_000_000)
+                        .withColumn("o_orderstatus", F.lit("I"))))
+    write_frame(spark, src, t, "UPSERT", upsert_keys=["o_orderkey", "o_year"])
+    return spark.read.parquet(t.path)
+
+
+L_UPSERT_PARTITIONED_SQL = f"""
+select o_orderkey, o_custkey, case when year(o_orderdate) >= 1999 then 'U' else o_orderstatus end as o_orderstatus,
+       o_totalprice, o_orderdate, o_orderpriority, cast(year(o_orderdate) as integer) as o_year
+from orders
+union all
+select o_orderkey + 10000000, o_custkey, 'I', o_totalprice, o_orderdate, o_orderpriority, cast(year(o_orderdate) as integer)
+from orders where year(o_orderdate) = 2001
+"""
+
+
 def l_overwrite(spark, d):
     t = _target(spark, "l_overwrite")
     write_frame(spark, table(spark, d, "region"), t, "FULL_LOAD")
@@ -579,6 +602,7 @@ QUERIES = {
     "l_full_load": (l_full_load, L_FULL_LOAD_SQL),
     "l_truncate_insert": (l_truncate_insert, L_TRUNCATE_INSERT_SQL),
     "l_upsert": (l_upsert, L_UPSERT_SQL),
+    "l_upsert_partitioned": (l_upsert_partitioned, L_UPSERT_PARTITIONED_SQL),
     "l_overwrite": (l_overwrite, L_OVERWRITE_SQL),
     "l_align": (l_align, L_ALIGN_SQL),
     "l_incremental_append": (l_incremental_append, L_INCREMENTAL_APPEND_SQL),

@@ -32,6 +32,10 @@ from tidewater.spec import TargetSpec
 PATH_KINDS = ("parquet", "orc", "csv", "json")
 
 
+def _q(name: str) -> str:
+    return "`" + name.replace("`", "``") + "`"
+
+
 @dataclass
 class WriteResult:
     rows_written: int
@@ -158,9 +162,20 @@ def write_frame(spark: SparkSession, df: DataFrame, target: TargetSpec, strategy
     obs = Observation(f"write-{uuid.uuid4().hex[:8]}")
     exprs = [F.count(F.lit(1)).alias("rows")] + list(observe_exprs or [])
     incoming = df.observe(obs, *exprs)
+    scoped = (strategy == "UPSERT" and current is not None and kind in PATH_KINDS and target.partition_by
+              and set(target.partition_by) <= set(upsert_keys))
     if strategy == "UPSERT":
         if current is None:
             out = dedup_last(incoming, list(upsert_keys), order_by)
+        elif scoped:
+            # Only partitions the source touches are read, merged and replaced.
+            # The partition columns are part of the key, so no row can move
+            # between partitions; the touched set (one row per partition) is
+            # semi-joined, which lets dynamic partition pruning skip the rest.
+            parts = list(target.partition_by)
+            touched = df.select(*[F.col(_q(c)) for c in parts]).distinct()
+            current_part = current.join(touched, parts, "left_semi")
+            out = upsert(current_part, incoming, list(upsert_keys), order_by, target.defaults)
         else:
             out = upsert(current, incoming, list(upsert_keys), order_by, target.defaults)
     elif strategy == "OVERWRITE" or current is None:
@@ -172,7 +187,13 @@ def write_frame(spark: SparkSession, df: DataFrame, target: TargetSpec, strategy
     replace = strategy in ("FULL_LOAD", "TRUNCATE_INSERT", "OVERWRITE", "UPSERT")
     try:
         if kind in PATH_KINDS:
-            if replace:
+            if scoped:
+                # the plan reads the partitions it replaces: cut the lineage on
+                # the shared checkpoint folder, then overwrite only those
+                frame = out.checkpoint(eager=True)
+                (_writer(frame, target, "overwrite").option("partitionOverwriteMode", "dynamic")
+                 .format(target.kind).save(target.path))
+            elif replace:
                 _staged_replace(spark, out, target)
             else:
                 _append_path(out, target)
