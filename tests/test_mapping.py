@@ -76,3 +76,60 @@ def test_auto_map():
     tgt = T.StructType([T.StructField("n", T.StringType())])
     maps = auto_map(src, tgt)
     assert [(m.source_column, m.target_column, m.is_nullable) for m in maps] == [("id", "id", False), ("n", "n", True)]
+
+
+# --- property: the one-select fold equals the naive step-by-step frame rebuild
+from hypothesis import given, settings  # noqa: E402
+from hypothesis import strategies as st  # noqa: E402
+from pyspark.sql import functions as F  # noqa: E402
+
+NAMES = ["a", "b", "c", "x", "y"]
+mapping_st = st.lists(st.tuples(
+    st.sampled_from(["rename", "constant", "exclude", "missing", "upper"]),
+    st.sampled_from(NAMES), st.sampled_from(NAMES)), min_size=1, max_size=6)
+
+
+def naive(df, ops):
+    """Rebuild the frame after every mapping, as an eager engine would."""
+    for kind, src, tgt in ops:
+        if kind == "exclude":
+            if src in df.columns:
+                df = df.drop(src)
+        elif kind == "constant":
+            df = df.withColumn(tgt, F.lit("k"))
+        elif kind == "missing" or src not in df.columns:
+            df = df.withColumn(tgt, F.lit(None).cast("string"))
+        else:
+            col = F.upper(F.col(src).cast("string")) if kind == "upper" else F.col(src)
+            if src != tgt:
+                df = df.withColumn("__tmp", col).drop(src).withColumn(tgt, F.col("__tmp")).drop("__tmp")
+            else:
+                df = df.withColumn(tgt, col)
+    return df
+
+
+def to_mappings(ops):
+    out = []
+    for i, (kind, src, tgt) in enumerate(ops):
+        if kind == "exclude":
+            out.append(M(src, src, i, is_excluded=True))
+        elif kind == "constant":
+            out.append(M(tgt, None, i, is_constant=True, constant_value="k"))
+        elif kind == "missing":
+            out.append(M(tgt, "zz_missing", i))
+        else:
+            rules = (R("UPPER"),) if kind == "upper" else ()
+            out.append(M(tgt, src, i, transform_rules=rules))
+    return out
+
+
+@settings(max_examples=25, deadline=None)
+@given(mapping_st)
+def test_property_fold_equals_step_by_step(spark, ops):
+    df = spark.createDataFrame([("p", "q", "r"), ("s", None, "u")], "a string, b string, c string")
+    got = apply_mappings(df, to_mappings(ops)).frame
+    want = naive(df, ops)
+    assert set(got.columns) == set(want.columns)
+    cols = sorted(got.columns)
+    assert sorted(map(tuple, got.select(*cols).collect()), key=repr) == \
+        sorted(map(tuple, want.select(*cols).collect()), key=repr)

@@ -45,3 +45,29 @@ def test_jdbc_options():
     assert jdbc_options("jdbc:x", query="select 1")["query"] == "select 1"
     with pytest.raises(DataFlowError):
         jdbc_options("jdbc:x", query="select 1", partition_column="id", lower_bound=0, upper_bound=1, num_partitions=2)
+
+
+@pytest.mark.parametrize("kind", ["orc", "json", "parquet"])
+def test_file_kinds_roundtrip(spark, sf_small, kind):
+    from tidewater.sources.sinks import write_frame
+    from tidewater.spec import TargetSpec
+    src = spark.read.parquet(f"{sf_small}/nation.parquet")
+    t = TargetSpec(kind=kind, path=scratch_path(spark, f"rt_{kind}"))
+    write_frame(spark, src, t, "FULL_LOAD")
+    back = read_source(spark, SourceSpec(kind=kind, path=t.path))
+    assert back.count() == src.count()
+    assert sorted(r.n_name for r in back.collect()) == sorted(r.n_name for r in src.collect())
+
+
+def test_list_tables(spark, sf_small):
+    from tidewater.sources.readers import list_tables
+    spark.read.parquet(f"{sf_small}/region.parquet").createOrReplaceTempView("tw_region_lt")
+    names = [r.name for r in list_tables(spark).collect()]
+    assert "tw_region_lt" in names and names == sorted(names)
+
+
+def test_jdbc_batchsize_from_spec():
+    from tidewater.sources.sinks import _jdbc_options
+    from tidewater.spec import TargetSpec
+    o = _jdbc_options(TargetSpec(kind="jdbc", table="t", options={"url": "jdbc:x"}), 10000)
+    assert o["batchsize"] == "10000" and o["dbtable"] == "t"

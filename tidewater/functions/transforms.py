@@ -170,11 +170,9 @@ def _replace(c, t, p, ctx):
 
 
 def _cast(c, t, p, ctx):
-    target = cast_target(p.get("to_type", "string"))
-    tt = spark_type(target)
-    if isinstance(t, T.StringType) and isinstance(tt, (T.ByteType, T.ShortType, T.IntegerType, T.LongType)):
-        # text -> integer: only whole numbers parse ('1.5' -> null)
-        return c.try_cast(tt), tt
+    # unparsable or out-of-range values become NULL ('1.5' -> int is NULL,
+    # -1.9 -> int truncates to -1, overflow is NULL); unknown names -> text
+    tt = spark_type(cast_target(p.get("to_type", "string")))
     return c.try_cast(tt), tt
 
 

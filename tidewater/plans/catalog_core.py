@@ -273,7 +273,7 @@ def t_case_when(spark, d):
 T_CASE_WHEN_SQL = """
 select o_orderkey,
        case when o_orderstatus = 'F' then 'FILLED' when o_orderstatus = 'O' then 'OPEN' else 'OTHER' end as status,
-       case when o_orderpriority = '1-URGENT' then 1 when o_orderpriority = '2-HIGH' then 2 end as urgent
+       case when o_orderpriority = '1-URGENT' then 1 when o_orderpriority = '2-HIGH' then 2 end::bigint as urgent
 from orders
 """
 
@@ -510,7 +510,7 @@ def _a_counts_sql() -> str:
         warn = (f"case when count_if({pred}) > 0 then concat({sql_str(msg + ': ')}, cast(count_if({pred}) as varchar), "
                 f"' kayıt etkilendi') end") if r.action_on_fail == "WARN" else "cast(null as varchar)"
         parts.append(f"select {i} as rule_index, {sql_str(r.rule_type)} as error_rule, {sql_str(r.action_on_fail)} as action, "
-                     f"count_if({pred}) as failures, {warn} as warning from p")
+                     f"cast(count_if({pred}) as bigint) as failures, {warn} as warning from p")
     return _A_BASE + " union all ".join(parts)
 
 

@@ -267,7 +267,8 @@ def s_test_run(spark, d):
 S_TEST_RUN_SQL = """
 with s as (select * from orders order by o_orderkey limit 100)
 select 'TEST' as run_type, 'SUCCESS' as status, count(*) as source_count,
-       count_if(o_totalprice <= 300000) as success_count, count_if(o_totalprice > 300000) as rejected_count from s
+       cast(count_if(o_totalprice <= 300000) as bigint) as success_count,
+       cast(count_if(o_totalprice > 300000) as bigint) as rejected_count from s
 """
 
 
@@ -403,9 +404,9 @@ def r_stats(spark, d):
 
 R_STATS_SQL = _R_WITH + """
 select (select count(*) from p) as total_pipelines,
-       (select count_if(status = 'ACTIVE') from p) as active_pipelines,
-       count_if(created_at >= timestamp '2024-01-29 00:00:00' and status = 'SUCCESS') as today_success_jobs,
-       count_if(created_at >= timestamp '2024-01-29 00:00:00' and status = 'FAILED') as today_failed_jobs,
+       (select cast(count_if(status = 'ACTIVE') as bigint) from p) as active_pipelines,
+       cast(count_if(created_at >= timestamp '2024-01-29 00:00:00' and status = 'SUCCESS') as bigint) as today_success_jobs,
+       cast(count_if(created_at >= timestamp '2024-01-29 00:00:00' and status = 'FAILED') as bigint) as today_failed_jobs,
        cast(coalesce(sum(case when created_at >= timestamp '2024-01-29 00:00:00' and status = 'SUCCESS'
                               then success_count end), 0) as bigint) as today_rows_transferred,
        round(coalesce(avg(case when status = 'SUCCESS' then duration_seconds end), 0), 1) as avg_duration_seconds
@@ -527,10 +528,10 @@ def e_run_record(spark, d):
 
 E_RUN_RECORD_SQL = _FACT_BASE + """
 select 'orders_fact' as pipeline_id, 'SUCCESS' as status, count(*) as source_count,
-       count_if(not (o_totalprice < 1000 or o_totalprice > 450000) and status is not null) as success_count,
-       count_if(o_totalprice < 1000 or o_totalprice > 450000) + count_if(status is null)
-         + count_if(not regexp_matches(priority, '^[1-3]-')) as rejected_count,
-       count_if(o_totalprice < 1000 or o_totalprice > 450000 or status is null) as rejected_rows
+       cast(count_if(not (o_totalprice < 1000 or o_totalprice > 450000) and status is not null) as bigint) as success_count,
+       cast(count_if(o_totalprice < 1000 or o_totalprice > 450000) + count_if(status is null)
+         + count_if(not regexp_matches(priority, '^[1-3]-')) as bigint) as rejected_count,
+       cast(count_if(o_totalprice < 1000 or o_totalprice > 450000 or status is null) as bigint) as rejected_rows
 from m
 """
 

@@ -105,8 +105,11 @@ def read_target(spark: SparkSession, target: TargetSpec) -> DataFrame | None:
     if kind == "jdbc":
         from tidewater.sources.readers import read_jdbc
         o = dict(target.options)
-        return read_jdbc(spark, url=o.pop("url"), table=target.table, user=o.pop("user", None),
-                         password=o.pop("password", None), driver=o.pop("driver", None))
+        try:  # resolving the schema fails when the table does not exist
+            return read_jdbc(spark, url=o.pop("url"), table=target.table, user=o.pop("user", None),
+                             password=o.pop("password", None), driver=o.pop("driver", None))
+        except Exception:  # noqa: BLE001
+            return None
     raise DataFlowError("SPEC_INVALID", f"unknown target kind {target.kind!r}")
 
 
