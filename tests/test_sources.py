@@ -71,3 +71,27 @@ def test_jdbc_batchsize_from_spec():
     from tidewater.spec import TargetSpec
     o = _jdbc_options(TargetSpec(kind="jdbc", table="t", options={"url": "jdbc:x"}), 10000)
     assert o["batchsize"] == "10000" and o["dbtable"] == "t"
+
+
+def test_turkish_charset_csv(spark):
+    import os
+    from tidewater.session import local_path
+    p = scratch_path(spark, "tr_csv")
+    os.makedirs(local_path(p))
+    with open(os.path.join(local_path(p), "part.csv"), "w", encoding="iso-8859-9") as f:
+        f.write("id;name\n1;İğdır Şişe\n2;NULL\n")
+    df = read_csv(spark, p, sep=";", encoding="ISO-8859-9")
+    assert sorted((r.id, r.name) for r in df.collect()) == [(1, "İğdır Şişe"), (2, None)]
+
+
+def test_describe_table_missing(spark):
+    from tidewater.sources.readers import describe_table
+    with pytest.raises(DataFlowError) as e:
+        describe_table(spark, "no_such_table_xyz")
+    assert e.value.code == "TABLE_NOT_FOUND"
+
+
+def test_preview_payload(spark, sf_small):
+    from tidewater.sources.readers import preview_payload
+    p = preview_payload(spark.read.parquet(f"{sf_small}/region.parquet"), 3, ["r_regionkey"])
+    assert p["count"] == 3 and p["columns"] == ["r_regionkey", "r_name"] and p["rows"][0]["r_regionkey"] == 0

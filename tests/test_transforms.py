@@ -133,3 +133,22 @@ def test_case_when(spark):
 def test_unknown_passes_through(spark):
     rows, _, ctx = run(spark, ["x"], "string", "SHOUT")
     assert rows == ["x"] and ctx.warnings
+
+
+def test_replace_missing_group_is_empty(spark):
+    rows, _, _ = run(spark, ["ab12"], "string", "REPLACE", {"from": "([0-9])", "to": "<$2>"})
+    assert rows == ["ab<><>"]
+    rows, _, _ = run(spark, ["ab12"], "string", "REPLACE", {"from": "(?<d>[0-9])", "to": "[$d]"})
+    assert rows == ["ab[1][2]"]
+    rows, _, _ = run(spark, ["a1"], "string", "REPLACE", {"from": "([0-9])", "to": "${1}0"})
+    assert rows == ["a10"]
+
+
+def test_impossible_cast_is_cast_error(spark):
+    from tidewater.operators.mapping import apply_mappings
+    from tidewater.spec import ColumnMapping as M
+    from tidewater.spec import TransformRule as R
+    df = spark.createDataFrame([((1, "a"),)], "s struct<x:int,y:string>")
+    with pytest.raises(DataFlowError) as e:
+        apply_mappings(df, [M("s", "s", 0, transform_rules=(R("CAST", {"to_type": "int"}),))])
+    assert e.value.code == "CAST_ERROR"

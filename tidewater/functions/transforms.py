@@ -126,37 +126,74 @@ def _lower(c, t, p, ctx):
     return F.lower(as_string(c, t)), T.StringType()
 
 
-def translate_replacement(to: str) -> str:
-    """Rust-style replacement text (``$1``, ``${name}``, ``$$``) -> Java form.
+def _pattern_groups(pattern: str) -> tuple[int, set[str]] | None:
+    """(number of groups, group names) of a pattern, or None when Python's
+    parser does not accept it (then references are passed through)."""
+    import re
+    try:
+        rx = re.compile(pattern.replace("(?<", "(?P<").replace("(?P<=", "(?<=").replace("(?P<!", "(?<!"))
+    except re.error:
+        return None
+    return rx.groups, set(rx.groupindex)
+
 
-    Backslashes are literal in the source syntax and must be escaped for Java;
-    ``$$`` is a literal dollar; ``${1}`` becomes ``$1``.
+def translate_replacement(to: str, groups: tuple[int, set[str]] | None = None) -> str:
+    """Replacement text in the ``$1`` / ``${name}`` / ``$name`` / ``$$`` syntax
+    -> Java ``Matcher`` syntax.
+
+    Backslashes are literal in the source syntax and are escaped for Java;
+    ``$$`` is a literal dollar.  A reference to a group the pattern does not
+    have expands to empty text (Java would fail the task instead); a digit
+    that follows a numbered reference is escaped so Java does not read it as
+    part of the group number.
     """
+    n_groups, names = groups if groups is not None else (None, None)
+
+    def ref(name: str) -> str:
+        if name.isdigit():
+            if n_groups is not None and int(name) > n_groups:
+                return ""
+            return f"${int(name)}"
+        if names is not None and name not in names:
+            return ""
+        return "${" + name + "}"
+
     out: list[str] = []
+    after_number = False
     i = 0
     while i < len(to):
         ch = to[i]
-        if ch == "\\":
-            out.append("\\\\")
-            i += 1
-        elif ch == "$" and i + 1 < len(to) and to[i + 1] == "$":
+        if ch == "$" and to[i + 1:i + 2] == "$":
             out.append("\\$")
             i += 2
-        elif ch == "$" and i + 1 < len(to) and to[i + 1] == "{":
-            j = to.find("}", i + 2)
-            if j < 0:
-                out.append("\\$")
-                i += 1
-                continue
+            after_number = False
+            continue
+        if ch == "$" and to[i + 1:i + 2] == "{" and "}" in to[i + 2:]:
+            j = to.index("}", i + 2)
             name = to[i + 2:j]
-            out.append(f"${name}" if name.isdigit() else "${" + name + "}")
+            out.append(ref(name))
+            after_number = name.isdigit() and out[-1] != ""
             i = j + 1
-        elif ch == "$" and (i + 1 >= len(to) or not (to[i + 1].isalnum() or to[i + 1] == "_")):
+            continue
+        if ch == "$" and (to[i + 1:i + 2].isalnum() or to[i + 1:i + 2] == "_"):
+            j = i + 1
+            while j < len(to) and (to[j].isalnum() or to[j] == "_"):
+                j += 1
+            name = to[i + 1:j]
+            out.append(ref(name) if (name.isdigit() or not name[0].isdigit()) else "")
+            after_number = name.isdigit() and out[-1] != ""
+            i = j
+            continue
+        if ch == "$":
             out.append("\\$")
-            i += 1
+        elif ch == "\\":
+            out.append("\\\\")
+        elif ch.isdigit() and after_number:
+            out.append("\\" + ch)
         else:
             out.append(ch)
-            i += 1
+        after_number = False
+        i += 1
     return "".join(out)
 
 
@@ -166,7 +203,9 @@ def _replace(c, t, p, ctx):
     s = as_string(c, t)
     if p.get("literal"):
         return F.replace(s, F.lit(str(p["from"])), F.lit(str(p["to"]))), T.StringType()
-    return F.regexp_replace(s, F.lit(str(p["from"])), F.lit(translate_replacement(str(p["to"])))), T.StringType()
+    pattern = str(p["from"])
+    repl = translate_replacement(str(p["to"]), _pattern_groups(pattern))
+    return F.regexp_replace(s, F.lit(pattern), F.lit(repl)), T.StringType()
 
 
 def _cast(c, t, p, ctx):

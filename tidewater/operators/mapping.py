@@ -12,6 +12,7 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -95,7 +96,11 @@ def apply_mappings(df: DataFrame, mappings, keep_unmapped: bool = True,
         for p in ctx.keep_predicates[1:]:
             pred = pred & p
         base = df.where(pred)
-    out = base.select(*[env[n][0].alias(n) for n in names])
+    try:
+        out = base.select(*[env[n][0].alias(n) for n in names])
+    except AnalysisException as e:  # e.g. a cast Spark cannot do at all (struct -> int)
+        code = "CAST_ERROR" if "CAST" in str(e).upper() else "SCHEMA_FAILED"
+        raise DataFlowError(code, "Dönüşüm uygulanamadı", str(e)[:2000]) from e
     return MappingResult(out, ctx.warnings, {n: origin[n] for n in names if n in origin})
 
 

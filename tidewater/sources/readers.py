@@ -71,6 +71,10 @@ def read_jdbc(spark: SparkSession, **kw) -> DataFrame:
 # CSV with several null tokens and exact type inference
 # ---------------------------------------------------------------------------
 
+# --- fixed values: charsets Spark accepts without the legacy switch -------
+_SPARK_CHARSETS = {"UTF-8", "UTF8", "US-ASCII", "ISO-8859-1", "UTF-16", "UTF-16BE", "UTF-16LE",
+                   "UTF-32", "UTF-32BE", "UTF-32LE"}
+
 # --- fixed values: inference patterns (whole-value match) ------------------
 _INT_RE = r"^[+-]?[0-9]+$"
 _FLOAT_RE = r"^[+-]?(([0-9]+\.[0-9]*|\.[0-9]+)([eE][+-]?[0-9]+)?|[0-9]+[eE][+-]?[0-9]+|inf|NaN)$"
@@ -130,6 +134,10 @@ def read_csv(spark: SparkSession, path: str, sep: str = ",", encoding: str = "UT
     given ``schema`` is applied or types are inferred (see :func:`infer_types`).
     Dates stay text unless a schema says otherwise.
     """
+    if encoding.upper().replace("_", "-") not in _SPARK_CHARSETS:
+        # e.g. ISO-8859-9 (Turkish): Spark refuses charsets outside its short
+        # list unless the JVM charset lookup is enabled
+        spark.conf.set("spark.sql.legacy.javaCharsets", "true")
     raw = (spark.read.option("header", str(header).lower()).option("sep", sep)
            .option("encoding", encoding).option("inferSchema", "false")
            .option("mode", "PERMISSIVE").csv(path))
@@ -251,6 +259,13 @@ def describe(spark: SparkSession, df: DataFrame) -> DataFrame:
     return spark.createDataFrame(describe_schema(df.schema), DESCRIBE_SCHEMA)
 
 
+def describe_table(spark: SparkSession, name: str) -> DataFrame:
+    """Column descriptors of a catalog table; missing -> ``TABLE_NOT_FOUND``."""
+    if not spark.catalog.tableExists(name):
+        raise DataFlowError("TABLE_NOT_FOUND", f"Tablo bulunamadı: {name}")
+    return describe(spark, spark.read.table(name))
+
+
 def preview(df: DataFrame, n: int = PREVIEW_DEFAULT_ROWS, order_by: list[str] | None = None) -> DataFrame:
     """First ``n`` rows (capped at 100); ``order_by`` makes "first" deterministic.
 
@@ -261,3 +276,10 @@ def preview(df: DataFrame, n: int = PREVIEW_DEFAULT_ROWS, order_by: list[str] |
     if order_by:
         return df.orderBy(*[F.col(_q(c)) for c in order_by]).limit(n)
     return df.limit(n)
+
+
+def preview_payload(df: DataFrame, n: int = PREVIEW_DEFAULT_ROWS, order_by: list[str] | None = None) -> dict:
+    """Column names, the preview rows (at most 100, so bounded on the driver)
+    and their count — the shape a UI preview shows."""
+    rows = [r.asDict() for r in preview(df, n, order_by).collect()]
+    return {"columns": df.columns, "rows": rows, "count": len(rows)}
