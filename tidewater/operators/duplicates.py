@@ -52,14 +52,22 @@ def duplicate_keys(df: DataFrame, cols: list[str]) -> DataFrame:
                 .agg(F.count(F.lit(1)).alias("__n")).where(F.col("__n") > 1))
 
 
-def flag_duplicates(df: DataFrame, cols: list[str], flag: str, base: DataFrame | None = None) -> DataFrame:
+def flag_duplicates(df: DataFrame, cols: list[str], flag: str, base: DataFrame | None = None,
+                    materialize_keys: bool = False) -> DataFrame:
     """Add boolean column ``flag``: True when the row's ``cols`` value repeats.
 
     ``base`` is the frame the counts come from (default ``df``); passing the
     unflagged input keeps several flag joins from re-running each other.
+    ``materialize_keys`` writes the duplicate-key set (one row per duplicated
+    value) to the shared checkpoint folder once, so frames read several times
+    do not recompute it and the join sees its measured size.
     """
     keys = [f"__dk{i}" for i in range(len(cols))]
-    dups = duplicate_keys(base if base is not None else df, cols).select(
+    dup_set = duplicate_keys(base if base is not None else df, cols)
+    if materialize_keys:
+        from tidewater.session import materialize
+        dup_set = materialize(dup_set.select("__h", *[F.col(_q(c)) for c in cols]), "dupkeys")
+    dups = dup_set.select(
         F.col("__h").alias("__dh"),
         *[F.col(_q(c)).alias(k) for c, k in zip(cols, keys)],
         F.lit(True).alias(flag),

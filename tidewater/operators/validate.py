@@ -147,13 +147,18 @@ class ValidationOutcome:
 
 
 def validate(df: DataFrame, rules: list[ValidationRule] | tuple[ValidationRule, ...],
-             extra_columns: list[str] | tuple[str, ...] = (), persist: bool | str = "auto") -> ValidationOutcome:
+             extra_columns: list[str] | tuple[str, ...] = (), persist: bool = False,
+             materialize_keys: bool | str = "auto") -> ValidationOutcome:
     """Flag every rule on ``df``.
 
     ``extra_columns`` are carried along but not validated (for example a row
-    index).  ``persist="auto"`` caches the flagged frame (MEMORY_AND_DISK,
-    lineage kept so lost blocks are recomputed) only when a duplicate rule
-    makes it expensive to recompute.
+    index).  The flagged frame is NOT cached by default: a run reads it twice
+    (violation pass, target write), and re-scanning pruned, pushed-down
+    Parquet is cheaper at scale than spilling every row to executor disks.
+    What is expensive to recompute — the duplicate-key set of UNIQUE /
+    DUPLICATE_CHECK — is written once to the shared checkpoint folder
+    (``materialize_keys="auto"``: when such a rule exists) and joined from
+    there.  ``persist=True`` caches the whole flagged frame instead.
     """
     extra = list(extra_columns)
     data_cols = [c for c in df.columns if c not in extra]
@@ -193,17 +198,17 @@ def validate(df: DataFrame, rules: list[ValidationRule] | tuple[ValidationRule,
                               rule_message(rt, col if rt != "DUPLICATE_CHECK" else None, r.params), flag))
 
     flagged = df
+    mat = bool(population) if materialize_keys == "auto" else bool(materialize_keys)
     for flag, cols in population:
-        flagged = flag_duplicates(flagged, cols, flag, base=df)
+        flagged = flag_duplicates(flagged, cols, flag, base=df, materialize_keys=mat)
     if local:
         flagged = flagged.select("*", *[p.alias(f) for f, p in local])
     # stable column order: data, extra, flags in rule order
     flagged = flagged.select(*[F.col(_q(c)) for c in data_cols + extra], *[F.col(e.flag) for e in evals])
 
-    do_persist = bool(population) if persist == "auto" else bool(persist)
-    if do_persist:
+    if persist:
         flagged = flagged.persist(StorageLevel.MEMORY_AND_DISK)
-    return ValidationOutcome(flagged, evals, data_cols, extra, skipped, do_persist)
+    return ValidationOutcome(flagged, evals, data_cols, extra, skipped, bool(persist))
 
 
 __all__ = ["RuleEval", "ValidationOutcome", "validate", "POPULATION_RULES"]

@@ -83,3 +83,18 @@ def local_path(path: str) -> str:
         while path.startswith("//"):
             path = path[1:]
     return os.path.abspath(path)
+
+
+def materialize(df, name: str):
+    """Write ``df`` as Parquet below the shared checkpoint folder and return
+    the frame read back.
+
+    Cuts the lineage (a lost executor cannot force a recomputation of what
+    produced it), is computed once however often it is read, and gives the
+    planner the real on-disk size, so a broadcast of it is decided on a
+    measured size rather than an estimate.
+    """
+    spark = df.sparkSession
+    path = scratch_path(spark, name)
+    df.write.parquet(path)
+    return spark.read.parquet(path)
