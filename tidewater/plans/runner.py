@@ -8,7 +8,9 @@ Observations also yield every rule's failure count and the source row count,
 mark.  Only counters and a few log lines ever reach the driver.
 
 Order of effects (at-least-once, keyed by run id): violations, STOP decision,
-target write, mark, run record + step log.
+target write, then ONE append of the run record carrying its step log and the
+new mark — so a mark only ever becomes visible together with its successful
+run.
 """
 
 from __future__ import annotations
@@ -152,8 +154,6 @@ def run_job(spark: SparkSession, spec: JobSpec, store: RunStore | None = None, r
                                       row_number_col=extra[0] if extra else None, frame=observed)
             store.append_violations(viol.select(
                 F.lit(run_id).alias("job_run_id"), F.lit(spec.id).alias("pipeline_id"), "*",
-                F.to_json(F.col("source_data"), {"timestampNTZFormat": "yyyy-MM-dd'T'HH:mm:ss.SSSSSS"})
-                 .alias("source_json"),
                 F.lit(started).alias("created_at"), F.lit(started.date()).alias("run_date")))
             counts = {k: int(v or 0) for k, v in counts_obs.get.items()}
             res.per_rule = outcome.per_rule(counts)
@@ -188,10 +188,8 @@ def run_job(spark: SparkSession, spec: JobSpec, store: RunStore | None = None, r
             if strategy == "INCREMENTAL" and spec.mark_from == "source":
                 new_mark = src_obs.get.get("mark")
             if strategy == "INCREMENTAL" and new_mark is not None:
+                # stored with the run record (one append, after the target write)
                 res.mark = mark_text(new_mark)
-                store.append_mark({"pipeline_id": spec.id, "checkpoint_column": cp_col,
-                                   "checkpoint_value": res.mark, "checkpoint_type": None,
-                                   "updated_at": utcnow(), "job_run_id": run_id})
                 log.info("CHECKPOINT_UPDATED", f"Checkpoint güncellendi: {res.mark}")
         res.source_count = int(src_obs.get.get("rows", 0) or 0)
         res.status = "SUCCESS"
@@ -214,7 +212,6 @@ def run_job(spark: SparkSession, spec: JobSpec, store: RunStore | None = None, r
             outcome.unpersist()
         finished = utcnow()
         res.duration_seconds = (finished - started).total_seconds()
-        store.append_logs(log.rows)
         store.append_run({
             "id": run_id, "pipeline_id": spec.id, "status": res.status, "run_type": run_type.upper(),
             "started_at": started, "finished_at": finished, "duration_seconds": res.duration_seconds,
@@ -222,4 +219,6 @@ def run_job(spark: SparkSession, spec: JobSpec, store: RunStore | None = None, r
             "success_count": res.success_count, "error_count": 0 if res.status == "SUCCESS" else None,
             "rejected_count": res.rejected_count, "rejected_rows": res.rejected_rows,
             "error_message": res.error_message, "error_detail": None, "created_at": started,
-        })
+            "checkpoint_column": spec.source.checkpoint_col if res.mark is not None else None,
+            "checkpoint_value": res.mark if res.status == "SUCCESS" else None,
+        }, log.rows)

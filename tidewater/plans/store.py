@@ -1,9 +1,15 @@
-"""Run store: append-only Parquet tables for runs, step logs, violations and
-high-water marks, below one shared folder.
-
-Append-only keeps writers from ever overwriting something a reader uses; the
-latest mark per job is an aggregate (``max_by``) over its history.  Violations
-are partitioned by run date so per-run reads prune.
+"""Run store: append-only Parquet tables below one shared folder.
+
+* ``runs`` — one row per run: state, counts, error, the high-water mark the
+  run produced and its step log as an array of structs.  The whole record is
+  one append, so a run, its log and its mark become visible together (or not
+  at all).
+* ``violations`` — one row per (row, failing rule), partitioned by run date
+  so per-run reads prune; the failing row is kept as a typed struct.
+
+Views: :meth:`logs` explodes the step logs, :meth:`marks` is the latest mark
+per job (an aggregate over successful runs).  Append-only keeps writers from
+ever overwriting something a reader uses.
 """
 
 from __future__ import annotations
@@ -16,14 +22,19 @@ from pyspark.sql import functions as F
 
 from tidewater.session import ensure_checkpoint_dir
 
+LOG_STRUCT = ("struct<seq:int, level:string, stage:string, message:string, detail:string, "
+              "created_at:timestamp_ntz>")
 RUNS_SCHEMA = (
     "id string, pipeline_id string, status string, run_type string, started_at timestamp_ntz, "
     "finished_at timestamp_ntz, duration_seconds double, source_count bigint, target_count bigint, "
     "success_count bigint, error_count bigint, rejected_count bigint, rejected_rows bigint, "
-    "error_message string, error_detail string, created_at timestamp_ntz"
+    "error_message string, error_detail string, created_at timestamp_ntz, "
+    f"checkpoint_column string, checkpoint_value string, logs array<{LOG_STRUCT}>"
 )
-LOGS_SCHEMA = "job_run_id string, seq int, level string, stage string, message string, detail string, created_at timestamp_ntz"
-MARKS_SCHEMA = "pipeline_id string, checkpoint_column string, checkpoint_value string, checkpoint_type string, updated_at timestamp_ntz, job_run_id string"
+LOGS_SCHEMA = ("job_run_id string, seq int, level string, stage string, message string, detail string, "
+               "created_at timestamp_ntz")
+MARKS_SCHEMA = ("pipeline_id string, checkpoint_column string, checkpoint_value string, "
+                "updated_at timestamp_ntz, job_run_id string")
 
 
 def utcnow() -> _dt.datetime:
@@ -42,19 +53,39 @@ class RunStore:
     def path(self, name: str) -> str:
         return f"{self.base.rstrip('/')}/{name}"
 
-    def _read(self, name: str, schema: str) -> DataFrame:
+    def _exists(self, name: str) -> bool:
         from tidewater.sources.sinks import path_exists
-        p = self.path(name)
-        if path_exists(self.spark, p):
-            return self.spark.read.parquet(p)
-        return self.spark.createDataFrame([], schema)
+        return path_exists(self.spark, self.path(name))
 
     # ------------------------------------------------------------------ reads
+    def runs_with_logs(self) -> DataFrame:
+        if self._exists("runs"):
+            return self.spark.read.parquet(self.path("runs"))
+        return self.spark.createDataFrame([], RUNS_SCHEMA)
+
     def runs(self) -> DataFrame:
-        return self._read("runs", RUNS_SCHEMA)
+        """Run records (without the nested step log)."""
+        return self.runs_with_logs().drop("logs")
 
     def logs(self) -> DataFrame:
-        return self._read("run_logs", LOGS_SCHEMA)
+        """Step-log rows of every run."""
+        r = self.runs_with_logs()
+        return (r.select(F.col("id").alias("job_run_id"), F.explode("logs").alias("l"))
+                 .select("job_run_id", "l.seq", "l.level", "l.stage", "l.message", "l.detail", "l.created_at"))
+
+    def marks(self) -> DataFrame:
+        """Latest high-water mark per job (from successful runs that set one)."""
+        r = self.runs().where((F.col("status") == "SUCCESS") & F.col("checkpoint_value").isNotNull())
+        latest = F.max_by(F.struct(F.col("checkpoint_column"), F.col("checkpoint_value"),
+                                   F.col("finished_at").alias("updated_at"), F.col("id").alias("job_run_id")),
+                          F.col("finished_at"))
+        return r.groupBy("pipeline_id").agg(latest.alias("m")).select("pipeline_id", "m.*")
+
+    def mark_of(self, pipeline_id: str) -> dict | None:
+        if not self._exists("runs"):
+            return None
+        rows = self.marks().where(F.col("pipeline_id") == pipeline_id).collect()
+        return rows[0].asDict() if rows else None
 
     def violations(self) -> DataFrame | None:
         """All violation records (None before the first one was written).
@@ -62,36 +93,28 @@ class RunStore:
         Each job has its own row shape (key columns, typed ``source_data``), so
         there is no fixed schema; appends with no records leave no files.
         """
-        from tidewater.sources.sinks import path_exists
-        p = self.path("violations")
-        if not path_exists(self.spark, p):
+        if not self._exists("violations"):
             return None
         try:
-            return self.spark.read.option("mergeSchema", "true").parquet(p)
+            return self.spark.read.option("mergeSchema", "true").parquet(self.path("violations"))
         except Exception:  # noqa: BLE001 - only empty appends so far
             return None
 
-    def marks(self) -> DataFrame:
-        """Latest high-water mark per job."""
-        h = self._read("marks", MARKS_SCHEMA)
-        latest = F.max_by(F.struct(*[c for c in h.columns if c != "pipeline_id"]), F.col("updated_at"))
-        return h.groupBy("pipeline_id").agg(latest.alias("m")).select("pipeline_id", "m.*")
-
-    def mark_of(self, pipeline_id: str) -> dict | None:
-        rows = self.marks().where(F.col("pipeline_id") == pipeline_id).collect()
-        return rows[0].asDict() if rows else None
-
     # ----------------------------------------------------------------- writes
-    def append_run(self, record: dict) -> None:
-        self.spark.createDataFrame([record], RUNS_SCHEMA).coalesce(1).write.mode("append").parquet(self.path("runs"))
-
-    def append_logs(self, rows: list[dict]) -> None:
-        if rows:
-            self.spark.createDataFrame(rows, LOGS_SCHEMA).coalesce(1).write.mode("append").parquet(self.path("run_logs"))
-
-    def append_mark(self, row: dict) -> None:
-        self.spark.createDataFrame([row], MARKS_SCHEMA).coalesce(1).write.mode("append").parquet(self.path("marks"))
+    def append_run(self, record: dict, logs: list[dict]) -> None:
+        """One append: the run record with its step log and mark."""
+        row = dict(record)
+        row["logs"] = [{k: l[k] for k in ("seq", "level", "stage", "message", "detail", "created_at")}
+                       for l in logs]
+        self.spark.createDataFrame([row], RUNS_SCHEMA).coalesce(1).write.mode("append").parquet(self.path("runs"))
 
     def append_violations(self, df: DataFrame) -> None:
         """Distributed append (no coalesce: the violation set grows with the data)."""
         df.write.mode("append").partitionBy("run_date").parquet(self.path("violations"))
+
+
+def violations_as_json(violations: DataFrame) -> DataFrame:
+    """Export form: the failing row as JSON text with microsecond timestamps
+    (``to_json`` would otherwise cut naive timestamps to milliseconds)."""
+    return violations.withColumn(
+        "source_data", F.to_json(F.col("source_data"), {"timestampNTZFormat": "yyyy-MM-dd'T'HH:mm:ss.SSSSSS"}))
