@@ -10,8 +10,11 @@ SF_SMALL = "/root/testdata/sf0.001"
 
 @pytest.fixture(scope="session")
 def spark():
+    import tempfile
     from tidewater.session import build_session
-    s = build_session("local[4]", app="tidewater-tests", shuffle_partitions=8)
+    wh = tempfile.mkdtemp(prefix="tidewater-warehouse-")  # tests only: keep tables out of the repo
+    s = build_session("local[4]", app="tidewater-tests", shuffle_partitions=8,
+                      extra={"spark.sql.warehouse.dir": wh})
     yield s
     s.stop()
 

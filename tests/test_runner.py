@@ -103,3 +103,15 @@ def test_job_from_dict_checks():
     d["upsert_keys"] = ["b"]
     spec = job_from_dict(d)
     assert spec.rules[0].column == "b" and spec.mappings[0].transform_rules[0].transform_type == "TRIM"
+
+
+def test_run_with_population_rules(spark, sf_small, store):
+    spec = orders_spec(spark, sf_small, rules=(V("UNIQUE", "o_custkey", {}, "WARN"), V("DUPLICATE_CHECK"),
+                                               V("RANGE", "o_totalprice", {"max": 300000})))
+    res = run_job(spark, spec, store)
+    src = spark.read.parquet(f"{sf_small}/orders.parquet")
+    dup_cust = src.groupBy("o_custkey").count().where("count > 1").agg(F.sum("count")).collect()[0][0] or 0
+    over = src.where("o_totalprice > 300000").count()
+    assert res.per_rule[0]["failures"] == dup_cust and res.per_rule[1]["failures"] == 0
+    assert res.success_count == src.count() - over
+    assert res.rejected_count == dup_cust + over

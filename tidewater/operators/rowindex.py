@@ -23,7 +23,13 @@ def with_row_index(df: DataFrame, name: str = "row_number", order_by: list[str]
     """Append a dense 0-based ``name`` column (scan order, or ``order_by``)."""
     from tidewater.session import ensure_checkpoint_dir
     ensure_checkpoint_dir(df.sparkSession)
-    src = df.orderBy(*order_by) if order_by else df
+    if order_by:
+        # a unique tiebreaker lets the range partitioner split a value that
+        # repeats in a third of the rows; the checkpoint below fixes the ids
+        src = (df.withColumn("__tie", F.monotonically_increasing_id())
+                 .orderBy(*order_by, "__tie").drop("__tie"))
+    else:
+        src = df
     tagged = src.withColumn("__mid", F.monotonically_increasing_id()).checkpoint(eager=True)
     part = F.shiftright(F.col("__mid"), _LOW_BITS)
     counts = sorted((int(r["p"]), int(r["n"])) for r in
