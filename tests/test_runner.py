@@ -115,3 +115,11 @@ def test_run_with_population_rules(spark, sf_small, store):
     assert res.per_rule[0]["failures"] == dup_cust and res.per_rule[1]["failures"] == 0
     assert res.success_count == src.count() - over
     assert res.rejected_count == dup_cust + over
+
+
+def test_violations_json_export_keeps_microseconds(spark, sf_small, store):
+    from tidewater.plans.store import violations_as_json
+    spec = orders_spec(spark, sf_small, rules=(V("RANGE", "o_totalprice", {"max": 300000}),), row_key=("o_orderkey",))
+    run_job(spark, spec, store)
+    js = violations_as_json(store.violations()).select("source_data").first()[0]
+    assert '"o_orderdate":"' in js and ".000000" in js

@@ -96,6 +96,15 @@ def t_replace(spark, d):
 T_REPLACE_SQL = r"select c_custkey, regexp_replace(c_name, '([1-9][0-9]*)$', '<\1>', 'g') as c_name from customer"
 
 
+def t_replace_groups(spark, d):
+    """A reference to a group the pattern lacks expands to empty text."""
+    df = table(spark, d, "customer").select("c_custkey", "c_name")
+    return mapped(df, [M("c_name", "c_name", 0, transform_rules=(R("REPLACE", {"from": "#([0-9])", "to": "[$1$2]"}),))])
+
+
+T_REPLACE_GROUPS_SQL = r"select c_custkey, regexp_replace(c_name, '#([0-9])', '[\1]', 'g') as c_name from customer"
+
+
 def t_cast(spark, d):
     df = table(spark, d, "orders").selectExpr(*TEXT_ORDERS_SPARK)
     out = mapped(df, [
@@ -354,6 +363,17 @@ def p_automap(spark, d):
     return mapped(df, maps)
 
 
+def p_keep_mapped(spark, d):
+    """keep_unmapped=False: only mapped columns survive (the scan reads only them)."""
+    df = table(spark, d, "lineitem")
+    return mapped(df, [M("order_id", "l_orderkey", 0), M("qty", "l_quantity", 1, transform_rules=(R("CAST", {"to_type": "int"}),)),
+                       M("flag", "l_returnflag", 2, transform_rules=(R("LOWER"),))], keep_unmapped=False)
+
+
+P_KEEP_MAPPED_SQL = ("select l_orderkey as order_id, cast(trunc(l_quantity) as integer) as qty, lower(l_returnflag) as flag "
+                     "from lineitem")
+
+
 P_AUTOMAP_SQL = ("select p_partkey, upper(p_name) as p_name, p_brand, p_type, p_size, p_retailprice from part")
 
 
@@ -554,6 +574,7 @@ QUERIES = {
     "t_trim": (t_trim, T_TRIM_SQL),
     "t_upper_lower": (t_upper_lower, T_UPPER_LOWER_SQL),
     "t_replace": (t_replace, T_REPLACE_SQL),
+    "t_replace_groups": (t_replace_groups, T_REPLACE_GROUPS_SQL),
     "t_cast": (t_cast, T_CAST_SQL),
     "t_cast_double": (t_cast_double, T_CAST_DOUBLE_SQL),
     "t_cast_int_text": (t_cast_int_text, T_CAST_INT_TEXT_SQL),
@@ -573,6 +594,7 @@ QUERIES = {
     "p_swap": (p_swap, P_SWAP_SQL),
     "p_chain": (p_chain, P_CHAIN_SQL),
     "p_automap": (p_automap, P_AUTOMAP_SQL),
+    "p_keep_mapped": (p_keep_mapped, P_KEEP_MAPPED_SQL),
     "v_not_null": (v_not_null, V_NOT_NULL_SQL),
     "v_unique": (v_unique, V_UNIQUE_SQL),
     "v_regex": (v_regex, V_REGEX_SQL),

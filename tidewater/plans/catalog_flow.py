@@ -216,6 +216,19 @@ from customer
 """
 
 
+def s_csv_charset(spark, d):
+    """A Turkish ISO-8859-9 file (written by Spark's CSV writer) read back."""
+    t = _target(spark, "s_csv_charset", kind="csv", options={"delimiter": "|", "encoding": "ISO-8859-9"})
+    src = table(spark, d, "customer").select(
+        "c_custkey", F.concat(F.col("c_name"), F.lit(" Iğdır Şişe")).alias("c_name"), "c_mktsegment")
+    write_frame(spark, src, t, "FULL_LOAD")
+    return read_source(spark, SourceSpec(kind="csv", path=t.path,
+                                         options={"delimiter": "|", "encoding": "ISO-8859-9"}))
+
+
+S_CSV_CHARSET_SQL = "select c_custkey, c_name || ' Iğdır Şişe' as c_name, c_mktsegment from customer"
+
+
 def _views(spark, d, *names):
     for n in names:
         table(spark, d, n).createOrReplaceTempView(f"tw_{n}")
@@ -609,6 +622,7 @@ QUERIES = {
     "l_incremental_append": (l_incremental_append, L_INCREMENTAL_APPEND_SQL),
     "l_csv_roundtrip": (l_csv_roundtrip, L_CSV_ROUNDTRIP_SQL),
     "s_csv_nulls": (s_csv_nulls, S_CSV_NULLS_SQL),
+    "s_csv_charset": (s_csv_charset, S_CSV_CHARSET_SQL),
     "s_sql": (s_sql, S_SQL_SQL),
     "s_describe": (s_describe, S_DESCRIBE_SQL),
     "s_preview": (s_preview, S_PREVIEW_SQL),

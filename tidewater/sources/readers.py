@@ -81,6 +81,13 @@ _FLOAT_RE = r"^[+-]?(([0-9]+\.[0-9]*|\.[0-9]+)([eE][+-]?[0-9]+)?|[0-9]+[eE][+-]?
 _BOOL_RE = r"^(?i)(true|false)$"
 
 
+def enable_charset(spark: SparkSession, encoding: str | None) -> None:
+    """Allow a Java charset outside Spark's short list (e.g. ISO-8859-9 for
+    Turkish files) for CSV reads and writes."""
+    if encoding and encoding.upper().replace("_", "-") not in _SPARK_CHARSETS:
+        spark.conf.set("spark.sql.legacy.javaCharsets", "true")
+
+
 def normalise_null_tokens(df: DataFrame, tokens=CSV_NULL_TOKENS) -> DataFrame:
     """Map every token in ``tokens`` to NULL in all string columns."""
     toks = list(tokens)
@@ -134,10 +141,7 @@ def read_csv(spark: SparkSession, path: str, sep: str = ",", encoding: str = "UT
     given ``schema`` is applied or types are inferred (see :func:`infer_types`).
     Dates stay text unless a schema says otherwise.
     """
-    if encoding.upper().replace("_", "-") not in _SPARK_CHARSETS:
-        # e.g. ISO-8859-9 (Turkish): Spark refuses charsets outside its short
-        # list unless the JVM charset lookup is enabled
-        spark.conf.set("spark.sql.legacy.javaCharsets", "true")
+    enable_charset(spark, encoding)
     raw = (spark.read.option("header", str(header).lower()).option("sep", sep)
            .option("encoding", encoding).option("inferSchema", "false")
            .option("mode", "PERMISSIVE").csv(path))

@@ -82,6 +82,8 @@ def _writer(df: DataFrame, target: TargetSpec, mode: str):
     w = df.write.mode(mode)
     opts = dict(target.options)
     if target.kind == "csv":
+        from tidewater.sources.readers import enable_charset
+        enable_charset(df.sparkSession, opts.get("encoding"))
         w = w.option("header", "true").option("sep", opts.pop("delimiter", opts.pop("sep", ",")))
     for k, v in opts.items():
         w = w.option(k, str(v))
@@ -98,7 +100,8 @@ def read_target(spark: SparkSession, target: TargetSpec) -> DataFrame | None:
             return None
         if kind == "csv":
             from tidewater.sources.readers import read_csv
-            return read_csv(spark, target.path, sep=target.options.get("delimiter", ","))
+            return read_csv(spark, target.path, sep=target.options.get("delimiter", ","),
+                            encoding=target.options.get("encoding", "UTF-8"))
         return spark.read.format(kind).load(target.path)
     if kind == "table":
         return spark.read.table(target.table) if table_exists(spark, target.table) else None
