@@ -123,3 +123,34 @@ def test_violations_json_export_keeps_microseconds(spark, sf_small, store):
     run_job(spark, spec, store)
     js = violations_as_json(store.violations()).select("source_data").first()[0]
     assert '"o_orderdate":"' in js and ".000000" in js
+
+
+def test_rule_that_cannot_fail_does_not_hang(spark, sf_small, store):
+    """NOT_NULL on a column COALESCE made non-nullable folds to false."""
+    spec = orders_spec(spark, sf_small,
+                       mappings=(M("o_orderstatus", "o_orderstatus", 0, transform_rules=(R("COALESCE", {"default": "?"}),)),),
+                       rules=(V("NOT_NULL", "o_orderstatus"),))
+    res = run_job(spark, spec, store)
+    n = spark.read.parquet(f"{sf_small}/orders.parquet").count()
+    assert res.status == "SUCCESS" and res.rejected_count == 0 and res.success_count == n and res.source_count == n
+
+
+def test_rule_that_rejects_everything_does_not_hang(spark, sf_small, store):
+    """NOT_NULL on a missing (all-NULL) column rejects every row: the valid
+    frame is provably empty and the FULL_LOAD writes zero rows."""
+    spec = orders_spec(spark, sf_small, mappings=(M("ghost", "no_such_column", 0),),
+                       rules=(V("NOT_NULL", "ghost"),))
+    res = run_job(spark, spec, store)
+    n = spark.read.parquet(f"{sf_small}/orders.parquet").count()
+    assert res.status == "SUCCESS" and res.success_count == 0 and res.rejected_rows == n
+    assert spark.read.parquet(spec.target.path).count() == 0
+
+
+def test_upsert_with_all_rows_rejected(spark, sf_small, store):
+    tgt = TargetSpec(kind="parquet", path=scratch_path(spark, "up_all_rej"))
+    first = orders_spec(spark, sf_small, target=tgt)
+    run_job(spark, first, store)
+    spec = orders_spec(spark, sf_small, target=tgt, load_strategy="UPSERT", upsert_keys=("o_orderkey",),
+                       mappings=(M("ghost", "nope", 0),), rules=(V("NOT_NULL", "ghost"),), keep_unmapped=True)
+    res = run_job(spark, spec, store, raise_on_error=False)
+    assert res.status == "FAILED" or res.success_count == 0

@@ -19,7 +19,7 @@ import traceback
 import uuid
 from dataclasses import dataclass, field
 
-from pyspark.sql import DataFrame, Observation, SparkSession
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidewater.errors import DataFlowError
@@ -28,6 +28,7 @@ from tidewater.operators.drift import check_drift
 from tidewater.operators.mapping import apply_mappings
 from tidewater.operators.rowindex import with_row_index
 from tidewater.operators.validate import validate
+from tidewater.plans.observed import Probe
 from tidewater.plans.store import RunStore, utcnow
 from tidewater.sources.readers import read_source
 from tidewater.sources.sinks import write_frame
@@ -114,12 +115,13 @@ def run_job(spark: SparkSession, spec: JobSpec, store: RunStore | None = None, r
             log.info("NO_DATA", "Kaynak veri boş — iş tamamlandı")
             res.status = "SUCCESS"
             return res
-        src_obs = Observation(f"src-{run_id[:8]}")
+        src_probe = Probe("src")
         src_exprs = [F.count(F.lit(1)).alias("rows")]
         cp_col = spec.source.checkpoint_col
         if strategy == "INCREMENTAL" and spec.mark_from == "source" and cp_col in src.columns:
             src_exprs.append(F.max(F.col(_q(cp_col))).alias("mark"))
-        src = src.observe(src_obs, *src_exprs)
+        src = src_probe.attach(src, *src_exprs)
+        executed: list[DataFrame] = []  # frames whose plans ran (for the source probe)
 
         # -- drift
         for w in check_drift(src, spec.expected_schema, spec.schema_drift_action):
@@ -146,16 +148,26 @@ def run_job(spark: SparkSession, spec: JobSpec, store: RunStore | None = None, r
         if spec.rules:
             log.info("VALIDATION_START", f"{len(spec.rules)} validation kuralı çalıştırılıyor")
             outcome = validate(mapped, spec.rules, extra_columns=extra)
+            for i in outcome.skipped:
+                log.warn("VALIDATION_START", f"rule {i} ({spec.rules[i].rule_type}) skipped: column missing or no-op")
+        if outcome is not None and outcome.rules:
             # One pass both appends the violation records and, through an
             # Observation on the flagged frame, counts every rule's failures.
-            counts_obs = Observation(f"rules-{run_id[:8]}")
-            observed = outcome.flagged.observe(counts_obs, *outcome.count_exprs())
+            rule_probe = Probe("rules")
+            observed = rule_probe.attach(outcome.flagged, *outcome.count_exprs())
             viol = outcome.violations(row_key=spec.row_key, include_source=True,
                                       row_number_col=extra[0] if extra else None, frame=observed)
-            store.append_violations(viol.select(
-                F.lit(run_id).alias("job_run_id"), F.lit(spec.id).alias("pipeline_id"), "*",
-                F.lit(started).alias("created_at"), F.lit(started.date()).alias("run_date")))
-            counts = {k: int(v or 0) for k, v in counts_obs.get.items()}
+            viol = viol.select(F.lit(run_id).alias("job_run_id"), F.lit(spec.id).alias("pipeline_id"), "*",
+                               F.lit(started).alias("created_at"), F.lit(started.date()).alias("run_date"))
+            store.append_violations(viol)
+            executed.append(viol)
+            got = rule_probe.result(viol)
+            if not got:
+                # no rule can fail (all predicates constant false): count once
+                got = outcome.flagged.agg(*outcome.count_exprs()).collect()[0].asDict()
+                executed.append(outcome.flagged)
+            counts = {k: int(v or 0) for k, v in got.items()}
+            res.source_count = int(src_probe.result(*executed).get("rows", 0) or 0)
             res.per_rule = outcome.per_rule(counts)
             res.rejected_rows = counts["__rejected_rows"]
             res.rejected_count = outcome.violation_record_count(counts)
@@ -174,6 +186,7 @@ def run_job(spark: SparkSession, spec: JobSpec, store: RunStore | None = None, r
         if strategy == "INCREMENTAL" and cp_col and spec.mark_from == "valid":
             # resolve the source column through the mapping (a rename keeps the mark)
             mark_col = next((o for o, s in sources.items() if s == cp_col and o in valid.columns), None)
+        executed.append(valid)
         if is_test:
             res.success_count = valid.count()
             log.info("TARGET_WRITE_DONE", f"test run: {res.success_count:,} satır yazılmadı (test)")
@@ -186,12 +199,12 @@ def run_job(spark: SparkSession, spec: JobSpec, store: RunStore | None = None, r
             log.info("TARGET_WRITE_DONE", f"{wr.rows_written:,} satır yazıldı")
             new_mark = (wr.observed or {}).get("mark") if mark_col else None
             if strategy == "INCREMENTAL" and spec.mark_from == "source":
-                new_mark = src_obs.get.get("mark")
+                new_mark = src_probe.result(*executed).get("mark")
             if strategy == "INCREMENTAL" and new_mark is not None:
                 # stored with the run record (one append, after the target write)
                 res.mark = mark_text(new_mark)
                 log.info("CHECKPOINT_UPDATED", f"Checkpoint güncellendi: {res.mark}")
-        res.source_count = int(src_obs.get.get("rows", 0) or 0)
+        res.source_count = int(src_probe.result(*executed).get("rows", 0) or 0)
         res.status = "SUCCESS"
         log.info("JOB_SUCCESS", "İş başarıyla tamamlandı")
         return res

@@ -19,13 +19,14 @@ import uuid
 from dataclasses import dataclass
 from typing import Any
 
-from pyspark.sql import DataFrame, Observation, SparkSession
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from tidewater.errors import DataFlowError
 from tidewater.fixed import LOAD_STRATEGIES
 from tidewater.operators.merge import align_to_schema, dedup_last, upsert
+from tidewater.plans.observed import Probe
 from tidewater.session import ensure_checkpoint_dir
 from tidewater.spec import TargetSpec
 
@@ -165,9 +166,9 @@ def write_frame(spark: SparkSession, df: DataFrame, target: TargetSpec, strategy
 
     # 1. the frame to write; the Observation counts the incoming rows as
     #    they stream into the write (for UPSERT: the source side of the merge)
-    obs = Observation(f"write-{uuid.uuid4().hex[:8]}")
+    probe = Probe("write")
     exprs = [F.count(F.lit(1)).alias("rows")] + list(observe_exprs or [])
-    incoming = df.observe(obs, *exprs)
+    incoming = probe.attach(df, *exprs)
     scoped = (strategy == "UPSERT" and current is not None and kind in PATH_KINDS and target.partition_by
               and set(target.partition_by) <= set(upsert_keys))
     if strategy == "UPSERT":
@@ -227,5 +228,5 @@ def write_frame(spark: SparkSession, df: DataFrame, target: TargetSpec, strategy
         raise
     except Exception as e:  # noqa: BLE001
         raise DataFlowError("WRITE_FAILED", f"Hedefe yazma başarısız: {target.table or target.path}", str(e))
-    got = obs.get if obs is not None else {}
+    got = probe.result(out)  # {} when the incoming rows were provably empty
     return WriteResult(rows_written=int(got.get("rows", 0) or 0), observed=dict(got))
