@@ -61,6 +61,38 @@ UNKNOWN_RULE_MESSAGE = "Validation başarısız: {rule}"
 WARN_TEMPLATE = "{msg}: {n} kayıt etkilendi"
 STOP_TEMPLATE = "Validation STOP kuralı tetiklendi: {msg} — {n} hatalı kayıt"
 
+# --- fixed values: step-log messages (Turkish, as shown to users) ----------
+STEP_MESSAGES = {
+    "METADATA": "Pipeline metadata yükleniyor",
+    "SOURCE_CONNECT": "Kaynak bağlantısı başlatılıyor: {name}",
+    "TARGET_CONNECT": "Hedef bağlantısı başlatılıyor: {name}",
+    "CHECKPOINT": "Son checkpoint: {value} [{column}]",
+    "CHECKPOINT_FIRST": "İlk incremental çalışma — checkpoint yok",
+    "SOURCE_READ_START": "Kaynak veri okunuyor",
+    "SOURCE_READ_DONE": "{n:,} satır okundu",
+    "NO_DATA": "Kaynak veri boş — iş tamamlandı",
+    "MAPPING": "{n} kolon eşleştirmesi uygulanıyor",
+    "TRANSFORM_DONE": "Dönüşümler tamamlandı",
+    "VALIDATION_START": "{n} validation kuralı çalıştırılıyor",
+    "VALIDATION_REJECTED": "{n} kayıt reddedildi",
+    "VALIDATION_DONE": "Validation tamamlandı: {n:,} geçerli kayıt",
+    "TARGET_WRITE_START": "Hedefe yazılıyor: {strategy}",
+    "TARGET_WRITE_DONE": "{n:,} satır yazıldı",
+    "CHECKPOINT_UPDATED": "Checkpoint güncellendi: {value}",
+    "JOB_SUCCESS": "İş başarıyla tamamlandı 🎉",
+    "JOB_UNEXPECTED": "Beklenmeyen hata: {error}",
+}
+
+# --- fixed values: error messages (Turkish, as shown to users) -------------
+ERROR_MESSAGES = {
+    "COLUMN_NOT_FOUND": "Kaynak kolon bulunamadı: '{col}'",
+    "READ_FAILED": "Veri okunamadı: {what}",
+    "WRITE_FAILED": "Hedefe yazma başarısız: {what}",
+    "TABLE_NOT_FOUND": "Tablo bulunamadı: {what}",
+    "UNSUPPORTED_SOURCE": "Desteklenmeyen connector tipi: '{kind}'. Mevcut: {known}",
+    "TRANSFORM_FAILED": "Dönüşüm uygulanamadı",
+}
+
 # --- fixed values: run states, log levels, run types -----------------------
 RUN_STATES = ("PENDING", "RUNNING", "SUCCESS", "FAILED", "CANCELLED")
 LOG_LEVELS = ("INFO", "WARN", "ERROR")

@@ -25,6 +25,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from tidewater.errors import DataFlowError
+from tidewater.fixed import ERROR_MESSAGES
 
 
 def _q(name: str) -> str:
@@ -77,7 +78,7 @@ def dedup_last(source: DataFrame, keys: list[str], order_by: str | None) -> Data
             raise DataFlowError("SPEC_INVALID", "UPSERT source repeats a key; set order_by to pick the last row")
         return source
     if order_by not in source.columns:
-        raise DataFlowError("COLUMN_NOT_FOUND", f"Kaynak kolon bulunamadı: '{order_by}'")
+        raise DataFlowError("COLUMN_NOT_FOUND", ERROR_MESSAGES["COLUMN_NOT_FOUND"].format(col=order_by))
     packed = F.struct(F.col(_q(order_by)).alias("__ord"), *[F.col(_q(c)) for c in other]).alias("__row")
     best = source.groupBy(*[F.col(_q(k)) for k in keys]).agg(F.max(packed).alias("__row"))
     return best.select(*[F.col(_q(k)) for k in keys], *[F.col("__row")[c].alias(c) for c in other]) \

@@ -13,7 +13,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidewater.fixed import UNICODE_WHITESPACE
+from tidewater.fixed import UNICODE_WHITESPACE, WARN_TEMPLATE
 from tidewater.functions.rules import rule_message
 from tidewater.operators.mapping import apply_mappings, auto_map
 from tidewater.operators.validate import validate
@@ -35,6 +35,7 @@ def mapped(df: DataFrame, mappings, keep_unmapped: bool = True) -> DataFrame:
 
 
 WS_SQL = "||".join(f"chr({ord(c)})" for c in UNICODE_WHITESPACE)
+WARN_HEAD, WARN_TAIL = WARN_TEMPLATE.split("{n}")
 
 # ----------------------------------------------------------------- inputs
 # Derived inputs are written once as SQL expressions that Spark SQL and
@@ -518,7 +519,8 @@ def a_rule_counts(spark, d):
     rows = [F.struct(F.lit(r.index).alias("rule_index"), F.lit(r.rule_type).alias("error_rule"),
                      F.lit(r.action).alias("action"), F.col(r.flag).alias("failures"),
                      F.when((F.lit(r.action) == "WARN") & (F.col(r.flag) > 0),
-                            F.concat(F.lit(r.message + ": "), F.col(r.flag).cast("string"), F.lit(" kayıt etkilendi")))
+                            F.concat(F.lit(WARN_HEAD.format(msg=r.message)), F.col(r.flag).cast("string"),
+                                     F.lit(WARN_TAIL)))
                      .alias("warning")) for r in vo.rules]
     return agg.select(F.explode(F.array(*rows)).alias("r")).select("r.*")
 
@@ -527,8 +529,9 @@ def _a_counts_sql() -> str:
     parts = []
     for i, (r, pred) in enumerate(zip(ORDERS_RULES, _A_PRED)):
         msg = rule_message(r.rule_type, r.column, r.params)
-        warn = (f"case when count_if({pred}) > 0 then concat({sql_str(msg + ': ')}, cast(count_if({pred}) as varchar), "
-                f"' kayıt etkilendi') end") if r.action_on_fail == "WARN" else "cast(null as varchar)"
+        warn = (f"case when count_if({pred}) > 0 then concat({sql_str(WARN_HEAD.format(msg=msg))}, "
+                f"cast(count_if({pred}) as varchar), {sql_str(WARN_TAIL)}) end") if r.action_on_fail == "WARN" \
+            else "cast(null as varchar)"
         parts.append(f"select {i} as rule_index, {sql_str(r.rule_type)} as error_rule, {sql_str(r.action_on_fail)} as action, "
                      f"cast(count_if({pred}) as bigint) as failures, {warn} as warning from p")
     return _A_BASE + " union all ".join(parts)

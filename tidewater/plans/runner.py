@@ -23,6 +23,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidewater.errors import DataFlowError
+from tidewater.fixed import STEP_MESSAGES as MSG
 from tidewater.fixed import TEST_RUN_DEFAULT_ROWS
 from tidewater.operators.drift import check_drift
 from tidewater.operators.mapping import apply_mappings
@@ -91,28 +92,28 @@ def run_job(spark: SparkSession, spec: JobSpec, store: RunStore | None = None, r
     outcome = None
     is_test = run_type.upper() == "TEST"
     try:
-        log.info("METADATA", "Pipeline metadata yükleniyor")
+        log.info("METADATA", MSG["METADATA"])
         check_spec(spec)
         strategy = spec.load_strategy.upper()
-        log.info("SOURCE_CONNECT", f"source {spec.source.kind}")
-        log.info("TARGET_CONNECT", f"target {spec.target.kind}")
+        log.info("SOURCE_CONNECT", MSG["SOURCE_CONNECT"].format(name=spec.source.table or spec.source.path or spec.source.kind))
+        log.info("TARGET_CONNECT", MSG["TARGET_CONNECT"].format(name=spec.target.table or spec.target.path or spec.target.kind))
 
         # -- checkpoint (incremental)
         mark = None
         if strategy == "INCREMENTAL" and source_df is None:
             m = store.mark_of(spec.id)
             mark = m["checkpoint_value"] if m else None
-            log.info("CHECKPOINT", f"Son checkpoint: {mark} [{spec.source.checkpoint_col}]" if mark
-                     else "İlk incremental çalışma — checkpoint yok")
+            log.info("CHECKPOINT", MSG["CHECKPOINT"].format(value=mark, column=spec.source.checkpoint_col) if mark
+                     else MSG["CHECKPOINT_FIRST"])
 
         # -- read
-        log.info("SOURCE_READ_START", "Kaynak veri okunuyor")
+        log.info("SOURCE_READ_START", MSG["SOURCE_READ_START"])
         limit = (test_limit or TEST_RUN_DEFAULT_ROWS) if is_test else test_limit
         src = source_df if source_df is not None else read_source(spark, spec.source, mark, limit)
         if source_df is not None and limit:
             src = src.limit(int(limit))
         if src.isEmpty():
-            log.info("NO_DATA", "Kaynak veri boş — iş tamamlandı")
+            log.info("NO_DATA", MSG["NO_DATA"])
             res.status = "SUCCESS"
             return res
         src_probe = Probe("src")
@@ -131,12 +132,12 @@ def run_job(spark: SparkSession, spec: JobSpec, store: RunStore | None = None, r
         mapped = src
         sources = {c: c for c in src.columns}
         if spec.mappings:
-            log.info("MAPPING", f"{len(spec.mappings)} kolon eşleştirmesi uygulanıyor")
+            log.info("MAPPING", MSG["MAPPING"].format(n=len(spec.mappings)))
             mr = apply_mappings(src, spec.mappings, keep_unmapped=spec.keep_unmapped)
             mapped, sources = mr.frame, mr.source_names
             for w in mr.warnings:
                 log.warn("MAPPING", w)
-            log.info("TRANSFORM_DONE", "Dönüşümler tamamlandı")
+            log.info("TRANSFORM_DONE", MSG["TRANSFORM_DONE"])
 
         extra = []
         if spec.row_index:
@@ -146,7 +147,7 @@ def run_job(spark: SparkSession, spec: JobSpec, store: RunStore | None = None, r
         # -- validate
         valid = mapped.drop(*extra) if extra else mapped
         if spec.rules:
-            log.info("VALIDATION_START", f"{len(spec.rules)} validation kuralı çalıştırılıyor")
+            log.info("VALIDATION_START", MSG["VALIDATION_START"].format(n=len(spec.rules)))
             outcome = validate(mapped, spec.rules, extra_columns=extra)
             for i in outcome.skipped:
                 log.warn("VALIDATION_START", f"rule {i} ({spec.rules[i].rule_type}) skipped: column missing or no-op")
@@ -175,11 +176,11 @@ def run_job(spark: SparkSession, spec: JobSpec, store: RunStore | None = None, r
                 log.warn("VALIDATION_WARN", w)
                 res.warnings.append(w)
             if res.rejected_count:
-                log.warn("VALIDATION_DONE", f"{res.rejected_count} kayıt reddedildi")
+                log.warn("VALIDATION_DONE", MSG["VALIDATION_REJECTED"].format(n=res.rejected_count))
             # STOP: violations are kept, the target is not touched
             outcome.check_stop(counts)
             valid = outcome.valid()
-            log.info("VALIDATION_DONE", f"Validation tamamlandı: {counts['__rows'] - res.rejected_rows:,} geçerli kayıt")
+            log.info("VALIDATION_DONE", MSG["VALIDATION_DONE"].format(n=counts["__rows"] - res.rejected_rows))
 
         # -- load
         mark_col = None
@@ -189,24 +190,24 @@ def run_job(spark: SparkSession, spec: JobSpec, store: RunStore | None = None, r
         executed.append(valid)
         if is_test:
             res.success_count = valid.count()
-            log.info("TARGET_WRITE_DONE", f"test run: {res.success_count:,} satır yazılmadı (test)")
+            log.info("TARGET_WRITE_DONE", f"TEST: {res.success_count:,} rows, target not written")
         else:
-            log.info("TARGET_WRITE_START", f"Hedefe yazılıyor: {strategy}")
+            log.info("TARGET_WRITE_START", MSG["TARGET_WRITE_START"].format(strategy=strategy))
             obs_exprs = [F.max(F.col(_q(mark_col))).alias("mark")] if mark_col else []
             wr = write_frame(spark, valid, spec.target, strategy, spec.upsert_keys, spec.order_by,
                              spec.batch_size, obs_exprs)
             res.success_count = wr.rows_written
-            log.info("TARGET_WRITE_DONE", f"{wr.rows_written:,} satır yazıldı")
+            log.info("TARGET_WRITE_DONE", MSG["TARGET_WRITE_DONE"].format(n=wr.rows_written))
             new_mark = (wr.observed or {}).get("mark") if mark_col else None
             if strategy == "INCREMENTAL" and spec.mark_from == "source":
                 new_mark = src_probe.result(*executed).get("mark")
             if strategy == "INCREMENTAL" and new_mark is not None:
                 # stored with the run record (one append, after the target write)
                 res.mark = mark_text(new_mark)
-                log.info("CHECKPOINT_UPDATED", f"Checkpoint güncellendi: {res.mark}")
+                log.info("CHECKPOINT_UPDATED", MSG["CHECKPOINT_UPDATED"].format(value=res.mark))
         res.source_count = int(src_probe.result(*executed).get("rows", 0) or 0)
         res.status = "SUCCESS"
-        log.info("JOB_SUCCESS", "İş başarıyla tamamlandı")
+        log.info("JOB_SUCCESS", MSG["JOB_SUCCESS"])
         return res
     except DataFlowError as e:
         res.status, res.error_code, res.error_message = "FAILED", e.code, e.message
@@ -215,7 +216,7 @@ def run_job(spark: SparkSession, spec: JobSpec, store: RunStore | None = None, r
             raise
         return res
     except Exception as e:  # noqa: BLE001
-        res.status, res.error_code, res.error_message = "FAILED", "UNEXPECTED", f"Beklenmeyen hata: {e}"
+        res.status, res.error_code, res.error_message = "FAILED", "UNEXPECTED", MSG["JOB_UNEXPECTED"].format(error=e)
         log.error("JOB_FAILED", res.error_message, traceback.format_exc())
         if raise_on_error:
             raise

@@ -20,7 +20,6 @@ RECOMMENDED_CONF = {
     "spark.sql.adaptive.coalescePartitions.enabled": "true",
     "spark.sql.adaptive.skewJoin.enabled": "true",
     "spark.sql.execution.arrow.pyspark.enabled": "true",
-    "spark.sql.sources.partitionOverwriteMode": "dynamic",
 }
 
 
@@ -44,9 +43,21 @@ def build_session(master: str = "local[*]", app: str = "tidewater",
     return spark
 
 
+# The subset applied to a session handed in by a caller (the driver's own
+# session): only what results depend on, nothing that changes how the caller
+# collects or writes its own data.
+SEMANTIC_CONF = {
+    "spark.sql.session.timeZone": "UTC",
+    "spark.sql.ansi.enabled": "true",
+    "spark.sql.legacy.timeParserPolicy": "CORRECTED",
+    "spark.sql.adaptive.enabled": "true",
+    "spark.sql.adaptive.skewJoin.enabled": "true",
+}
+
+
 def apply_recommended_conf(spark: SparkSession) -> None:
-    """Set the runtime SQL settings on an existing session."""
-    for k, v in RECOMMENDED_CONF.items():
+    """Set the settings results depend on, on an existing session."""
+    for k, v in SEMANTIC_CONF.items():
         try:
             spark.conf.set(k, v)
         except Exception:  # static conf on a running session: keep the cluster's value

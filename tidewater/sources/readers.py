@@ -15,7 +15,13 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from tidewater.errors import DataFlowError
-from tidewater.fixed import CSV_NULL_TOKENS, LOGICAL_TYPE_NAMES, PREVIEW_DEFAULT_ROWS, PREVIEW_MAX_ROWS
+from tidewater.fixed import (
+    CSV_NULL_TOKENS,
+    ERROR_MESSAGES,
+    LOGICAL_TYPE_NAMES,
+    PREVIEW_DEFAULT_ROWS,
+    PREVIEW_MAX_ROWS,
+)
 from tidewater.spec import SourceSpec
 
 
@@ -191,7 +197,7 @@ def _load(spark: SparkSession, spec: SourceSpec) -> DataFrame:
         if not spec.query:
             raise DataFlowError("SPEC_INVALID", "sql source needs a query")
         return spark.sql(spec.query)
-    raise DataFlowError("SPEC_INVALID", f"Desteklenmeyen connector tipi: '{spec.kind}'. Mevcut: {list(SOURCE_KINDS)}")
+    raise DataFlowError("SPEC_INVALID", ERROR_MESSAGES["UNSUPPORTED_SOURCE"].format(kind=spec.kind, known=list(SOURCE_KINDS)))
 
 
 def typed_mark(value: str, t: T.DataType):
@@ -214,11 +220,11 @@ def read_source(spark: SparkSession, spec: SourceSpec, checkpoint_value: str | N
     except DataFlowError:
         raise
     except Exception as e:  # noqa: BLE001 - surfaced as a run error with a code
-        raise DataFlowError("READ_FAILED", f"Veri okunamadı: {spec.table or spec.path or 'custom query'}", str(e))
+        raise DataFlowError("READ_FAILED", ERROR_MESSAGES["READ_FAILED"].format(what=spec.table or spec.path or "custom query"), str(e))
     if spec.checkpoint_col and checkpoint_value is not None:
         types = {f.name: f.dataType for f in df.schema.fields}
         if spec.checkpoint_col not in types:
-            raise DataFlowError("COLUMN_NOT_FOUND", f"Kaynak kolon bulunamadı: '{spec.checkpoint_col}'")
+            raise DataFlowError("COLUMN_NOT_FOUND", ERROR_MESSAGES["COLUMN_NOT_FOUND"].format(col=spec.checkpoint_col))
         df = df.where(F.col(_q(spec.checkpoint_col)) > typed_mark(checkpoint_value, types[spec.checkpoint_col]))
     if limit:
         df = df.limit(int(limit))
@@ -266,7 +272,7 @@ def describe(spark: SparkSession, df: DataFrame) -> DataFrame:
 def describe_table(spark: SparkSession, name: str) -> DataFrame:
     """Column descriptors of a catalog table; missing -> ``TABLE_NOT_FOUND``."""
     if not spark.catalog.tableExists(name):
-        raise DataFlowError("TABLE_NOT_FOUND", f"Tablo bulunamadı: {name}")
+        raise DataFlowError("TABLE_NOT_FOUND", ERROR_MESSAGES["TABLE_NOT_FOUND"].format(what=name))
     return describe(spark, spark.read.table(name))
 
 

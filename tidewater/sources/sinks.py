@@ -24,7 +24,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from tidewater.errors import DataFlowError
-from tidewater.fixed import LOAD_STRATEGIES
+from tidewater.fixed import ERROR_MESSAGES, LOAD_STRATEGIES
 from tidewater.operators.merge import align_to_schema, dedup_last, upsert
 from tidewater.plans.observed import Probe
 from tidewater.session import ensure_checkpoint_dir
@@ -227,6 +227,6 @@ def write_frame(spark: SparkSession, df: DataFrame, target: TargetSpec, strategy
     except DataFlowError:
         raise
     except Exception as e:  # noqa: BLE001
-        raise DataFlowError("WRITE_FAILED", f"Hedefe yazma başarısız: {target.table or target.path}", str(e))
+        raise DataFlowError("WRITE_FAILED", ERROR_MESSAGES["WRITE_FAILED"].format(what=target.table or target.path), str(e))
     got = probe.result(out)  # {} when the incoming rows were provably empty
     return WriteResult(rows_written=int(got.get("rows", 0) or 0), observed=dict(got))
