@@ -142,6 +142,8 @@ def job_from_dict(d: dict) -> JobSpec:
     """Build a :class:`JobSpec` from the metadata-store JSON shape."""
     src_cfg = dict(d.get("source_config") or {})
     tgt_cfg = dict(d.get("target_config") or {})
+    if d.get("source_connection") or d.get("target_connection"):
+        return _job_from_connections(d, src_cfg, tgt_cfg)
     source = SourceSpec(
         kind=str(d.get("source_type") or src_cfg.pop("kind", "table")).lower(),
         path=src_cfg.get("path"),
@@ -159,6 +161,18 @@ def job_from_dict(d: dict) -> JobSpec:
         defaults=dict(tgt_cfg.get("defaults") or {}),
         options=dict(tgt_cfg.get("options") or {}),
     )
+    return _finish_job(d, source, target)
+
+
+def _job_from_connections(d: dict, src_cfg: dict, tgt_cfg: dict) -> JobSpec:
+    """Pipelines stored with connection objects (type, host, port, ...)."""
+    from tidewater.sources.connections import source_from_connection, target_from_connection
+    source = source_from_connection(d["source_connection"], src_cfg)
+    target = target_from_connection(d["target_connection"], tgt_cfg)
+    return _finish_job(d, source, target)
+
+
+def _finish_job(d: dict, source: SourceSpec, target: TargetSpec) -> JobSpec:
     spec = JobSpec(
         name=d["name"],
         job_id=d.get("id"),
