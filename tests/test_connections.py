@@ -5,7 +5,7 @@ import sys
 
 import pytest
 
-from tidewater.errors import DataFlowError
+from tidewater.errors import JobError
 from tidewater.session import scratch_path
 from tidewater.sources.connections import (
     jdbc_url,
@@ -25,7 +25,7 @@ def test_dispatch_case_insensitive_and_unknown():
     assert jdbc_url(PG) == "jdbc:postgresql://db:5433/src?sslmode=prefer"
     assert jdbc_url({"type": "MySQL", "host": "h", "database_name": "d"}).startswith("jdbc:mysql://h:3306/d")
     assert jdbc_url({"type": "mssql", "host": "h", "database_name": "d"}) == "jdbc:sqlserver://h:1433;databaseName=d"
-    with pytest.raises(DataFlowError) as e:
+    with pytest.raises(JobError) as e:
         jdbc_url({"type": "oracle"})
     assert "POSTGRESQL" in e.value.message
 

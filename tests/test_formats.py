@@ -1,6 +1,6 @@
 import pytest
 
-from tidewater.errors import DataFlowError
+from tidewater.errors import JobError
 from tidewater.functions.formats import strftime_to_spark
 
 
@@ -21,7 +21,7 @@ def test_translation(fmt, expected):
 
 @pytest.mark.parametrize("fmt", ["%a %Y", "%Q"])
 def test_unsupported(fmt):
-    with pytest.raises(DataFlowError):
+    with pytest.raises(JobError):
         strftime_to_spark(fmt)
 
 

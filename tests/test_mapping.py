@@ -1,7 +1,7 @@
 import pytest
 from pyspark.sql import types as T
 
-from tidewater.errors import DataFlowError
+from tidewater.errors import JobError
 from tidewater.operators.mapping import apply_mappings, auto_map
 from tidewater.spec import ColumnMapping as M
 from tidewater.spec import TransformRule as R
@@ -40,7 +40,7 @@ def test_constant_and_exclude(df):
 def test_missing_source(df):
     out = apply_mappings(df, [M("z", "nope", 0, default_value="d"), M("y", "nope2", 1)]).frame
     assert [(r.z, r.y) for r in out.collect()] == [("d", None), ("d", None)]
-    with pytest.raises(DataFlowError) as e:
+    with pytest.raises(JobError) as e:
         apply_mappings(df, [M("z", "nope", 0, is_nullable=False)])
     assert e.value.code == "COLUMN_NOT_FOUND"
 

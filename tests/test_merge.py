@@ -1,6 +1,6 @@
 import pytest
 
-from tidewater.errors import DataFlowError
+from tidewater.errors import JobError
 from tidewater.operators.merge import align_to_schema, upsert
 
 
@@ -23,7 +23,7 @@ def test_upsert_defaults_on_insert(spark):
 def test_upsert_duplicate_keys_need_order(spark):
     tgt = spark.createDataFrame([(1, "a")], "k int, v string")
     src = spark.createDataFrame([(2, "b"), (2, "c")], "k int, v string")
-    with pytest.raises(DataFlowError):
+    with pytest.raises(JobError):
         upsert(tgt, src, ["k"])
 
 
@@ -42,5 +42,5 @@ def test_align(spark):
                            T.StructField("z", T.StringType())])
     out = align_to_schema(df, target, {"z": "dz"})
     assert out.columns == ["v", "k", "z"] and out.collect()[0].z == "dz"
-    with pytest.raises(DataFlowError):
+    with pytest.raises(JobError):
         align_to_schema(df.withColumn("extra", df.k), target)

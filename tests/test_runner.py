@@ -1,7 +1,7 @@
 import pytest
 from pyspark.sql import functions as F
 
-from tidewater.errors import DataFlowError, ValidationStop
+from tidewater.errors import JobError, ValidationStop
 from tidewater.operators import history
 from tidewater.plans.runner import run_job
 from tidewater.plans.store import RunStore
@@ -88,7 +88,7 @@ def test_drift_stop(spark, sf_small, store):
 def test_missing_target_without_create(spark, sf_small, store):
     spec = orders_spec(spark, sf_small, target=TargetSpec(kind="parquet", path=scratch_path(spark, "nope"),
                                                           create_if_not_exists=False))
-    with pytest.raises(DataFlowError) as e:
+    with pytest.raises(JobError) as e:
         run_job(spark, spec, store)
     assert e.value.code == "TABLE_NOT_FOUND"
 
@@ -98,7 +98,7 @@ def test_job_from_dict_checks():
          "load_strategy": "UPSERT", "column_mappings": [{"source_column": "a", "target_column": "b",
                                                           "transform_rules": [{"transform_type": "TRIM", "apply_order": 0}]}],
          "validation_rules": [{"rule_type": "NOT_NULL", "mapping": {"target_column": "b"}}]}
-    with pytest.raises(DataFlowError):
+    with pytest.raises(JobError):
         job_from_dict(d)
     d["upsert_keys"] = ["b"]
     spec = job_from_dict(d)

@@ -4,7 +4,7 @@ import os
 import pytest
 from pyspark.sql import functions as F
 
-from tidewater.errors import DataFlowError
+from tidewater.errors import JobError
 from tidewater.session import local_path, scratch_path
 from tidewater.sources.sinks import write_frame
 from tidewater.spec import TargetSpec
@@ -45,7 +45,7 @@ def test_append_aligns_and_rejects_extra(spark):
     write_frame(spark, spark.createDataFrame([("b", 2)], "v string, k int"), t, "APPEND")
     got = sorted(tuple(r) for r in spark.read.parquet(t.path).collect())
     assert got == [(1, "a", "z1"), (2, "b", "dz")]
-    with pytest.raises(DataFlowError):
+    with pytest.raises(JobError):
         write_frame(spark, spark.createDataFrame([(3, "c", 1)], "k int, v string, extra int"), t, "APPEND")
 
 

@@ -1,6 +1,6 @@
 import pytest
 
-from tidewater.errors import DataFlowError
+from tidewater.errors import JobError
 from tidewater.session import scratch_path
 from tidewater.sources.readers import describe, jdbc_options, preview, read_csv, read_source
 from tidewater.spec import SourceSpec
@@ -26,7 +26,7 @@ def test_incremental_predicate_pushed(spark, sf_small):
 
 
 def test_unknown_kind(spark):
-    with pytest.raises(DataFlowError):
+    with pytest.raises(JobError):
         read_source(spark, SourceSpec(kind="excel", path="x"))
 
 
@@ -43,7 +43,7 @@ def test_jdbc_options():
                      lower_bound=0, upper_bound=100, num_partitions=4)
     assert o["dbtable"] == "public.t" and o["numPartitions"] == "4"
     assert jdbc_options("jdbc:x", query="select 1")["query"] == "select 1"
-    with pytest.raises(DataFlowError):
+    with pytest.raises(JobError):
         jdbc_options("jdbc:x", query="select 1", partition_column="id", lower_bound=0, upper_bound=1, num_partitions=2)
 
 
@@ -86,7 +86,7 @@ def test_turkish_charset_csv(spark):
 
 def test_describe_table_missing(spark):
     from tidewater.sources.readers import describe_table
-    with pytest.raises(DataFlowError) as e:
+    with pytest.raises(JobError) as e:
         describe_table(spark, "no_such_table_xyz")
     assert e.value.code == "TABLE_NOT_FOUND"
 

@@ -4,7 +4,7 @@ import pytest
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tidewater.errors import DataFlowError
+from tidewater.errors import JobError
 from tidewater.functions.transforms import FoldContext, apply_transform, translate_replacement
 
 
@@ -46,7 +46,7 @@ def test_replace_regex_and_groups(spark):
 
 
 def test_replace_requires_params():
-    with pytest.raises(DataFlowError):
+    with pytest.raises(JobError):
         apply_transform(F.col("c"), T.StringType(), "REPLACE", {"from": "x"})
 
 
@@ -149,6 +149,6 @@ def test_impossible_cast_is_cast_error(spark):
     from tidewater.spec import ColumnMapping as M
     from tidewater.spec import TransformRule as R
     df = spark.createDataFrame([((1, "a"),)], "s struct<x:int,y:string>")
-    with pytest.raises(DataFlowError) as e:
+    with pytest.raises(JobError) as e:
         apply_mappings(df, [M("s", "s", 0, transform_rules=(R("CAST", {"to_type": "int"}),))])
     assert e.value.code == "CAST_ERROR"

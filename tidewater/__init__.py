@@ -5,7 +5,7 @@ rules, validation rules with REJECT / WARN / STOP actions, a load strategy);
 the library turns that description into ordinary DataFrame plans.
 """
 
-from tidewater.errors import DataFlowError, ValidationStop
+from tidewater.errors import JobError, ValidationStop
 from tidewater.spec import (
     ColumnMapping,
     JobSpec,
@@ -17,7 +17,7 @@ from tidewater.spec import (
 
 __all__ = [
     "ColumnMapping",
-    "DataFlowError",
+    "JobError",
     "JobSpec",
     "SourceSpec",
     "TargetSpec",

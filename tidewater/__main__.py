@@ -19,7 +19,7 @@ import dataclasses
 import json
 import sys
 
-from tidewater.errors import DataFlowError
+from tidewater.errors import JobError
 
 
 def _session(args):
@@ -105,7 +105,7 @@ def main(argv=None) -> int:
                 _print_rows(history.rejected_of_run(violations_as_json(v), args.run, limit=args.limit,
                                                     order_cols=("rule_index",)))
         return 0
-    except DataFlowError as e:
+    except JobError as e:
         print(json.dumps({"error": e.code, "message": e.message, "detail": e.detail}, ensure_ascii=False))
         return 2
     finally:

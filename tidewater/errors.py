@@ -19,7 +19,7 @@ ERROR_CODES = (
 )
 
 
-class DataFlowError(Exception):
+class JobError(Exception):
     """A failure of one run step, with a stable ``code``."""
 
     def __init__(self, code: str, message: str, detail: str | None = None):
@@ -29,7 +29,7 @@ class DataFlowError(Exception):
         self.detail = detail
 
 
-class ValidationStop(DataFlowError):
+class ValidationStop(JobError):
     """Raised when a STOP validation rule has at least one failing row."""
 
     def __init__(self, message: str, rule_index: int, failures: int):

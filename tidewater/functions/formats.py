@@ -10,7 +10,7 @@ from __future__ import annotations
 
 from functools import lru_cache
 
-from tidewater.errors import DataFlowError
+from tidewater.errors import JobError
 
 # --- fixed values: directive -> (variable-width letter, fixed-width letter) --
 _DIRECTIVES = {
@@ -52,9 +52,9 @@ def _tokens(fmt: str) -> list[tuple[str, str]]:
             elif d in _DIRECTIVES:
                 out.append(("dir", d))
             elif d in _UNSUPPORTED:
-                raise DataFlowError("SPEC_INVALID", f"date directive %{d} is not supported", fmt)
+                raise JobError("SPEC_INVALID", f"date directive %{d} is not supported", fmt)
             else:
-                raise DataFlowError("SPEC_INVALID", f"unknown date directive %{d}", fmt)
+                raise JobError("SPEC_INVALID", f"unknown date directive %{d}", fmt)
         else:
             out.append(("lit", ch))
             i += 1

@@ -14,7 +14,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tidewater.errors import DataFlowError
+from tidewater.errors import JobError
 from tidewater.fixed import (
     COLUMN_LABEL,
     DEFAULT_DATE_FORMAT,
@@ -48,7 +48,7 @@ def _bound(value: Any, t: T.DataType) -> Column:
     if isinstance(t, T.StringType):
         return F.lit(str(value))
     if not _python_literal_fits(value, t):
-        raise DataFlowError("SPEC_INVALID", f"RANGE bound {value!r} does not fit column type {t.simpleString()}")
+        raise JobError("SPEC_INVALID", f"RANGE bound {value!r} does not fit column type {t.simpleString()}")
     return typed_literal(value, t)
 
 

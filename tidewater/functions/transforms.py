@@ -15,7 +15,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tidewater.errors import DataFlowError
+from tidewater.errors import JobError
 from tidewater.fixed import (
     CAST_ALIASES,
     DEFAULT_DATE_FORMAT,
@@ -199,7 +199,7 @@ def translate_replacement(to: str, groups: tuple[int, set[str]] | None = None) -
 
 def _replace(c, t, p, ctx):
     if "from" not in p or "to" not in p:
-        raise DataFlowError("SPEC_INVALID", "REPLACE needs 'from' and 'to'")
+        raise JobError("SPEC_INVALID", "REPLACE needs 'from' and 'to'")
     s = as_string(c, t)
     if p.get("literal"):
         return F.replace(s, F.lit(str(p["from"])), F.lit(str(p["to"]))), T.StringType()
@@ -230,7 +230,7 @@ def substring_expr(s: Column, start: int, length: int | None) -> Column:
     """0-based start, negative counts from the end; no/zero length -> to the end."""
     n = int(length) if length else INT_MAX
     if n < 0:
-        raise DataFlowError("SPEC_INVALID", "SUBSTRING length must be >= 0")
+        raise JobError("SPEC_INVALID", "SUBSTRING length must be >= 0")
     pos = start + 1 if start >= 0 else start
     return F.substring(s, pos, n)
 
@@ -264,7 +264,7 @@ def _null_handling(c, t, p, ctx):
         # frame-level: rows whose value is null at this point of the chain go
         ctx.keep_predicates.append(c.isNotNull())
         return c, t
-    raise DataFlowError("SPEC_INVALID", f"unknown NULL_HANDLING strategy {strategy!r}")
+    raise JobError("SPEC_INVALID", f"unknown NULL_HANDLING strategy {strategy!r}")
 
 
 def _literal_type(values: list[Any]) -> T.DataType:

@@ -13,7 +13,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tidewater.errors import DataFlowError
+from tidewater.errors import JobError
 
 DRIFT_SCHEMA = "column string, change string, expected string, actual string, null_count bigint"
 
@@ -65,5 +65,5 @@ def check_drift(df: DataFrame, expected, action: str = "WARN") -> list[str]:
     rows = drift_rows(df, expected)
     texts = [f"schema drift: {c} {ch} (expected {e}, actual {a})" for c, ch, e, a, _ in rows]
     if rows and action == "STOP":
-        raise DataFlowError("SCHEMA_DRIFT", "schema drift detected", "; ".join(texts))
+        raise JobError("SCHEMA_DRIFT", "schema drift detected", "; ".join(texts))
     return texts

@@ -17,7 +17,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tidewater.errors import DataFlowError
+from tidewater.errors import JobError
 from tidewater.fixed import ERROR_MESSAGES
 from tidewater.functions.transforms import FoldContext, apply_chain
 from tidewater.spec import ColumnMapping
@@ -67,7 +67,7 @@ def apply_mappings(df: DataFrame, mappings, keep_unmapped: bool = True,
         src = m.source_column
         if src is None or src not in env:
             if not m.is_nullable and m.default_value is None:
-                raise DataFlowError("COLUMN_NOT_FOUND", ERROR_MESSAGES["COLUMN_NOT_FOUND"].format(col=src))
+                raise JobError("COLUMN_NOT_FOUND", ERROR_MESSAGES["COLUMN_NOT_FOUND"].format(col=src))
             value = m.default_value
             env[m.target_column] = (F.lit(None if value is None else str(value)).cast("string"), T.StringType())
             origin.pop(m.target_column, None)
@@ -101,7 +101,7 @@ def apply_mappings(df: DataFrame, mappings, keep_unmapped: bool = True,
         out = base.select(*[env[n][0].alias(n) for n in names])
     except AnalysisException as e:  # e.g. a cast Spark cannot do at all (struct -> int)
         code = "CAST_ERROR" if "CAST" in str(e).upper() else "SCHEMA_FAILED"
-        raise DataFlowError(code, ERROR_MESSAGES["TRANSFORM_FAILED"], str(e)[:2000]) from e
+        raise JobError(code, ERROR_MESSAGES["TRANSFORM_FAILED"], str(e)[:2000]) from e
     return MappingResult(out, ctx.warnings, {n: origin[n] for n in names if n in origin})
 
 

@@ -24,7 +24,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tidewater.errors import DataFlowError
+from tidewater.errors import JobError
 from tidewater.fixed import ERROR_MESSAGES
 
 
@@ -53,7 +53,7 @@ def align_to_schema(df: DataFrame, target: T.StructType, defaults: dict[str, Any
     tnames = [f.name for f in target.fields]
     extra = [c for c in df.columns if c not in set(tnames)]
     if extra:
-        raise DataFlowError("WRITE_FAILED", f"target has no column(s) {extra}", str(tnames))
+        raise JobError("WRITE_FAILED", f"target has no column(s) {extra}", str(tnames))
     have = set(df.columns)
     cols = []
     for f in target.fields:
@@ -75,10 +75,10 @@ def dedup_last(source: DataFrame, keys: list[str], order_by: str | None) -> Data
         dup = (source.groupBy(*[F.col(_q(k)) for k in keys]).agg(F.count(F.lit(1)).alias("n"))
                .where(F.col("n") > 1).limit(1).count())
         if dup:
-            raise DataFlowError("SPEC_INVALID", "UPSERT source repeats a key; set order_by to pick the last row")
+            raise JobError("SPEC_INVALID", "UPSERT source repeats a key; set order_by to pick the last row")
         return source
     if order_by not in source.columns:
-        raise DataFlowError("COLUMN_NOT_FOUND", ERROR_MESSAGES["COLUMN_NOT_FOUND"].format(col=order_by))
+        raise JobError("COLUMN_NOT_FOUND", ERROR_MESSAGES["COLUMN_NOT_FOUND"].format(col=order_by))
     packed = F.struct(F.col(_q(order_by)).alias("__ord"), *[F.col(_q(c)) for c in other]).alias("__row")
     best = source.groupBy(*[F.col(_q(k)) for k in keys]).agg(F.max(packed).alias("__row"))
     return best.select(*[F.col(_q(k)) for k in keys], *[F.col("__row")[c].alias(c) for c in other]) \
@@ -90,14 +90,14 @@ def upsert(target: DataFrame, source: DataFrame, keys: list[str] | tuple[str, ..
     """The merged target (same schema as ``target``)."""
     keys = list(keys)
     if not keys:
-        raise DataFlowError("SPEC_INVALID", "UPSERT needs upsert_keys")
+        raise JobError("SPEC_INVALID", "UPSERT needs upsert_keys")
     tcols = target.columns
     missing = [k for k in keys if k not in tcols or k not in source.columns]
     if missing:
-        raise DataFlowError("COLUMN_NOT_FOUND", f"upsert key(s) {missing} missing")
+        raise JobError("COLUMN_NOT_FOUND", f"upsert key(s) {missing} missing")
     extra = [c for c in source.columns if c not in tcols and c != order_by]
     if extra:
-        raise DataFlowError("WRITE_FAILED", f"target has no column(s) {extra}")
+        raise JobError("WRITE_FAILED", f"target has no column(s) {extra}")
     ttypes = {f.name: f.dataType for f in target.schema.fields}
 
     any_null = None

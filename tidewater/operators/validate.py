@@ -22,7 +22,7 @@ from pyspark import StorageLevel
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tidewater.errors import DataFlowError, ValidationStop
+from tidewater.errors import JobError, ValidationStop
 from tidewater.fixed import STOP_TEMPLATE, WARN_TEMPLATE
 from tidewater.functions.rules import POPULATION_RULES, ROW_LOCAL_RULES, row_predicate, rule_message
 from tidewater.operators.duplicates import flag_duplicates
@@ -172,7 +172,7 @@ def validate(df: DataFrame, rules: list[ValidationRule] | tuple[ValidationRule,
         rt = r.rule_type.upper()
         action = (r.action_on_fail or "REJECT").upper()
         if action not in ("REJECT", "WARN", "STOP"):
-            raise DataFlowError("SPEC_INVALID", f"unknown action {r.action_on_fail!r}")
+            raise JobError("SPEC_INVALID", f"unknown action {r.action_on_fail!r}")
         flag = f"__fail{i}"
         col = r.column
         if rt in ROW_LOCAL_RULES:

@@ -22,7 +22,7 @@ from dataclasses import dataclass, field
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidewater.errors import DataFlowError
+from tidewater.errors import JobError
 from tidewater.fixed import STEP_MESSAGES as MSG
 from tidewater.fixed import TEST_RUN_DEFAULT_ROWS
 from tidewater.operators.drift import check_drift
@@ -209,7 +209,7 @@ def run_job(spark: SparkSession, spec: JobSpec, store: RunStore | None = None, r
         res.status = "SUCCESS"
         log.info("JOB_SUCCESS", MSG["JOB_SUCCESS"])
         return res
-    except DataFlowError as e:
+    except JobError as e:
         res.status, res.error_code, res.error_message = "FAILED", e.code, e.message
         log.error("JOB_FAILED", e.message, e.detail)
         if raise_on_error:

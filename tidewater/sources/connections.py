@@ -12,7 +12,7 @@ from __future__ import annotations
 
 from typing import Any
 
-from tidewater.errors import DataFlowError
+from tidewater.errors import JobError
 from tidewater.fixed import ERROR_MESSAGES
 from tidewater.spec import SourceSpec, TargetSpec
 
@@ -34,8 +34,8 @@ def list_supported_types() -> list[str]:
 def _type_of(conn: dict) -> str:
     t = str(conn.get("type") or "").upper()
     if t not in CONNECTION_TYPES:
-        raise DataFlowError("SPEC_INVALID",
-                            ERROR_MESSAGES["UNSUPPORTED_SOURCE"].format(kind=conn.get("type"), known=list(CONNECTION_TYPES)))
+        raise JobError("SPEC_INVALID",
+                       ERROR_MESSAGES["UNSUPPORTED_SOURCE"].format(kind=conn.get("type"), known=list(CONNECTION_TYPES)))
     return t
 
 

@@ -14,7 +14,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tidewater.errors import DataFlowError
+from tidewater.errors import JobError
 from tidewater.fixed import (
     CSV_NULL_TOKENS,
     ERROR_MESSAGES,
@@ -45,7 +45,7 @@ def jdbc_options(url: str, table: str | None = None, query: str | None = None,
     one task pulling the whole table.
     """
     if not table and not query:
-        raise DataFlowError("SPEC_INVALID", "JDBC source needs a table or a query")
+        raise JobError("SPEC_INVALID", "JDBC source needs a table or a query")
     opts: dict[str, str] = {"url": url, "fetchsize": str(fetchsize)}
     if query:
         opts["query"] = query
@@ -59,9 +59,9 @@ def jdbc_options(url: str, table: str | None = None, query: str | None = None,
         opts["driver"] = driver
     if partition_column:
         if query:
-            raise DataFlowError("SPEC_INVALID", "partitioned JDBC reads need a table, not a query")
+            raise JobError("SPEC_INVALID", "partitioned JDBC reads need a table, not a query")
         if lower_bound is None or upper_bound is None or not num_partitions:
-            raise DataFlowError("SPEC_INVALID", "partition_column needs lower/upper bound and num_partitions")
+            raise JobError("SPEC_INVALID", "partition_column needs lower/upper bound and num_partitions")
         opts.update({"partitionColumn": partition_column, "lowerBound": str(lower_bound),
                      "upperBound": str(upper_bound), "numPartitions": str(num_partitions)})
     for k, v in (extra or {}).items():
@@ -174,7 +174,7 @@ def _load(spark: SparkSession, spec: SourceSpec) -> DataFrame:
     o = dict(spec.options)
     if kind in ("parquet", "orc", "json"):
         if not spec.path:
-            raise DataFlowError("SPEC_INVALID", f"{kind} source needs a path")
+            raise JobError("SPEC_INVALID", f"{kind} source needs a path")
         reader = spark.read.options(**{k: str(v) for k, v in o.items() if k != "schema"})
         if o.get("schema"):
             reader = reader.schema(o["schema"])
@@ -195,9 +195,9 @@ def _load(spark: SparkSession, spec: SourceSpec) -> DataFrame:
         return spark.read.table(spec.table)
     if kind == "sql":
         if not spec.query:
-            raise DataFlowError("SPEC_INVALID", "sql source needs a query")
+            raise JobError("SPEC_INVALID", "sql source needs a query")
         return spark.sql(spec.query)
-    raise DataFlowError("SPEC_INVALID", ERROR_MESSAGES["UNSUPPORTED_SOURCE"].format(kind=spec.kind, known=list(SOURCE_KINDS)))
+    raise JobError("SPEC_INVALID", ERROR_MESSAGES["UNSUPPORTED_SOURCE"].format(kind=spec.kind, known=list(SOURCE_KINDS)))
 
 
 def typed_mark(value: str, t: T.DataType):
@@ -217,14 +217,14 @@ def read_source(spark: SparkSession, spec: SourceSpec, checkpoint_value: str | N
     """
     try:
         df = _load(spark, spec)
-    except DataFlowError:
+    except JobError:
         raise
     except Exception as e:  # noqa: BLE001 - surfaced as a run error with a code
-        raise DataFlowError("READ_FAILED", ERROR_MESSAGES["READ_FAILED"].format(what=spec.table or spec.path or "custom query"), str(e))
+        raise JobError("READ_FAILED", ERROR_MESSAGES["READ_FAILED"].format(what=spec.table or spec.path or "custom query"), str(e))
     if spec.checkpoint_col and checkpoint_value is not None:
         types = {f.name: f.dataType for f in df.schema.fields}
         if spec.checkpoint_col not in types:
-            raise DataFlowError("COLUMN_NOT_FOUND", ERROR_MESSAGES["COLUMN_NOT_FOUND"].format(col=spec.checkpoint_col))
+            raise JobError("COLUMN_NOT_FOUND", ERROR_MESSAGES["COLUMN_NOT_FOUND"].format(col=spec.checkpoint_col))
         df = df.where(F.col(_q(spec.checkpoint_col)) > typed_mark(checkpoint_value, types[spec.checkpoint_col]))
     if limit:
         df = df.limit(int(limit))
@@ -272,7 +272,7 @@ def describe(spark: SparkSession, df: DataFrame) -> DataFrame:
 def describe_table(spark: SparkSession, name: str) -> DataFrame:
     """Column descriptors of a catalog table; missing -> ``TABLE_NOT_FOUND``."""
     if not spark.catalog.tableExists(name):
-        raise DataFlowError("TABLE_NOT_FOUND", ERROR_MESSAGES["TABLE_NOT_FOUND"].format(what=name))
+        raise JobError("TABLE_NOT_FOUND", ERROR_MESSAGES["TABLE_NOT_FOUND"].format(what=name))
     return describe(spark, spark.read.table(name))
 
 

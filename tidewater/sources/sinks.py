@@ -23,7 +23,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tidewater.errors import DataFlowError
+from tidewater.errors import JobError
 from tidewater.fixed import ERROR_MESSAGES, LOAD_STRATEGIES
 from tidewater.operators.merge import align_to_schema, dedup_last, upsert
 from tidewater.plans.observed import Probe
@@ -63,7 +63,7 @@ def _rename(spark: SparkSession, src: str, dst: str) -> None:
     fs, s = _fs(spark, src)
     _, d = _fs(spark, dst)
     if not fs.rename(s, d):
-        raise DataFlowError("WRITE_FAILED", f"rename {src} -> {dst} failed")
+        raise JobError("WRITE_FAILED", f"rename {src} -> {dst} failed")
 
 
 def _delete(spark: SparkSession, path: str) -> None:
@@ -114,7 +114,7 @@ def read_target(spark: SparkSession, target: TargetSpec) -> DataFrame | None:
                              password=o.pop("password", None), driver=o.pop("driver", None))
         except Exception:  # noqa: BLE001
             return None
-    raise DataFlowError("SPEC_INVALID", f"unknown target kind {target.kind!r}")
+    raise JobError("SPEC_INVALID", f"unknown target kind {target.kind!r}")
 
 
 # ---------------------------------------------------------------------------
@@ -157,12 +157,12 @@ def write_frame(spark: SparkSession, df: DataFrame, target: TargetSpec, strategy
     """Load ``df`` into ``target`` with one of the six strategies."""
     strategy = strategy.upper()
     if strategy not in LOAD_STRATEGIES:
-        raise DataFlowError("SPEC_INVALID", f"unknown load strategy {strategy!r}")
+        raise JobError("SPEC_INVALID", f"unknown load strategy {strategy!r}")
     kind = target.kind.lower()
     ensure_checkpoint_dir(spark)
     current = read_target(spark, target)
     if current is None and not target.create_if_not_exists:
-        raise DataFlowError("TABLE_NOT_FOUND", f"target {target.table or target.path} does not exist")
+        raise JobError("TABLE_NOT_FOUND", f"target {target.table or target.path} does not exist")
 
     # 1. the frame to write; the Observation counts the incoming rows as
     #    they stream into the write (for UPSERT: the source side of the merge)
@@ -223,10 +223,10 @@ def write_frame(spark: SparkSession, df: DataFrame, target: TargetSpec, strategy
             else:
                 out.write.format("jdbc").options(**o).mode("append").save()
         else:
-            raise DataFlowError("SPEC_INVALID", f"unknown target kind {target.kind!r}")
-    except DataFlowError:
+            raise JobError("SPEC_INVALID", f"unknown target kind {target.kind!r}")
+    except JobError:
         raise
     except Exception as e:  # noqa: BLE001
-        raise DataFlowError("WRITE_FAILED", ERROR_MESSAGES["WRITE_FAILED"].format(what=target.table or target.path), str(e))
+        raise JobError("WRITE_FAILED", ERROR_MESSAGES["WRITE_FAILED"].format(what=target.table or target.path), str(e))
     got = probe.result(out)  # {} when the incoming rows were provably empty
     return WriteResult(rows_written=int(got.get("rows", 0) or 0), observed=dict(got))

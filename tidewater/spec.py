@@ -10,7 +10,7 @@ from __future__ import annotations
 from dataclasses import dataclass, field
 from typing import Any
 
-from tidewater.errors import DataFlowError
+from tidewater.errors import JobError
 from tidewater.fixed import ACTIONS, LOAD_STRATEGIES, VALIDATION_RULES
 
 
@@ -196,23 +196,23 @@ def _finish_job(d: dict, source: SourceSpec, target: TargetSpec) -> JobSpec:
 
 
 def check_spec(spec: JobSpec) -> None:
-    """Driver-side checks; raise ``DataFlowError('SPEC_INVALID', ...)``."""
+    """Driver-side checks; raise ``JobError('SPEC_INVALID', ...)``."""
     strategy = spec.load_strategy.upper()
     if strategy not in LOAD_STRATEGIES:
-        raise DataFlowError("SPEC_INVALID", f"unknown load strategy {spec.load_strategy!r}",
+        raise JobError("SPEC_INVALID", f"unknown load strategy {spec.load_strategy!r}",
                             f"known: {list(LOAD_STRATEGIES)}")
     if strategy == "UPSERT" and not spec.upsert_keys:
-        raise DataFlowError("SPEC_INVALID", "UPSERT needs upsert_keys")
+        raise JobError("SPEC_INVALID", "UPSERT needs upsert_keys")
     if strategy == "INCREMENTAL" and not spec.source.checkpoint_col:
-        raise DataFlowError("SPEC_INVALID", "INCREMENTAL needs source checkpoint_col")
+        raise JobError("SPEC_INVALID", "INCREMENTAL needs source checkpoint_col")
     for r in spec.rules:
         if r.action_on_fail.upper() not in ACTIONS:
-            raise DataFlowError("SPEC_INVALID", f"unknown action {r.action_on_fail!r}",
+            raise JobError("SPEC_INVALID", f"unknown action {r.action_on_fail!r}",
                                 f"known: {list(ACTIONS)}")
         rt = r.rule_type.upper()
         if rt in VALIDATION_RULES and rt != "DUPLICATE_CHECK" and not r.column:
-            raise DataFlowError("SPEC_INVALID", f"rule {rt} needs a column")
+            raise JobError("SPEC_INVALID", f"rule {rt} needs a column")
     if spec.schema_drift_action.upper() not in ("WARN", "STOP", "IGNORE"):
-        raise DataFlowError("SPEC_INVALID", f"unknown drift action {spec.schema_drift_action!r}")
+        raise JobError("SPEC_INVALID", f"unknown drift action {spec.schema_drift_action!r}")
     if spec.mark_from not in ("valid", "source"):
-        raise DataFlowError("SPEC_INVALID", f"mark_from must be 'valid' or 'source'")
+        raise JobError("SPEC_INVALID", f"mark_from must be 'valid' or 'source'")
