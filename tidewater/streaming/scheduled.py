@@ -1,20 +1,28 @@
 """Scheduled / continuous incremental loads on Structured Streaming.
 
 A file (or table) stream feeds ``foreachBatch``; every micro-batch is one run
-of the job (map, validate, load, run record), keyed by the batch id so a
-replayed batch is recognisable.  The stream's own checkpoint (under the
-shared checkpoint folder unless given) tracks which input was processed, so
-no high-water mark is needed and late files are not skipped.
+of the job (map, validate, load, run record).  The stream's own checkpoint
+(under the shared checkpoint folder unless given) tracks which input was
+processed, so no high-water mark is needed and late files are not skipped.
 
 ``trigger="availableNow"`` processes what exists and stops (a scheduled run);
 ``trigger="<n> seconds"`` keeps running (an interval schedule).
+
+Replays: after a failure Spark may hand the same batch id to
+``foreachBatch`` again.  Runs are keyed ``<stream key>-batch-<id>`` where the
+stream key is derived from the checkpoint location (stable across restarts of
+the same stream); a batch whose run is already recorded as SUCCESS is skipped,
+so an APPEND target does not receive the batch twice.  UPSERT and FULL_LOAD
+targets are idempotent anyway.
 """
 
 from __future__ import annotations
 
+import hashlib
 import uuid
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
 from tidewater.plans.runner import run_job
@@ -23,22 +31,41 @@ from tidewater.session import ensure_checkpoint_dir
 from tidewater.spec import JobSpec
 
 
+def stream_key(spec: JobSpec, checkpoint_location: str) -> str:
+    return f"{spec.id}-{hashlib.sha1(checkpoint_location.encode()).hexdigest()[:10]}"
+
+
+def batch_runner(spec: JobSpec, store: RunStore, key: str):
+    """The ``foreachBatch`` function: one run per micro-batch, replay-safe."""
+
+    def one_batch(batch_df: DataFrame, batch_id: int) -> None:
+        run_id = f"{key}-batch-{batch_id}"
+        done = store.runs().where((F.col("id") == run_id) & (F.col("status") == "SUCCESS")).limit(1).count()
+        if done:
+            return  # replayed batch already loaded
+        run_job(batch_df.sparkSession, spec, store, run_type="SCHEDULED", source_df=batch_df, run_id=run_id)
+
+    return one_batch
+
+
 def start_stream(spark: SparkSession, spec: JobSpec, path: str, schema, fmt: str = "parquet",
                  store: RunStore | None = None, trigger: str = "availableNow",
                  checkpoint_location: str | None = None, max_files_per_trigger: int | None = None) -> StreamingQuery:
-    """Start the stream; returns the StreamingQuery (call ``awaitTermination``)."""
+    """Start the stream; returns the StreamingQuery (call ``awaitTermination``).
+
+    ``fmt="table"`` streams from a catalog table (``path`` is its name).
+    """
     store = store or RunStore.default(spark)
     loc = checkpoint_location or f"{ensure_checkpoint_dir(spark)}/tidewater-streams/{spec.id}-{uuid.uuid4().hex[:8]}"
-    reader = spark.readStream.schema(schema).format(fmt)
+    reader = spark.readStream
     if max_files_per_trigger:
         reader = reader.option("maxFilesPerTrigger", int(max_files_per_trigger))
-    stream = reader.load(path)
-
-    def one_batch(batch_df, batch_id: int) -> None:
-        run_job(batch_df.sparkSession, spec, store, run_type="SCHEDULED", source_df=batch_df,
-                run_id=f"{spec.id}-batch-{batch_id}")
-
-    w = stream.writeStream.foreachBatch(one_batch).option("checkpointLocation", loc)
+    if fmt == "table":
+        stream = reader.table(path)
+    else:
+        stream = reader.schema(schema).format(fmt).load(path)
+    w = (stream.writeStream.foreachBatch(batch_runner(spec, store, stream_key(spec, loc)))
+         .option("checkpointLocation", loc))
     if trigger == "availableNow":
         w = w.trigger(availableNow=True)
     else:
