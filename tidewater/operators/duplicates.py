@@ -6,6 +6,9 @@ count as equal values.  The result is exact.
 Plan, chosen for long keys (document text, whole rows) and for skew (one
 value may hold a third of all rows):
 
+(Keys of at most three fixed-width columns skip steps 1-2 and are grouped
+directly: their hash would be no cheaper than the values.)
+
 1. ``candidates`` — ``groupBy(xxhash64(keys)).count() > 1``: an aggregate on
    an 8-byte key with map-side partial aggregation, so neither long text nor
    a hot value's raw rows cross the shuffle.
@@ -26,6 +29,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 
 def _q(name: str) -> str:
@@ -44,8 +48,22 @@ def candidate_hashes(df: DataFrame, cols: list[str]) -> DataFrame:
               .agg(F.count(F.lit(1)).alias("__n")).where(F.col("__n") > 1).select("__h"))
 
 
+_FIXED_WIDTH = (T.BooleanType, T.ByteType, T.ShortType, T.IntegerType, T.LongType, T.FloatType, T.DoubleType,
+                T.DateType, T.TimestampType, T.TimestampNTZType)
+
+
+def is_narrow(df: DataFrame, cols: list[str], max_cols: int = 3) -> bool:
+    """Keys of at most ``max_cols`` fixed-width columns: grouping on them is
+    as cheap as grouping on their hash, so the pre-filter would only add a pass."""
+    types = {f.name: f.dataType for f in df.schema.fields}
+    return len(cols) <= max_cols and all(isinstance(types[c], _FIXED_WIDTH) for c in cols)
+
+
 def duplicate_keys(df: DataFrame, cols: list[str]) -> DataFrame:
     """Exact duplicated values with their hash ``__h`` and multiplicity ``__n``."""
+    if is_narrow(df, cols):
+        return (df.groupBy(*[F.col(_q(c)) for c in cols]).agg(F.count(F.lit(1)).alias("__n"))
+                  .where(F.col("__n") > 1).select(key_hash(cols).alias("__h"), *[F.col(_q(c)) for c in cols], "__n"))
     cand = candidate_hashes(df, cols)
     rows = df.select(key_hash(cols).alias("__h"), *[F.col(_q(c)) for c in cols]).join(cand, "__h", "left_semi")
     return (rows.groupBy("__h", *[F.col(_q(c)) for c in cols])
