@@ -154,3 +154,30 @@ def test_upsert_with_all_rows_rejected(spark, sf_small, store):
                        mappings=(M("ghost", "nope", 0),), rules=(V("NOT_NULL", "ghost"),), keep_unmapped=True)
     res = run_job(spark, spec, store, raise_on_error=False)
     assert res.status == "FAILED" or res.success_count == 0
+
+
+def test_upsert_run_with_every_row_rejected(spark, sf_small, store):
+    """All source rows rejected by an always-true rule: the UPSERT must not
+    wait on metrics of a plan Catalyst pruned to empty."""
+    tgt = TargetSpec(kind="parquet", path=scratch_path(spark, "up_rej_all"))
+    run_job(spark, orders_spec(spark, sf_small, target=tgt), store)
+    spec = orders_spec(spark, sf_small, target=tgt, load_strategy="UPSERT", upsert_keys=("o_orderkey",),
+                       mappings=(M("o_orderstatus", "no_such", 0),), rules=(V("NOT_NULL", "o_orderstatus"),))
+    res = run_job(spark, spec, store)
+    n = spark.read.parquet(f"{sf_small}/orders.parquet").count()
+    assert res.status == "SUCCESS" and res.success_count == 0 and res.rejected_rows == n
+    assert spark.read.parquet(tgt.path).count() == n
+
+
+def test_upsert_broadcast_and_shuffle_plans_agree(spark, sf_small):
+    from tidewater.operators.merge import upsert
+    from tidewater.plans.catalog_flow import _upsert_source
+    o = spark.read.parquet(f"{sf_small}/orders.parquet")
+    tgt = o.where(F.col("o_orderdate") < "1998-01-01").withColumn("load_note", F.lit("initial"))
+    src = _upsert_source(spark, sf_small)
+    a = upsert(tgt, src, ["o_orderkey"], "version", plan="auto", broadcast_limit=1 << 40)
+    b = upsert(tgt, src, ["o_orderkey"], "version", plan="auto", broadcast_limit=0)
+    c = upsert(tgt, src, ["o_orderkey"], "version")
+    ra, rb, rc = (sorted(map(tuple, x.collect()), key=repr) for x in (a, b, c))
+    assert ra == rb == rc
+    assert "BroadcastHashJoin" in a._jdf.queryExecution().executedPlan().toString()

@@ -13,7 +13,10 @@ Plan, chosen for skew:
   to one row per task before the shuffle (a ``row_number()`` window would sort
   all of them in one task);
 * after the dedup both sides hold at most one row per key, so the full outer
-  join on the keys has no hot key at all.
+  join on the keys has no hot key at all;
+* when the deduplicated source is small — measured on disk after writing it
+  to the shared checkpoint folder, not estimated — it is broadcast and the
+  target streams past it without being shuffled (``plan="auto"``).
 """
 
 from __future__ import annotations
@@ -85,10 +88,13 @@ def dedup_last(source: DataFrame, keys: list[str], order_by: str | None) -> Data
                .select(*[F.col(_q(c)) for c in source.columns])
 
 
-def upsert(target: DataFrame, source: DataFrame, keys: list[str] | tuple[str, ...],
-           order_by: str | None = None, defaults: dict[str, Any] | None = None) -> DataFrame:
-    """The merged target (same schema as ``target``)."""
-    keys = list(keys)
+# Broadcast limit for the deduplicated UPSERT source (bytes on disk); the
+# session setting overrides it.
+BROADCAST_LIMIT_CONF = "spark.tidewater.upsert.broadcastLimitBytes"
+DEFAULT_BROADCAST_LIMIT = 128 * 1024 * 1024
+
+
+def _check_upsert(target: DataFrame, source: DataFrame, keys: list[str], order_by: str | None) -> None:
     if not keys:
         raise JobError("SPEC_INVALID", "UPSERT needs upsert_keys")
     tcols = target.columns
@@ -98,15 +104,27 @@ def upsert(target: DataFrame, source: DataFrame, keys: list[str] | tuple[str, ..
     extra = [c for c in source.columns if c not in tcols and c != order_by]
     if extra:
         raise JobError("WRITE_FAILED", f"target has no column(s) {extra}")
-    ttypes = {f.name: f.dataType for f in target.schema.fields}
 
+
+def split_source(source: DataFrame, keys: list[str], order_by: str | None) -> tuple[DataFrame, DataFrame]:
+    """(one row per non-NULL key, last one winning; rows with a NULL key)."""
     any_null = None
     for k in keys:
         e = F.col(_q(k)).isNull()
         any_null = e if any_null is None else any_null | e
-    null_key_rows = source.where(any_null)
-    keyed = dedup_last(source.where(~any_null), keys, order_by)
+    return dedup_last(source.where(~any_null), keys, order_by), source.where(any_null)
+
+
+def _null_key_inserts(null_key_rows: DataFrame, target: DataFrame, order_by, defaults) -> DataFrame:
+    drop = [order_by] if order_by and order_by not in target.columns else []
+    return align_to_schema(null_key_rows.drop(*drop), target.schema, defaults, cast=True)
 
+
+def merge_shuffled(target: DataFrame, keyed: DataFrame, null_key_rows: DataFrame, keys: list[str],
+                   order_by: str | None = None, defaults: dict[str, Any] | None = None) -> DataFrame:
+    """Full outer join on the keys (both sides shuffled; any size)."""
+    tcols = target.columns
+    ttypes = {f.name: f.dataType for f in target.schema.fields}
     s = keyed.select(*[F.col(_q(c)).alias(f"__s_{c}") for c in keyed.columns], F.lit(True).alias("__s_hit"))
     t = target.select(*[F.col(_q(c)).alias(f"__t_{c}") for c in tcols], F.lit(True).alias("__t_hit"))
     cond = None
@@ -124,7 +142,73 @@ def upsert(target: DataFrame, source: DataFrame, keys: list[str] | tuple[str, ..
             out.append(F.when(s_hit, F.col(f"__s_{c}").cast(ttypes[c])).otherwise(F.col(f"__t_{c}")).alias(c))
         else:
             out.append(F.when(t_hit, F.col(f"__t_{c}")).otherwise(default_column(c, ttypes[c], defaults)).alias(c))
-    merged = j.select(*out)
-    inserted_null_keys = align_to_schema(null_key_rows.drop(*([order_by] if order_by and order_by not in tcols else [])),
-                                         target.schema, defaults, cast=True)
-    return merged.unionByName(inserted_null_keys)
+    return j.select(*out).unionByName(_null_key_inserts(null_key_rows, target, order_by, defaults))
+
+
+def merge_broadcast(target: DataFrame, keyed: DataFrame, null_key_rows: DataFrame, keys: list[str],
+                    order_by: str | None = None, defaults: dict[str, Any] | None = None) -> DataFrame:
+    """For a source whose size was checked: the target streams past a
+    broadcast of the source (no shuffle of the target rows).
+
+    * existing rows: ``target LEFT JOIN broadcast(source)`` — updated where
+      the key matches, unchanged otherwise;
+    * new rows: source keys not among the target's keys, found by a key-only
+      semi-join of the target against the broadcast source keys.
+    """
+    tcols = target.columns
+    ttypes = {f.name: f.dataType for f in target.schema.fields}
+    s = keyed.select(*[F.col(_q(c)).alias(f"__s_{c}") for c in keyed.columns], F.lit(True).alias("__s_hit"))
+    cond = None
+    for k in keys:
+        e = target[_q(k)] == F.col(f"__s_{k}")
+        cond = e if cond is None else cond & e
+    j = target.join(F.broadcast(s), cond, "left")
+    s_hit = F.col("__s_hit").isNotNull()
+    existing = []
+    for c in tcols:
+        if c in keys or c not in keyed.columns:
+            existing.append(target[_q(c)].alias(c))
+        else:
+            existing.append(F.when(s_hit, F.col(f"__s_{c}").cast(ttypes[c])).otherwise(target[_q(c)]).alias(c))
+    updated = j.select(*existing)
+    src_keys = keyed.select(*[F.col(_q(k)) for k in keys])
+    matched = target.select(*[F.col(_q(k)) for k in keys]).join(F.broadcast(src_keys), keys, "left_semi")
+    new_rows = keyed.join(matched, keys, "left_anti")
+    inserted = align_to_schema(new_rows.drop(*([order_by] if order_by and order_by not in tcols else [])),
+                               target.schema, defaults, cast=True)
+    return updated.unionByName(inserted).unionByName(_null_key_inserts(null_key_rows, target, order_by, defaults))
+
+
+def upsert(target: DataFrame, source: DataFrame, keys: list[str] | tuple[str, ...],
+           order_by: str | None = None, defaults: dict[str, Any] | None = None,
+           plan: str = "shuffle", broadcast_limit: int | None = None) -> DataFrame:
+    """The merged target (same schema as ``target``); see :func:`plan_upsert`."""
+    return plan_upsert(target, source, keys, order_by, defaults, plan, broadcast_limit)[0]
+
+
+def plan_upsert(target: DataFrame, source: DataFrame, keys: list[str] | tuple[str, ...],
+                order_by: str | None = None, defaults: dict[str, Any] | None = None,
+                plan: str = "shuffle", broadcast_limit: int | None = None) -> tuple[DataFrame, list[DataFrame]]:
+    """The merged target, and the frames already executed while planning it
+    (the materialised source), for callers that read observed metrics.
+
+    ``plan="shuffle"``: full outer join (any size).  ``plan="auto"``: the
+    deduplicated source is written once to the shared checkpoint folder and
+    its size measured; at most ``broadcast_limit`` bytes (session setting
+    ``spark.tidewater.upsert.broadcastLimitBytes``, default 128 MB) it is
+    broadcast and the target is never shuffled, otherwise the full outer join.
+    """
+    keys = list(keys)
+    _check_upsert(target, source, keys, order_by)
+    keyed, null_key_rows = split_source(source, keys, order_by)
+    executed: list[DataFrame] = []
+    if plan == "auto":
+        from tidewater.session import materialize_sized
+        executed.append(keyed)
+        keyed, size = materialize_sized(keyed, "upsert-source")
+        limit = broadcast_limit
+        if limit is None:
+            limit = int(target.sparkSession.conf.get(BROADCAST_LIMIT_CONF, str(DEFAULT_BROADCAST_LIMIT)))
+        if size <= limit:
+            return merge_broadcast(target, keyed, null_key_rows, keys, order_by, defaults), executed
+    return merge_shuffled(target, keyed, null_key_rows, keys, order_by, defaults), executed

@@ -3,10 +3,10 @@
 ``DataFrame.observe`` collects metrics while an action runs.  If Catalyst
 proves the observed input empty (an always-false filter above it, e.g. NOT_NULL
 on a column that cannot be NULL, or a REJECT rule that is always true), it
-replaces the subtree with an empty relation and the metrics node disappears;
-``Observation.get`` would then never return.  A :class:`Probe` reads its
-metrics only if an executed plan still contains its node; otherwise the input
-was provably empty and the metrics are empty.
+replaces the subtree with an empty relation and the metrics node disappears,
+statically or at run time (AQE's empty-relation propagation).  A
+:class:`Probe` reads its metrics only if an executed plan still contains its
+node, and treats an action that finished without them as "input was empty".
 """
 
 from __future__ import annotations
@@ -31,6 +31,9 @@ class Probe:
     def result(self, *executed: DataFrame) -> dict:
         """Metrics once an action over one of ``executed`` has run; ``{}`` when
         every one of those plans lost the node (its input is provably empty)."""
-        if any(self.present_in(f) for f in executed):
+        if not any(self.present_in(f) for f in executed):
+            return {}
+        try:
             return dict(self.observation.get)
-        return {}
+        except Exception:  # noqa: BLE001 - the action ran but AQE pruned the node
+            return {}

@@ -105,7 +105,16 @@ def materialize(df, name: str):
     planner the real on-disk size, so a broadcast of it is decided on a
     measured size rather than an estimate.
     """
+    return materialize_sized(df, name)[0]
+
+
+def materialize_sized(df, name: str):
+    """:func:`materialize`, plus the written size in bytes (measured on the
+    file system, so a broadcast decision can rest on it)."""
     spark = df.sparkSession
     path = scratch_path(spark, name)
     df.write.parquet(path)
-    return spark.read.parquet(path)
+    jvm = spark.sparkContext._jvm
+    p = jvm.org.apache.hadoop.fs.Path(path)
+    size = p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).getContentSummary(p).getLength()
+    return spark.read.parquet(path), int(size)

@@ -25,7 +25,7 @@ from pyspark.sql import types as T
 
 from tidewater.errors import JobError
 from tidewater.fixed import ERROR_MESSAGES, LOAD_STRATEGIES
-from tidewater.operators.merge import align_to_schema, dedup_last, upsert
+from tidewater.operators.merge import align_to_schema, dedup_last, plan_upsert
 from tidewater.plans.observed import Probe
 from tidewater.session import ensure_checkpoint_dir
 from tidewater.spec import TargetSpec
@@ -169,6 +169,7 @@ def write_frame(spark: SparkSession, df: DataFrame, target: TargetSpec, strategy
     probe = Probe("write")
     exprs = [F.count(F.lit(1)).alias("rows")] + list(observe_exprs or [])
     incoming = probe.attach(df, *exprs)
+    ran: list[DataFrame] = []  # frames executed while planning (materialised UPSERT source)
     scoped = (strategy == "UPSERT" and current is not None and kind in PATH_KINDS and target.partition_by
               and set(target.partition_by) <= set(upsert_keys))
     if strategy == "UPSERT":
@@ -182,9 +183,9 @@ def write_frame(spark: SparkSession, df: DataFrame, target: TargetSpec, strategy
             parts = list(target.partition_by)
             touched = df.select(*[F.col(_q(c)) for c in parts]).distinct()
             current_part = current.join(touched, parts, "left_semi")
-            out = upsert(current_part, incoming, list(upsert_keys), order_by, target.defaults)
+            out, ran = plan_upsert(current_part, incoming, list(upsert_keys), order_by, target.defaults, plan="auto")
         else:
-            out = upsert(current, incoming, list(upsert_keys), order_by, target.defaults)
+            out, ran = plan_upsert(current, incoming, list(upsert_keys), order_by, target.defaults, plan="auto")
     elif strategy == "OVERWRITE" or current is None:
         out = incoming
     else:
@@ -228,5 +229,5 @@ def write_frame(spark: SparkSession, df: DataFrame, target: TargetSpec, strategy
         raise
     except Exception as e:  # noqa: BLE001
         raise JobError("WRITE_FAILED", ERROR_MESSAGES["WRITE_FAILED"].format(what=target.table or target.path), str(e))
-    got = probe.result(out)  # {} when the incoming rows were provably empty
+    got = probe.result(out, *ran)  # {} when the incoming rows were provably empty
     return WriteResult(rows_written=int(got.get("rows", 0) or 0), observed=dict(got))
