@@ -80,3 +80,14 @@ def test_cli_run(sf_small, tmp_path):
                          cwd=root, capture_output=True, text=True, timeout=300)
     res = json.loads(out.stdout.strip().splitlines()[-1])
     assert out.returncode == 0 and res["status"] == "SUCCESS" and res["success_count"] == 20
+
+
+def test_discovery_queries():
+    from tidewater.sources.connections import describe_query, list_tables_query, logical_db_type
+    assert "table_schema = 'sales'" in list_tables_query(PG) and "BASE TABLE" in list_tables_query(PG)
+    assert "table_schema = database()" in list_tables_query({"type": "MYSQL"})
+    q = describe_query(PG, "o'rders")
+    assert "table_name = 'o''rders'" in q and q.endswith("order by ordinal_position")
+    assert logical_db_type(PG, "character varying") == "VARCHAR"
+    assert logical_db_type({"type": "MYSQL"}, "datetime") == "TIMESTAMP"
+    assert logical_db_type(PG, "timestamp without time zone") == "TIMESTAMP WITHOUT TIME ZONE"

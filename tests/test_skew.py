@@ -42,3 +42,17 @@ def test_upsert_hot_key_source(spark):
     src = skewed(spark).select("k", F.col("v").cast("string").alias("v"), "id")
     merged = upsert(tgt, src, ["k"], "id")
     assert merged.count() == src.select("k").distinct().union(tgt.select("k")).distinct().count()
+
+
+def test_unique_flag_shuffled_path_matches(spark):
+    from tidewater.operators.duplicates import BROADCAST_LIMIT_CONF
+    df = skewed(spark)
+    small = flag_duplicates(df, ["k"], "dup", materialize_keys=True)
+    spark.conf.set(BROADCAST_LIMIT_CONF, "0")
+    try:
+        big = flag_duplicates(df, ["k"], "dup", materialize_keys=True)
+        plan = big._jdf.queryExecution().executedPlan().toString()
+        assert big.where("dup").count() == small.where("dup").count()
+        assert "SortMergeJoin" in plan or "ShuffledHashJoin" in plan or "BroadcastHashJoin" in plan
+    finally:
+        spark.conf.unset(BROADCAST_LIMIT_CONF)

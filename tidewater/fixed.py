@@ -121,3 +121,25 @@ LOGICAL_TYPE_NAMES = {
     "boolean": "BOOLEAN", "date": "DATE",
     "timestamp_ntz": "TIMESTAMP", "timestamp": "TIMESTAMPTZ",
 }
+
+# --- fixed values: database catalog type names -> logical names ------------
+PG_TYPE_NAMES = {
+    "integer": "INTEGER", "int4": "INTEGER", "int8": "BIGINT", "bigint": "BIGINT",
+    "smallint": "SMALLINT", "int2": "SMALLINT",
+    "numeric": "DECIMAL", "decimal": "DECIMAL", "float4": "FLOAT", "float8": "DOUBLE",
+    "real": "FLOAT", "double precision": "DOUBLE",
+    "varchar": "VARCHAR", "character varying": "VARCHAR", "text": "TEXT",
+    "char": "CHAR", "bpchar": "CHAR",
+    "boolean": "BOOLEAN", "bool": "BOOLEAN",
+    "date": "DATE", "timestamp": "TIMESTAMP", "timestamptz": "TIMESTAMPTZ",
+    "time": "TIME", "json": "JSON", "jsonb": "JSONB", "uuid": "UUID",
+}
+MYSQL_TYPE_NAMES = {
+    "int": "INTEGER", "bigint": "BIGINT", "smallint": "SMALLINT", "tinyint": "SMALLINT",
+    "float": "FLOAT", "double": "DOUBLE", "decimal": "DECIMAL", "numeric": "DECIMAL",
+    "varchar": "VARCHAR", "text": "TEXT", "mediumtext": "TEXT", "longtext": "TEXT",
+    "char": "CHAR", "enum": "VARCHAR",
+    "boolean": "BOOLEAN", "bool": "BOOLEAN",
+    "date": "DATE", "datetime": "TIMESTAMP", "timestamp": "TIMESTAMP", "time": "TIME",
+    "json": "JSON",
+}

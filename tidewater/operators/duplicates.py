@@ -17,9 +17,12 @@ directly: their hash would be no cheaper than the values.)
    partial aggregation.  Result: one row per duplicated value.
 3. the flag is a left join on ``(hash, keys)`` with null-safe equality.  The
    duplicate side has one row per value, so the only possibly hot side is the
-   probe side: when the duplicate set is small AQE broadcasts it from its
-   *measured* size; otherwise the sort-merge join's skewed partitions are
-   split by AQE's skew-join handling.  Nothing is broadcast on assumption.
+   probe side.  The duplicate set is written once to the shared checkpoint
+   folder and its size measured: at most 128 MB (setting
+   ``spark.tidewater.duplicates.broadcastLimitBytes``) it is broadcast and
+   the probe side is never shuffled; beyond that the sort-merge join's skewed
+   partitions are split by AQE's skew-join handling.  Nothing is broadcast on
+   assumption.
 
 A window ``count() over (partition by key)`` would instead pull all rows of a
 hot value into one task and sort them.
@@ -70,6 +73,14 @@ def duplicate_keys(df: DataFrame, cols: list[str]) -> DataFrame:
                 .agg(F.count(F.lit(1)).alias("__n")).where(F.col("__n") > 1))
 
 
+BROADCAST_LIMIT_CONF = "spark.tidewater.duplicates.broadcastLimitBytes"
+DEFAULT_BROADCAST_LIMIT = 128 * 1024 * 1024
+
+
+def broadcast_limit(df: DataFrame) -> int:
+    return int(df.sparkSession.conf.get(BROADCAST_LIMIT_CONF, str(DEFAULT_BROADCAST_LIMIT)))
+
+
 def flag_duplicates(df: DataFrame, cols: list[str], flag: str, base: DataFrame | None = None,
                     materialize_keys: bool = False) -> DataFrame:
     """Add boolean column ``flag``: True when the row's ``cols`` value repeats.
@@ -82,9 +93,11 @@ def flag_duplicates(df: DataFrame, cols: list[str], flag: str, base: DataFrame |
     """
     keys = [f"__dk{i}" for i in range(len(cols))]
     dup_set = duplicate_keys(base if base is not None else df, cols)
+    small = False
     if materialize_keys:
-        from tidewater.session import materialize
-        dup_set = materialize(dup_set.select("__h", *[F.col(_q(c)) for c in cols]), "dupkeys")
+        from tidewater.session import materialize_sized
+        dup_set, size = materialize_sized(dup_set.select("__h", *[F.col(_q(c)) for c in cols]), "dupkeys")
+        small = size <= broadcast_limit(df)
     dups = dup_set.select(
         F.col("__h").alias("__dh"),
         *[F.col(_q(c)).alias(k) for c, k in zip(cols, keys)],
@@ -94,6 +107,8 @@ def flag_duplicates(df: DataFrame, cols: list[str], flag: str, base: DataFrame |
     cond = probe["__ph"] == dups["__dh"]
     for c, k in zip(cols, keys):
         cond = cond & probe[_q(c)].eqNullSafe(dups[k])
-    joined = probe.join(dups, cond, "left")
+    # measured small -> broadcast (the probe side is never shuffled); otherwise
+    # a shuffled join whose hot partitions AQE's skew-join splits
+    joined = probe.join(F.broadcast(dups) if small else dups, cond, "left")
     return joined.select(*[probe[_q(c)] for c in df.columns],
                          F.coalesce(F.col(flag), F.lit(False)).alias(flag))

@@ -13,7 +13,7 @@ from __future__ import annotations
 from typing import Any
 
 from tidewater.errors import JobError
-from tidewater.fixed import ERROR_MESSAGES
+from tidewater.fixed import ERROR_MESSAGES, MYSQL_TYPE_NAMES, PG_TYPE_NAMES
 from tidewater.spec import SourceSpec, TargetSpec
 
 # --- fixed values: supported connection types, default ports, JDBC drivers ---
@@ -102,3 +102,59 @@ def target_from_connection(conn: dict, target_config: dict | None = None) -> Tar
         return TargetSpec(kind="csv", path=path, create_if_not_exists=create, options=opts)
     return TargetSpec(kind="jdbc", table=qualified_table(conn, cfg["table"]), create_if_not_exists=create,
                       defaults=dict(cfg.get("defaults") or {}), options=_jdbc_options(conn))
+
+
+# ---------------------------------------------------------------------------
+# discovery on databases: list tables, describe columns (information_schema)
+# ---------------------------------------------------------------------------
+
+def _schema_predicate(conn: dict) -> str:
+    t = _type_of(conn)
+    if t == "MYSQL":
+        return "table_schema = database()"
+    schema = str((conn.get("extra_config") or {}).get("schema", DEFAULT_SCHEMAS.get(t))).replace("'", "''")
+    return f"table_schema = '{schema}'"
+
+
+def list_tables_query(conn: dict) -> str:
+    """Base tables of the connection's schema, sorted by name."""
+    return (f"select table_name as name from information_schema.tables where {_schema_predicate(conn)} "
+            "and table_type = 'BASE TABLE' order by table_name")
+
+
+def describe_query(conn: dict, table: str) -> str:
+    tbl = table.replace("'", "''")
+    return ("select column_name as name, data_type, is_nullable, numeric_precision as precision, "
+            "numeric_scale as scale, character_maximum_length as max_length, ordinal_position "
+            f"from information_schema.columns where {_schema_predicate(conn)} and table_name = '{tbl}' "
+            "order by ordinal_position")
+
+
+def logical_db_type(conn: dict, data_type: str) -> str:
+    """Catalog type name -> logical name; unknown names pass upper-cased."""
+    names = PG_TYPE_NAMES if _type_of(conn) == "POSTGRESQL" else MYSQL_TYPE_NAMES
+    return names.get(str(data_type).lower(), str(data_type).upper())
+
+
+def list_tables(spark, conn: dict):
+    from tidewater.sources.readers import read_jdbc
+    o = _jdbc_options(conn)
+    return read_jdbc(spark, url=o["url"], query=list_tables_query(conn), user=o.get("user"),
+                     password=o.get("password"), driver=o.get("driver"))
+
+
+def describe_table(spark, conn: dict, table: str):
+    """Ordered column descriptors; a missing table -> ``TABLE_NOT_FOUND``."""
+    from pyspark.sql import functions as F
+    from tidewater.sources.readers import read_jdbc
+    o = _jdbc_options(conn)
+    df = read_jdbc(spark, url=o["url"], query=describe_query(conn, table), user=o.get("user"),
+                   password=o.get("password"), driver=o.get("driver"))
+    if df.limit(1).count() == 0:
+        raise JobError("TABLE_NOT_FOUND", ERROR_MESSAGES["TABLE_NOT_FOUND"].format(what=table))
+    names = PG_TYPE_NAMES if _type_of(conn) == "POSTGRESQL" else MYSQL_TYPE_NAMES
+    mapping = F.create_map(*[x for k, v in names.items() for x in (F.lit(k), F.lit(v))])
+    dt = F.lower(F.col("data_type"))
+    return df.select("name", F.coalesce(mapping[dt], F.upper(F.col("data_type"))).alias("data_type"),
+                     (F.upper(F.col("is_nullable")) == "YES").alias("is_nullable"),
+                     "precision", "scale", "max_length", "ordinal_position")
