@@ -38,5 +38,10 @@ def test_replayed_batch_is_skipped(spark, sf_small):
     run = batch_runner(spec, store, "k1")
     run(ev, 0)
     run(ev, 0)  # the same batch handed over again after a failure
+    # a restarted stream (new runner) sees the recorded batch as well
+    restarted = batch_runner(spec, store, "k1")
+    restarted(ev, 0)
     assert spark.read.parquet(spec.target.path).count() == ev.where("value <= 400").count()
     assert store.runs().count() == 1
+    restarted(ev.limit(3), 1)
+    assert store.runs().count() == 2

@@ -11,9 +11,11 @@ processed, so no high-water mark is needed and late files are not skipped.
 Replays: after a failure Spark may hand the same batch id to
 ``foreachBatch`` again.  Runs are keyed ``<stream key>-batch-<id>`` where the
 stream key is derived from the checkpoint location (stable across restarts of
-the same stream); a batch whose run is already recorded as SUCCESS is skipped,
-so an APPEND target does not receive the batch twice.  UPSERT and FULL_LOAD
-targets are idempotent anyway.
+the same stream).  Batch ids only grow, so the highest id recorded as SUCCESS
+(one single-row aggregate over the run store, read when the stream starts)
+tells which handed-over batches were already loaded; those are skipped, so an
+APPEND target does not receive a batch twice.  UPSERT and FULL_LOAD targets
+are idempotent anyway.
 """
 
 from __future__ import annotations
@@ -35,15 +37,26 @@ def stream_key(spec: JobSpec, checkpoint_location: str) -> str:
     return f"{spec.id}-{hashlib.sha1(checkpoint_location.encode()).hexdigest()[:10]}"
 
 
+def last_loaded_batch(store: RunStore, key: str) -> int:
+    """Highest batch id of this stream recorded as SUCCESS (-1 if none)."""
+    prefix = f"{key}-batch-"
+    ids = (store.runs().where(F.col("id").startswith(prefix) & (F.col("status") == "SUCCESS"))
+           .select(F.substring(F.col("id"), len(prefix) + 1, 1 << 20).cast("bigint").alias("b")))
+    got = ids.agg(F.max("b")).collect()[0][0]
+    return -1 if got is None else int(got)
+
+
 def batch_runner(spec: JobSpec, store: RunStore, key: str):
     """The ``foreachBatch`` function: one run per micro-batch, replay-safe."""
+    state = {"done": last_loaded_batch(store, key)}
 
     def one_batch(batch_df: DataFrame, batch_id: int) -> None:
-        run_id = f"{key}-batch-{batch_id}"
-        done = store.runs().where((F.col("id") == run_id) & (F.col("status") == "SUCCESS")).limit(1).count()
-        if done:
+        if batch_id <= state["done"]:
             return  # replayed batch already loaded
-        run_job(batch_df.sparkSession, spec, store, run_type="SCHEDULED", source_df=batch_df, run_id=run_id)
+        res = run_job(batch_df.sparkSession, spec, store, run_type="SCHEDULED", source_df=batch_df,
+                      run_id=f"{key}-batch-{batch_id}")
+        if res.status == "SUCCESS":
+            state["done"] = batch_id
 
     return one_batch
 
