@@ -66,3 +66,19 @@ def test_catalog_table_target(spark):
     write_frame(spark, spark.createDataFrame([(9, "z")], "k int, v string"), t, "APPEND")
     assert spark.read.table(name).count() == 4
     spark.sql(f"drop table if exists {name}")
+
+
+def test_table_full_load_reading_itself(spark):
+    from tidewater.sources.sinks import reads_table
+    name = "tw_self_tbl"
+    spark.sql(f"drop table if exists {name}")
+    t = TargetSpec(kind="table", table=name)
+    write_frame(spark, spark.createDataFrame([(1,), (2,)], "k int"), t, "FULL_LOAD")
+    own = spark.read.table(name).withColumn("k", F.col("k") * 10)
+    other = spark.createDataFrame([(5,)], "k int")
+    assert reads_table(own, name) and not reads_table(other, name)
+    write_frame(spark, own, t, "FULL_LOAD")
+    assert sorted(r.k for r in spark.read.table(name).collect()) == [10, 20]
+    write_frame(spark, other, t, "TRUNCATE_INSERT")
+    assert [r.k for r in spark.read.table(name).collect()] == [5]
+    spark.sql(f"drop table if exists {name}")

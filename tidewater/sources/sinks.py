@@ -75,6 +75,14 @@ def table_exists(spark: SparkSession, name: str) -> bool:
     return bool(spark.catalog.tableExists(name))
 
 
+def reads_table(df: DataFrame, name: str) -> bool:
+    """Whether ``df``'s plan reads the catalog table ``name`` (then it must be
+    materialised before the table is overwritten)."""
+    plan = df._jdf.queryExecution().analyzed().toString().lower()
+    short = name.lower().split(".")[-1]
+    return f".{short}" in plan or f" {short}" in plan
+
+
 # ---------------------------------------------------------------------------
 # reading the current target
 # ---------------------------------------------------------------------------
@@ -206,13 +214,14 @@ def write_frame(spark: SparkSession, df: DataFrame, target: TargetSpec, strategy
             else:
                 _append_path(out, target)
         elif kind == "table":
+            # a plan that reads the table it overwrites is cut on the shared
+            # checkpoint folder first; others are written directly
+            safe = out.checkpoint(eager=True) if current is not None and replace and \
+                reads_table(out, target.table) else out
             if current is None or strategy == "OVERWRITE":
-                frame = out.checkpoint(eager=True) if current is not None else out
-                _writer(frame, target, "overwrite").saveAsTable(target.table)
+                _writer(safe, target, "overwrite").saveAsTable(target.table)
             elif replace:
-                # the plan may read the table it overwrites: cut the lineage on
-                # the shared checkpoint folder first
-                out.checkpoint(eager=True).write.insertInto(target.table, overwrite=True)
+                safe.write.insertInto(target.table, overwrite=True)
             else:
                 out.write.insertInto(target.table)
         elif kind == "jdbc":
