@@ -82,3 +82,15 @@ def test_table_full_load_reading_itself(spark):
     write_frame(spark, other, t, "TRUNCATE_INSERT")
     assert [r.k for r in spark.read.table(name).collect()] == [5]
     spark.sql(f"drop table if exists {name}")
+
+
+def test_partition_scoped_upsert_two_levels(spark):
+    t = TargetSpec(kind="parquet", path=scratch_path(spark, "pup2"), partition_by=("p", "q"))
+    base = spark.createDataFrame([(i, i % 2, i % 3, f"v{i}") for i in range(24)], "k int, p int, q int, v string")
+    write_frame(spark, base, t, "FULL_LOAD")
+    untouched = {f for f in files_of(t.path) if "p=0" in f}
+    src = spark.createDataFrame([(1, 1, 1, "new"), (99, 1, 2, "ins")], "k int, p int, q int, v string")
+    write_frame(spark, src, t, "UPSERT", upsert_keys=["k", "p", "q"])
+    assert untouched <= set(files_of(t.path))
+    got = {r.k: r.v for r in spark.read.parquet(t.path).collect()}
+    assert len(got) == 25 and got[1] == "new" and got[99] == "ins" and got[7] == "v7"

@@ -148,6 +148,45 @@ def _staged_replace(spark: SparkSession, df: DataFrame, target: TargetSpec) -> N
         _delete(spark, retired)
 
 
+def _partition_dirs(spark: SparkSession, root: str, depth: int) -> list[str]:
+    """Relative leaf partition directories (``a=1/b=2``) below ``root``."""
+    fs, p = _fs(spark, root)
+    level = [("", p)]
+    for _ in range(depth):
+        nxt = []
+        for rel, path in level:
+            for st in fs.listStatus(path):
+                name = st.getPath().getName()
+                if st.isDirectory() and "=" in name and not name.startswith(("_", ".")):
+                    nxt.append((f"{rel}/{name}" if rel else name, st.getPath()))
+        level = nxt
+    return [rel for rel, _ in level]
+
+
+def _staged_partition_swap(spark: SparkSession, df: DataFrame, target: TargetSpec) -> None:
+    """Write the replaced partitions once to a staging sibling, then swap each
+    partition directory in by rename (untouched partitions are not written)."""
+    tag = uuid.uuid4().hex[:12]
+    root = target.path.rstrip("/")
+    staging, retired = f"{root}.__staging-{tag}", f"{root}.__retired-{tag}"
+    _writer(df, target, "overwrite").format(target.kind).save(staging)
+    fs, _ = _fs(spark, root)
+    jvm = spark.sparkContext._jvm
+    for rel in _partition_dirs(spark, staging, len(target.partition_by)):
+        dst = jvm.org.apache.hadoop.fs.Path(f"{root}/{rel}")
+        if fs.exists(dst):
+            old = jvm.org.apache.hadoop.fs.Path(f"{retired}/{rel}")
+            fs.mkdirs(old.getParent())
+            if not fs.rename(dst, old):
+                raise JobError("WRITE_FAILED", f"rename {dst} failed")
+        else:
+            fs.mkdirs(dst.getParent())
+        if not fs.rename(jvm.org.apache.hadoop.fs.Path(f"{staging}/{rel}"), dst):
+            raise JobError("WRITE_FAILED", f"rename into {dst} failed")
+    _delete(spark, staging)
+    _delete(spark, retired)
+
+
 def _append_path(df: DataFrame, target: TargetSpec) -> None:
     _writer(df, target, "append").format(target.kind).save(target.path)
 
@@ -204,11 +243,9 @@ def write_frame(spark: SparkSession, df: DataFrame, target: TargetSpec, strategy
     try:
         if kind in PATH_KINDS:
             if scoped:
-                # the plan reads the partitions it replaces: cut the lineage on
-                # the shared checkpoint folder, then overwrite only those
-                frame = out.checkpoint(eager=True)
-                (_writer(frame, target, "overwrite").option("partitionOverwriteMode", "dynamic")
-                 .format(target.kind).save(target.path))
+                # the plan reads the partitions it replaces: write them once to
+                # a staging sibling, then swap those partition directories in
+                _staged_partition_swap(spark, out, target)
             elif replace:
                 _staged_replace(spark, out, target)
             else:
