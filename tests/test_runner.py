@@ -181,3 +181,17 @@ def test_upsert_broadcast_and_shuffle_plans_agree(spark, sf_small):
     ra, rb, rc = (sorted(map(tuple, x.collect()), key=repr) for x in (a, b, c))
     assert ra == rb == rc
     assert "BroadcastHashJoin" in a._jdf.queryExecution().executedPlan().toString()
+
+
+def test_run_removes_its_intermediate_folders(spark, sf_small, store):
+    import os
+    from tidewater.session import ensure_checkpoint_dir, local_path
+    base = local_path(ensure_checkpoint_dir(spark) + "/tidewater-scratch")
+    before = set(os.listdir(base)) if os.path.isdir(base) else set()
+    tgt = TargetSpec(kind="parquet", path=scratch_path(spark, "scope_tgt"))
+    run_job(spark, orders_spec(spark, sf_small, target=tgt), store)
+    spec = orders_spec(spark, sf_small, target=tgt, load_strategy="UPSERT", upsert_keys=("o_orderkey",),
+                       rules=(V("UNIQUE", "o_custkey", {}, "WARN"),), row_index=True)
+    run_job(spark, spec, store)
+    new = set(os.listdir(base)) - before
+    assert not [n for n in new if n.startswith(("dupkeys-", "upsert-source-", "rowindex-"))], new

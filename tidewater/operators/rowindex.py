@@ -5,7 +5,7 @@ Instead: tag rows with ``monotonically_increasing_id`` (partition id in the
 high bits), count rows per partition (one row per partition — bounded by the
 partition count, not the data), turn the counts into start offsets on the
 driver, and add them back through a broadcast of that per-partition table.
-The tagged frame is checkpointed to the shared checkpoint folder first so both
+The tagged frame is written to the shared checkpoint folder first so both
 passes see identical ids even if tasks are retried on other executors.
 """
 
@@ -21,8 +21,7 @@ _LOW_BITS = 33
 
 def with_row_index(df: DataFrame, name: str = "row_number", order_by: list[str] | None = None) -> DataFrame:
     """Append a dense 0-based ``name`` column (scan order, or ``order_by``)."""
-    from tidewater.session import ensure_checkpoint_dir
-    ensure_checkpoint_dir(df.sparkSession)
+    from tidewater.session import materialize
     if order_by:
         # a unique tiebreaker lets the range partitioner split a value that
         # repeats in a third of the rows; the checkpoint below fixes the ids
@@ -30,7 +29,9 @@ def with_row_index(df: DataFrame, name: str = "row_number", order_by: list[str]
                  .orderBy(*order_by, "__tie").drop("__tie"))
     else:
         src = df
-    tagged = src.withColumn("__mid", F.monotonically_increasing_id()).checkpoint(eager=True)
+    # written once to the shared checkpoint folder: both passes (and any task
+    # retry) see the same ids
+    tagged = materialize(src.withColumn("__mid", F.monotonically_increasing_id()), "rowindex")
     part = F.shiftright(F.col("__mid"), _LOW_BITS)
     counts = sorted((int(r["p"]), int(r["n"])) for r in
                     tagged.groupBy(part.alias("p")).agg(F.count(F.lit(1)).alias("n")).collect())

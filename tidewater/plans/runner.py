@@ -31,6 +31,7 @@ from tidewater.operators.rowindex import with_row_index
 from tidewater.operators.validate import validate
 from tidewater.plans.observed import Probe
 from tidewater.plans.store import RunStore, utcnow
+from tidewater.session import scratch_scope
 from tidewater.sources.readers import read_source
 from tidewater.sources.sinks import write_frame
 from tidewater.spec import JobSpec, check_spec
@@ -83,7 +84,16 @@ def mark_text(value) -> str | None:
 def run_job(spark: SparkSession, spec: JobSpec, store: RunStore | None = None, run_type: str = "MANUAL",
             test_limit: int | None = None, source_df: DataFrame | None = None, run_id: str | None = None,
             raise_on_error: bool = True) -> RunResult:
-    """Execute one run of ``spec``; see the module docstring."""
+    """Execute one run of ``spec``; see the module docstring.  Intermediate
+    folders the run writes to the shared checkpoint folder are removed when it
+    ends."""
+    with scratch_scope(spark):
+        return _run_job(spark, spec, store, run_type, test_limit, source_df, run_id, raise_on_error)
+
+
+def _run_job(spark: SparkSession, spec: JobSpec, store: RunStore | None, run_type: str,
+             test_limit: int | None, source_df: DataFrame | None, run_id: str | None,
+             raise_on_error: bool) -> RunResult:
     store = store or RunStore.default(spark)
     run_id = run_id or uuid.uuid4().hex
     log = _Log(run_id)

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import contextlib
 import os
 import tempfile
 import uuid
@@ -81,10 +82,39 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
     return (sc.getCheckpointDir() or conf_dir).rstrip("/")
 
 
+_SCOPES: list[list[str]] = []
+
+
 def scratch_path(spark: SparkSession, name: str) -> str:
-    """A fresh, never-reused folder below the shared checkpoint folder."""
+    """A fresh, never-reused folder below the shared checkpoint folder.
+
+    Inside :func:`scratch_scope` the folder is removed when the scope ends.
+    """
     base = ensure_checkpoint_dir(spark)
-    return f"{base}/tidewater-scratch/{name}-{uuid.uuid4().hex[:12]}"
+    path = f"{base}/tidewater-scratch/{name}-{uuid.uuid4().hex[:12]}"
+    if _SCOPES:
+        _SCOPES[-1].append(path)
+    return path
+
+
+@contextlib.contextmanager
+def scratch_scope(spark: SparkSession):
+    """Remove the intermediate folders created inside the block (materialised
+    duplicate keys, UPSERT sources) once it is done; used around a run, whose
+    outputs are all written by then."""
+    _SCOPES.append([])
+    try:
+        yield
+    finally:
+        paths = _SCOPES.pop()
+        jvm = spark.sparkContext._jvm
+        conf = spark.sparkContext._jsc.hadoopConfiguration()
+        for path in paths:
+            try:
+                p = jvm.org.apache.hadoop.fs.Path(path)
+                p.getFileSystem(conf).delete(p, True)
+            except Exception:  # noqa: BLE001 - best effort; the folder is scratch
+                pass
 
 
 def local_path(path: str) -> str:

@@ -27,7 +27,7 @@ from tidewater.errors import JobError
 from tidewater.fixed import ERROR_MESSAGES, LOAD_STRATEGIES
 from tidewater.operators.merge import align_to_schema, dedup_last, plan_upsert
 from tidewater.plans.observed import Probe
-from tidewater.session import ensure_checkpoint_dir
+from tidewater.session import ensure_checkpoint_dir, materialize
 from tidewater.spec import TargetSpec
 
 PATH_KINDS = ("parquet", "orc", "csv", "json")
@@ -253,7 +253,7 @@ def write_frame(spark: SparkSession, df: DataFrame, target: TargetSpec, strategy
         elif kind == "table":
             # a plan that reads the table it overwrites is cut on the shared
             # checkpoint folder first; others are written directly
-            safe = out.checkpoint(eager=True) if current is not None and replace and \
+            safe = materialize(out, "table-replace") if current is not None and replace and \
                 reads_table(out, target.table) else out
             if current is None or strategy == "OVERWRITE":
                 _writer(safe, target, "overwrite").saveAsTable(target.table)
@@ -265,7 +265,7 @@ def write_frame(spark: SparkSession, df: DataFrame, target: TargetSpec, strategy
             o = _jdbc_options(target, batch_size)
             if replace:
                 o["truncate"] = "true"
-                frame = out.checkpoint(eager=True) if strategy == "UPSERT" else out
+                frame = materialize(out, "jdbc-replace") if strategy == "UPSERT" else out
                 frame.write.format("jdbc").options(**o).mode("overwrite").save()
             else:
                 out.write.format("jdbc").options(**o).mode("append").save()
