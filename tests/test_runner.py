@@ -195,3 +195,17 @@ def test_run_removes_its_intermediate_folders(spark, sf_small, store):
     run_job(spark, spec, store)
     new = set(os.listdir(base)) - before
     assert not [n for n in new if n.startswith(("dupkeys-", "upsert-source-", "rowindex-"))], new
+
+
+def test_store_compaction_keeps_history(spark, sf_small):
+    import glob
+    from tidewater.session import local_path
+    store = RunStore(spark, scratch_path(spark, "compact_store"))
+    for i in range(3):
+        run_job(spark, orders_spec(spark, sf_small, name=f"c{i}"), store)
+    before = sorted(map(tuple, store.runs().select("id", "status", "success_count").collect()))
+    assert len(glob.glob(local_path(store.path("runs")) + "/*.parquet")) == 3
+    store.compact()
+    assert len(glob.glob(local_path(store.path("runs")) + "/*.parquet")) == 1
+    assert sorted(map(tuple, store.runs().select("id", "status", "success_count").collect())) == before
+    assert store.logs().count() > 0

@@ -89,6 +89,21 @@ def t_upper_lower(spark, d):
 T_UPPER_LOWER_SQL = "select p_partkey, upper(p_name) as p_name, lower(p_type) as p_type from part"
 
 
+def t_documents(spark, d):
+    """Whole document texts (up to 20,000 words, four languages) through a
+    chain: TRIM, LOWER, then a length-preserving CAST of the char count."""
+    df = table(spark, d, "documents").select("doc_id", "text", "lang", "n_chars")
+    return mapped(df, [M("text", "text", 0, transform_rules=(R("TRIM"), R("LOWER", apply_order=1))),
+                       M("n_chars_text", "n_chars", 1, transform_rules=(R("CAST", {"to_type": "varchar"}),)),
+                       M("lang", "lang", 2, transform_rules=(R("UPPER"),))])
+
+
+T_DOCUMENTS_SQL = f"""
+select doc_id, lower(trim(text, {WS_SQL})) as text, upper(lang) as lang, cast(n_chars as varchar) as n_chars_text
+from documents
+"""
+
+
 def t_replace(spark, d):
     df = table(spark, d, "customer").select("c_custkey", "c_name")
     return mapped(df, [M("c_name", "c_name", 0, transform_rules=(R("REPLACE", {"from": "([1-9][0-9]*)$", "to": "<$1>"}),))])
@@ -576,6 +591,7 @@ A_ROW_INDEX_SQL = ("with p as (select o_orderkey, o_totalprice, row_number() ove
 QUERIES = {
     "t_trim": (t_trim, T_TRIM_SQL),
     "t_upper_lower": (t_upper_lower, T_UPPER_LOWER_SQL),
+    "t_documents": (t_documents, T_DOCUMENTS_SQL),
     "t_replace": (t_replace, T_REPLACE_SQL),
     "t_replace_groups": (t_replace_groups, T_REPLACE_GROUPS_SQL),
     "t_cast": (t_cast, T_CAST_SQL),

@@ -108,6 +108,21 @@ class RunStore:
                        for l in logs]
         self.spark.createDataFrame([row], RUNS_SCHEMA).coalesce(1).write.mode("append").parquet(self.path("runs"))
 
+    def compact(self, target_file_bytes: int = 128 * 1024 * 1024) -> None:
+        """Rewrite the run table (one small file per run) into files of about
+        ``target_file_bytes`` by a staged write and rename swap.  Violations
+        need no compaction: each run appends them with a distributed write
+        sized by the data.  Run this when no run is writing to the store."""
+        from tidewater.sources.sinks import _fs, _staged_replace
+        from tidewater.spec import TargetSpec
+        if not self._exists("runs"):
+            return
+        fs, p = _fs(self.spark, self.path("runs"))
+        size = int(fs.getContentSummary(p).getLength())
+        n = max(1, -(-size // target_file_bytes))
+        _staged_replace(self.spark, self.runs_with_logs().repartition(n),
+                        TargetSpec(kind="parquet", path=self.path("runs")))
+
     def append_violations(self, df: DataFrame) -> None:
         """Distributed append (no coalesce: the violation set grows with the data)."""
         df.write.mode("append").partitionBy("run_date").parquet(self.path("violations"))
