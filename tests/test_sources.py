@@ -95,3 +95,8 @@ def test_preview_payload(spark, sf_small):
     from tidewater.sources.readers import preview_payload
     p = preview_payload(spark.read.parquet(f"{sf_small}/region.parquet"), 3, ["r_regionkey"])
     assert p["count"] == 3 and p["columns"] == ["r_regionkey", "r_name"] and p["rows"][0]["r_regionkey"] == 0
+
+
+def test_jdbc_bounds_query():
+    from tidewater.sources.readers import bounds_query
+    assert bounds_query('"s"."t"', "id") == 'select min(id) as lo, max(id) as hi from "s"."t"'

@@ -69,7 +69,25 @@ def jdbc_options(url: str, table: str | None = None, query: str | None = None,
     return opts
 
 
+def bounds_query(table: str, column: str) -> str:
+    return f"select min({column}) as lo, max({column}) as hi from {table}"
+
+
 def read_jdbc(spark: SparkSession, **kw) -> DataFrame:
+    """JDBC scan.  With only ``partition_column`` given, its bounds come from
+    one ``min``/``max`` query (a single row) and ``num_partitions`` defaults to
+    the cluster's parallelism, so the table is read by many tasks, not one."""
+    if kw.get("partition_column") and (kw.get("lower_bound") is None or kw.get("upper_bound") is None):
+        base = {k: kw[k] for k in ("url", "user", "password", "driver") if kw.get(k) is not None}
+        table = kw["table"] if not kw.get("schema") else f"{kw['schema']}.{kw['table']}"
+        row = (spark.read.format("jdbc").options(**jdbc_options(query=bounds_query(table, kw["partition_column"]),
+                                                                **base)).load().collect()[0])
+        if row["lo"] is None:  # empty table: one partition is enough
+            kw = {k: v for k, v in kw.items() if k not in ("partition_column", "lower_bound", "upper_bound",
+                                                          "num_partitions")}
+        else:
+            kw = dict(kw, lower_bound=row["lo"], upper_bound=row["hi"],
+                      num_partitions=kw.get("num_partitions") or spark.sparkContext.defaultParallelism)
     return spark.read.format("jdbc").options(**jdbc_options(**kw)).load()
 
 
