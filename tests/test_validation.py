@@ -96,3 +96,10 @@ def test_property_valid_plus_rejected_is_input(spark, rows):
     assert vo.violations().count() == sum(c[r.flag] for r in vo.rules)
     expected_unique = sum(1 for k, _ in rows if sum(1 for k2, _ in rows if k2 == k) > 1)
     assert c["__fail1"] == expected_unique
+
+
+def test_duplicate_check_with_column_names_it(spark):
+    d = spark.createDataFrame([(1, "a"), (1, "a"), (2, "b")], "k int, s string")
+    v = validate(d, [V("DUPLICATE_CHECK", "s")]).violations(include_source=False).collect()
+    assert {(r.error_column, r.error_rule, r.error_message) for r in v} == \
+        {("s", "DUPLICATE_CHECK", "Tekrar eden kayıt tespit edildi")} and len(v) == 2

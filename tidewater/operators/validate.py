@@ -194,8 +194,9 @@ def validate(df: DataFrame, rules: list[ValidationRule] | tuple[ValidationRule,
         else:
             skipped.append(i)
             continue
-        evals.append(RuleEval(i, rt, col if rt != "DUPLICATE_CHECK" else None, action,
-                              rule_message(rt, col if rt != "DUPLICATE_CHECK" else None, r.params), flag))
+        # the record names the rule's column even for DUPLICATE_CHECK (whose
+        # check and message ignore it), as the original records it
+        evals.append(RuleEval(i, rt, col, action, rule_message(rt, col, r.params), flag))
 
     flagged = df
     mat = bool(population) if materialize_keys == "auto" else bool(materialize_keys)
