@@ -17,11 +17,9 @@ from __future__ import annotations
 
 import uuid
 from dataclasses import dataclass
-from typing import Any
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from tidewater.errors import JobError
 from tidewater.fixed import ERROR_MESSAGES, LOAD_STRATEGIES
