@@ -56,6 +56,25 @@ SEMANTIC_CONF = {
 }
 
 
+def sizing_conf(input_bytes: int, total_cores: int, target_partition_bytes: int = 200 * 1024 * 1024) -> dict:
+    """Settings that keep shuffle and scan partitions near
+    ``target_partition_bytes`` for an input of ``input_bytes``.
+
+    At 100 TB on 1000 executors x 8 cores this gives ~524k initial shuffle
+    partitions (AQE coalesces small ones at run time), 256 MB scan splits and
+    skew splitting above 1 GB; at sf0.1 it stays at a few tasks per core.
+    """
+    shuffle = max(2 * total_cores, -(-int(input_bytes) // target_partition_bytes))
+    return {
+        "spark.sql.shuffle.partitions": str(shuffle),
+        "spark.sql.adaptive.coalescePartitions.initialPartitionNum": str(shuffle),
+        "spark.sql.adaptive.advisoryPartitionSizeInBytes": str(target_partition_bytes),
+        "spark.sql.files.maxPartitionBytes": str(256 * 1024 * 1024 if input_bytes > (1 << 40) else 128 * 1024 * 1024),
+        "spark.sql.adaptive.skewJoin.skewedPartitionThresholdInBytes": str(max(256 * 1024 * 1024,
+                                                                               5 * target_partition_bytes)),
+    }
+
+
 def apply_recommended_conf(spark: SparkSession) -> None:
     """Set the settings results depend on, on an existing session."""
     for k, v in SEMANTIC_CONF.items():
