@@ -387,7 +387,8 @@ select * from (values ('o_custkey', 'type_changed', 'bigint', 'int', cast(null a
                       ('o_orderstatus', 'added', null, 'string', null))
        as v("column", change, expected, actual, null_count)
 union all
-select 'o_orderpriority', 'nullability', 'not null', 'null', count(*) from orders where o_orderkey % 10 = 0
+select 'o_orderpriority', 'nullability', 'not null', 'null', count(*) - count(o_orderpriority)
+from (select case when o_orderkey % 10 = 0 then null else o_orderpriority end as o_orderpriority from orders)
 """
 
 
