@@ -209,3 +209,31 @@ def test_store_compaction_keeps_history(spark, sf_small):
     assert len(glob.glob(local_path(store.path("runs")) + "/*.parquet")) == 1
     assert sorted(map(tuple, store.runs().select("id", "status", "success_count").collect())) == before
     assert store.logs().count() > 0
+
+
+def test_history_over_a_real_store(spark, sf_small):
+    from tidewater.errors import ValidationStop
+    from tidewater.plans.store import utcnow
+    store = RunStore(spark, scratch_path(spark, "hist_store"))
+    run_job(spark, orders_spec(spark, sf_small, name="a"), store)
+    run_job(spark, orders_spec(spark, sf_small, name="b", rules=(V("RANGE", "o_totalprice", {"max": 300000}),),
+                               row_key=("o_orderkey",)), store)
+    with pytest.raises(ValidationStop):
+        run_job(spark, orders_spec(spark, sf_small, name="c", row_key=("o_orderkey",),
+                                   rules=(V("RANGE", "o_totalprice", {"max": 1000}, "STOP"),)), store)
+    pipelines = spark.createDataFrame([("a", "A", "ACTIVE"), ("b", "B", "ACTIVE"), ("x", "X", "DRAFT")],
+                                      "id string, name string, status string")
+    d = history.dashboard(pipelines, store.runs(), as_of=utcnow()).collect()[0]
+    assert (d.total_pipelines, d.active_pipelines, d.today_success_jobs, d.today_failed_jobs) == (3, 2, 2, 1)
+    n = spark.read.parquet(f"{sf_small}/orders.parquet")
+    assert d.today_rows_transferred == n.count() + n.where("o_totalprice <= 300000").count()
+    failed = history.list_runs(store.runs(), status="failed").collect()
+    assert len(failed) == 1 and failed[0].pipeline_id == "c"
+    stages = [r.stage for r in history.run_log(store.logs(), failed[0].id, order_cols=("seq",)).collect()]
+    assert stages[-1] == "JOB_FAILED"
+    kept = history.rejected_of_run(store.violations(), failed[0].id, limit=5, order_cols=("o_orderkey",)).collect()
+    assert len(kept) == 5 and all(r.error_rule == "RANGE" for r in kept)
+    recent = history.recent_runs(store.runs(), pipelines, limit=2).collect()
+    assert [r.pipeline_name for r in recent] == ["—", "B"]
+    prof = {(r.error_rule, r.error_column): r.violations for r in history.violation_profile(store.violations()).collect()}
+    assert prof[("RANGE", "o_totalprice")] == n.where("o_totalprice > 300000").count() + n.where("o_totalprice > 1000").count()
