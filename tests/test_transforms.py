@@ -152,3 +152,10 @@ def test_impossible_cast_is_cast_error(spark):
     with pytest.raises(JobError) as e:
         apply_mappings(df, [M("s", "s", 0, transform_rules=(R("CAST", {"to_type": "int"}),))])
     assert e.value.code == "CAST_ERROR"
+
+
+def test_bad_params_are_spec_errors():
+    for tt, params in (("SUBSTRING", {"start": "x"}), ("CASE_WHEN", {"conditions": "nope"})):
+        with pytest.raises(JobError) as e:
+            apply_transform(F.col("c"), T.StringType(), tt, params)
+        assert e.value.code == "SPEC_INVALID"

@@ -330,7 +330,10 @@ def apply_transform(c: Column, t: T.DataType, transform_type: str, params: dict
     if fn is None:
         ctx.warnings.append(f"unknown transform {transform_type!r} passed through")
         return c, t
-    return fn(c, t, dict(params or {}), ctx)
+    try:
+        return fn(c, t, dict(params or {}), ctx)
+    except (ValueError, TypeError, KeyError, AttributeError) as e:  # malformed params in the spec
+        raise JobError("SPEC_INVALID", f"{str(transform_type).upper()}: invalid params {params!r}", str(e)) from e
 
 
 def apply_chain(c: Column, t: T.DataType, rules, ctx: FoldContext | None = None) -> tuple[Column, T.DataType]:
