@@ -237,3 +237,11 @@ def test_history_over_a_real_store(spark, sf_small):
     assert [r.pipeline_name for r in recent] == ["—", "B"]
     prof = {(r.error_rule, r.error_column): r.violations for r in history.violation_profile(store.violations()).collect()}
     assert prof[("RANGE", "o_totalprice")] == n.where("o_totalprice > 300000").count() + n.where("o_totalprice > 1000").count()
+
+
+def test_cached_run_matches(spark, sf_small, store):
+    spec = orders_spec(spark, sf_small, rules=(V("RANGE", "o_totalprice", {"max": 300000}),), cache=True)
+    res = run_job(spark, spec, store)
+    n = spark.read.parquet(f"{sf_small}/orders.parquet")
+    assert res.success_count == n.where("o_totalprice <= 300000").count()
+    assert spark.catalog._jcatalog is not None

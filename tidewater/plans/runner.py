@@ -158,7 +158,7 @@ def _run_job(spark: SparkSession, spec: JobSpec, store: RunStore | None, run_typ
         valid = mapped.drop(*extra) if extra else mapped
         if spec.rules:
             log.info("VALIDATION_START", MSG["VALIDATION_START"].format(n=len(spec.rules)))
-            outcome = validate(mapped, spec.rules, extra_columns=extra)
+            outcome = validate(mapped, spec.rules, extra_columns=extra, persist=spec.cache)
             for i in outcome.skipped:
                 log.warn("VALIDATION_START", f"rule {i} ({spec.rules[i].rule_type}) skipped: column missing or no-op")
         if outcome is not None and outcome.rules:

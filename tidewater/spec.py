@@ -92,6 +92,7 @@ class JobSpec:
     keep_unmapped: bool = True
     row_index: bool = False  # add a dense 0-based row number to violation records
     mark_from: str = "valid"  # "valid" (as the original) or "source"
+    cache: bool = False  # cache the flagged frame for the violation pass and the write
 
     @property
     def id(self) -> str:
@@ -190,6 +191,7 @@ def _finish_job(d: dict, source: SourceSpec, target: TargetSpec) -> JobSpec:
         keep_unmapped=bool(d.get("keep_unmapped", True)),
         row_index=bool(d.get("row_index", False)),
         mark_from=str(d.get("mark_from") or "valid"),
+        cache=bool(d.get("cache", False)),
     )
     check_spec(spec)
     return spec
