@@ -244,4 +244,4 @@ def test_cached_run_matches(spark, sf_small, store):
     res = run_job(spark, spec, store)
     n = spark.read.parquet(f"{sf_small}/orders.parquet")
     assert res.success_count == n.where("o_totalprice <= 300000").count()
-    assert spark.catalog._jcatalog is not None
+    assert res.rejected_count == n.where("o_totalprice > 300000").count()
