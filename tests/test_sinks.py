@@ -94,3 +94,24 @@ def test_partition_scoped_upsert_two_levels(spark):
     assert untouched <= set(files_of(t.path))
     got = {r.k: r.v for r in spark.read.parquet(t.path).collect()}
     assert len(got) == 25 and got[1] == "new" and got[99] == "ins" and got[7] == "v7"
+
+
+def test_recover_half_done_swaps(spark):
+    import shutil
+    from tidewater.session import local_path
+    from tidewater.sources.sinks import recover_swaps
+    # whole-folder swap interrupted after "target -> retired"
+    t = TargetSpec(kind="parquet", path=scratch_path(spark, "rec"))
+    write_frame(spark, spark.range(4).withColumnRenamed("id", "k"), t, "FULL_LOAD")
+    os.rename(local_path(t.path), local_path(t.path) + ".__retired-abc")
+    assert recover_swaps(spark, t.path) == [t.path]
+    assert spark.read.parquet(t.path).count() == 4
+    # partition swap interrupted: one partition moved aside, not replaced
+    tp = TargetSpec(kind="parquet", path=scratch_path(spark, "recp"), partition_by=("p",))
+    write_frame(spark, spark.createDataFrame([(i, i % 2) for i in range(6)], "k int, p int"), tp, "FULL_LOAD")
+    root = local_path(tp.path)
+    os.makedirs(root + ".__retired-xyz")
+    shutil.move(os.path.join(root, "p=1"), os.path.join(root + ".__retired-xyz", "p=1"))
+    got = write_frame(spark, spark.createDataFrame([(100, 0)], "k int, p int"), tp, "APPEND")
+    assert got.rows_written == 1
+    assert spark.read.parquet(tp.path).count() == 7

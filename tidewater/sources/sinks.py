@@ -103,6 +103,7 @@ def read_target(spark: SparkSession, target: TargetSpec) -> DataFrame | None:
     """The current target rows, or None when it does not exist yet."""
     kind = target.kind.lower()
     if kind in PATH_KINDS:
+        recover_swaps(spark, target.path)
         if not path_exists(spark, target.path):
             return None
         if kind == "csv":
@@ -185,6 +186,52 @@ def _staged_partition_swap(spark: SparkSession, df: DataFrame, target: TargetSpe
     _delete(spark, retired)
 
 
+def recover_swaps(spark: SparkSession, path: str) -> list[str]:
+    """Undo a swap a lost driver left half done.
+
+    A swap renames ``target -> target.__retired-<tag>`` (whole folder or one
+    partition directory) and then ``staging -> target``.  If the process died
+    in between, the target (or a partition of it) is missing while its data
+    sits in the retired sibling: move it back.  Returns the restored paths.
+    """
+    root = path.rstrip("/")
+    fs, p = _fs(spark, root)
+    parent = p.getParent()
+    if parent is None or not fs.exists(parent):
+        return []
+    restored = []
+    jvm = spark.sparkContext._jvm
+    prefix = p.getName() + ".__retired-"
+    for st in fs.listStatus(parent):
+        name = st.getPath().getName()
+        if not (st.isDirectory() and name.startswith(prefix)):
+            continue
+        retired = st.getPath()
+        if not fs.exists(p):
+            # the whole target was moved aside
+            if fs.rename(retired, p):
+                restored.append(root)
+            continue
+        # partition directories moved aside: restore the ones still missing
+        stack = [("", retired)]
+        while stack:
+            rel, cur = stack.pop()
+            for child in fs.listStatus(cur):
+                cname = child.getPath().getName()
+                if not child.isDirectory() or "=" not in cname:
+                    continue
+                crel = f"{rel}/{cname}" if rel else cname
+                dst = jvm.org.apache.hadoop.fs.Path(f"{root}/{crel}")
+                if fs.exists(dst):
+                    stack.append((crel, child.getPath()))
+                else:
+                    fs.mkdirs(dst.getParent())
+                    if fs.rename(child.getPath(), dst):
+                        restored.append(f"{root}/{crel}")
+        fs.delete(retired, True)
+    return restored
+
+
 def _append_path(df: DataFrame, target: TargetSpec) -> None:
     _writer(df, target, "append").format(target.kind).save(target.path)
 
