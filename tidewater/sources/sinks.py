@@ -201,10 +201,9 @@ def recover_swaps(spark: SparkSession, path: str) -> list[str]:
         return []
     restored = []
     jvm = spark.sparkContext._jvm
-    prefix = p.getName() + ".__retired-"
-    for st in fs.listStatus(parent):
-        name = st.getPath().getName()
-        if not (st.isDirectory() and name.startswith(prefix)):
+    found = fs.globStatus(jvm.org.apache.hadoop.fs.Path(f"{root}.__retired-*")) or []
+    for st in found:
+        if not st.isDirectory():
             continue
         retired = st.getPath()
         if not fs.exists(p):
