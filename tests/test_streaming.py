@@ -45,3 +45,21 @@ def test_replayed_batch_is_skipped(spark, sf_small):
     assert store.runs().count() == 1
     restarted(ev.limit(3), 1)
     assert store.runs().count() == 2
+
+
+def test_csv_stream_applies_null_tokens(spark, sf_small):
+    from tidewater.sources.sinks import write_frame
+    src_dir = scratch_path(spark, "st_csv")
+    cust = spark.read.parquet(f"{sf_small}/customer.parquet").select(
+        "c_custkey", F.when(F.col("c_custkey") % 4 == 0, F.lit("N/A")).otherwise(F.col("c_mktsegment")).alias("seg"))
+    write_frame(spark, cust, TargetSpec(kind="csv", path=src_dir), "FULL_LOAD")
+    store = RunStore(spark, scratch_path(spark, "st_csv_store"))
+    spec = JobSpec(name="stcsv", source=SourceSpec(kind="csv", path=src_dir),
+                   target=TargetSpec(kind="parquet", path=scratch_path(spark, "st_csv_tgt")), load_strategy="APPEND",
+                   rules=(V("NOT_NULL", "seg", {}, "WARN"),))
+    q = start_stream(spark, spec, src_dir, "c_custkey bigint, seg string", fmt="csv", store=store)
+    q.awaitTermination()
+    got = spark.read.parquet(spec.target.path)
+    assert got.count() == cust.count()
+    assert got.where("seg is null").count() == cust.where("seg = 'N/A'").count()
+    assert dict(got.dtypes)["c_custkey"] == "bigint"

@@ -46,13 +46,16 @@ def last_loaded_batch(store: RunStore, key: str) -> int:
     return -1 if got is None else int(got)
 
 
-def batch_runner(spec: JobSpec, store: RunStore, key: str):
-    """The ``foreachBatch`` function: one run per micro-batch, replay-safe."""
+def batch_runner(spec: JobSpec, store: RunStore, key: str, prepare=None):
+    """The ``foreachBatch`` function: one run per micro-batch, replay-safe.
+    ``prepare`` adapts each batch first (e.g. CSV null tokens and types)."""
     state = {"done": last_loaded_batch(store, key)}
 
     def one_batch(batch_df: DataFrame, batch_id: int) -> None:
         if batch_id <= state["done"]:
             return  # replayed batch already loaded
+        if prepare is not None:
+            batch_df = prepare(batch_df)
         res = run_job(batch_df.sparkSession, spec, store, run_type="SCHEDULED", source_df=batch_df,
                       run_id=f"{key}-batch-{batch_id}")
         if res.status == "SUCCESS":
@@ -66,18 +69,34 @@ def start_stream(spark: SparkSession, spec: JobSpec, path: str, schema, fmt: str
                  checkpoint_location: str | None = None, max_files_per_trigger: int | None = None) -> StreamingQuery:
     """Start the stream; returns the StreamingQuery (call ``awaitTermination``).
 
-    ``fmt="table"`` streams from a catalog table (``path`` is its name).
+    ``fmt="table"`` streams from a catalog table (``path`` is its name);
+    ``fmt="csv"`` / ``"tsv"`` reads text and applies the CSV null tokens and
+    the given schema's types to every batch, as the batch CSV reader does.
     """
     store = store or RunStore.default(spark)
     loc = checkpoint_location or f"{ensure_checkpoint_dir(spark)}/tidewater-streams/{spec.id}-{uuid.uuid4().hex[:8]}"
     reader = spark.readStream
     if max_files_per_trigger:
         reader = reader.option("maxFilesPerTrigger", int(max_files_per_trigger))
+    prepare = None
     if fmt == "table":
         stream = reader.table(path)
+    elif fmt in ("csv", "tsv"):
+        from pyspark.sql import types as T
+        from tidewater.sources.readers import normalise_null_tokens
+        typed = T._parse_datatype_string(schema) if isinstance(schema, str) else schema
+        text = T.StructType([T.StructField(f.name, T.StringType(), True) for f in typed.fields])
+        o = dict(spec.source.options)
+        stream = (reader.schema(text).option("header", "true")
+                  .option("sep", o.get("delimiter") or ("\t" if fmt == "tsv" else ","))
+                  .option("encoding", o.get("encoding", "UTF-8")).csv(path))
+
+        def prepare(df: DataFrame) -> DataFrame:
+            df = normalise_null_tokens(df)
+            return df.select(*[F.col(f"`{f.name}`").try_cast(f.dataType).alias(f.name) for f in typed.fields])
     else:
         stream = reader.schema(schema).format(fmt).load(path)
-    w = (stream.writeStream.foreachBatch(batch_runner(spec, store, stream_key(spec, loc)))
+    w = (stream.writeStream.foreachBatch(batch_runner(spec, store, stream_key(spec, loc), prepare))
          .option("checkpointLocation", loc))
     if trigger == "availableNow":
         w = w.trigger(availableNow=True)
