@@ -340,6 +340,28 @@ from events group by ts < timestamp '2024-01-15 00:00:00'
 """
 
 
+def i_no_data(spark, d):
+    """A second INCREMENTAL run with nothing new: SUCCESS with zero rows, no
+    write, mark unchanged (the run records of both runs)."""
+    e = table(spark, d, "events")
+    src_dir = scratch_path(spark, "i_no_data_src")
+    e.write.parquet(src_dir)
+    store = RunStore(spark, scratch_path(spark, "i_no_data_store"))
+    spec = JobSpec(name="i_no_data", source=SourceSpec(kind="parquet", path=src_dir, checkpoint_col="ts"),
+                   target=_target(spark, "i_no_data_tgt"), load_strategy="INCREMENTAL")
+    run_job(spark, spec, store)
+    run_job(spark, spec, store)
+    return store.runs().select("status", "source_count", "success_count",
+                               F.col("checkpoint_value").isNotNull().alias("advanced_mark"))
+
+
+I_NO_DATA_SQL = """
+select 'SUCCESS' as status, count(*) as source_count, count(*) as success_count, true as advanced_mark from events
+union all
+select 'SUCCESS', cast(0 as bigint), cast(0 as bigint), false
+"""
+
+
 STREAM_RULES = (V("RANGE", "value", {"max": 400}),)
 STREAM_MAPS = (M("event_type", "event_type", 0, transform_rules=(R("UPPER"),)),)
 
@@ -632,6 +654,7 @@ QUERIES = {
     "i_two_slices": (i_two_slices, I_TWO_SLICES_SQL),
     "i_mark": (i_mark, I_MARK_SQL),
     "i_run_counts": (i_run_counts, I_RUN_COUNTS_SQL),
+    "i_no_data": (i_no_data, I_NO_DATA_SQL),
     "i_stream": (i_stream, I_STREAM_SQL),
     "d_drift": (d_drift, D_DRIFT_SQL),
     "r_stats": (r_stats, R_STATS_SQL),
