@@ -115,3 +115,11 @@ def test_recover_half_done_swaps(spark):
     got = write_frame(spark, spark.createDataFrame([(100, 0)], "k int, p int"), tp, "APPEND")
     assert got.rows_written == 1
     assert spark.read.parquet(tp.path).count() == 7
+
+
+def test_empty_target_folder_counts_as_missing(spark):
+    from tidewater.session import local_path
+    t = TargetSpec(kind="parquet", path=scratch_path(spark, "emptydir"))
+    os.makedirs(local_path(t.path))
+    res = write_frame(spark, spark.range(3).withColumnRenamed("id", "k"), t, "APPEND")
+    assert res.rows_written == 3 and spark.read.parquet(t.path).count() == 3

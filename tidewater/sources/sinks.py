@@ -18,6 +18,7 @@ from __future__ import annotations
 import uuid
 from dataclasses import dataclass
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -106,11 +107,14 @@ def read_target(spark: SparkSession, target: TargetSpec) -> DataFrame | None:
         recover_swaps(spark, target.path)
         if not path_exists(spark, target.path):
             return None
-        if kind == "csv":
-            from tidewater.sources.readers import read_csv
-            return read_csv(spark, target.path, sep=target.options.get("delimiter", ","),
-                            encoding=target.options.get("encoding", "UTF-8"))
-        return spark.read.format(kind).load(target.path)
+        try:
+            if kind == "csv":
+                from tidewater.sources.readers import read_csv
+                return read_csv(spark, target.path, sep=target.options.get("delimiter", ","),
+                                encoding=target.options.get("encoding", "UTF-8"))
+            return spark.read.format(kind).load(target.path)
+        except AnalysisException:  # folder without data files (e.g. a failed first write)
+            return None
     if kind == "table":
         return spark.read.table(target.table) if table_exists(spark, target.table) else None
     if kind == "jdbc":
