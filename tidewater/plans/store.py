@@ -17,6 +17,7 @@ from __future__ import annotations
 import datetime as _dt
 from dataclasses import dataclass
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -60,7 +61,10 @@ class RunStore:
     # ------------------------------------------------------------------ reads
     def runs_with_logs(self) -> DataFrame:
         if self._exists("runs"):
-            return self.spark.read.parquet(self.path("runs"))
+            try:
+                return self.spark.read.schema(RUNS_SCHEMA).parquet(self.path("runs"))
+            except AnalysisException:  # folder without data files yet
+                pass
         return self.spark.createDataFrame([], RUNS_SCHEMA)
 
     def runs(self) -> DataFrame:
