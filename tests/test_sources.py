@@ -100,3 +100,20 @@ def test_preview_payload(spark, sf_small):
 def test_jdbc_bounds_query():
     from tidewater.sources.readers import bounds_query
     assert bounds_query('"s"."t"', "id") == 'select min(id) as lo, max(id) as hi from "s"."t"'
+
+
+def test_incremental_partition_pruning_and_lookback(spark, sf_small):
+    from pyspark.sql import functions as F
+    ev = spark.read.parquet(f"{sf_small}/events.parquet")
+    p = scratch_path(spark, "ev_part")
+    ev.withColumn("dt", F.to_date("ts")).write.partitionBy("dt").parquet(p)
+    mark = "2024-01-20 12:00:00"
+    src = SourceSpec(kind="parquet", path=p, checkpoint_col="ts", options={"mark_partition_column": "dt"})
+    df = read_source(spark, src, checkpoint_value=mark)
+    plan = df._jdf.queryExecution().executedPlan().toString()
+    assert "PartitionFilters: [isnotnull(dt" in plan and "dt#" in plan.split("PartitionFilters: [")[1].split("]")[0]
+    assert df.count() == ev.where(F.col("ts") > mark).count()
+    back = SourceSpec(kind="parquet", path=p, checkpoint_col="ts",
+                      options={"mark_partition_column": "dt", "lookback": "1 DAY"})
+    assert read_source(spark, back, checkpoint_value=mark).count() == \
+        ev.where(F.col("ts") > "2024-01-19 12:00:00").count()

@@ -294,6 +294,19 @@ def i_scan(spark, d):
 I_SCAN_SQL = "select * from events where ts > timestamp '2024-01-15 00:00:00'"
 
 
+def i_scan_pruned(spark, d):
+    """Incremental scan of a date-partitioned copy of events: the mark prunes
+    whole partitions, and a one-day lookback re-reads late rows."""
+    p = scratch_path(spark, "i_scan_pruned")
+    table(spark, d, "events").withColumn("dt", F.to_date("ts")).write.partitionBy("dt").parquet(p)
+    src = SourceSpec(kind="parquet", path=p, checkpoint_col="ts",
+                     options={"mark_partition_column": "dt", "lookback": "1 DAY"})
+    return read_source(spark, src, checkpoint_value="2024-01-20 12:00:00").drop("dt")
+
+
+I_SCAN_PRUNED_SQL = "select * from events where ts > timestamp '2024-01-19 12:00:00'"
+
+
 def _two_slice_runs(spark, d, name: str):
     e = table(spark, d, "events")
     src_dir = scratch_path(spark, f"{name}_src")
@@ -651,6 +664,7 @@ QUERIES = {
     "s_preview": (s_preview, S_PREVIEW_SQL),
     "s_test_run": (s_test_run, S_TEST_RUN_SQL),
     "i_scan": (i_scan, I_SCAN_SQL),
+    "i_scan_pruned": (i_scan_pruned, I_SCAN_PRUNED_SQL),
     "i_two_slices": (i_two_slices, I_TWO_SLICES_SQL),
     "i_mark": (i_mark, I_MARK_SQL),
     "i_run_counts": (i_run_counts, I_RUN_COUNTS_SQL),
