@@ -145,13 +145,17 @@ def job_from_dict(d: dict) -> JobSpec:
     tgt_cfg = dict(d.get("target_config") or {})
     if d.get("source_connection") or d.get("target_connection"):
         return _job_from_connections(d, src_cfg, tgt_cfg)
+    src_opts = dict(src_cfg.get("options") or {})
+    for k in ("lookback", "mark_partition_column", "delimiter", "encoding", "header", "schema"):
+        if k in src_cfg:
+            src_opts.setdefault(k, src_cfg[k])
     source = SourceSpec(
         kind=str(d.get("source_type") or src_cfg.pop("kind", "table")).lower(),
         path=src_cfg.get("path"),
         table=src_cfg.get("table"),
         query=src_cfg.get("query"),
         checkpoint_col=src_cfg.get("checkpoint_col"),
-        options=dict(src_cfg.get("options") or {}),
+        options=src_opts,
     )
     target = TargetSpec(
         kind=str(d.get("target_type") or tgt_cfg.pop("kind", "table")).lower(),
