@@ -245,3 +245,19 @@ def test_cached_run_matches(spark, sf_small, store):
     n = spark.read.parquet(f"{sf_small}/orders.parquet")
     assert res.success_count == n.where("o_totalprice <= 300000").count()
     assert res.rejected_count == n.where("o_totalprice > 300000").count()
+
+
+def test_mark_from_source_includes_rejected_rows(spark, sf_small, store):
+    ev = spark.read.parquet(f"{sf_small}/events.parquet")
+    src_dir = scratch_path(spark, "mfs_src")
+    ev.write.parquet(src_dir)
+    newest = ev.orderBy(F.col("ts").desc()).first()
+    rule = (V("RANGE", "event_id", {"max": newest.event_id - 1}),)  # rejects the newest row (and any later ids)
+    base = dict(name="mfs", source=SourceSpec(kind="parquet", path=src_dir, checkpoint_col="ts"),
+                load_strategy="INCREMENTAL", rules=rule)
+    valid_mark = run_job(spark, JobSpec(target=TargetSpec(kind="parquet", path=scratch_path(spark, "mfs_a")),
+                                        **base), RunStore(spark, scratch_path(spark, "mfs_sa"))).mark
+    source_mark = run_job(spark, JobSpec(target=TargetSpec(kind="parquet", path=scratch_path(spark, "mfs_b")),
+                                         mark_from="source", **base), RunStore(spark, scratch_path(spark, "mfs_sb"))).mark
+    assert source_mark == str(newest.ts)
+    assert valid_mark is not None and valid_mark < source_mark
