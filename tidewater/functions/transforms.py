@@ -45,7 +45,7 @@ def cast_target(to_type: str | None) -> str:
 
 
 def spark_type(name: str) -> T.DataType:
-    return T._parse_datatype_string(name)
+    return T.DataType.fromDDL(name)
 
 
 # ---------------------------------------------------------------------------

@@ -25,7 +25,7 @@ def _q(name: str) -> str:
 def as_struct(schema) -> T.StructType:
     if isinstance(schema, T.StructType):
         return schema
-    return T._parse_datatype_string(schema)
+    return T.DataType.fromDDL(schema)
 
 
 def drift_rows(df: DataFrame, expected) -> list[tuple]:

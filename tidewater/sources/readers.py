@@ -171,7 +171,7 @@ def read_csv(spark: SparkSession, path: str, sep: str = ",", encoding: str = "UT
            .option("mode", "PERMISSIVE").csv(path))
     raw = normalise_null_tokens(raw, null_tokens)
     if schema is not None:
-        st = T._parse_datatype_string(schema) if isinstance(schema, str) else schema
+        st = T.DataType.fromDDL(schema) if isinstance(schema, str) else schema
     elif infer:
         st = infer_types(raw)
     else:

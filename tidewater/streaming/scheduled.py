@@ -84,7 +84,7 @@ def start_stream(spark: SparkSession, spec: JobSpec, path: str, schema, fmt: str
     elif fmt in ("csv", "tsv"):
         from pyspark.sql import types as T
         from tidewater.sources.readers import normalise_null_tokens
-        typed = T._parse_datatype_string(schema) if isinstance(schema, str) else schema
+        typed = T.DataType.fromDDL(schema) if isinstance(schema, str) else schema
         text = T.StructType([T.StructField(f.name, T.StringType(), True) for f in typed.fields])
         o = dict(spec.source.options)
         stream = (reader.schema(text).option("header", "true")
