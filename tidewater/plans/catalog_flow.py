@@ -604,6 +604,48 @@ select 'orders_fact', o_orderkey, 'priority', 'REGEX', o_totalprice from m where
 """
 
 
+def e_json_pipeline(spark, d):
+    """A pipeline stored as JSON in the original layout (source/target
+    config, column mappings with ordered transform rules, validation rules
+    naming their column through the mapping) runs unchanged."""
+    import json
+
+    from tidewater.spec import job_from_dict
+    doc = json.loads(json.dumps({
+        "name": "customers_dim",
+        "source_config": {"kind": "parquet", "path": f"{d}/customer.parquet"},
+        "target_config": {"kind": "parquet", "path": scratch_path(spark, "e_json_tgt"), "create_if_not_exists": True},
+        "load_strategy": "FULL_LOAD",
+        "column_mappings": [
+            {"source_column": "c_custkey", "target_column": "customer_id", "ordinal_position": 0},
+            {"source_column": "c_name", "target_column": "full_name", "ordinal_position": 1,
+             "transform_rules": [{"transform_type": "REPLACE", "params": {"from": "^Customer#0*", "to": "C-"},
+                                  "apply_order": 1},
+                                 {"transform_type": "trim", "apply_order": 0}]},
+            {"source_column": "c_mktsegment", "target_column": "segment", "ordinal_position": 2,
+             "transform_rules": [{"transform_type": "LOWER", "apply_order": 0}]},
+            {"source_column": "c_acctbal", "target_column": "c_acctbal", "ordinal_position": 3, "is_excluded": True},
+            {"target_column": "country", "is_constant": True, "constant_value": "TR", "ordinal_position": 4},
+        ],
+        "validation_rules": [
+            {"rule_type": "REGEX", "mapping": {"target_column": "full_name"}, "params": {"pattern": "^C-[1-9]"},
+             "action_on_fail": "REJECT"},
+            {"rule_type": "NOT_NULL", "mapping": {"target_column": "segment"}, "action_on_fail": "WARN"},
+        ],
+    }))
+    spec = job_from_dict(doc)
+    run_job(spark, spec, RunStore(spark, scratch_path(spark, "e_json_store")))
+    return spark.read.parquet(spec.target.path)
+
+
+E_JSON_PIPELINE_SQL = """
+select c_custkey as customer_id, regexp_replace(c_name, '^Customer#0*', 'C-') as full_name, c_nationkey,
+       lower(c_mktsegment) as segment, 'TR' as country
+from customer
+where regexp_matches(regexp_replace(c_name, '^Customer#0*', 'C-'), '^C-[1-9]')
+"""
+
+
 def e_dim_customers(spark, d):
     """Derived text through a SQL source, then an UPSERT of a second load."""
     _views(spark, d, "customer")
@@ -681,6 +723,7 @@ QUERIES = {
     "e_orders_fact": (e_orders_fact, E_ORDERS_FACT_SQL),
     "e_run_record": (e_run_record, E_RUN_RECORD_SQL),
     "e_quarantine": (e_quarantine, E_QUARANTINE_SQL),
+    "e_json_pipeline": (e_json_pipeline, E_JSON_PIPELINE_SQL),
     "e_dim_customers": (e_dim_customers, E_DIM_CUSTOMERS_SQL),
     "e_fact_items": (e_fact_items, E_FACT_ITEMS_SQL),
 }
