@@ -159,3 +159,18 @@ def test_bad_params_are_spec_errors():
         with pytest.raises(JobError) as e:
             apply_transform(F.col("c"), T.StringType(), tt, params)
         assert e.value.code == "SPEC_INVALID"
+
+
+def test_regex_dialect_unicode_classes(spark):
+    rows, _, _ = run(spark, ["Şişe 12", "çay"], "string", "REPLACE", {"from": r"\w+", "to": "X"})
+    assert rows == ["X X", "X"]
+    rows, _, _ = run(spark, ["ab12"], "string", "REPLACE", {"from": "(?P<d>[0-9])", "to": "<$d>"})
+    assert rows == ["ab<1><2>"]
+
+
+def test_regex_rule_unicode_word(spark):
+    from tidewater.operators.validate import validate
+    from tidewater.spec import ValidationRule as V
+    df = spark.createDataFrame([("Şişe",), ("a b",)], "s string")
+    vo = validate(df, [V("REGEX", "s", {"pattern": r"^\w+$"})])
+    assert vo.counts()["__fail0"] == 1

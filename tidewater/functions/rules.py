@@ -23,7 +23,7 @@ from tidewater.fixed import (
     UNKNOWN_RULE_MESSAGE,
 )
 from tidewater.functions.formats import strftime_to_spark
-from tidewater.functions.transforms import _python_literal_fits, typed_literal
+from tidewater.functions.transforms import _python_literal_fits, translate_pattern, typed_literal
 
 ROW_LOCAL_RULES = ("NOT_NULL", "REGEX", "RANGE", "DATE_FORMAT")
 POPULATION_RULES = ("UNIQUE", "DUPLICATE_CHECK")
@@ -63,7 +63,7 @@ def row_predicate(rule_type: str, c: Column, t: T.DataType, params: dict[str, An
             return None
         s = c if isinstance(t, T.StringType) else c.cast("string")
         # unanchored search; a NULL value passes
-        return F.coalesce(~s.rlike(str(pattern)), F.lit(False))
+        return F.coalesce(~s.rlike(translate_pattern(str(pattern))), F.lit(False))
     if rt == "RANGE":
         lo, hi = params.get("min"), params.get("max")
         fail = F.lit(False)

@@ -126,6 +126,17 @@ def _lower(c, t, p, ctx):
     return F.lower(as_string(c, t)), T.StringType()
 
 
+def translate_pattern(pattern: str) -> str:
+    """Regex in the source dialect -> Java regex with the same meaning.
+
+    The source dialect's ``\\w``, ``\\d``, ``\\s`` and ``\\b`` are Unicode-aware
+    (``\\w`` matches "ş", "ğ"); Java's are ASCII unless UNICODE_CHARACTER_CLASS
+    ``(?U)`` is on.  Named groups ``(?P<name>...)`` are written ``(?<name>...)``.
+    """
+    out = pattern.replace("(?P<", "(?<")
+    return out if out.startswith("(?U)") else "(?U)" + out
+
+
 def _pattern_groups(pattern: str) -> tuple[int, set[str]] | None:
     """(number of groups, group names) of a pattern, or None when Python's
     parser does not accept it (then references are passed through)."""
@@ -205,7 +216,7 @@ def _replace(c, t, p, ctx):
         return F.replace(s, F.lit(str(p["from"])), F.lit(str(p["to"]))), T.StringType()
     pattern = str(p["from"])
     repl = translate_replacement(str(p["to"]), _pattern_groups(pattern))
-    return F.regexp_replace(s, F.lit(pattern), F.lit(repl)), T.StringType()
+    return F.regexp_replace(s, F.lit(translate_pattern(pattern)), F.lit(repl)), T.StringType()
 
 
 def _cast(c, t, p, ctx):
