@@ -15,6 +15,7 @@ run.
 
 from __future__ import annotations
 
+import logging
 import traceback
 import uuid
 from dataclasses import dataclass, field
@@ -236,7 +237,7 @@ def _run_job(spark: SparkSession, spec: JobSpec, store: RunStore | None, run_typ
             outcome.unpersist()
         finished = utcnow()
         res.duration_seconds = (finished - started).total_seconds()
-        store.append_run({
+        record = {
             "id": run_id, "pipeline_id": spec.id, "status": res.status, "run_type": run_type.upper(),
             "started_at": started, "finished_at": finished, "duration_seconds": res.duration_seconds,
             "source_count": res.source_count, "target_count": res.success_count,
@@ -245,4 +246,11 @@ def _run_job(spark: SparkSession, spec: JobSpec, store: RunStore | None, run_typ
             "error_message": res.error_message, "error_detail": None, "created_at": started,
             "checkpoint_column": spec.source.checkpoint_col if res.mark is not None else None,
             "checkpoint_value": res.mark if res.status == "SUCCESS" else None,
-        }, log.rows)
+        }
+        try:
+            store.append_run(record, log.rows)
+        except Exception:  # noqa: BLE001
+            if res.status == "SUCCESS":
+                raise  # the load happened but its record could not be written: surface it
+            # a failed run keeps its own error; the record failure is secondary
+            logging.getLogger("tidewater").exception("could not append the run record of %s", run_id)
