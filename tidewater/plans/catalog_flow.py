@@ -250,7 +250,7 @@ def s_describe(spark, d):
 
 
 S_DESCRIBE_SQL = """
-select column_name as name,
+select distinct column_name as name,
        case data_type when 'TIMESTAMP' then 'TIMESTAMP' when 'VARCHAR' then 'VARCHAR' else data_type end as data_type,
        true as is_nullable, cast(null as integer) as precision, cast(null as integer) as scale,
        cast(null as integer) as max_length, cast(ordinal_position - 1 as integer) as ordinal_position
