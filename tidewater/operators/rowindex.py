@@ -24,7 +24,7 @@ def with_row_index(df: DataFrame, name: str = "row_number", order_by: list[str]
     from tidewater.session import materialize
     if order_by:
         # a unique tiebreaker lets the range partitioner split a value that
-        # repeats in a third of the rows; the checkpoint below fixes the ids
+        # repeats in a third of the rows; the write below fixes the ids
         src = (df.withColumn("__tie", F.monotonically_increasing_id())
                  .orderBy(*order_by, "__tie").drop("__tie"))
     else:

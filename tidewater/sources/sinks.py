@@ -8,9 +8,12 @@ UPSERT   merge on keys (:mod:`tidewater.operators.merge`).
 Path targets (Parquet / ORC / CSV) that are replaced are written to a staging
 sibling first and swapped in by rename, so a plan that reads the target (an
 UPSERT always does) never sees it half-deleted and a failed write leaves the
-old data in place.  Catalog tables use ``insertInto`` with a checkpointed frame
-when the plan reads the table it overwrites.  The row count comes from an
-``Observation`` on the written frame — no second pass.
+old data in place; partitioned UPSERT swaps only the touched partition
+directories; a swap a lost driver left half done is undone before the next
+read (:func:`recover_swaps`).  Catalog tables use ``insertInto``, from a frame
+first written to the shared checkpoint folder when the plan reads the table it
+overwrites.  The row count comes from an ``Observation`` on the written frame —
+no second pass.
 """
 
 from __future__ import annotations
