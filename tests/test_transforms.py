@@ -95,8 +95,8 @@ def test_substring(spark, params, expected):
 
 
 def test_substring_negative_past_start(spark):
-    rows, _, _ = run(spark, ["ab"], "string", "SUBSTRING", {"start": -5, "length": 3})
-    assert rows == [""]
+    rows, _, _ = run(spark, ["ab", "", "abcdef"], "string", "SUBSTRING", {"start": -5, "length": 3})
+    assert rows == ["ab", "", "bcd"]
 
 
 def test_concat(spark):

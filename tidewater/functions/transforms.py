@@ -238,12 +238,18 @@ def _to_timestamp(c, t, p, ctx):
 
 
 def substring_expr(s: Column, start: int, length: int | None) -> Column:
-    """0-based start, negative counts from the end; no/zero length -> to the end."""
+    """0-based start, negative counts from the end; no/zero length -> to the end.
+
+    A negative start before the beginning is clamped to the first character
+    (``('ab', -5, 3) -> 'ab'``, as slicing does); Spark's own ``substring``
+    would shorten the length instead and return ``''``.
+    """
     n = int(length) if length else INT_MAX
     if n < 0:
         raise JobError("SPEC_INVALID", "SUBSTRING length must be >= 0")
-    pos = start + 1 if start >= 0 else start
-    return F.substring(s, pos, n)
+    if start >= 0:
+        return F.substring(s, start + 1, n)
+    return F.substring(s, F.greatest(F.lit(start), -F.length(s)), F.lit(n))
 
 
 def _substring(c, t, p, ctx):

@@ -217,8 +217,7 @@ def t_substring(spark, d):
 
 T_SUBSTRING_SQL = """
 select substring(p_type, 2, 3) as t_head,
-       substring(p_name, greatest(length(p_name) - 4, 0) + 1,
-                 greatest(length(p_name) - 4 + 2 - greatest(length(p_name) - 4, 0), 0)) as t_tail,
+       substring(p_name, greatest(length(p_name) - 4, 0) + 1, 2) as t_tail,
        substring(cast(p_partkey as varchar), 2) as t_rest,
        cast(null as varchar) as t_far
 from part
