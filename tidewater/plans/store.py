@@ -128,8 +128,12 @@ class RunStore:
                         TargetSpec(kind="parquet", path=self.path("runs")))
 
     def append_violations(self, df: DataFrame) -> None:
-        """Distributed append (no coalesce: the violation set grows with the data)."""
-        df.write.mode("append").partitionBy("run_date").parquet(self.path("violations"))
+        """Distributed append.  Violations are a sparse filter over the whole
+        scan: written straight from a million scan tasks they would make a
+        million tiny files, so such plans are rebalanced first (AQE sizes the
+        output files by bytes; see :func:`tidewater.session.rebalance_for_write`)."""
+        from tidewater.session import rebalance_for_write
+        rebalance_for_write(df).write.mode("append").partitionBy("run_date").parquet(self.path("violations"))
 
 
 def violations_as_json(violations: DataFrame) -> DataFrame:

@@ -167,3 +167,29 @@ def materialize_sized(df, name: str):
     p = jvm.org.apache.hadoop.fs.Path(path)
     size = p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).getContentSummary(p).getLength()
     return spark.read.parquet(path), int(size)
+
+
+def parse_bytes(text) -> int:
+    """Spark byte-size strings: ``134217728``, ``134217728b``, ``128m``, ``1g``."""
+    t = str(text).strip().lower().rstrip("b")
+    units = {"k": 1 << 10, "m": 1 << 20, "g": 1 << 30, "t": 1 << 40, "p": 1 << 50}
+    if t and t[-1] in units:
+        return int(float(t[:-1]) * units[t[-1]])
+    return int(t)
+
+
+def rebalance_for_write(df, *cols):
+    """Rebalance ``df`` before a file write when it comes from many more tasks
+    than the cluster has cores (then each task would write its own small
+    file, or one per output partition).  AQE's rebalance sizes the output by
+    bytes, coalescing small partitions and splitting skewed ones.  Plans with
+    few tasks are written as they are."""
+    from pyspark.sql import functions as F
+    spark = df.sparkSession
+    # the optimizer's size estimate (from file sizes; nothing is executed)
+    # divided by the scan split size approximates the number of write tasks
+    size = int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+    split = parse_bytes(spark.conf.get("spark.sql.files.maxPartitionBytes", "128m"))
+    if size // max(split, 1) <= 4 * spark.sparkContext.defaultParallelism:
+        return df
+    return df.hint("rebalance", *[F.col("`" + c.replace("`", "``") + "`") for c in cols])

@@ -29,7 +29,7 @@ from tidewater.errors import JobError
 from tidewater.fixed import ERROR_MESSAGES, LOAD_STRATEGIES
 from tidewater.operators.merge import align_to_schema, dedup_last, plan_upsert
 from tidewater.plans.observed import Probe
-from tidewater.session import ensure_checkpoint_dir, materialize
+from tidewater.session import ensure_checkpoint_dir, materialize, rebalance_for_write
 from tidewater.spec import TargetSpec
 
 PATH_KINDS = ("parquet", "orc", "csv", "json")
@@ -289,7 +289,12 @@ def write_frame(spark: SparkSession, df: DataFrame, target: TargetSpec, strategy
     else:
         out = align_to_schema(incoming, current.schema, target.defaults)
 
-    # 2. write
+    # 2. write.  Partitioned path targets written from many tasks are
+    # rebalanced on the partition columns first (AQE sizes the files and
+    # splits a partition holding a third of the rows), instead of every task
+    # writing a file into every partition it touches.
+    if target.partition_by and kind in PATH_KINDS:
+        out = rebalance_for_write(out, *target.partition_by)
     replace = strategy in ("FULL_LOAD", "TRUNCATE_INSERT", "OVERWRITE", "UPSERT")
     try:
         if kind in PATH_KINDS:
