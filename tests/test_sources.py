@@ -117,3 +117,10 @@ def test_incremental_partition_pruning_and_lookback(spark, sf_small):
                       options={"mark_partition_column": "dt", "lookback": "1 DAY"})
     assert read_source(spark, back, checkpoint_value=mark).count() == \
         ev.where(F.col("ts") > "2024-01-19 12:00:00").count()
+
+
+def test_jdbc_without_driver_is_a_connection_failure(spark):
+    src = SourceSpec(kind="jdbc", table="t", options={"url": "jdbc:nosuchdb://localhost:1/x"})
+    with pytest.raises(JobError) as e:
+        read_source(spark, src)
+    assert e.value.code == "SOURCE_CONNECTION_FAILED"

@@ -73,6 +73,17 @@ def bounds_query(table: str, column: str) -> str:
     return f"select min({column}) as lo, max({column}) as hi from {table}"
 
 
+# --- fixed values: driver messages that mean "could not connect" ---------
+_CONNECTION_HINTS = ("communications link failure", "connection refused", "connection attempt failed",
+                     "could not connect", "unknownhostexception", "connect timed out", "no suitable driver",
+                     "password authentication failed", "access denied for user", "login failed")
+
+
+def is_connection_error(e: Exception) -> bool:
+    text = str(e).lower()
+    return any(h in text for h in _CONNECTION_HINTS)
+
+
 def read_jdbc(spark: SparkSession, **kw) -> DataFrame:
     """JDBC scan.  With only ``partition_column`` given, its bounds come from
     one ``min``/``max`` query (a single row) and ``num_partitions`` defaults to
@@ -238,7 +249,8 @@ def read_source(spark: SparkSession, spec: SourceSpec, checkpoint_value: str | N
     except JobError:
         raise
     except Exception as e:  # noqa: BLE001 - surfaced as a run error with a code
-        raise JobError("READ_FAILED", ERROR_MESSAGES["READ_FAILED"].format(what=spec.table or spec.path or "custom query"), str(e))
+        code = "SOURCE_CONNECTION_FAILED" if spec.kind.lower() == "jdbc" and is_connection_error(e) else "READ_FAILED"
+        raise JobError(code, ERROR_MESSAGES["READ_FAILED"].format(what=spec.table or spec.path or "custom query"), str(e))
     if spec.checkpoint_col and checkpoint_value is not None:
         types = {f.name: f.dataType for f in df.schema.fields}
         if spec.checkpoint_col not in types:

@@ -330,6 +330,8 @@ def write_frame(spark: SparkSession, df: DataFrame, target: TargetSpec, strategy
     except JobError:
         raise
     except Exception as e:  # noqa: BLE001
-        raise JobError("WRITE_FAILED", ERROR_MESSAGES["WRITE_FAILED"].format(what=target.table or target.path), str(e))
+        from tidewater.sources.readers import is_connection_error
+        code = "TARGET_CONNECTION_FAILED" if kind == "jdbc" and is_connection_error(e) else "WRITE_FAILED"
+        raise JobError(code, ERROR_MESSAGES["WRITE_FAILED"].format(what=target.table or target.path), str(e))
     got = probe.result(out, *ran)  # {} when the incoming rows were provably empty
     return WriteResult(rows_written=int(got.get("rows", 0) or 0), observed=dict(got))
