@@ -65,6 +65,7 @@ STOP_TEMPLATE = "Validation STOP kuralı tetiklendi: {msg} — {n} hatalı kayı
 STEP_MESSAGES = {
     "METADATA": "Pipeline metadata yükleniyor",
     "SOURCE_CONNECT": "Kaynak bağlantısı başlatılıyor: {name}",
+    "SOURCE_CONNECTED": "Kaynak bağlandı ({ms}ms)",
     "TARGET_CONNECT": "Hedef bağlantısı başlatılıyor: {name}",
     "CHECKPOINT": "Son checkpoint: {value} [{column}]",
     "CHECKPOINT_FIRST": "İlk incremental çalışma — checkpoint yok",

@@ -16,6 +16,7 @@ run.
 from __future__ import annotations
 
 import logging
+import time
 import traceback
 import uuid
 from dataclasses import dataclass, field
@@ -120,7 +121,9 @@ def _run_job(spark: SparkSession, spec: JobSpec, store: RunStore | None, run_typ
         # -- read
         log.info("SOURCE_READ_START", MSG["SOURCE_READ_START"])
         limit = (test_limit or TEST_RUN_DEFAULT_ROWS) if is_test else test_limit
+        t0 = time.monotonic()
         src = source_df if source_df is not None else read_source(spark, spec.source, mark, limit)
+        log.info("SOURCE_CONNECTED", MSG["SOURCE_CONNECTED"].format(ms=int((time.monotonic() - t0) * 1000)))
         if source_df is not None and limit:
             src = src.limit(int(limit))
         if src.isEmpty():
@@ -180,6 +183,7 @@ def _run_job(spark: SparkSession, spec: JobSpec, store: RunStore | None, run_typ
                 executed.append(outcome.flagged)
             counts = {k: int(v or 0) for k, v in got.items()}
             res.source_count = int(src_probe.result(*executed).get("rows", 0) or 0)
+            log.info("SOURCE_READ_DONE", MSG["SOURCE_READ_DONE"].format(n=res.source_count))
             res.per_rule = outcome.per_rule(counts)
             res.rejected_rows = counts["__rejected_rows"]
             res.rejected_count = outcome.violation_record_count(counts)
@@ -216,7 +220,9 @@ def _run_job(spark: SparkSession, spec: JobSpec, store: RunStore | None, run_typ
                 # stored with the run record (one append, after the target write)
                 res.mark = mark_text(new_mark)
                 log.info("CHECKPOINT_UPDATED", MSG["CHECKPOINT_UPDATED"].format(value=res.mark))
-        res.source_count = int(src_probe.result(*executed).get("rows", 0) or 0)
+        if not spec.rules or outcome is None or not outcome.rules:
+            res.source_count = int(src_probe.result(*executed).get("rows", 0) or 0)
+            log.info("SOURCE_READ_DONE", MSG["SOURCE_READ_DONE"].format(n=res.source_count))
         res.status = "SUCCESS"
         log.info("JOB_SUCCESS", MSG["JOB_SUCCESS"])
         return res
