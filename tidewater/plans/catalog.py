@@ -2,12 +2,8 @@
 
 from __future__ import annotations
 
-from tidewater.plans import catalog_core
+from tidewater.plans import catalog_core, catalog_flow
 
 REGISTRY: dict = {}
 REGISTRY.update(catalog_core.QUERIES)
-try:
-    from tidewater.plans import catalog_flow
-    REGISTRY.update(catalog_flow.QUERIES)
-except ImportError:  # pragma: no cover - during bootstrap only
-    pass
+REGISTRY.update(catalog_flow.QUERIES)
