@@ -56,3 +56,19 @@ def test_unique_flag_shuffled_path_matches(spark):
         assert "SortMergeJoin" in plan or "ShuffledHashJoin" in plan or "BroadcastHashJoin" in plan
     finally:
         spark.conf.unset(BROADCAST_LIMIT_CONF)
+
+
+def test_plan_shapes_keep_the_big_side_unshuffled(spark, sf_small):
+    """Small measured duplicate sets are broadcast: no hash shuffle anywhere in
+    the flag plan.  A small UPSERT source is broadcast: the target is streamed
+    through a broadcast left join."""
+    from tidewater.operators.merge import upsert
+    docs = spark.read.parquet(f"{sf_small}/documents.parquet").select("doc_id", "text")
+    flagged = flag_duplicates(docs, ["text"], "dup", materialize_keys=True)
+    plan = flagged._jdf.queryExecution().executedPlan().toString()
+    assert "BroadcastHashJoin" in plan and "Exchange hashpartitioning" not in plan
+    orders = spark.read.parquet(f"{sf_small}/orders.parquet")
+    src = orders.limit(10).withColumn("o_orderstatus", F.lit("U"))
+    merged = upsert(orders, src, ["o_orderkey"], plan="auto")
+    mplan = merged._jdf.queryExecution().executedPlan().toString()
+    assert "BroadcastHashJoin" in mplan and "FullOuter" not in mplan
