@@ -150,6 +150,23 @@ from p
 """
 
 
+def t_cast_timestamp(spark, d):
+    """Text -> timestamp (microseconds kept); malformed text becomes NULL."""
+    df = table(spark, d, "events").selectExpr(
+        "event_id",
+        "case when event_id % 8 = 0 then date_format(ts, 'yyyy-MM-dd 25:mm:ss') "
+        "when event_id % 8 = 1 then 'yesterday' else date_format(ts, 'yyyy-MM-dd HH:mm:ss.SSSSSS') end AS ts_txt")
+    return mapped(df, [M("ts", "ts_txt", 0, transform_rules=(R("CAST", {"to_type": "timestamp"}),))])
+
+
+T_CAST_TIMESTAMP_SQL = """
+with p as (select event_id,
+  case when event_id % 8 = 0 then strftime(ts, '%Y-%m-%d 25:%M:%S') when event_id % 8 = 1 then 'yesterday'
+       else strftime(ts, '%Y-%m-%d %H:%M:%S.%f') end as ts_txt from events)
+select event_id, try_cast(ts_txt as timestamp) as ts from p
+"""
+
+
 def t_cast_int_text(spark, d):
     df = table(spark, d, "part").selectExpr(
         "p_partkey",
@@ -595,6 +612,7 @@ QUERIES = {
     "t_replace_groups": (t_replace_groups, T_REPLACE_GROUPS_SQL),
     "t_cast": (t_cast, T_CAST_SQL),
     "t_cast_double": (t_cast_double, T_CAST_DOUBLE_SQL),
+    "t_cast_timestamp": (t_cast_timestamp, T_CAST_TIMESTAMP_SQL),
     "t_cast_int_text": (t_cast_int_text, T_CAST_INT_TEXT_SQL),
     "t_to_date": (t_to_date, T_TO_DATE_SQL),
     "t_to_timestamp": (t_to_timestamp, T_TO_TIMESTAMP_SQL),
