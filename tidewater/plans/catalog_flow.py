@@ -480,11 +480,11 @@ def r_page(spark, d):
 R_PAGE_SQL = _R_WITH + "select * from r where status = 'SUCCESS' order by created_at desc, id desc limit 50 offset 100"
 
 
-def r_page_pipeline(spark, d):
+def r_page_filtered(spark, d):
     return history.list_runs(_runs(spark, d), pipeline_id=77, limit=20)
 
 
-R_PAGE_PIPELINE_SQL = _R_WITH + "select * from r where pipeline_id = 77 order by created_at desc, id desc limit 20"
+R_PAGE_FILTERED_SQL = _R_WITH + "select * from r where pipeline_id = 77 order by created_at desc, id desc limit 20"
 
 
 LOGS = ("conv_id AS job_run_id", "cast(turn as int) AS seq",
@@ -604,7 +604,7 @@ select 'orders_fact', o_orderkey, 'priority', 'REGEX', o_totalprice from m where
 """
 
 
-def e_json_pipeline(spark, d):
+def e_json_spec(spark, d):
     """A pipeline stored as JSON in the original layout (source/target
     config, column mappings with ordered transform rules, validation rules
     naming their column through the mapping) runs unchanged."""
@@ -638,7 +638,7 @@ def e_json_pipeline(spark, d):
     return spark.read.parquet(spec.target.path)
 
 
-E_JSON_PIPELINE_SQL = """
+E_JSON_SPEC_SQL = """
 select c_custkey as customer_id, regexp_replace(c_name, '^Customer#0*', 'C-') as full_name, c_nationkey,
        lower(c_mktsegment) as segment, 'TR' as country
 from customer
@@ -716,14 +716,14 @@ QUERIES = {
     "r_stats": (r_stats, R_STATS_SQL),
     "r_recent": (r_recent, R_RECENT_SQL),
     "r_page": (r_page, R_PAGE_SQL),
-    "r_page_pipeline": (r_page_pipeline, R_PAGE_PIPELINE_SQL),
+    "r_page_filtered": (r_page_filtered, R_PAGE_FILTERED_SQL),
     "r_log": (r_log, R_LOG_SQL),
     "r_rejected": (r_rejected, R_REJECTED_SQL),
     "r_profile": (r_profile, R_PROFILE_SQL),
     "e_orders_fact": (e_orders_fact, E_ORDERS_FACT_SQL),
     "e_run_record": (e_run_record, E_RUN_RECORD_SQL),
     "e_quarantine": (e_quarantine, E_QUARANTINE_SQL),
-    "e_json_pipeline": (e_json_pipeline, E_JSON_PIPELINE_SQL),
+    "e_json_spec": (e_json_spec, E_JSON_SPEC_SQL),
     "e_dim_customers": (e_dim_customers, E_DIM_CUSTOMERS_SQL),
     "e_fact_items": (e_fact_items, E_FACT_ITEMS_SQL),
 }
