@@ -8,8 +8,12 @@
     python -m tidewater logs --store DIR --run RUN_ID
     python -m tidewater rejected --store DIR --run RUN_ID [--limit 100]
 
-Results are printed as JSON lines.  On a cluster use spark-submit with this
-module; ``--master`` only matters for local use.
+Results are printed as JSON lines.  On a cluster:
+
+    spark-submit --py-files tidewater.zip --conf spark.checkpoint.dir=hdfs:///shared/ckpt \
+        tidewater/__main__.py run pipeline.json --store hdfs:///shared/tidewater-store
+
+(master and sizing come from spark-submit; ``--master`` is for local use).
 """
 
 from __future__ import annotations
@@ -46,8 +50,9 @@ def _print_rows(df, limit: int | None = None) -> None:
 
 def main(argv=None) -> int:
     p = argparse.ArgumentParser(prog="tidewater")
-    p.add_argument("--master", default="local[*]")
-    p.add_argument("--shuffle-partitions", type=int, default=200)
+    # unset: spark-submit / the cluster configuration decides
+    p.add_argument("--master", default=None)
+    p.add_argument("--shuffle-partitions", type=int, default=None)
     sub = p.add_subparsers(dest="cmd", required=True)
     r = sub.add_parser("run")
     r.add_argument("spec")

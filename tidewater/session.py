@@ -24,17 +24,22 @@ RECOMMENDED_CONF = {
 }
 
 
-def build_session(master: str = "local[*]", app: str = "tidewater",
-                  shuffle_partitions: int = 8, extra: dict | None = None) -> SparkSession:
+def build_session(master: str | None = "local[*]", app: str = "tidewater",
+                  shuffle_partitions: int | None = 8, extra: dict | None = None) -> SparkSession:
     """Create (or reuse) a session with the recommended settings.
 
-    On a cluster, ``master`` and sizing come from spark-submit; this helper is
-    for tests, the benchmark and local use.
+    ``master=None`` / ``shuffle_partitions=None`` leave those to spark-submit
+    and the cluster's configuration (as the CLI does unless told otherwise);
+    the defaults are for tests, the benchmark and local use.
     """
-    b = SparkSession.builder.master(master).appName(app)
+    b = SparkSession.builder.appName(app)
+    if master:
+        b = b.master(master)
     conf = dict(RECOMMENDED_CONF)
-    conf["spark.sql.shuffle.partitions"] = str(shuffle_partitions)
-    conf["spark.ui.enabled"] = "false"
+    if shuffle_partitions:
+        conf["spark.sql.shuffle.partitions"] = str(shuffle_partitions)
+    if master and master.startswith("local"):
+        conf["spark.ui.enabled"] = "false"
     conf.update(extra or {})
     for k, v in conf.items():
         b = b.config(k, v)
