@@ -92,8 +92,9 @@ def apply_recommended_conf(spark: SparkSession) -> None:
 def ensure_checkpoint_dir(spark: SparkSession) -> str:
     """Return the shared checkpoint folder named by ``spark.checkpoint.dir``.
 
-    The cluster's setting always wins.  Only when nothing is configured (local
-    tests) a private folder is created and registered.
+    The cluster's setting always wins.  Only when nothing is configured and the
+    master is local (tests) a private folder is created and registered; on a
+    cluster a missing setting is an error.
     """
     sc = spark.sparkContext
     current = sc.getCheckpointDir()
@@ -101,7 +102,12 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
         return current.rstrip("/")
     conf_dir = spark.conf.get("spark.checkpoint.dir", None) or sc.getConf().get("spark.checkpoint.dir", None)
     if not conf_dir:
-        conf_dir = tempfile.mkdtemp(prefix="tidewater-ckpt-")
+        if not str(sc.master).startswith("local"):
+            # a machine-local folder is not visible to the executors of a cluster
+            from tidewater.errors import JobError
+            raise JobError("SPEC_INVALID", "set spark.checkpoint.dir to a folder shared by the cluster "
+                                           "(HDFS / object store); it holds materialised intermediates")
+        conf_dir = tempfile.mkdtemp(prefix="tidewater-ckpt-")  # local mode only (tests)
     sc.setCheckpointDir(conf_dir)
     return (sc.getCheckpointDir() or conf_dir).rstrip("/")
 
