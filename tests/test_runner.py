@@ -261,3 +261,22 @@ def test_mark_from_source_includes_rejected_rows(spark, sf_small, store):
                                          mark_from="source", **base), RunStore(spark, scratch_path(spark, "mfs_sb"))).mark
     assert source_mark == str(newest.ts)
     assert valid_mark is not None and valid_mark < source_mark
+
+
+def test_empty_source_with_rules_leaves_target(spark, sf_small, store):
+    """An empty source is a NO_DATA success whether or not rules apply, and a
+    FULL_LOAD target is not truncated."""
+    tgt = TargetSpec(kind="parquet", path=scratch_path(spark, "empty_rules_tgt"))
+    run_job(spark, orders_spec(spark, sf_small, target=tgt), store)
+    empty_src = SourceSpec(kind="sql", query="select * from tw_orders_empty")
+    spark.read.parquet(f"{sf_small}/orders.parquet").where("false").createOrReplaceTempView("tw_orders_empty")
+    for rules in ((V("RANGE", "o_totalprice", {"max": 1}),), (V("NOT_NULL", "no_such_column"),)):
+        res = run_job(spark, orders_spec(spark, sf_small, source=empty_src, target=tgt, rules=rules), store)
+        assert res.status == "SUCCESS" and res.source_count == 0 and res.success_count == 0
+        assert spark.read.parquet(tgt.path).count() == 1500
+
+
+def test_skipped_rules_keep_the_true_source_count(spark, sf_small, store):
+    spec = orders_spec(spark, sf_small, rules=(V("NOT_NULL", "no_such_column"),))
+    res = run_job(spark, spec, store)
+    assert res.source_count == 1500 and res.success_count == 1500

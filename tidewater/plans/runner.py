@@ -126,7 +126,10 @@ def _run_job(spark: SparkSession, spec: JobSpec, store: RunStore | None, run_typ
         log.info("SOURCE_CONNECTED", MSG["SOURCE_CONNECTED"].format(ms=int((time.monotonic() - t0) * 1000)))
         if source_df is not None and limit:
             src = src.limit(int(limit))
-        if src.isEmpty():
+        # Empty source: nothing is validated, written or truncated.  With rules
+        # the violation pass observes the source count before the target is
+        # touched, so only rule-less runs need the separate ``limit 1`` probe.
+        if not spec.rules and src.isEmpty():
             log.info("NO_DATA", MSG["NO_DATA"])
             res.status = "SUCCESS"
             return res
@@ -135,6 +138,7 @@ def _run_job(spark: SparkSession, spec: JobSpec, store: RunStore | None, run_typ
         cp_col = spec.source.checkpoint_col
         if strategy == "INCREMENTAL" and spec.mark_from == "source" and cp_col in src.columns:
             src_exprs.append(F.max(F.col(_q(cp_col))).alias("mark"))
+        raw_src = src  # for emptiness probes: never run a limit-1 job through the observation
         src = src_probe.attach(src, *src_exprs)
         executed: list[DataFrame] = []  # frames whose plans ran (for the source probe)
 
@@ -184,6 +188,10 @@ def _run_job(spark: SparkSession, spec: JobSpec, store: RunStore | None, run_typ
             counts = {k: int(v or 0) for k, v in got.items()}
             res.source_count = int(src_probe.result(*executed).get("rows", 0) or 0)
             log.info("SOURCE_READ_DONE", MSG["SOURCE_READ_DONE"].format(n=res.source_count))
+            if counts.get("__rows", 0) == 0 and res.source_count == 0:
+                log.info("NO_DATA", MSG["NO_DATA"])
+                res.status = "SUCCESS"
+                return res
             res.per_rule = outcome.per_rule(counts)
             res.rejected_rows = counts["__rejected_rows"]
             res.rejected_count = outcome.violation_record_count(counts)
@@ -197,6 +205,13 @@ def _run_job(spark: SparkSession, spec: JobSpec, store: RunStore | None, run_typ
             valid = outcome.valid()
             log.info("VALIDATION_DONE", MSG["VALIDATION_DONE"].format(n=counts["__rows"] - res.rejected_rows))
 
+        # rules were given but none applies: no violation pass observed the
+        # source, so probe it before a FULL_LOAD could truncate the target
+        if spec.rules and (outcome is None or not outcome.rules) and raw_src.isEmpty():
+            log.info("NO_DATA", MSG["NO_DATA"])
+            res.status = "SUCCESS"
+            return res
+
         # -- load
         mark_col = None
         if strategy == "INCREMENTAL" and cp_col and spec.mark_from == "valid":
