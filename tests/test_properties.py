@@ -43,3 +43,19 @@ def test_trim_matches_model(spark, values):
 def test_concat_matches_model(spark, values, position, glue):
     got = spark_values(spark, values, "CONCAT", {"value": glue, "position": position})
     assert got == [glue + v if position == "prefix" else v + glue for v in values]
+
+
+def py_int(s: str):
+    import re
+    t = s.strip(" ")
+    if not re.fullmatch(r"[+-]?[0-9]+", t):
+        return None
+    v = int(t)
+    return v if -2**31 <= v < 2**31 else None
+
+
+@settings(max_examples=20, deadline=None)
+@given(st.lists(st.text(alphabet="0123456789+-. x", max_size=12), min_size=1, max_size=20))
+def test_cast_int_matches_model(spark, values):
+    got = spark_values(spark, values, "CAST", {"to_type": "int"})
+    assert got == [py_int(v) for v in values]
