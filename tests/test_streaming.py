@@ -63,3 +63,17 @@ def test_csv_stream_applies_null_tokens(spark, sf_small):
     assert got.count() == cust.count()
     assert got.where("seg is null").count() == cust.where("seg = 'N/A'").count()
     assert dict(got.dtypes)["c_custkey"] == "bigint"
+
+
+def test_table_stream(spark, sf_small):
+    name = "tw_stream_nation"
+    spark.sql(f"drop table if exists {name}")
+    spark.read.parquet(f"{sf_small}/nation.parquet").write.saveAsTable(name)
+    store = RunStore(spark, scratch_path(spark, "st_tbl_store"))
+    spec = JobSpec(name="sttbl", source=SourceSpec(kind="table", table=name),
+                   target=TargetSpec(kind="parquet", path=scratch_path(spark, "st_tbl_tgt")), load_strategy="APPEND",
+                   rules=(V("RANGE", "n_regionkey", {"max": 3}),))
+    q = start_stream(spark, spec, name, None, fmt="table", store=store)
+    q.awaitTermination()
+    assert spark.read.parquet(spec.target.path).count() == 20
+    spark.sql(f"drop table if exists {name}")
