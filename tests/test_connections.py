@@ -91,3 +91,26 @@ def test_discovery_queries():
     assert logical_db_type(PG, "character varying") == "VARCHAR"
     assert logical_db_type({"type": "MYSQL"}, "datetime") == "TIMESTAMP"
     assert logical_db_type(PG, "timestamp without time zone") == "TIMESTAMP WITHOUT TIME ZONE"
+
+
+def test_cli_inspection_commands(spark, sf_small, tmp_path, capsys):
+    from tidewater.__main__ import main
+    store = str(tmp_path / "store")
+    spec = {"name": "cli2", "source_config": {"kind": "parquet", "path": f"{sf_small}/region.parquet"},
+            "target_config": {"kind": "parquet", "path": str(tmp_path / "out")},
+            "validation_rules": [{"rule_type": "RANGE", "column": "r_regionkey", "params": {"max": 2}}]}
+    p = tmp_path / "spec.json"
+    p.write_text(json.dumps(spec))
+    assert main(["run", str(p), "--store", store], spark=spark) == 0
+    run_id = json.loads(capsys.readouterr().out.strip().splitlines()[-1])["run_id"]
+    assert main(["preview", str(p), "--rows", "2"], spark=spark) == 0
+    assert len(capsys.readouterr().out.strip().splitlines()) == 2
+    assert main(["describe", str(p)], spark=spark) == 0
+    assert '"name": "r_regionkey"' in capsys.readouterr().out
+    assert main(["runs", "--store", store], spark=spark) == 0
+    assert run_id in capsys.readouterr().out
+    assert main(["logs", "--store", store, "--run", run_id], spark=spark) == 0
+    assert "JOB_SUCCESS" in capsys.readouterr().out
+    assert main(["rejected", "--store", store, "--run", run_id], spark=spark) == 0
+    assert len(capsys.readouterr().out.strip().splitlines()) == 2
+    assert spark.range(1).count() == 1  # the shared session is still alive

@@ -48,7 +48,8 @@ def _print_rows(df, limit: int | None = None) -> None:
         print(json.dumps(r.asDict(recursive=True), default=str, ensure_ascii=False))
 
 
-def main(argv=None) -> int:
+def main(argv=None, spark=None) -> int:
+    """Run one command; ``spark`` reuses a session (and leaves it running)."""
     p = argparse.ArgumentParser(prog="tidewater")
     # unset: spark-submit / the cluster configuration decides
     p.add_argument("--master", default=None)
@@ -78,7 +79,8 @@ def main(argv=None) -> int:
         q.add_argument("--limit", type=int, default=100 if name == "rejected" else 10)
     args = p.parse_args(argv)
 
-    spark = _session(args)
+    own = spark is None
+    spark = _session(args) if own else spark
     try:
         if args.cmd == "run":
             from tidewater.plans.runner import run_job
@@ -114,7 +116,8 @@ def main(argv=None) -> int:
         print(json.dumps({"error": e.code, "message": e.message, "detail": e.detail}, ensure_ascii=False))
         return 2
     finally:
-        spark.stop()
+        if own:
+            spark.stop()
 
 
 if __name__ == "__main__":
