@@ -59,3 +59,20 @@ def py_int(s: str):
 def test_cast_int_matches_model(spark, values):
     got = spark_values(spark, values, "CAST", {"to_type": "int"})
     assert got == [py_int(v) for v in values]
+
+
+@settings(max_examples=12, deadline=None)
+@given(st.lists(st.datetimes(min_value=__import__("datetime").datetime(1900, 1, 1),
+                             max_value=__import__("datetime").datetime(2099, 12, 31)), min_size=1, max_size=10),
+       st.sampled_from(["%Y-%m-%d %H:%M:%S", "%d/%m/%Y %H:%M", "%Y%m%d%H%M%S", "%m/%d/%Y %I:%M:%S %p",
+                        "%Y-%m-%dT%H:%M:%S.%f", "%d.%m.%Y", "%Y/%j"]))
+def test_strftime_translation_roundtrip(spark, values, fmt):
+    """Python formats the value; Spark parses it back with the translated pattern."""
+    import datetime as dt
+    from tidewater.functions.formats import strftime_to_spark
+    texts = [v.strftime(fmt) for v in values]
+    df = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "i int, t string")
+    got = [r.p for r in df.select("i", F.try_to_timestamp("t", F.lit(strftime_to_spark(fmt))).cast("timestamp_ntz")
+                                  .alias("p")).orderBy("i").collect()]
+    want = [dt.datetime.strptime(t, fmt) for t in texts]
+    assert got == want
