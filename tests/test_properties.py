@@ -76,3 +76,14 @@ def test_strftime_translation_roundtrip(spark, values, fmt):
                                   .alias("p")).orderBy("i").collect()]
     want = [dt.datetime.strptime(t, fmt) for t in texts]
     assert got == want
+
+
+@settings(max_examples=15, deadline=None)
+@given(st.lists(st.text(alphabet="abŞşğİı 12٣\t-", max_size=12), min_size=1, max_size=15),
+       st.sampled_from([r"\w+", r"\d", r"[a-z]+", r"\s+", r"(\w)(\w)"]))
+def test_replace_matches_unicode_regex_model(spark, values, pattern):
+    import re
+    repl = "<$2$1>" if "(" in pattern else "#"
+    got = spark_values(spark, values, "REPLACE", {"from": pattern, "to": repl})
+    py_repl = r"<\2\1>" if "(" in pattern else "#"
+    assert got == [re.sub(pattern, py_repl, v) for v in values]
