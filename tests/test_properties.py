@@ -87,3 +87,32 @@ def test_replace_matches_unicode_regex_model(spark, values, pattern):
     got = spark_values(spark, values, "REPLACE", {"from": pattern, "to": repl})
     py_repl = r"<\2\1>" if "(" in pattern else "#"
     assert got == [re.sub(pattern, py_repl, v) for v in values]
+
+
+def py_upsert(target, source):
+    """target: [(k, v, t)] unique k; source: [(k|None, v, ord)] unique ord."""
+    out = {k: (k, v, t) for k, v, t in target}
+    best = {}
+    for k, v, o in source:
+        if k is not None and (k not in best or o > best[k][1]):
+            best[k] = (v, o)
+    for k, (v, _) in best.items():
+        out[k] = (k, v, out[k][2]) if k in out else (k, v, None)
+    rows = list(out.values()) + [(None, v, None) for k, v, o in source if k is None]
+    return sorted(rows, key=repr)
+
+
+@settings(max_examples=15, deadline=None)
+@given(st.lists(st.integers(0, 8), unique=True, max_size=8),
+       st.lists(st.tuples(st.one_of(st.none(), st.integers(0, 12)), st.one_of(st.none(), st.text("xyz", max_size=2))),
+                max_size=15))
+def test_upsert_matches_model(spark, tkeys, src):
+    from tidewater.operators.merge import upsert
+    target = [(k, f"t{k}", f"keep{k}") for k in tkeys]
+    source = [(k, v, i) for i, (k, v) in enumerate(src)]
+    tdf = spark.createDataFrame(target, "k int, v string, t string")
+    sdf = spark.createDataFrame(source, "k int, v string, o int")
+    want = py_upsert(target, source)
+    for limit in (1 << 40, 0):  # broadcast plan, shuffled plan
+        got = sorted(map(tuple, upsert(tdf, sdf, ["k"], "o", plan="auto", broadcast_limit=limit).collect()), key=repr)
+        assert got == want
