@@ -116,3 +116,30 @@ def test_upsert_matches_model(spark, tkeys, src):
     for limit in (1 << 40, 0):  # broadcast plan, shuffled plan
         got = sorted(map(tuple, upsert(tdf, sdf, ["k"], "o", plan="auto", broadcast_limit=limit).collect()), key=repr)
         assert got == want
+
+
+@settings(max_examples=15, deadline=None)
+@given(st.lists(st.tuples(st.one_of(st.none(), st.integers(0, 6)), st.one_of(st.none(), st.sampled_from(["x1", "y", "xx"]))),
+                min_size=1, max_size=25))
+def test_validation_matches_model(spark, rows):
+    import re
+    from collections import Counter
+
+    from tidewater.operators.validate import validate
+    from tidewater.spec import ValidationRule as V
+    data = [(i, k, s) for i, (k, s) in enumerate(rows)]
+    df = spark.createDataFrame(data, "id int, k int, s string")
+    rules = [V("NOT_NULL", "s"), V("RANGE", "k", {"max": 3}), V("UNIQUE", "k", {}, "WARN"),
+             V("REGEX", "s", {"pattern": "^x"}, "WARN")]
+    counts = Counter(k for _, k, _ in data)
+    fails = {
+        "NOT_NULL": {i for i, _, s in data if s is None},
+        "RANGE": {i for i, k, _ in data if k is not None and k > 3},
+        "UNIQUE": {i for i, k, _ in data if counts[k] > 1},
+        "REGEX": {i for i, _, s in data if s is not None and not re.search("^x", s)},
+    }
+    vo = validate(df, rules)
+    assert sorted(r.id for r in vo.valid().collect()) == \
+        sorted(i for i, _, _ in data if i not in fails["NOT_NULL"] | fails["RANGE"])
+    got = sorted((r.id, r.error_rule) for r in vo.violations(row_key=["id"], include_source=False).collect())
+    assert got == sorted((i, rule) for rule, ids in fails.items() for i in ids)
