@@ -143,3 +143,31 @@ def test_validation_matches_model(spark, rows):
         sorted(i for i, _, _ in data if i not in fails["NOT_NULL"] | fails["RANGE"])
     got = sorted((r.id, r.error_rule) for r in vo.violations(row_key=["id"], include_source=False).collect())
     assert got == sorted((i, rule) for rule, ids in fails.items() for i in ids)
+
+
+@settings(max_examples=15, deadline=None)
+@given(st.lists(st.one_of(st.none(), st.sampled_from(["a", "b", "c", "d"])), min_size=1, max_size=20),
+       st.lists(st.tuples(st.sampled_from(["a", "b", "c"]), st.sampled_from(["X", "Y", "Z"])), max_size=4),
+       st.one_of(st.none(), st.just("E")))
+def test_case_when_matches_model(spark, values, conds, other):
+    params = {"conditions": [{"when": w, "then": t} for w, t in conds], "else": other}
+
+    def model(v):
+        for w, t in conds:
+            if v is not None and v == w:
+                return t
+        return other
+    assert spark_values(spark, values, "CASE_WHEN", params) == [model(v) for v in values]
+
+
+@settings(max_examples=15, deadline=None)
+@given(st.lists(st.one_of(st.none(), st.integers(-5, 5)), min_size=1, max_size=20),
+       st.sampled_from(["0", "7", "n/a", ""]))
+def test_coalesce_type_directed_model(spark, values, default):
+    df = spark.createDataFrame([(i, v) for i, v in enumerate(values)], "i int, c bigint")
+    c, t = apply_transform(F.col("c"), T.LongType(), "COALESCE", {"default": default})
+    got = [r.o for r in df.select("i", c.alias("o")).orderBy("i").collect()]
+    if default.lstrip("-").isdigit():
+        assert isinstance(t, T.LongType) and got == [int(default) if v is None else v for v in values]
+    else:
+        assert isinstance(t, T.StringType) and got == [default if v is None else str(v) for v in values]
