@@ -171,3 +171,25 @@ def test_coalesce_type_directed_model(spark, values, default):
         assert isinstance(t, T.LongType) and got == [int(default) if v is None else v for v in values]
     else:
         assert isinstance(t, T.StringType) and got == [default if v is None else str(v) for v in values]
+
+
+@settings(max_examples=15, deadline=None)
+@given(st.lists(st.tuples(st.integers(1990, 2030), st.integers(0, 13), st.integers(0, 32), st.booleans(),
+                          st.sampled_from(["", "x", " "])), min_size=1, max_size=20))
+def test_date_format_rule_matches_model(spark, parts):
+    import datetime as dt
+
+    from tidewater.operators.validate import validate
+    from tidewater.spec import ValidationRule as V
+    texts = [(f"{y}-{m:02d}-{d:02d}" if pad else f"{y}-{m}-{d}") + tail for y, m, d, pad, tail in parts]
+
+    def bad(t):
+        try:
+            dt.datetime.strptime(t, "%Y-%m-%d")
+            return False
+        except ValueError:
+            return True
+    df = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "i int, s string")
+    vo = validate(df, [V("DATE_FORMAT", "s", {"format": "%Y-%m-%d"})])
+    got = sorted(r.i for r in vo.violations(row_key=["i"], include_source=False).collect())
+    assert got == [i for i, t in enumerate(texts) if bad(t)]
