@@ -103,8 +103,11 @@ class ValidationOutcome:
             return empty.select("*", *[F.lit(None).cast(t).alias(n) for n, t in (
                 ("rule_index", "int"), ("error_column", "string"), ("error_rule", "string"),
                 ("error_message", "string"), ("action", "string"))])
+        # explode the array of optional records, then drop the empty slots
+        # (a plain Filter; no interpreted higher-order function)
         exploded = (base.where(self.any_failure)
-                    .select(*sel, F.explode(F.filter(F.array(*recs), lambda x: x.isNotNull())).alias("__v")))
+                    .select(*sel, F.explode(F.array(*recs)).alias("__v"))
+                    .where(F.col("__v").isNotNull()))
         keep = [c for c in exploded.columns if c != "__v"]
         return exploded.select(*[F.col(_q(c)) for c in keep], "__v.*")
 
