@@ -280,3 +280,21 @@ def test_skipped_rules_keep_the_true_source_count(spark, sf_small, store):
     spec = orders_spec(spark, sf_small, rules=(V("NOT_NULL", "no_such_column"),))
     res = run_job(spark, spec, store)
     assert res.source_count == 1500 and res.success_count == 1500
+
+
+def test_failed_run_does_not_move_the_mark(spark, sf_small, store):
+    from tidewater.errors import ValidationStop
+    ev = spark.read.parquet(f"{sf_small}/events.parquet")
+    src_dir = scratch_path(spark, "markfail_src")
+    ev.where("ts < '2024-01-10'").write.parquet(src_dir)
+    base = dict(name="markfail", source=SourceSpec(kind="parquet", path=src_dir, checkpoint_col="ts"),
+                target=TargetSpec(kind="parquet", path=scratch_path(spark, "markfail_tgt")),
+                load_strategy="INCREMENTAL")
+    first = run_job(spark, JobSpec(**base), store)
+    ev.where("ts >= '2024-01-10' and ts < '2024-01-20'").write.mode("append").parquet(src_dir)
+    with pytest.raises(ValidationStop):
+        run_job(spark, JobSpec(rules=(V("RANGE", "value", {"max": -1}, "STOP"),), **base), store)
+    assert store.mark_of("markfail")["checkpoint_value"] == first.mark
+    third = run_job(spark, JobSpec(**base), store)  # re-reads what the failed run did not load
+    assert third.source_count == ev.where("ts >= '2024-01-10' and ts < '2024-01-20'").count()
+    assert store.mark_of("markfail")["checkpoint_value"] == third.mark > first.mark
