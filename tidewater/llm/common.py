@@ -39,32 +39,38 @@ def held_out(doc_id: Column) -> Column:
     return F.coalesce(fold(doc_id) == 0, F.lit(False))
 
 
-def labelled(docs: DataFrame, labels: DataFrame, label: str) -> DataFrame:
-    """(doc_id, text, y) of the rows that may be learned from: a non-NULL text,
-    a label of 0 or 1, an id outside the held-out fold.
+def sample_ids(keys: DataFrame, by: str, most: int, seed: int = 7) -> DataFrame:
+    """(doc_id, ``by``): at most ``most`` ids for each value of ``by``, the first in the order of a hash of the id.
 
-    Repeated label rows of an id count once (the largest label); a doc_id that
-    occurs several times in ``docs`` gives one row each.
+    ``keys`` has the columns doc_id and ``by``; NULLs are left out.  Rows far
+    behind the bound fall out by their hash before anything is shuffled, so no
+    value, however hot, gathers more than about ``most`` ids in one task.  The
+    choice does not depend on how the input is partitioned.
     """
-    y = (labels.where(F.col(label).isin(0, 1) & (fold(F.col("doc_id")) != 0))
-         .groupBy("doc_id").agg(F.max(label).cast("int").alias("y")))
-    return docs.select("doc_id", "text").where(F.col("text").isNotNull()).join(y, "doc_id")
+    from pyspark.sql.window import Window
 
+    h = F.xxhash64("doc_id", F.lit(seed))
+    keys = keys.select("doc_id", by).where(F.col("doc_id").isNotNull() & F.col(by).isNotNull())
+    n = keys.groupBy(by).agg(F.count("*").alias("_n"))
+    near = (keys.withColumn("_h", h).join(n, by)
+            .where((F.col("_h") / F.lit(2.0 ** 64) + 0.5) * F.col("_n") < 1.2 * most + 100))
+    order = Window.partitionBy(by).orderBy("_h", "doc_id")
+    return near.select("doc_id", by, "_h").distinct().withColumn("_r", F.row_number().over(order)).where(F.col("_r") <= most).select("doc_id", by)
 
-def bounded_sample(df: DataFrame, by: str, most: int, seed: int = 7) -> DataFrame:
-    """At most ``most`` rows for each value of ``by``, the first in the order of
-    a hash of their id: the same rows however the input is partitioned.
 
-    The rank filter is pushed below the shuffle (a task keeps at most ``most``
-    rows of a value), so no value gathers its rows in one task.
-    """
-    from pyspark.sql.window import Window
+def sample_texts(docs: DataFrame, ids: DataFrame, on: list[str]) -> DataFrame:
+    """(``ids`` columns, text), one row for each id: the ids (a bounded set) are broadcast, so only their texts
+    leave the scan.  Of several texts of an id the first in text order is taken."""
+    found = docs.select(*on, "text").where(F.col("text").isNotNull()).join(F.broadcast(ids), on)
+    return found.groupBy(*ids.columns).agg(F.min("text").alias("text"))
+
 
-    order = Window.partitionBy(by).orderBy("_h", "doc_id", "_t")
-    keys = (df.select("doc_id", by, F.xxhash64(F.col("doc_id"), F.lit(seed)).alias("_h"),
-                      F.xxhash64("text").alias("_t"), "text")
-            .withColumn("_r", F.row_number().over(order)).where(F.col("_r") <= most))
-    return keys.drop("_h", "_t", "_r")
+def labelled(docs: DataFrame, labels: DataFrame, label: str, most: int) -> DataFrame:
+    """(doc_id, y, text) of at most ``most`` rows of each label that may be learned from: a label of 0 or 1 and
+    an id outside the held-out fold.  Repeated label rows of an id count once (the largest label)."""
+    y = (labels.where(F.col(label).isin(0, 1) & (fold(F.col("doc_id")) != 0))
+         .groupBy("doc_id").agg(F.max(label).cast("int").alias("y")))
+    return sample_texts(docs, sample_ids(y, "y", most), ["doc_id"])
 
 
 def map_texts(df: DataFrame, keep: list[str], make, fields: list[T.StructField], text: str = "text") -> DataFrame:
@@ -89,7 +95,7 @@ def map_texts(df: DataFrame, keep: list[str], make, fields: list[T.StructField],
                 ids + [c if isinstance(c, pa.Array) else pa.array(c) for c in (columns[f.name] for f in fields)],
                 names=[*keep, *(f.name for f in fields)])
 
-    return df.select(*keep, text).mapInArrow(run, schema)
+    return df.select(*keep, F.col(text).alias("__text")).mapInArrow(run, schema)
 
 
 def collect_texts(df: DataFrame, *columns: str) -> list[tuple]:

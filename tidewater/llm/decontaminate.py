@@ -248,6 +248,26 @@ def find(docs: DataFrame, items: DataFrame, keep: list[str] | None = None) -> Da
     return reduce(DataFrame.unionByName, out) if out else spark.createDataFrame([], T.StructType([docs.schema[c] for c in keep] + fields))
 
 
+def remove(docs: DataFrame, items: DataFrame) -> DataFrame:
+    """The rows of ``docs``, all columns, that no item contaminates; one pass for each block of items, no join."""
+    usable = items.select("item_id", "text").where(F.length("text") > 0)
+    names = docs.columns
+    for block, idf, average in _blocks(usable):
+        shared = docs.sparkSession.sparkContext.broadcast(
+            Index([i for i, _ in block], [t for _, t in block], idf, average, to_arrow_type(items.schema["item_id"].dataType)))
+
+        def make(shared=shared):
+            search = _searcher(shared.value)
+
+            def work(texts):
+                clean = np.ones(len(texts), dtype=bool)
+                clean[np.array(search(texts)[0], dtype=np.int64)] = False
+                return None, {"__clean": clean}
+            return work
+        docs = C.map_texts(docs, names, make, [T.StructField("__clean", T.BooleanType())]).where("__clean").drop("__clean")
+    return docs
+
+
 def _searcher(index: Index):
     def work(texts):
         best: dict = {}

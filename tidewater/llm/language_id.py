@@ -150,8 +150,8 @@ def _margin(entropy: np.ndarray, events: np.ndarray) -> np.ndarray:
 
 def fit(spark: SparkSession, docs: DataFrame, max_train: int = MAX_TRAIN) -> dict | None:
     """The model, its calibration and its rejection limit, from the rows outside the held-out fold."""
-    rows = docs.where(F.col("lang").isNotNull() & F.col("text").isNotNull() & (C.fold(F.col("doc_id")) != 0))
-    sample = C.bounded_sample(rows.select("doc_id", "text", F.col("lang").cast("string").alias("lang")), "lang", max_train)
+    rows = docs.select("doc_id", F.col("lang").cast("string").alias("lang"), "text").where(C.fold(F.col("doc_id")) != 0)
+    sample = C.sample_texts(rows, C.sample_ids(rows, "lang", max_train), ["doc_id", "lang"])
     sample = sample.withColumn("_part", F.pmod(F.xxhash64("doc_id", F.lit(11)), F.lit(3)))
 
     def make():

@@ -42,7 +42,7 @@ from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -238,9 +238,40 @@ def contract(edges: DataFrame) -> DataFrame | None:
 # -- classes ---------------------------------------------------------------------------------------
 
 
+def _key(text: Column) -> Column:
+    return F.unhex(F.sha2(text.cast("binary"), 256))
+
+
 def classes(docs: DataFrame) -> DataFrame:
     """One row for each row of ``docs``: doc_id, class_id (see the module)."""
-    rows = docs.select("doc_id", F.unhex(F.sha2(F.col("text").cast("binary"), 256)).alias("key"), "text")
+    signed, final = _classes(docs)
+    # a text held by a third of all rows is a skewed key on this side only
+    out = signed.select("doc_id", "key", "weight").join(final.select("key", "class_id"), "key", "left")
+    return out.select("doc_id", F.when(F.coalesce(F.col("weight"), F.lit(0.0)) > 0, F.col("class_id")).otherwise(F.col("doc_id")).alias("class_id"))
+
+
+def keep_one(docs: DataFrame) -> DataFrame:
+    """The rows of ``docs``, all columns, that stay: one for each class (the smallest doc_id; of repeated rows of
+    that id and text any one), and all without words."""
+    names = docs.columns
+    signed, final = _classes(docs)
+    stay = materialize(final.where("first").select(F.col("key").alias("__key"), F.col("first_id").alias("__id")), "kept-keys")
+    blank = F.length(F.trim(F.coalesce(F.col("text"), F.lit("")), F.lit(C.SQL_BREAKS))) == 0
+    # one column to join by: a hot text is one key on one side, and no row leaves twice
+    rows = docs.withColumn("__key", _key(F.col("text")))
+    kept = rows.where(~blank).join(stay, (rows["__key"] == stay["__key"]) & rows["doc_id"].eqNullSafe(stay["__id"]), "left_semi")
+    again = materialize(signed.where("weight > 0").groupBy("doc_id", "key").agg(F.count("*").alias("n")).where("n > 1")
+                        .select(F.col("key").alias("__key"), F.col("doc_id").alias("__id")), "repeated-rows")
+    if not again.isEmpty():
+        same = (kept["__key"] == again["__key"]) & kept["doc_id"].eqNullSafe(again["__id"])
+        kept = kept.join(again, same, "left_anti").unionByName(kept.join(again, same, "left_semi").dropDuplicates(["doc_id", "__key"]))
+    return kept.select(*names).unionByName(docs.where(blank))
+
+
+def _classes(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(doc_id, key, weight, ... of each row), (key, class_id, first_id, first) of each distinct text with words;
+    ``first`` marks the text that stands for its class."""
+    rows = docs.select("doc_id", _key(F.col("text")).alias("key"), "text")
     fields = [T.StructField("weight", T.DoubleType()), T.StructField("bands", T.ArrayType(T.LongType())), T.StructField("sketch", T.BinaryType())]
     signed = materialize(C.map_texts(rows, ["doc_id", "key"], _sign, fields), "signatures")
     nodes = (signed.where("weight > 0").groupBy("key").agg(F.min("doc_id").alias("first_id"), F.first("bands").alias("bands"), F.first("sketch").alias("sketch"))
@@ -251,7 +282,7 @@ def classes(docs: DataFrame) -> DataFrame:
     shared = spread.groupBy("b").agg(F.count("*").alias("n"), F.min("node").alias("pivot")).where("n > 1").drop("n")
     members = materialize(spread.join(shared, "b"), "members")
     used = members.select("node").distinct().join(nodes.select("node", "key"), "node")
-    texts = materialize(docs.select(F.unhex(F.sha2(F.col("text").cast("binary"), 256)).alias("key"), "text").join(used, "key")
+    texts = materialize(docs.select(_key(F.col("text")).alias("key"), "text").join(used, "key")
                         .groupBy("node").agg(F.first("text").alias("text")), "texts")
     pairs = materialize(members.where("node != pivot").select(F.col("pivot").alias("u"), F.col("node").alias("v")).distinct(), "pairs")
     tried, links, labels, pivots = pairs, None, None, 1
@@ -267,16 +298,15 @@ def classes(docs: DataFrame) -> DataFrame:
             if members.isEmpty() or members.groupBy("b").agg(F.count("*").alias("n")).agg(F.max("n")).first()[0] <= pivots:
                 break
         tried = tried.unionByName(pairs)
-    known = nodes.select("key", "node", "first_id")
+    named = nodes.select("key", "node", "first_id")
     if labels is None:
-        final = known.select("key", F.col("first_id").alias("class_id"))
+        named = named.withColumn("label", F.col("node"))
     else:
-        merged = known.join(labels, "node", "left").withColumn("label", F.coalesce("label", "node"))
-        smallest = merged.groupBy("label").agg(F.min("first_id").alias("class_id"))
-        final = merged.join(smallest, "label").select("key", "class_id")
-    # a text held by a third of all rows is a skewed key on this side only
-    out = signed.select("doc_id", "key", "weight").join(final, "key", "left")
-    return out.select("doc_id", F.when(F.coalesce(F.col("weight"), F.lit(0.0)) > 0, F.col("class_id")).otherwise(F.col("doc_id")).alias("class_id"))
+        named = named.join(labels, "node", "left").withColumn("label", F.coalesce("label", "node"))
+    order = F.struct(F.col("first_id").isNull().alias("none"), "first_id", "node")
+    heads = named.groupBy("label").agg(F.min(order).alias("head"))
+    final = named.join(heads, "label").select("key", F.col("head.first_id").alias("class_id"), "first_id", (F.col("node") == F.col("head.node")).alias("first"))
+    return signed, final
 
 
 def _undecided(members: DataFrame, labels: DataFrame | None) -> DataFrame:

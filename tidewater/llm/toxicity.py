@@ -153,7 +153,7 @@ def worst_word(texts: list, table: np.ndarray) -> np.ndarray:
 
 def fit(docs: DataFrame, labels: DataFrame, label: str = "toxic", max_train: int = MAX_TRAIN) -> dict | None:
     """The bucket table and the calibration of the worst word's log-odds; None without labels of both kinds."""
-    got = C.collect_texts(C.bounded_sample(C.labelled(docs, labels, label), "y", max_train), "doc_id", "y", "text")
+    got = C.collect_texts(C.labelled(docs, labels, label, max_train), "doc_id", "y", "text")
     texts, y = [r[2] for r in got], np.array([r[1] for r in got], dtype=np.int64)
     # a fifth calibrates what the rest has trained
     late = np.arange(len(y)) % 5 == 4

@@ -129,8 +129,8 @@ def judge(pages: DataFrame, labelled: DataFrame | None = None, rules=RULES) -> D
         both = rows.withColumns({"y": F.lit(None).cast("int"), "_page": F.lit(True)}).unionByName(extra.withColumn("_page", F.lit(False)))
         both = with_suffix_statistics(lexical(both))
         rows, learn = both.where("_page").drop("_page"), both.where(~F.col("_page") & F.col("y").isNotNull())
-    sample = C.bounded_sample(learn.select(F.col("url").alias("doc_id"), F.col("url").alias("text"), "y"), "y", MAX_TRAIN).select(F.col("doc_id").alias("url")).distinct()
-    train = learn.join(sample, "url", "left_semi")
+    sample = C.sample_ids(learn.select(F.col("url").alias("doc_id"), "y"), "y", MAX_TRAIN).select(F.col("doc_id").alias("url"), "y")
+    train = learn.join(F.broadcast(sample), ["url", "y"], "left_semi")
     kinds = {r["y"] for r in train.select("y").distinct().collect()}
     final = F.coalesce(F.col("_ruled"), F.when(F.col("score") > 0.5, "block").otherwise("allow")).alias("verdict")
     if kinds != {0, 1}:
