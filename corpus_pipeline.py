@@ -26,14 +26,15 @@ from tidewater.session import materialize
 
 def keep_good(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Rows that the quality classifier scores at or above its threshold."""
-    names = docs.columns
     model = quality_classifier.fit(docs, C.table(spark, sf_dir, "labels"))
-    return quality_classifier.score(docs, model, names).where(F.col("score") >= quality_classifier.CUT).select(*names)
+    scored = quality_classifier.score(docs, model, docs.columns, "__score")
+    return scored.where(F.col("__score") >= quality_classifier.CUT).drop("__score")
 
 
 def keep_by_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Rows that pass the base rules and the limits of their language and source."""
-    return quality_rules.judge(docs).where("kept").select(*docs.columns)
+    rows = docs.select(F.struct("*").alias("__row"), "text", "lang", "source")
+    return quality_rules.judge(rows, carry=["__row"]).where("kept").select("__row.*")
 
 
 def keep_one_copy(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

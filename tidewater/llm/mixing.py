@@ -166,13 +166,13 @@ def fit_rates(table: DataFrame, target: np.ndarray) -> list[np.ndarray]:
 
 
 def mix(docs: DataFrame, labelled: DataFrame, targets: dict[str, float], keep: list[str] | None = None) -> DataFrame:
-    """``keep`` columns of each row, n_tokens, domain (the likeliest), posterior, rate, copies."""
-    keep = keep or ["doc_id"]
+    """``keep`` columns of each row (but those named like the operator's own), n_tokens, domain (the likeliest),
+    posterior, rate, copies."""
+    keep = [c for c in keep or ["doc_id"] if c not in ("n_tokens", "domain", "posterior", "rate", "copies")]
     model = fit(docs, labelled)
     weight = np.array([max(0.0, targets.get(d, 0.0)) for d in model["domains"]])
-    carried = [*dict.fromkeys([*keep, "doc_id"])]
     seed = docs.withColumn("__draw", F.xxhash64("doc_id", "text") / F.lit(2.0 ** 64) + 0.5)
-    table = materialize(posteriors(seed, model, [*carried, "__draw"]), "posteriors")
+    table = materialize(posteriors(seed, model, [*keep, "__draw"]), "posteriors")
     steps = fit_rates(table, weight / weight.sum()) if weight.sum() > 0 else []
     n = len(model["domains"])
     schema = T.StructType([*table.schema.fields, T.StructField("rate", T.DoubleType())])

@@ -70,7 +70,9 @@ def fields(names: list[str], separator: str = "\n\n") -> tuple[Column, Column]:
 def attribute(starts: np.ndarray, ends: np.ndarray, lows: np.ndarray, highs: np.ndarray, rule: str):
     """Tokens ``[starts, ends)`` joined to sections ``[lows, highs)`` (both sorted): count, share and crossing tokens of each section."""
     n = len(lows)
-    if n and ((highs <= lows).any() or (lows[1:] < highs[:-1]).any()):
+    if not n:
+        return np.zeros(0, dtype=np.int64), np.zeros(0), np.zeros(0, dtype=np.int64)
+    if ((highs <= lows).any() or (lows[1:] < highs[:-1]).any()):
         raise ValueError("sections must not be empty or overlap")
     a = np.searchsorted(lows, starts, side="right") - 1  # section of the first byte
     b = np.searchsorted(lows, ends - 1, side="right") - 1
@@ -106,6 +108,7 @@ def count_sections(docs: DataFrame, spans: Column | None = None, rule: str = "fi
         T.StructField("n_tokens", T.LongType()), T.StructField("n_crossing", T.LongType()), T.StructField("token_share", T.DoubleType())])
     rows = docs.select(*keep, F.col(text).alias("_text"), *([spans.alias("_spans")] if spans is not None else []))
     rows = rows.where(F.length("_text") > 0)
+    own_spans = spans is not None
 
     def run(batches):
         import pyarrow as pa
@@ -113,7 +116,7 @@ def count_sections(docs: DataFrame, spans: Column | None = None, rule: str = "fi
         enc, size = encoder(vocabulary, pattern)
         for batch in batches:
             ids = [batch.column(i) for i in range(len(keep))]
-            given = batch.column(len(keep) + 1).to_pylist() if spans is not None else None
+            given = batch.column(len(keep) + 1).to_pylist() if own_spans else None
             at, out = [], {f.name: [] for f in schema.fields[len(keep):]}
 
             def flush():

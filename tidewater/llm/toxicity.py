@@ -180,8 +180,8 @@ def _middle(z: np.ndarray, y: np.ndarray) -> float:
     return float(edges[best[len(best) // 2]])
 
 
-def score(docs: DataFrame, model: dict | None, keep: list[str] | None = None) -> DataFrame:
-    """``keep`` columns of each row and its ``score`` (0 to 1; 0.5 where both labels are as likely)."""
+def score(docs: DataFrame, model: dict | None, keep: list[str] | None = None, name: str = "score") -> DataFrame:
+    """``keep`` columns of each row and its score, as column ``name`` (0 to 1; 0.5 where both labels are as likely)."""
     shared = docs.sparkSession.sparkContext.broadcast(model)  # BUCKETS numbers
 
     def make():
@@ -189,11 +189,11 @@ def score(docs: DataFrame, model: dict | None, keep: list[str] | None = None) ->
 
         def work(texts):
             if own is None:
-                return None, {"score": np.zeros(len(texts))}
+                return None, {name: np.zeros(len(texts))}
             z = np.clip(worst_word(texts, own["table"]), -30, 30)
-            return None, {"score": C.logistic(own["slope"] * (z - own["cut"]))}
+            return None, {name: C.logistic(own["slope"] * (z - own["cut"]))}
         return work
-    return C.map_texts(docs, keep or ["doc_id"], make, [T.StructField("score", T.DoubleType())])
+    return C.map_texts(docs, keep or ["doc_id"], make, [T.StructField(name, T.DoubleType())])
 
 
 def op5_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
