@@ -8,6 +8,7 @@ A predicate never yields NULL: a NULL outcome is a pass.
 
 from __future__ import annotations
 
+import decimal
 from typing import Any
 
 from pyspark.sql import Column
@@ -23,7 +24,7 @@ from tidewater.fixed import (
     UNKNOWN_RULE_MESSAGE,
 )
 from tidewater.functions.formats import strftime_to_spark
-from tidewater.functions.transforms import _python_literal_fits, translate_pattern, typed_literal
+from tidewater.functions.transforms import _WIDE, _python_literal_fits, int_range, translate_pattern, typed_literal
 
 ROW_LOCAL_RULES = ("NOT_NULL", "REGEX", "RANGE", "DATE_FORMAT")
 POPULATION_RULES = ("UNIQUE", "DUPLICATE_CHECK")
@@ -44,12 +45,38 @@ def _py_repr(v: Any) -> str:
     return str(v)
 
 
-def _bound(value: Any, t: T.DataType) -> Column:
+def _outside(c: Column, value: Any, t: T.DataType, low: bool) -> Column:
+    """``c`` below (``low``) or above the bound, NULL for a NULL value.
+
+    The bound is brought to the column's type on the driver without changing
+    any outcome: a fraction between two of the type's values is moved to the one
+    inside, a bound beyond the type's range makes all values fail or none.
+    """
     if isinstance(t, T.StringType):
-        return F.lit(str(value))
-    if not _python_literal_fits(value, t):
-        raise JobError("SPEC_INVALID", f"RANGE bound {value!r} does not fit column type {t.simpleString()}")
-    return typed_literal(value, t)
+        return c < F.lit(str(value)) if low else c > F.lit(str(value))
+    whole = isinstance(t, (T.ByteType, T.ShortType, T.IntegerType, T.LongType))
+    if isinstance(value, bool) or not (whole or isinstance(t, T.DecimalType)):
+        if not _python_literal_fits(value, t):
+            raise JobError("SPEC_INVALID", f"RANGE bound {value!r} does not fit column type {t.simpleString()}")
+        return c < typed_literal(value, t) if low else c > typed_literal(value, t)
+    try:
+        d = decimal.Decimal(str(value).strip())
+    except decimal.InvalidOperation:
+        raise JobError("SPEC_INVALID", f"RANGE bound {value!r} does not fit column type {t.simpleString()}") from None
+    if d.is_nan():
+        return F.lit(False)
+    if whole:
+        least, most = (decimal.Decimal(x) for x in int_range(t))
+        unit = decimal.Decimal(1)
+    else:
+        unit = decimal.Decimal(1).scaleb(-t.scale)
+        most = decimal.Decimal(10) ** (t.precision - t.scale) - unit
+        least = -most
+    if d > most or d < least:
+        return F.lit((d > most) == low) & c.isNotNull()
+    inside = d.quantize(unit, rounding=decimal.ROUND_CEILING if low else decimal.ROUND_FLOOR, context=_WIDE)
+    bound = F.lit(str(inside)).cast(t)
+    return c < bound if low else c > bound
 
 
 def row_predicate(rule_type: str, c: Column, t: T.DataType, params: dict[str, Any]) -> Column | None:
@@ -68,9 +95,9 @@ def row_predicate(rule_type: str, c: Column, t: T.DataType, params: dict[str, An
         lo, hi = params.get("min"), params.get("max")
         fail = F.lit(False)
         if lo is not None:
-            fail = fail | F.coalesce(c < _bound(lo, t), F.lit(False))
+            fail = fail | F.coalesce(_outside(c, lo, t, True), F.lit(False))
         if hi is not None:
-            fail = fail | F.coalesce(c > _bound(hi, t), F.lit(False))
+            fail = fail | F.coalesce(_outside(c, hi, t, False), F.lit(False))
         return fail
     if rt == "DATE_FORMAT":
         fmt = strftime_to_spark(str(params.get("format") or DEFAULT_DATE_FORMAT))

@@ -8,6 +8,7 @@ expression that Catalyst compiles into a single whole-stage-codegen Project.
 from __future__ import annotations
 
 import datetime as _dt
+import decimal
 from dataclasses import dataclass, field
 from typing import Any
 
@@ -52,6 +53,16 @@ def spark_type(name: str) -> T.DataType:
 # literals typed against a column
 # ---------------------------------------------------------------------------
 
+#: arithmetic on bounds and defaults, far wider than any column
+_WIDE = decimal.Context(prec=400, Emax=999999, Emin=-999999)
+_INT_BITS = {T.ByteType: 8, T.ShortType: 16, T.IntegerType: 32, T.LongType: 64}
+
+
+def int_range(t: T.DataType) -> tuple[int, int]:
+    half = 1 << (_INT_BITS[type(t)] - 1)
+    return -half, half - 1
+
+
 def _python_literal_fits(value: Any, t: T.DataType) -> bool:
     """Driver-side check whether a literal converts to ``t`` without loss."""
     if value is None:
@@ -63,11 +74,15 @@ def _python_literal_fits(value: Any, t: T.DataType) -> bool:
         if isinstance(t, (T.ByteType, T.ShortType, T.IntegerType, T.LongType)):
             if isinstance(value, bool):
                 return False
-            if isinstance(value, int):
-                return True
-            int(s)
-            return True
-        if isinstance(t, (T.FloatType, T.DoubleType, T.DecimalType)):
+            lo, hi = int_range(t)
+            return lo <= (value if isinstance(value, int) else int(s)) <= hi
+        if isinstance(t, T.DecimalType):
+            if isinstance(value, bool):
+                return False
+            d = decimal.Decimal(s)
+            return d.is_finite() and d == d.quantize(decimal.Decimal(1).scaleb(-t.scale), context=_WIDE) \
+                and abs(d) < decimal.Decimal(10) ** (t.precision - t.scale)
+        if isinstance(t, (T.FloatType, T.DoubleType)):
             if isinstance(value, bool):
                 return False
             float(s)
@@ -80,7 +95,7 @@ def _python_literal_fits(value: Any, t: T.DataType) -> bool:
             return True
         if isinstance(t, T.StringType):
             return True
-    except (ValueError, TypeError):
+    except (ValueError, TypeError, decimal.InvalidOperation):
         return False
     return False
 
@@ -97,13 +112,16 @@ def typed_literal(value: Any, t: T.DataType) -> Column:
 def fill_nulls(c: Column, t: T.DataType, default: Any) -> tuple[Column, T.DataType]:
     """COALESCE / DEFAULT_VALUE / NULL_HANDLING(fill).
 
-    The default keeps the column type when it converts to it; otherwise the
+    The default keeps the column type when it converts to it without loss; an
+    integer beyond the column's range widens the column to bigint; otherwise the
     column becomes text (the common supertype of a value and a string).
     """
     if default is None:
         return c, t
     if _python_literal_fits(default, t):
         return F.coalesce(c, typed_literal(default, t)), t
+    if isinstance(t, tuple(_INT_BITS)) and _python_literal_fits(default, T.LongType()):
+        return F.coalesce(c.cast("bigint"), typed_literal(default, T.LongType())), T.LongType()
     return F.coalesce(as_string(c, t), F.lit(str(default))), T.StringType()
 
 

@@ -95,9 +95,10 @@ def flag_duplicates(df: DataFrame, cols: list[str], flag: str, base: DataFrame |
     dup_set = duplicate_keys(base if base is not None else df, cols)
     small = False
     if materialize_keys:
-        from tidewater.session import materialize_sized
+        from tidewater.session import materialize_sized, memory_bytes
         dup_set, size = materialize_sized(dup_set.select("__h", *[F.col(_q(c)) for c in cols]), "dupkeys")
-        small = size <= broadcast_limit(df)
+        # files are compressed: what counts is the size in memory
+        small = size <= broadcast_limit(df) and memory_bytes(dup_set) <= broadcast_limit(df)
     dups = dup_set.select(
         F.col("__h").alias("__dh"),
         *[F.col(_q(c)).alias(k) for c, k in zip(cols, keys)],

@@ -50,8 +50,8 @@ def align_to_schema(df: DataFrame, target: T.StructType, defaults: dict[str, Any
     """Select ``df`` in the target's column order, by name.
 
     Absent target columns get their declared default (or NULL); a frame column
-    the target does not have is an error.  ``cast=True`` converts with
-    ``try_cast`` to the target types.
+    the target does not have is an error.  ``cast=True`` converts to the
+    target types as :func:`align_types` does.
     """
     tnames = [f.name for f in target.fields]
     extra = [c for c in df.columns if c not in set(tnames)]
@@ -62,12 +62,47 @@ def align_to_schema(df: DataFrame, target: T.StructType, defaults: dict[str, Any
     for f in target.fields:
         if f.name in have:
             c = F.col(_q(f.name))
-            cols.append((c.try_cast(f.dataType) if cast else c).alias(f.name))
+            cols.append((strict_cast(c, df.schema[f.name].dataType, f) if cast else c).alias(f.name))
         else:
             cols.append(default_column(f.name, f.dataType, defaults).alias(f.name))
     return df.select(*cols)
 
 
+_NUMBERS = (T.ByteType, T.ShortType, T.IntegerType, T.LongType, T.FloatType, T.DoubleType, T.DecimalType)
+_TIMES = (T.DateType, T.TimestampType, T.TimestampNTZType)
+
+
+def strict_cast(c: Column, have: T.DataType, target: T.StructField) -> Column:
+    """``c`` as the target's type, never turning a value into NULL.
+
+    Kinds that do not convert (text into a number, a struct into anything) are
+    refused here; a value outside the target's range fails the write.
+    """
+    want = target.dataType
+    if have == want or isinstance(have, T.NullType):
+        return c if have == want else c.cast(want)
+    kinds = [(_NUMBERS, _NUMBERS), (_TIMES, _TIMES)]
+    simple = isinstance(want, T.StringType) and not isinstance(have, (T.StructType, T.ArrayType, T.MapType, T.BinaryType))
+    if not simple and not any(isinstance(have, a) and isinstance(want, b) for a, b in kinds):
+        raise JobError("WRITE_FAILED", f"column {target.name}: {have.simpleString()} does not fit the target's {want.simpleString()}")
+    out = c.cast(want)
+    if simple or not (isinstance(have, _NUMBERS) and isinstance(want, _NUMBERS)):
+        return out
+    # whatever the session's cast does on overflow, a lost value stops the job
+    lost = c.isNotNull() & c.try_cast(want).isNull()
+    message = F.concat(F.lit(f"value out of range for {target.name} {want.simpleString()}: "), c.cast("string"))
+    return F.when(lost, F.raise_error(message).cast(want)).otherwise(c.try_cast(want))
+
+
+def align_types(source: DataFrame, target: T.StructType) -> DataFrame:
+    """The source's columns, those that the target has in its types (see
+    :func:`strict_cast`); keys are compared and inserted in the target's type."""
+    want = {f.name: f for f in target.fields}
+    return source.select(*[
+        (strict_cast(F.col(_q(f.name)), f.dataType, want[f.name]) if f.name in want else F.col(_q(f.name))).alias(f.name)
+        for f in source.schema.fields])
+
+
 def dedup_last(source: DataFrame, keys: list[str], order_by: str | None) -> DataFrame:
     """One row per key: the one with the greatest ``order_by`` value.
 
@@ -139,7 +174,7 @@ def merge_shuffled(target: DataFrame, keyed: DataFrame, null_key_rows: DataFrame
         if c in keys:
             out.append(F.coalesce(F.col(f"__s_{c}"), F.col(f"__t_{c}")).alias(c))
         elif c in keyed.columns:
-            out.append(F.when(s_hit, F.col(f"__s_{c}").cast(ttypes[c])).otherwise(F.col(f"__t_{c}")).alias(c))
+            out.append(F.when(s_hit, F.col(f"__s_{c}")).otherwise(F.col(f"__t_{c}")).alias(c))
         else:
             out.append(F.when(t_hit, F.col(f"__t_{c}")).otherwise(default_column(c, ttypes[c], defaults)).alias(c))
     return j.select(*out).unionByName(_null_key_inserts(null_key_rows, target, order_by, defaults))
@@ -169,7 +204,7 @@ def merge_broadcast(target: DataFrame, keyed: DataFrame, null_key_rows: DataFram
         if c in keys or c not in keyed.columns:
             existing.append(target[_q(c)].alias(c))
         else:
-            existing.append(F.when(s_hit, F.col(f"__s_{c}").cast(ttypes[c])).otherwise(target[_q(c)]).alias(c))
+            existing.append(F.when(s_hit, F.col(f"__s_{c}")).otherwise(target[_q(c)]).alias(c))
     updated = j.select(*existing)
     src_keys = keyed.select(*[F.col(_q(k)) for k in keys])
     matched = target.select(*[F.col(_q(k)) for k in keys]).join(F.broadcast(src_keys), keys, "left_semi")
@@ -200,15 +235,16 @@ def plan_upsert(target: DataFrame, source: DataFrame, keys: list[str] | tuple[st
     """
     keys = list(keys)
     _check_upsert(target, source, keys, order_by)
-    keyed, null_key_rows = split_source(source, keys, order_by)
+    # one alignment for update, insert and NULL-key rows, in either plan
+    keyed, null_key_rows = split_source(align_types(source, target.schema), keys, order_by)
     executed: list[DataFrame] = []
     if plan == "auto":
-        from tidewater.session import materialize_sized
+        from tidewater.session import materialize_sized, memory_bytes
         executed.append(keyed)
         keyed, size = materialize_sized(keyed, "upsert-source")
         limit = broadcast_limit
         if limit is None:
             limit = int(target.sparkSession.conf.get(BROADCAST_LIMIT_CONF, str(DEFAULT_BROADCAST_LIMIT)))
-        if size <= limit:
+        if size <= limit and memory_bytes(keyed) <= limit:
             return merge_broadcast(target, keyed, null_key_rows, keys, order_by, defaults), executed
     return merge_shuffled(target, keyed, null_key_rows, keys, order_by, defaults), executed

@@ -4,8 +4,10 @@ from __future__ import annotations
 
 import contextlib
 import os
+import re
 import tempfile
 import uuid
+from contextvars import ContextVar
 
 from pyspark.sql import SparkSession
 
@@ -102,7 +104,7 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
         return current.rstrip("/")
     conf_dir = spark.conf.get("spark.checkpoint.dir", None) or sc.getConf().get("spark.checkpoint.dir", None)
     if not conf_dir:
-        if not str(sc.master).startswith("local"):
+        if not re.fullmatch(r"local(\[.*\])?", str(sc.master)):
             # a machine-local folder is not visible to the executors of a cluster
             from tidewater.errors import JobError
             raise JobError("SPEC_INVALID", "set spark.checkpoint.dir to a folder shared by the cluster "
@@ -112,7 +114,8 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
     return (sc.getCheckpointDir() or conf_dir).rstrip("/")
 
 
-_SCOPES: list[list[str]] = []
+# folders of the run that is going on in this thread (runs in other threads have their own)
+_SCOPE: ContextVar[list[str] | None] = ContextVar("tidewater_scratch", default=None)
 
 
 def scratch_path(spark: SparkSession, name: str) -> str:
@@ -122,8 +125,9 @@ def scratch_path(spark: SparkSession, name: str) -> str:
     """
     base = ensure_checkpoint_dir(spark)
     path = f"{base}/tidewater-scratch/{name}-{uuid.uuid4().hex[:12]}"
-    if _SCOPES:
-        _SCOPES[-1].append(path)
+    owned = _SCOPE.get()
+    if owned is not None:
+        owned.append(path)
     return path
 
 
@@ -132,11 +136,12 @@ def scratch_scope(spark: SparkSession):
     """Remove the intermediate folders created inside the block (materialised
     duplicate keys, UPSERT sources) once it is done; used around a run, whose
     outputs are all written by then."""
-    _SCOPES.append([])
+    paths: list[str] = []
+    token = _SCOPE.set(paths)
     try:
         yield
     finally:
-        paths = _SCOPES.pop()
+        _SCOPE.reset(token)
         jvm = spark.sparkContext._jvm
         conf = spark.sparkContext._jsc.hadoopConfiguration()
         for path in paths:
@@ -180,6 +185,27 @@ def materialize_sized(df, name: str):
     return spark.read.parquet(path), int(size)
 
 
+def memory_bytes(df) -> int:
+    """Bytes of ``df``'s values in memory, uncompressed: text by its length,
+    nested values by their JSON length, the rest by the width of its type.
+    One aggregate; meant for frames just materialised."""
+    from pyspark.sql import functions as F
+    from pyspark.sql import types as T
+    fixed = {T.ByteType: 1, T.BooleanType: 1, T.ShortType: 2, T.IntegerType: 4, T.FloatType: 4, T.DateType: 4}
+    width, lengths = 16, []  # 16: a row's own overhead
+    for f in df.schema.fields:
+        c = F.col("`" + f.name.replace("`", "``") + "`")
+        width += fixed.get(type(f.dataType), 8)
+        if isinstance(f.dataType, (T.StringType, T.BinaryType)):
+            lengths.append(F.octet_length(c))
+        elif isinstance(f.dataType, (T.StructType, T.ArrayType, T.MapType)):
+            lengths.append(F.octet_length(F.to_json(F.struct(c.alias("v")))))
+    each = F.lit(width).cast("long")
+    for n in lengths:
+        each = each + F.coalesce(n, F.lit(0))
+    return int(df.agg(F.coalesce(F.sum(each), F.lit(0)).alias("b")).first()["b"])
+
+
 def parse_bytes(text) -> int:
     """Spark byte-size strings: ``134217728``, ``134217728b``, ``128m``, ``1g``."""
     t = str(text).strip().lower().rstrip("b")

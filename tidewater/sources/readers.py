@@ -146,6 +146,7 @@ def infer_types(df: DataFrame) -> T.StructType:
         c = F.col(_q(n))
         exprs += [
             F.count_if(c.isNotNull() & ~c.rlike(_INT_RE)).alias(f"{n}__int"),
+            F.count_if(c.rlike(_INT_RE) & c.try_cast("bigint").isNull()).alias(f"{n}__big"),
             F.count_if(c.isNotNull() & ~(c.rlike(_INT_RE) | c.rlike(_FLOAT_RE))).alias(f"{n}__dbl"),
             F.count_if(c.isNotNull() & ~c.rlike(_BOOL_RE)).alias(f"{n}__bool"),
             F.count(c).alias(f"{n}__nn"),
@@ -155,6 +156,8 @@ def infer_types(df: DataFrame) -> T.StructType:
     for n in names:
         if row[f"{n}__nn"] == 0:
             t: T.DataType = T.StringType()
+        elif row[f"{n}__big"]:
+            t = T.StringType()  # integers beyond 64 bits stay as they are written
         elif row[f"{n}__int"] == 0:
             t = T.LongType()
         elif row[f"{n}__dbl"] == 0:
@@ -169,17 +172,26 @@ def infer_types(df: DataFrame) -> T.StructType:
 
 def read_csv(spark: SparkSession, path: str, sep: str = ",", encoding: str = "UTF-8", header: bool = True,
              null_tokens=CSV_NULL_TOKENS, schema: T.StructType | str | None = None,
-             infer: bool = True) -> DataFrame:
+             infer: bool = True, multi_line: bool | None = None) -> DataFrame:
     """CSV/TSV/TXT reader.
 
+    Quoted fields may hold separators, doubled quotes and line breaks.  A row
+    with too few or too many fields fails the read.  ``multi_line`` says whether
+    quoted line breaks occur; files that have them cannot be split between
+    tasks.  None finds out by one pass over the lines (an odd number of quotes).
+
     All fields are read as text, the null tokens become NULL, then either the
     given ``schema`` is applied or types are inferred (see :func:`infer_types`).
     Dates stay text unless a schema says otherwise.
     """
     enable_charset(spark, encoding)
+    if multi_line is None:
+        odd = F.pmod(F.length("value") - F.length(F.replace("value", F.lit('"'), F.lit(""))), F.lit(2)) == 1
+        multi_line = not spark.read.text(path).where(odd).isEmpty()
     raw = (spark.read.option("header", str(header).lower()).option("sep", sep)
-           .option("encoding", encoding).option("inferSchema", "false")
-           .option("mode", "PERMISSIVE").csv(path))
+           .option("encoding", encoding).option("inferSchema", "false").option("escape", '"')
+           .option("multiLine", str(multi_line).lower()).option("columnPruning", "false")
+           .option("mode", "FAILFAST").csv(path))
     raw = normalise_null_tokens(raw, null_tokens)
     if schema is not None:
         st = T.DataType.fromDDL(schema) if isinstance(schema, str) else schema
@@ -211,7 +223,7 @@ def _load(spark: SparkSession, spec: SourceSpec) -> DataFrame:
     if kind in ("csv", "tsv", "txt"):
         sep = o.get("delimiter") or o.get("sep") or ("\t" if kind == "tsv" else ",")
         return read_csv(spark, spec.path, sep=sep, encoding=o.get("encoding", "UTF-8"),
-                        header=bool(o.get("header", True)), schema=o.get("schema"))
+                        header=bool(o.get("header", True)), schema=o.get("schema"), multi_line=o.get("multiLine"))
     if kind == "jdbc":
         kw = {k: v for k, v in o.items() if k in (
             "url", "user", "password", "driver", "schema", "fetchsize", "partition_column",

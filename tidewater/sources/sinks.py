@@ -18,16 +18,19 @@ no second pass.
 
 from __future__ import annotations
 
+import re
 import uuid
 from dataclasses import dataclass
+from functools import reduce
 
 from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from tidewater.errors import JobError
 from tidewater.fixed import ERROR_MESSAGES, LOAD_STRATEGIES
-from tidewater.operators.merge import align_to_schema, dedup_last, plan_upsert
+from tidewater.operators.merge import align_to_schema, plan_upsert, split_source
 from tidewater.plans.observed import Probe
 from tidewater.session import ensure_checkpoint_dir, materialize, rebalance_for_write
 from tidewater.spec import TargetSpec
@@ -103,20 +106,41 @@ def _writer(df: DataFrame, target: TargetSpec, mode: str):
     return w
 
 
-def read_target(spark: SparkSession, target: TargetSpec) -> DataFrame | None:
-    """The current target rows, or None when it does not exist yet."""
+def _typed_partitions(spark: SparkSession, target: TargetSpec, like: T.StructType | None) -> DataFrame:
+    """The target's files, partition columns in the types of the frame to be
+    written (text if it lacks them): folder names alone would make ``'01'`` an integer."""
+    reader = spark.read.format(target.kind)
+    if not target.partition_by:
+        return reader.load(target.path)
+    have = {f.name: f.dataType for f in like.fields} if like is not None else {}
+    found = reader.load(target.path).schema
+    fields = [T.StructField(f.name, have.get(f.name, T.StringType() if like is not None else f.dataType), True)
+              if f.name in target.partition_by else f for f in found.fields]
+    return spark.read.format(target.kind).schema(T.StructType(fields)).load(target.path)
+
+
+_NO_TABLE = re.compile(r"does(n't| not) exist|not exist|invalid object name|no such table|42S02|42P01|unknown table", re.I)
+
+
+def read_target(spark: SparkSession, target: TargetSpec, like: T.StructType | None = None) -> DataFrame | None:
+    """The current target rows, or None when it does not exist yet.
+
+    ``like`` is the schema of the frame to be written.  A CSV target is read as
+    the text it holds."""
     kind = target.kind.lower()
     if kind in PATH_KINDS:
-        recover_swaps(spark, target.path)
         if not path_exists(spark, target.path):
             return None
         try:
             if kind == "csv":
                 from tidewater.sources.readers import read_csv
-                return read_csv(spark, target.path, sep=target.options.get("delimiter", ","),
-                                encoding=target.options.get("encoding", "UTF-8"))
-            return spark.read.format(kind).load(target.path)
-        except AnalysisException:  # folder without data files (e.g. a failed first write)
+                return read_csv(spark, target.path, sep=target.options.get("delimiter", target.options.get("sep", ",")),
+                                encoding=target.options.get("encoding", "UTF-8"), null_tokens=(), infer=False,
+                                multi_line=True)
+            return _typed_partitions(spark, target, like)
+        except AnalysisException as e:  # folder without data files (e.g. a failed first write)
+            if (e.getCondition() or "") != "UNABLE_TO_INFER_SCHEMA" and "EMPTY_SCHEMA" not in str(e):
+                raise
             return None
     if kind == "table":
         return spark.read.table(target.table) if table_exists(spark, target.table) else None
@@ -126,8 +150,10 @@ def read_target(spark: SparkSession, target: TargetSpec) -> DataFrame | None:
         try:  # resolving the schema fails when the table does not exist
             return read_jdbc(spark, url=o.pop("url"), table=target.table, user=o.pop("user", None),
                              password=o.pop("password", None), driver=o.pop("driver", None))
-        except Exception:  # noqa: BLE001
-            return None
+        except Exception as e:  # noqa: BLE001 - only a missing table is "no target"; any other error must not end in an overwrite
+            if _NO_TABLE.search(str(e)):
+                return None
+            raise
     raise JobError("SPEC_INVALID", f"unknown target kind {target.kind!r}")
 
 
@@ -139,7 +165,7 @@ def _staged_replace(spark: SparkSession, df: DataFrame, target: TargetSpec) -> N
     """Write to a sibling folder, then swap it in by rename."""
     tag = uuid.uuid4().hex[:12]
     staging = f"{target.path.rstrip('/')}.__staging-{tag}"
-    retired = f"{target.path.rstrip('/')}.__retired-{tag}"
+    retired = f"{target.path.rstrip('/')}.__retiredall-{tag}"
     _writer(df, target, "overwrite").format(target.kind).save(staging)
     had_old = path_exists(spark, target.path)
     if had_old:
@@ -194,12 +220,13 @@ def _staged_partition_swap(spark: SparkSession, df: DataFrame, target: TargetSpe
 
 
 def recover_swaps(spark: SparkSession, path: str) -> list[str]:
-    """Undo a swap a lost driver left half done.
+    """Undo a swap a lost driver left half done; called by a writer before it reads the target.
 
-    A swap renames ``target -> target.__retired-<tag>`` (whole folder or one
-    partition directory) and then ``staging -> target``.  If the process died
-    in between, the target (or a partition of it) is missing while its data
-    sits in the retired sibling: move it back.  Returns the restored paths.
+    A whole swap renames ``target -> target.__retiredall-<tag>`` and then ``staging
+    -> target``: the retired rows are the target only while there is none.  A
+    partition swap moves single partition folders to ``target.__retired-<tag>``
+    and a new one into each one's place: a retired folder goes back only where
+    its place is empty.  Returns the restored paths.
     """
     root = path.rstrip("/")
     fs, p = _fs(spark, root)
@@ -208,17 +235,19 @@ def recover_swaps(spark: SparkSession, path: str) -> list[str]:
         return []
     restored = []
     jvm = spark.sparkContext._jvm
-    found = fs.globStatus(jvm.org.apache.hadoop.fs.Path(f"{root}.__retired-*")) or []
-    for st in found:
-        if not st.isDirectory():
-            continue
-        retired = st.getPath()
+    whole = [st.getPath() for st in fs.globStatus(jvm.org.apache.hadoop.fs.Path(f"{root}.__retiredall-*")) or [] if st.isDirectory()]
+    for retired in whole:
+        if not fs.exists(p):
+            if fs.rename(retired, p):
+                restored.append(root)
+        else:
+            fs.delete(retired, True)  # the new rows are in place
+    parts = [st.getPath() for st in fs.globStatus(jvm.org.apache.hadoop.fs.Path(f"{root}.__retired-*")) or [] if st.isDirectory()]
+    for retired in parts:
         if not fs.exists(p):
-            # the whole target was moved aside
             if fs.rename(retired, p):
                 restored.append(root)
             continue
-        # partition directories moved aside: restore the ones still missing
         stack = [("", retired)]
         while stack:
             rel, cur = stack.pop()
@@ -258,7 +287,9 @@ def write_frame(spark: SparkSession, df: DataFrame, target: TargetSpec, strategy
         raise JobError("SPEC_INVALID", f"unknown load strategy {strategy!r}")
     kind = target.kind.lower()
     ensure_checkpoint_dir(spark)
-    current = read_target(spark, target)
+    if kind in PATH_KINDS:
+        recover_swaps(spark, target.path)
+    current = read_target(spark, target, df.schema)
     if current is None and not target.create_if_not_exists:
         raise JobError("TABLE_NOT_FOUND", f"target {target.table or target.path} does not exist")
 
@@ -272,22 +303,26 @@ def write_frame(spark: SparkSession, df: DataFrame, target: TargetSpec, strategy
               and set(target.partition_by) <= set(upsert_keys))
     if strategy == "UPSERT":
         if current is None:
-            out = dedup_last(incoming, list(upsert_keys), order_by)
+            # NULL keys match nothing, on the first load as later
+            keyed, null_keys = split_source(incoming, list(upsert_keys), order_by)
+            out = keyed.unionByName(null_keys)
         elif scoped:
             # Only partitions the source touches are read, merged and replaced.
             # The partition columns are part of the key, so no row can move
             # between partitions; the touched set (one row per partition) is
             # semi-joined, which lets dynamic partition pruning skip the rest.
             parts = list(target.partition_by)
-            touched = df.select(*[F.col(_q(c)) for c in parts]).distinct()
-            current_part = current.join(touched, parts, "left_semi")
+            touched = df.select(*[F.col(_q(c)).alias(f"__p_{c}") for c in parts]).distinct()
+            same = reduce(lambda a, b: a & b, [current[_q(c)].eqNullSafe(touched[_q(f"__p_{c}")]) for c in parts])
+            current_part = current.join(touched, same, "left_semi")
             out, ran = plan_upsert(current_part, incoming, list(upsert_keys), order_by, target.defaults, plan="auto")
         else:
             out, ran = plan_upsert(current, incoming, list(upsert_keys), order_by, target.defaults, plan="auto")
     elif strategy == "OVERWRITE" or current is None:
         out = incoming
     else:
-        out = align_to_schema(incoming, current.schema, target.defaults)
+        # a CSV target has text only, whatever is written
+        out = align_to_schema(incoming, current.schema, target.defaults, cast=kind != "csv")
 
     # 2. write.  Partitioned path targets written from many tasks are
     # rebalanced on the partition columns first (AQE sizes the files and
