@@ -117,3 +117,79 @@ def test_default_outside_the_type_is_kept(spark):
 def test_memory_counts_uncompressed_text(spark):
     df = spark.createDataFrame([("x" * 10000,)] * 1000, "t string")
     assert memory_bytes(df) >= 10_000_000
+
+
+def test_streams_go_on_where_they_stopped(spark):
+    from tidewater.plans.store import RunStore
+    from tidewater.spec import JobSpec, SourceSpec
+    from tidewater.streaming.scheduled import start_stream
+    src = scratch_path(spark, "st_src")
+    spark.range(10).write.parquet(src)
+    store = RunStore(spark, scratch_path(spark, "st_store"))
+    spec = JobSpec(name="again", source=SourceSpec(kind="parquet", path=src), target=TargetSpec(kind="parquet", path=scratch_path(spark, "st_tgt")),
+                   load_strategy="APPEND")
+    for want in (10, 10):
+        start_stream(spark, spec, src, "id long", store=store).awaitTermination()
+        assert spark.read.parquet(spec.target.path).count() == want
+    spark.range(5).write.mode("append").parquet(src)
+    start_stream(spark, spec, src, "id long", store=store).awaitTermination()
+    assert spark.read.parquet(spec.target.path).count() == 15
+
+
+def test_mark_does_not_depend_on_the_hosts_zone(spark, monkeypatch):
+    import time
+    from tidewater.plans.runner import run_job
+    from tidewater.plans.store import RunStore
+    from tidewater.spec import JobSpec, SourceSpec
+    src = scratch_path(spark, "tz_src")
+    spark.sql("select timestamp'2024-01-01 12:00:00 UTC' as t, 1 as k").write.parquet(src)
+    store = RunStore(spark, scratch_path(spark, "tz_store"))
+    spec = JobSpec(name="tz", source=SourceSpec(kind="parquet", path=src, checkpoint_col="t"),
+                   target=TargetSpec(kind="parquet", path=scratch_path(spark, "tz_tgt")), load_strategy="INCREMENTAL")
+    monkeypatch.setenv("TZ", "Europe/Istanbul")
+    time.tzset()
+    try:
+        assert run_job(spark, spec, store).mark == "2024-01-01 12:00:00"
+        spark.sql("select timestamp'2024-01-01 13:00:00 UTC' as t, 2 as k").write.mode("append").parquet(src)
+        assert run_job(spark, spec, store).success_count == 1
+    finally:
+        monkeypatch.undo()
+        time.tzset()
+
+
+def test_violations_of_two_jobs_and_shapes(spark):
+    from tidewater.plans.runner import run_job
+    from tidewater.plans.store import RunStore
+    from tidewater.spec import JobSpec, SourceSpec, ValidationRule
+    store = RunStore(spark, scratch_path(spark, "vs"))
+    runs = []
+    for name, kind in (("one", "int"), ("two", "string"), ("one", "string")):
+        src = scratch_path(spark, "vs_src")
+        spark.createDataFrame([(None,), ("1",)], "a string").select(F.col("a").cast(kind)).write.parquet(src)
+        spec = JobSpec(name=name, source=SourceSpec(kind="parquet", path=src), rules=(ValidationRule("NOT_NULL", "a"),),
+                       target=TargetSpec(kind="parquet", path=scratch_path(spark, "vs_tgt")), load_strategy="OVERWRITE")
+        runs.append(run_job(spark, spec, store).run_id)
+    assert store.violations().count() == 3 and store.violations("two").count() == 1
+    one = store.violations_of(runs[0])
+    assert one.count() == 1 and "PartitionFilters: [isnotnull(run_date" in one._jdf.queryExecution().toString()
+
+
+def test_row_index_stop_and_failure_records(spark):
+    from tidewater.plans.runner import run_job
+    from tidewater.plans.store import RunStore
+    from tidewater.spec import JobSpec, SourceSpec, ValidationRule
+    src = scratch_path(spark, "ri_src")
+    spark.range(50).write.parquet(src)
+    store = RunStore(spark, scratch_path(spark, "ri_store"))
+    def spec(action):
+        return JobSpec(name="ri", source=SourceSpec(kind="parquet", path=src), rules=(ValidationRule("RANGE", "id", {"max": 39}, action),), row_index=True,
+                       target=TargetSpec(kind="parquet", path=scratch_path(spark, "ri_tgt")), load_strategy="OVERWRITE")
+    ok = run_job(spark, spec("REJECT"), store)
+    assert (ok.source_count, ok.success_count, ok.rejected_count) == (50, 40, 10)
+    stopped = run_job(spark, spec("STOP"), store, raise_on_error=False)
+    assert stopped.status == "FAILED" and stopped.rejected_count == store.violations_of(stopped.run_id).count() == 10
+    stages = [r.stage for r in store.logs().where(F.col("job_run_id") == ok.run_id).orderBy("seq").collect()]
+    assert "TARGET_CONNECTED" in stages
+    bad = run_job(spark, JobSpec(name="bad", source=SourceSpec(kind="sql", query="select raise_error('boom') as x"),
+                                 target=TargetSpec(kind="parquet", path=scratch_path(spark, "bad")), load_strategy="APPEND"), store, raise_on_error=False)
+    assert "boom" in store.runs().where(F.col("id") == bad.run_id).first().error_detail

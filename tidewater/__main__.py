@@ -67,6 +67,7 @@ def main(argv=None, spark=None) -> int:
     s.add_argument("--format", default="parquet")
     s.add_argument("--store")
     s.add_argument("--trigger", default="availableNow")
+    s.add_argument("--checkpoint", help="stream checkpoint folder (default: in the store, by job)")
     for name in ("preview", "describe"):
         q = sub.add_parser(name)
         q.add_argument("spec")
@@ -91,7 +92,7 @@ def main(argv=None, spark=None) -> int:
         if args.cmd == "stream":
             from tidewater.streaming.scheduled import start_stream
             q = start_stream(spark, _spec(args.spec), args.path, args.schema, fmt=args.format,
-                             store=_store(spark, args.store), trigger=args.trigger)
+                             store=_store(spark, args.store), trigger=args.trigger, checkpoint_location=args.checkpoint)
             q.awaitTermination()
             return 0
         if args.cmd in ("preview", "describe"):
@@ -104,9 +105,10 @@ def main(argv=None, spark=None) -> int:
         if args.cmd == "runs":
             _print_rows(history.list_runs(store.runs(), status=args.status, limit=args.limit))
         elif args.cmd == "logs":
-            _print_rows(history.run_log(store.logs(), args.run, order_cols=("seq",)))
+            logs = history.run_log(store.logs(), args.run, order_cols=("seq",))
+            _print_rows(logs if args.run else logs.limit(args.limit))
         else:
-            v = store.violations()
+            v = store.violations_of(args.run) if args.run else store.violations()
             if v is not None:
                 from tidewater.plans.store import violations_as_json
                 _print_rows(history.rejected_of_run(violations_as_json(v), args.run, limit=args.limit,

@@ -67,6 +67,7 @@ STEP_MESSAGES = {
     "SOURCE_CONNECT": "Kaynak bağlantısı başlatılıyor: {name}",
     "SOURCE_CONNECTED": "Kaynak bağlandı ({ms}ms)",
     "TARGET_CONNECT": "Hedef bağlantısı başlatılıyor: {name}",
+    "TARGET_CONNECTED": "Hedef bağlandı ({ms}ms)",
     "CHECKPOINT": "Son checkpoint: {value} [{column}]",
     "CHECKPOINT_FIRST": "İlk incremental çalışma — checkpoint yok",
     "SOURCE_READ_START": "Kaynak veri okunuyor",

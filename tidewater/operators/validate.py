@@ -135,9 +135,8 @@ class ValidationOutcome:
                 for r in self.rules if r.action == "WARN" and counts.get(r.flag, 0) > 0]
 
     def violation_record_count(self, counts: dict[str, int]) -> int:
-        """Number of violation records: every failing (row, rule) pair of the
-        rules that record one (REJECT and WARN)."""
-        return sum(counts.get(r.flag, 0) for r in self.rules if r.action != "STOP")
+        """Number of violation records: every failing (row, rule) pair, whatever the rule's action."""
+        return sum(counts.get(r.flag, 0) for r in self.rules)
 
     def per_rule(self, counts: dict[str, int]) -> list[dict]:
         return [{"rule_index": r.index, "error_rule": r.rule_type, "error_column": r.column or "",

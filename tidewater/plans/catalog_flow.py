@@ -385,7 +385,7 @@ def i_stream(spark, d):
     e = table(spark, d, "events")
     src_dir = scratch_path(spark, "i_stream_src")
     for lo, hi in (("2000-01-01", "2024-01-10"), ("2024-01-10", "2024-01-20"), ("2024-01-20", "2100-01-01")):
-        e.where((F.col("ts") >= lo) & (F.col("ts") < hi)).coalesce(1).write.mode("append").parquet(src_dir)
+        e.where((F.col("ts") >= lo) & (F.col("ts") < hi)).write.mode("append").parquet(src_dir)
     store = RunStore(spark, scratch_path(spark, "i_stream_store"))
     spec = JobSpec(name="i_stream", source=SourceSpec(kind="parquet", path=src_dir),
                    target=_target(spark, "i_stream_tgt"), load_strategy="APPEND",

@@ -21,8 +21,9 @@ import traceback
 import uuid
 from dataclasses import dataclass, field
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from tidewater.errors import JobError
 from tidewater.fixed import STEP_MESSAGES as MSG
@@ -78,6 +79,13 @@ def _q(name: str) -> str:
     return "`" + name.replace("`", "``") + "`"
 
 
+def mark_expr(df: DataFrame, name: str) -> Column:
+    """The column's maximum; instants as text in the session's zone, so that the
+    zone of the driver's host does not shift them."""
+    top = F.max(F.col(_q(name)))
+    return top.cast("string") if isinstance(df.schema[name].dataType, T.TimestampType) else top
+
+
 def mark_text(value) -> str | None:
     """The mark as stored text (``str`` of the column maximum)."""
     return None if value is None else str(value)
@@ -137,7 +145,7 @@ def _run_job(spark: SparkSession, spec: JobSpec, store: RunStore | None, run_typ
         src_exprs = [F.count(F.lit(1)).alias("rows")]
         cp_col = spec.source.checkpoint_col
         if strategy == "INCREMENTAL" and spec.mark_from == "source" and cp_col in src.columns:
-            src_exprs.append(F.max(F.col(_q(cp_col))).alias("mark"))
+            src_exprs.append(mark_expr(src, cp_col).alias("mark"))
         raw_src = src  # for emptiness probes: never run a limit-1 job through the observation
         src = src_probe.attach(src, *src_exprs)
         executed: list[DataFrame] = []  # frames whose plans ran (for the source probe)
@@ -159,6 +167,7 @@ def _run_job(spark: SparkSession, spec: JobSpec, store: RunStore | None, run_typ
 
         extra = []
         if spec.row_index:
+            executed.append(mapped)  # it is written once here, which the source probe sees
             mapped = with_row_index(mapped, "__row_number")
             extra = ["__row_number"]
 
@@ -178,7 +187,7 @@ def _run_job(spark: SparkSession, spec: JobSpec, store: RunStore | None, run_typ
                                       row_number_col=extra[0] if extra else None, frame=observed)
             viol = viol.select(F.lit(run_id).alias("job_run_id"), F.lit(spec.id).alias("pipeline_id"), "*",
                                F.lit(started).alias("created_at"), F.lit(started.date()).alias("run_date"))
-            store.append_violations(viol)
+            store.append_violations(viol, spec.id)
             executed.append(viol)
             got = rule_probe.result(viol)
             if not got:
@@ -223,10 +232,11 @@ def _run_job(spark: SparkSession, spec: JobSpec, store: RunStore | None, run_typ
             log.info("TARGET_WRITE_DONE", f"TEST: {res.success_count:,} rows, target not written")
         else:
             log.info("TARGET_WRITE_START", MSG["TARGET_WRITE_START"].format(strategy=strategy))
-            obs_exprs = [F.max(F.col(_q(mark_col))).alias("mark")] if mark_col else []
+            obs_exprs = [mark_expr(valid, mark_col).alias("mark")] if mark_col else []
             wr = write_frame(spark, valid, spec.target, strategy, spec.upsert_keys, spec.order_by,
                              spec.batch_size, obs_exprs)
             res.success_count = wr.rows_written
+            log.info("TARGET_CONNECTED", MSG["TARGET_CONNECTED"].format(ms=wr.connect_ms))
             log.info("TARGET_WRITE_DONE", MSG["TARGET_WRITE_DONE"].format(n=wr.rows_written))
             new_mark = (wr.observed or {}).get("mark") if mark_col else None
             if strategy == "INCREMENTAL" and spec.mark_from == "source":
@@ -264,7 +274,8 @@ def _run_job(spark: SparkSession, spec: JobSpec, store: RunStore | None, run_typ
             "source_count": res.source_count, "target_count": res.success_count,
             "success_count": res.success_count, "error_count": 0 if res.status == "SUCCESS" else None,
             "rejected_count": res.rejected_count, "rejected_rows": res.rejected_rows,
-            "error_message": res.error_message, "error_detail": None, "created_at": started,
+            "error_message": res.error_message,
+            "error_detail": next((r["detail"] for r in reversed(log.rows) if r["level"] == "ERROR"), None), "created_at": started,
             "checkpoint_column": spec.source.checkpoint_col if res.mark is not None else None,
             "checkpoint_value": res.mark if res.status == "SUCCESS" else None,
         }

@@ -4,8 +4,9 @@
   run produced and its step log as an array of structs.  The whole record is
   one append, so a run, its log and its mark become visible together (or not
   at all).
-* ``violations`` — one row per (row, failing rule), partitioned by run date
-  so per-run reads prune; the failing row is kept as a typed struct.
+* ``violations`` — one row per (row, failing rule), a folder for each job and
+  row shape, in it one for each run date (:meth:`violations_of` reads only
+  those of its run); the failing row is kept as a typed struct.
 
 Views: :meth:`logs` explodes the step logs, :meth:`marks` is the latest mark
 per job (an aggregate over successful runs).  Append-only keeps writers from
@@ -15,11 +16,14 @@ ever overwriting something a reader uses.
 from __future__ import annotations
 
 import datetime as _dt
+import hashlib
 from dataclasses import dataclass
+from functools import reduce
 
 from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from tidewater.session import ensure_checkpoint_dir
 
@@ -42,6 +46,11 @@ def utcnow() -> _dt.datetime:
     return _dt.datetime.now(_dt.timezone.utc).replace(tzinfo=None)
 
 
+def _short(text: str) -> str:
+    """A folder name for any text."""
+    return hashlib.sha1(text.encode()).hexdigest()[:16]
+
+
 @dataclass
 class RunStore:
     spark: SparkSession
@@ -91,18 +100,49 @@ class RunStore:
         rows = self.marks().where(F.col("pipeline_id") == pipeline_id).collect()
         return rows[0].asDict() if rows else None
 
-    def violations(self) -> DataFrame | None:
-        """All violation records (None before the first one was written).
+    def _shapes(self, pipeline_id: str | None = None) -> list[str]:
+        """Folders of the violations, one for each job and row shape."""
+        from tidewater.sources.sinks import _fs
+        job = "job=*" if pipeline_id is None else f"job={_short(pipeline_id)}"
+        fs, p = _fs(self.spark, self.path(f"violations/{job}/shape=*"))
+        return sorted(st.getPath().toString() for st in fs.globStatus(p) or [] if st.isDirectory())
 
-        Each job has its own row shape (key columns, typed ``source_data``), so
-        there is no fixed schema; appends with no records leave no files.
+    def violations(self, pipeline_id: str | None = None) -> DataFrame | None:
+        """Violation records of all jobs, or of one (None before the first one was written).
+
+        Every folder holds rows of one shape.  Where shapes differ, columns are
+        united by name; one that has several types becomes JSON text.
         """
-        if not self._exists("violations"):
+        frames = []
+        for path in self._shapes(pipeline_id):
+            try:
+                frames.append(self.spark.read.parquet(path))
+            except AnalysisException as e:  # only empty appends so far
+                if (e.getCondition() or "") != "UNABLE_TO_INFER_SCHEMA":
+                    raise
+        if not frames:
             return None
-        try:
-            return self.spark.read.option("mergeSchema", "true").parquet(self.path("violations"))
-        except Exception:  # noqa: BLE001 - only empty appends so far
+        kinds: dict[str, set] = {}
+        for f in frames:
+            for x in f.schema.fields:
+                kinds.setdefault(x.name, set()).add(x.dataType.simpleString())
+        mixed = [n for n, k in kinds.items() if len(k) > 1]
+        if mixed:
+            def text(f, n):
+                nested = isinstance(f.schema[n].dataType, (T.StructType, T.ArrayType, T.MapType))
+                return F.to_json(F.col(n)) if nested else F.col(n).cast("string")
+            frames = [f.withColumns({n: text(f, n) for n in mixed if n in f.columns}) for f in frames]
+        return reduce(lambda x, y: x.unionByName(y, allowMissingColumns=True), frames)
+
+    def violations_of(self, run_id: str) -> DataFrame | None:
+        """Violation records of one run: its job's folders, pruned to the day it started."""
+        run = self.runs().where(F.col("id") == run_id).select("pipeline_id", "started_at").first()
+        found = self.violations(run.pipeline_id) if run else self.violations()
+        if found is None:
             return None
+        if run:
+            found = found.where(F.col("run_date") == F.lit(run.started_at.date()))
+        return found.where(F.col("job_run_id") == run_id)
 
     # ----------------------------------------------------------------- writes
     def append_run(self, record: dict, logs: list[dict]) -> None:
@@ -127,13 +167,15 @@ class RunStore:
         _staged_replace(self.spark, self.runs_with_logs().repartition(n),
                         TargetSpec(kind="parquet", path=self.path("runs")))
 
-    def append_violations(self, df: DataFrame) -> None:
+    def append_violations(self, df: DataFrame, pipeline_id: str) -> None:
         """Distributed append.  Violations are a sparse filter over the whole
         scan: written straight from a million scan tasks they would make a
         million tiny files, so such plans are rebalanced first (AQE sizes the
         output files by bytes; see :func:`tidewater.session.rebalance_for_write`)."""
         from tidewater.session import rebalance_for_write
-        rebalance_for_write(df).write.mode("append").partitionBy("run_date").parquet(self.path("violations"))
+        shape = _short(df.schema.simpleString())
+        rebalance_for_write(df).write.mode("append").partitionBy("run_date").parquet(
+            self.path(f"violations/job={_short(pipeline_id)}/shape={shape}"))
 
 
 def violations_as_json(violations: DataFrame) -> DataFrame:

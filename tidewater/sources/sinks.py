@@ -19,6 +19,7 @@ no second pass.
 from __future__ import annotations
 
 import re
+import time
 import uuid
 from dataclasses import dataclass
 from functools import reduce
@@ -47,6 +48,7 @@ class WriteResult:
     rows_written: int
     rows_skipped: int = 0
     observed: dict | None = None
+    connect_ms: int = 0
 
 
 # ---------------------------------------------------------------------------
@@ -289,7 +291,9 @@ def write_frame(spark: SparkSession, df: DataFrame, target: TargetSpec, strategy
     ensure_checkpoint_dir(spark)
     if kind in PATH_KINDS:
         recover_swaps(spark, target.path)
+    began = time.monotonic()
     current = read_target(spark, target, df.schema)
+    connect_ms = int((time.monotonic() - began) * 1000)
     if current is None and not target.create_if_not_exists:
         raise JobError("TABLE_NOT_FOUND", f"target {target.table or target.path} does not exist")
 
@@ -369,4 +373,4 @@ def write_frame(spark: SparkSession, df: DataFrame, target: TargetSpec, strategy
         code = "TARGET_CONNECTION_FAILED" if kind == "jdbc" and is_connection_error(e) else "WRITE_FAILED"
         raise JobError(code, ERROR_MESSAGES["WRITE_FAILED"].format(what=target.table or target.path), str(e))
     got = probe.result(out, *ran)  # {} when the incoming rows were provably empty
-    return WriteResult(rows_written=int(got.get("rows", 0) or 0), observed=dict(got))
+    return WriteResult(rows_written=int(got.get("rows", 0) or 0), observed=dict(got), connect_ms=connect_ms)

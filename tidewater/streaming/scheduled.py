@@ -2,7 +2,8 @@
 
 A file (or table) stream feeds ``foreachBatch``; every micro-batch is one run
 of the job (map, validate, load, run record).  The stream's own checkpoint
-(under the shared checkpoint folder unless given) tracks which input was
+(in the run store unless given, one for each job, so a
+restart loads nothing twice) tracks which input was
 processed, so no high-water mark is needed and late files are not skipped.
 
 ``trigger="availableNow"`` processes what exists and stops (a scheduled run);
@@ -21,7 +22,6 @@ are idempotent anyway.
 from __future__ import annotations
 
 import hashlib
-import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -29,7 +29,6 @@ from pyspark.sql.streaming import StreamingQuery
 
 from tidewater.plans.runner import run_job
 from tidewater.plans.store import RunStore
-from tidewater.session import ensure_checkpoint_dir
 from tidewater.spec import JobSpec
 
 
@@ -74,7 +73,8 @@ def start_stream(spark: SparkSession, spec: JobSpec, path: str, schema, fmt: str
     the given schema's types to every batch, as the batch CSV reader does.
     """
     store = store or RunStore.default(spark)
-    loc = checkpoint_location or f"{ensure_checkpoint_dir(spark)}/tidewater-streams/{spec.id}-{uuid.uuid4().hex[:8]}"
+    # the same job and store go on where they stopped
+    loc = checkpoint_location or store.path(f"streams/{hashlib.sha1(spec.id.encode()).hexdigest()[:16]}")
     reader = spark.readStream
     if max_files_per_trigger:
         reader = reader.option("maxFilesPerTrigger", int(max_files_per_trigger))
@@ -83,11 +83,13 @@ def start_stream(spark: SparkSession, spec: JobSpec, path: str, schema, fmt: str
         stream = reader.table(path)
     elif fmt in ("csv", "tsv"):
         from pyspark.sql import types as T
-        from tidewater.sources.readers import normalise_null_tokens
+        from tidewater.sources.readers import enable_charset, normalise_null_tokens
         typed = T.DataType.fromDDL(schema) if isinstance(schema, str) else schema
         text = T.StructType([T.StructField(f.name, T.StringType(), True) for f in typed.fields])
         o = dict(spec.source.options)
-        stream = (reader.schema(text).option("header", "true")
+        enable_charset(spark, o.get("encoding"))
+        stream = (reader.schema(text).option("header", "true").option("escape", '"')
+                  .option("multiLine", str(bool(o.get("multiLine", False))).lower())
                   .option("sep", o.get("delimiter") or ("\t" if fmt == "tsv" else ","))
                   .option("encoding", o.get("encoding", "UTF-8")).csv(path))
 
