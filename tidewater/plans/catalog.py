@@ -2,8 +2,9 @@
 
 from __future__ import annotations
 
-from tidewater.plans import catalog_core, catalog_flow
+from tidewater.plans import catalog_core, catalog_flow, catalog_lossless
 
 REGISTRY: dict = {}
 REGISTRY.update(catalog_core.QUERIES)
 REGISTRY.update(catalog_flow.QUERIES)
+REGISTRY.update(catalog_lossless.QUERIES)

@@ -100,7 +100,10 @@ def _writer(df: DataFrame, target: TargetSpec, mode: str):
     if target.kind == "csv":
         from tidewater.sources.readers import enable_charset
         enable_charset(df.sparkSession, opts.get("encoding"))
-        w = w.option("header", "true").option("sep", opts.pop("delimiter", opts.pop("sep", ",")))
+        sep = opts.pop("sep", ",")
+        # values come back as they are: quotes doubled, no white space trimmed
+        w = (w.option("header", "true").option("sep", opts.pop("delimiter", sep)).option("escape", '"')
+             .option("ignoreLeadingWhiteSpace", "false").option("ignoreTrailingWhiteSpace", "false"))
     for k, v in opts.items():
         w = w.option(k, str(v))
     if target.partition_by:
@@ -299,34 +302,40 @@ def write_frame(spark: SparkSession, df: DataFrame, target: TargetSpec, strategy
 
     # 1. the frame to write; the Observation counts the incoming rows as
     #    they stream into the write (for UPSERT: the source side of the merge)
+    # (an UPSERT's source is written while planning, so planning can fail as a write does)
     probe = Probe("write")
     exprs = [F.count(F.lit(1)).alias("rows")] + list(observe_exprs or [])
     incoming = probe.attach(df, *exprs)
     ran: list[DataFrame] = []  # frames executed while planning (materialised UPSERT source)
     scoped = (strategy == "UPSERT" and current is not None and kind in PATH_KINDS and target.partition_by
               and set(target.partition_by) <= set(upsert_keys))
-    if strategy == "UPSERT":
-        if current is None:
-            # NULL keys match nothing, on the first load as later
-            keyed, null_keys = split_source(incoming, list(upsert_keys), order_by)
-            out = keyed.unionByName(null_keys)
-        elif scoped:
-            # Only partitions the source touches are read, merged and replaced.
-            # The partition columns are part of the key, so no row can move
-            # between partitions; the touched set (one row per partition) is
-            # semi-joined, which lets dynamic partition pruning skip the rest.
-            parts = list(target.partition_by)
-            touched = df.select(*[F.col(_q(c)).alias(f"__p_{c}") for c in parts]).distinct()
-            same = reduce(lambda a, b: a & b, [current[_q(c)].eqNullSafe(touched[_q(f"__p_{c}")]) for c in parts])
-            current_part = current.join(touched, same, "left_semi")
-            out, ran = plan_upsert(current_part, incoming, list(upsert_keys), order_by, target.defaults, plan="auto")
+    try:
+        if strategy == "UPSERT":
+            if current is None:
+                # NULL keys match nothing, on the first load as later
+                keyed, null_keys = split_source(incoming, list(upsert_keys), order_by)
+                out = keyed.unionByName(null_keys)
+            elif scoped:
+                # Only partitions the source touches are read, merged and replaced.
+                # The partition columns are part of the key, so no row can move
+                # between partitions; the touched set (one row per partition) is
+                # semi-joined, which lets dynamic partition pruning skip the rest.
+                parts = list(target.partition_by)
+                touched = df.select(*[F.col(_q(c)).alias(f"__p_{c}") for c in parts]).distinct()
+                same = reduce(lambda a, b: a & b, [current[_q(c)].eqNullSafe(touched[_q(f"__p_{c}")]) for c in parts])
+                current_part = current.join(touched, same, "left_semi")
+                out, ran = plan_upsert(current_part, incoming, list(upsert_keys), order_by, target.defaults, plan="auto")
+            else:
+                out, ran = plan_upsert(current, incoming, list(upsert_keys), order_by, target.defaults, plan="auto")
+        elif strategy == "OVERWRITE" or current is None:
+            out = incoming
         else:
-            out, ran = plan_upsert(current, incoming, list(upsert_keys), order_by, target.defaults, plan="auto")
-    elif strategy == "OVERWRITE" or current is None:
-        out = incoming
-    else:
-        # a CSV target has text only, whatever is written
-        out = align_to_schema(incoming, current.schema, target.defaults, cast=kind != "csv")
+            # a CSV target has text only, whatever is written
+            out = align_to_schema(incoming, current.schema, target.defaults, cast=kind != "csv")
+    except (JobError, AnalysisException):
+        raise
+    except Exception as e:  # noqa: BLE001
+        raise JobError("WRITE_FAILED", ERROR_MESSAGES["WRITE_FAILED"].format(what=target.table or target.path), str(e))
 
     # 2. write.  Partitioned path targets written from many tasks are
     # rebalanced on the partition columns first (AQE sizes the files and
