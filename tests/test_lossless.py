@@ -193,3 +193,14 @@ def test_row_index_stop_and_failure_records(spark):
     bad = run_job(spark, JobSpec(name="bad", source=SourceSpec(kind="sql", query="select raise_error('boom') as x"),
                                  target=TargetSpec(kind="parquet", path=scratch_path(spark, "bad")), load_strategy="APPEND"), store, raise_on_error=False)
     assert "boom" in store.runs().where(F.col("id") == bad.run_id).first().error_detail
+
+
+def test_describe_table_keeps_declared_lengths(spark):
+    from tidewater.sources.readers import describe_table
+    spark.sql("drop table if exists described")
+    spark.sql("create table described (a varchar(20), b string, c char(3)) using parquet")
+    try:
+        got = {r.column_name if "column_name" in r.asDict() else r[0]: r.max_length for r in describe_table(spark, "described").collect()}
+    finally:
+        spark.sql("drop table described")
+    assert got == {"a": 20, "b": None, "c": 3}

@@ -2,22 +2,6 @@
 
 from __future__ import annotations
 
-# Error codes a run can fail with.
-ERROR_CODES = (
-    "PIPELINE_NOT_FOUND",
-    "SOURCE_CONNECTION_FAILED",
-    "TARGET_CONNECTION_FAILED",
-    "READ_FAILED",
-    "WRITE_FAILED",
-    "COLUMN_NOT_FOUND",
-    "CAST_ERROR",
-    "SCHEMA_FAILED",
-    "TABLE_NOT_FOUND",
-    "SPEC_INVALID",
-    "SCHEMA_DRIFT",
-    "VALIDATION_STOP",
-)
-
 
 class JobError(Exception):
     """A failure of one run step, with a stable ``code``."""

@@ -9,10 +9,6 @@ order; no logic lives here.
 # --- fixed values: load strategy names ------------------------------------
 LOAD_STRATEGIES = ("APPEND", "FULL_LOAD", "TRUNCATE_INSERT", "UPSERT", "INCREMENTAL", "OVERWRITE")
 
-# --- fixed values: transform names ----------------------------------------
-TRANSFORM_TYPES = ("TRIM", "UPPER", "LOWER", "REPLACE", "CAST", "TO_DATE", "TO_TIMESTAMP",
-                   "CONCAT", "SUBSTRING", "COALESCE", "DEFAULT_VALUE", "CASE_WHEN", "NULL_HANDLING")
-
 # --- fixed values: validation rule names and actions ----------------------
 VALIDATION_RULES = ("NOT_NULL", "UNIQUE", "REGEX", "RANGE", "DATE_FORMAT", "DUPLICATE_CHECK")
 ACTIONS = ("REJECT", "WARN", "STOP")
@@ -95,17 +91,6 @@ ERROR_MESSAGES = {
     "TRANSFORM_FAILED": "Dönüşüm uygulanamadı",
 }
 
-# --- fixed values: run states, log levels, run types -----------------------
-RUN_STATES = ("PENDING", "RUNNING", "SUCCESS", "FAILED", "CANCELLED")
-LOG_LEVELS = ("INFO", "WARN", "ERROR")
-RUN_TYPES = ("MANUAL", "SCHEDULED", "TEST")
-
-# --- fixed values: step-log stage names ------------------------------------
-STAGES = ("METADATA", "SOURCE_CONNECT", "SOURCE_CONNECTED", "TARGET_CONNECT", "TARGET_CONNECTED",
-          "CHECKPOINT", "SOURCE_READ_START", "SOURCE_READ_DONE", "NO_DATA", "MAPPING",
-          "TRANSFORM_DONE", "VALIDATION_START", "VALIDATION_WARN", "VALIDATION_DONE",
-          "TARGET_WRITE_START", "TARGET_WRITE_DONE", "CHECKPOINT_UPDATED", "JOB_SUCCESS", "JOB_FAILED")
-
 # --- fixed values: preview limits ------------------------------------------
 PREVIEW_DEFAULT_ROWS = 20
 PREVIEW_MAX_ROWS = 100

@@ -39,6 +39,11 @@ def _type_of(conn: dict) -> str:
     return t
 
 
+def _java_charset(name: str | None) -> str:
+    """The driver wants Java's names; the database's own ``utf8mb4`` is UTF-8."""
+    return "UTF-8" if not name or name.lower() in ("utf8", "utf8mb3", "utf8mb4") else name
+
+
 def jdbc_url(conn: dict) -> str:
     t = _type_of(conn)
     host = conn.get("host") or "localhost"
@@ -48,7 +53,7 @@ def jdbc_url(conn: dict) -> str:
     if t == "POSTGRESQL":
         return f"jdbc:postgresql://{host}:{port}/{db}?sslmode={extra.get('sslmode', 'prefer')}"
     if t == "MYSQL":
-        return f"jdbc:mysql://{host}:{port}/{db}?characterEncoding={extra.get('charset', 'utf8mb4')}"
+        return f"jdbc:mysql://{host}:{port}/{db}?characterEncoding={_java_charset(extra.get('charset'))}"
     return f"jdbc:sqlserver://{host}:{port};databaseName={db}"
 
 

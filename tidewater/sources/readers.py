@@ -312,7 +312,9 @@ def logical_type(t: T.DataType) -> tuple[str, int | None, int | None, int | None
 def describe_schema(schema: T.StructType) -> list[tuple]:
     out = []
     for i, f in enumerate(schema.fields):
-        name, p, s, ml = logical_type(f.dataType)
+        # tables give VARCHAR(n) as string and keep the declared type beside it
+        declared = (f.metadata or {}).get("__CHAR_VARCHAR_TYPE_STRING")
+        name, p, s, ml = logical_type(T.DataType.fromDDL(declared) if declared else f.dataType)
         out.append((f.name, name, bool(f.nullable), p, s, ml, i))
     return out
 

@@ -98,9 +98,6 @@ class JobSpec:
     def id(self) -> str:
         return self.job_id or self.name
 
-    def sorted_mappings(self) -> list[ColumnMapping]:
-        return sorted(self.mappings, key=lambda m: m.ordinal_position)
-
 
 def _rule_from_dict(d: dict) -> TransformRule:
     return TransformRule(
