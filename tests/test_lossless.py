@@ -204,3 +204,14 @@ def test_describe_table_keeps_declared_lengths(spark):
     finally:
         spark.sql("drop table described")
     assert got == {"a": 20, "b": None, "c": 3}
+
+
+def test_range_of_valid_rows_reaches_the_scan(spark):
+    from tidewater.operators.validate import validate
+    from tidewater.spec import ValidationRule
+    path = scratch_path(spark, "push")
+    spark.range(100).selectExpr("id", "case when id % 10 = 0 then null else id end as x").write.parquet(path)
+    valid = validate(spark.read.parquet(path), (ValidationRule("RANGE", "x", {"min": 5, "max": 50}),), persist=False).valid()
+    plan = valid._jdf.queryExecution().executedPlan().toString()
+    assert "GreaterThanOrEqual(x,5)" in plan and "LessThanOrEqual(x,50)" in plan
+    assert valid.count() == sum(i % 10 == 0 or 5 <= i <= 50 for i in range(100))

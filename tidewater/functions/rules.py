@@ -73,7 +73,7 @@ def _outside(c: Column, value: Any, t: T.DataType, low: bool) -> Column:
         most = decimal.Decimal(10) ** (t.precision - t.scale) - unit
         least = -most
     if d > most or d < least:
-        return F.lit((d > most) == low) & c.isNotNull()
+        return F.lit((d > most) == low)
     inside = d.quantize(unit, rounding=decimal.ROUND_CEILING if low else decimal.ROUND_FLOOR, context=_WIDE)
     bound = F.lit(str(inside)).cast(t)
     return c < bound if low else c > bound
@@ -93,12 +93,11 @@ def row_predicate(rule_type: str, c: Column, t: T.DataType, params: dict[str, An
         return F.coalesce(~s.rlike(translate_pattern(str(pattern))), F.lit(False))
     if rt == "RANGE":
         lo, hi = params.get("min"), params.get("max")
-        fail = F.lit(False)
-        if lo is not None:
-            fail = fail | F.coalesce(_outside(c, lo, t, True), F.lit(False))
-        if hi is not None:
-            fail = fail | F.coalesce(_outside(c, hi, t, False), F.lit(False))
-        return fail
+        fail = [_outside(c, v, t, low) for v, low in ((lo, True), (hi, False)) if v is not None]
+        if not fail:
+            return F.lit(False)
+        # NULL passes; in this form the complement, c IS NULL OR (c >= lo AND c <= hi), reaches the scan
+        return c.isNotNull() & (fail[0] | fail[1] if len(fail) == 2 else fail[0])
     if rt == "DATE_FORMAT":
         fmt = strftime_to_spark(str(params.get("format") or DEFAULT_DATE_FORMAT))
         s = c if isinstance(t, T.StringType) else c.cast("string")
