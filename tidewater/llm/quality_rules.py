@@ -35,7 +35,9 @@ from tidewater.session import materialize
 MIN_DOCS = 100
 SPREAD = 4
 #: measures (per mille) and their slack: what every group may vary by
-MEASURES = {"symbols": 60, "dup_lines": 300, "repeats": 100, "word_up": 1500, "word_down": 1500}
+MEASURES = {"symbols": 60, "dup_lines": 300, "repeats": 150, "word_up": 1500, "word_down": 1500}
+#: added to the number of lines and words in a share, so that one line that recurs does not condemn a short text
+FEW_LINES, FEW_WORDS = 5, 100
 SYMBOLS = "#*$%&|<>"
 WINDOW = 5
 #: what measure() adds
@@ -78,13 +80,10 @@ def measure(docs: DataFrame, text: str = "text") -> DataFrame:
 
 
 def _per_mille() -> dict[str, Column]:
-    n = F.greatest(F.col("n_words"), F.lit(1))
-    lines = F.greatest(F.col("n_lines"), F.lit(1))
-    whole = lambda a, b: F.floor(a * 1000 / b).cast("long")
     word = F.expr("(word_chars * 1000) div greatest(n_words, 1)")
     return {"symbols": F.expr("(n_symbols * 1000) div greatest(n_words, 1)"),
-            "dup_lines": F.expr("(n_dup_lines * 1000) div greatest(n_lines, 1)"),
-            "repeats": F.expr("(n_repeat_words * 1000) div greatest(n_words, 1)"),
+            "dup_lines": F.expr(f"(n_dup_lines * 1000) div (n_lines + {FEW_LINES})"),
+            "repeats": F.expr(f"(n_repeat_words * 1000) div (n_words + {FEW_WORDS})"),
             "word_up": word, "word_down": word}
 
 
@@ -210,8 +209,8 @@ m2 as (
   select *, len(ls)::bigint as n_lines, (len(ls) - len(list_distinct(ls)))::bigint as n_dup_lines,
          n_words < 10 or 100 * n_repeat_words > 20 * n_words as base_failed from meas),
 v as (
-  select *, (n_symbols * 1000) // greatest(n_words, 1) as symbols, (n_dup_lines * 1000) // greatest(n_lines, 1) as dup_lines,
-         (n_repeat_words * 1000) // greatest(n_words, 1) as repeats, (word_chars * 1000) // greatest(n_words, 1) as word from m2),
+  select *, (n_symbols * 1000) // greatest(n_words, 1) as symbols, (n_dup_lines * 1000) // (n_lines + {FEW_LINES}) as dup_lines,
+         (n_repeat_words * 1000) // (n_words + {FEW_WORDS}) as repeats, (word_chars * 1000) // greatest(n_words, 1) as word from m2),
 pairs as (
   select lang, source, measure, val - val % (cast(pow(2, greatest(length(bin(val)) - 7, 0)) as bigint)) as bucket from (
     select lang, source, unnest(['symbols', 'dup_lines', 'repeats', 'word_up']) as measure,
