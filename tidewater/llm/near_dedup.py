@@ -211,30 +211,50 @@ def verified(pairs: DataFrame, texts: DataFrame) -> DataFrame:
 
 
 def contract(edges: DataFrame) -> DataFrame | None:
-    """(node, label) for every node of ``edges`` (u, v): the label is one node of its component.
+    """(node, label) for every node of ``edges`` (u, v): the label is one node of its component; None without edges.
 
-    Each step hooks every node to its neighbour first in a random order, drawn
-    anew, and contracts the edges, so the number of steps grows with the
-    logarithm of the longest path.
+    Each step hooks every node to one neighbour and contracts the edges: first
+    to the smallest, as pairs are stars around a bucket's smallest node, then to
+    the first in a random order drawn anew, so that the number of steps grows
+    with the logarithm of the longest path that is left.
     """
     edges = materialize(edges.where("u != v").select(F.least("u", "v").alias("u"), F.greatest("u", "v").alias("v")).distinct(), "edges")
     labels, step = None, 0
     while not edges.isEmpty():
-        step += 1
-        order = lambda c: F.struct(F.xxhash64(F.col(c), F.lit(step)).alias("h"), F.col(c).alias("x"))
+        rank = lambda c: F.struct((F.xxhash64(F.col(c), F.lit(step)) if step else F.lit(0)).alias("h"), F.col(c).alias("x"))  # noqa: B023,E731
         both = edges.select("u", "v").union(edges.select("v", "u"))
-        first = F.least(F.min(order("v")), F.min(order("u")))["x"]
+        first = F.least(F.min(rank("v")), F.min(rank("u")))["x"]
         hooks = materialize(both.groupBy("u").agg(first.alias("to")), "hooks")
         if labels is None:
             labels = hooks.select(F.col("u").alias("node"), F.col("to").alias("label"))
         else:
-            labels = materialize(labels.join(hooks, F.col("label") == F.col("u"), "left").select("node", F.coalesce("to", "label").alias("label")), "labels")
+            labels = materialize(_relabelled(labels, hooks.select(F.col("u").alias("node"), F.col("to").alias("label"))), "labels")
         a, b = hooks.select(F.col("u"), F.col("to").alias("a")), hooks.select(F.col("u").alias("v"), F.col("to").alias("b"))
         edges = edges.join(a, "u").join(b, "v").where("a != b")
         edges = materialize(edges.select(F.least("a", "b").alias("u"), F.greatest("a", "b").alias("v")).distinct(), "edges")
+        step += 1
     return labels
 
 
+def _relabelled(labels: DataFrame, change: DataFrame) -> DataFrame:
+    """``labels`` (node, label) after its labels have been given labels by ``change``."""
+    by = change.select(F.col("node").alias("_l"), F.col("label").alias("_to"))
+    return labels.join(by, F.col("label") == F.col("_l"), "left").select("node", F.coalesce("_to", "label").alias("label"))
+
+
+def joined(labels: DataFrame | None, links: DataFrame) -> DataFrame | None:
+    """``labels`` with further links: only components that these connect are contracted."""
+    if labels is None:
+        return contract(links)
+    name = lambda c, to: labels.select(F.col("node").alias(c), F.col("label").alias(to))
+    ends = links.join(name("u", "a"), "u", "left").join(name("v", "b"), "v", "left").select(F.coalesce("a", "u").alias("u"), F.coalesce("b", "v").alias("v"))
+    change = contract(ends)
+    if change is None:
+        return labels
+    fresh = change.join(labels, "node", "left_anti")  # nodes that had no link before; the others are labels, or have got one
+    return materialize(_relabelled(labels, change).unionByName(fresh), "labels")
+
+
 # -- classes ---------------------------------------------------------------------------------------
 
 
@@ -285,11 +305,9 @@ def _classes(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
     texts = materialize(docs.select(_key(F.col("text")).alias("key"), "text").join(used, "key")
                         .groupBy("node").agg(F.first("text").alias("text")), "texts")
     pairs = materialize(members.where("node != pivot").select(F.col("pivot").alias("u"), F.col("node").alias("v")).distinct(), "pairs")
-    tried, links, labels, pivots = pairs, None, None, 1
+    tried, labels, pivots = pairs, None, 1
     while True:
-        found = materialize(verified(pairs, texts), "links")
-        links = found if links is None else links.unionByName(found)
-        labels = contract(links)
+        labels = joined(labels, materialize(verified(pairs, texts), "links"))
         members = materialize(_undecided(members.select("b", "node"), labels), "undecided")
         pivots *= 8
         pairs = materialize(_next_pairs(members, nodes, tried, pivots), "pairs")
