@@ -16,14 +16,14 @@ links; its id is its smallest doc_id.
    them however long the text.
 3. *Bands.*  Nodes that agree in all rows of a band share a bucket: a pair at
    0.8 meets in some bucket with probability above 0.9998.
-4. *Verification.*  No bucket is expanded into pairs.  In the first round each
-   member is compared with its bucket's smallest node, by exact multiset overlap
-   of the texts.  Buckets whose members are then in one component are done.  In
-   the others, members are compared with 8, 64, ... further nodes of the bucket,
-   only where the two are still in different components and their signatures
-   agree in ``AGREE`` of the components (five standard deviations below 0.8),
-   until no such pair is left.  So no link between components is lost to a
-   pivot, and a large group of copies costs a few comparisons a member.
+4. *Verification.*  No bucket is expanded into pairs.  Each member is first
+   compared with its bucket's smallest node, by exact multiset overlap of the
+   texts.  Buckets whose members are then in one component are done: of a large
+   group of copies nothing is left.  The members of the others meet in blocks of
+   ``BLOCK``, two blocks in a task, which compares those of different components
+   whose signatures agree in ``AGREE`` of the components (five standard
+   deviations below 0.8), each pair in the first bucket that it shares, and
+   returns links only.  So no link between components is lost to a pivot.
 
 All sets (signatures, buckets, pairs, components) are Spark tables in the shared
 checkpoint folder; the driver sees counts only.
@@ -54,6 +54,8 @@ SIMILARITY = 0.8
 BANDS, ROWS = 30, 6
 #: share of agreeing components from which on a later pair is verified
 AGREE = 0.65
+#: members of a bucket that are compared with each other in one task
+BLOCK = 512
 _M = BANDS * ROWS
 _U = np.uint64
 
@@ -190,16 +192,6 @@ def _verify(batches):
         yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1)], names=["u", "v"]).filter(pa.array(ok))
 
 
-def _agreeing(batches):
-    """Pairs whose signatures agree in enough components."""
-    for batch in batches:
-        if not batch.num_rows:
-            continue
-        view = lambda c: np.frombuffer(b"".join(c.to_pylist()), dtype=np.uint16).reshape(-1, _M)
-        same = (view(batch.column(2)) == view(batch.column(3))).mean(axis=1) >= AGREE
-        yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1)], names=["u", "v"]).filter(pa.array(same))
-
-
 def verified(pairs: DataFrame, texts: DataFrame) -> DataFrame:
     """The pairs (u, v) whose texts are similar.  ``texts``: (node, text).  A node in very many pairs is a skewed key that Spark splits."""
     one = pairs.join(texts.select(F.col("node").alias("u"), F.col("text").alias("_a")), "u")
@@ -305,17 +297,10 @@ def _classes(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
     texts = materialize(docs.select(_key(F.col("text")).alias("key"), "text").join(used, "key")
                         .groupBy("node").agg(F.first("text").alias("text")), "texts")
     pairs = materialize(members.where("node != pivot").select(F.col("pivot").alias("u"), F.col("node").alias("v")).distinct(), "pairs")
-    tried, labels, pivots = pairs, None, 1
-    while True:
-        labels = joined(labels, materialize(verified(pairs, texts), "links"))
-        members = materialize(_undecided(members.select("b", "node"), labels), "undecided")
-        pivots *= 8
-        pairs = materialize(_next_pairs(members, nodes, tried, pivots), "pairs")
-        if pairs.isEmpty():
-            # no untested pair with these pivots; done if they were all there are
-            if members.isEmpty() or members.groupBy("b").agg(F.count("*").alias("n")).agg(F.max("n")).first()[0] <= pivots:
-                break
-        tried = tried.unionByName(pairs)
+    labels = joined(None, materialize(verified(pairs, texts), "links"))
+    members = materialize(_undecided(members.select("b", "node"), labels), "undecided")
+    if not members.isEmpty():
+        labels = joined(labels, materialize(_rest(members, nodes, texts), "links"))
     named = nodes.select("key", "node", "first_id")
     if labels is None:
         named = named.withColumn("label", F.col("node"))
@@ -335,17 +320,75 @@ def _undecided(members: DataFrame, labels: DataFrame | None) -> DataFrame:
     return named.join(open_, "b").select("b", "node", "label")
 
 
-def _next_pairs(members: DataFrame, nodes: DataFrame, tried: DataFrame, pivots: int) -> DataFrame:
-    """Untested pairs (u, v) of each bucket's next pivots and its members in other components, by their signatures similar enough."""
-    from pyspark.sql.window import Window
+def _rest(members: DataFrame, nodes: DataFrame, texts: DataFrame) -> DataFrame:
+    """Links (u, v) between different components of the undecided buckets' members (b, node, label).
 
-    order = Window.partitionBy("b").orderBy(F.xxhash64("node", "b"), "node")
-    few = members.withColumn("_r", F.row_number().over(order)).where(F.col("_r") <= pivots).select("b", F.col("node").alias("p"), F.col("label").alias("pl"))
-    pairs = members.join(few, "b").where("label != pl").select(F.least("node", "p").alias("u"), F.greatest("node", "p").alias("v")).distinct()
-    pairs = pairs.join(tried.select(F.least("u", "v").alias("u"), F.greatest("u", "v").alias("v")), ["u", "v"], "left_anti")
-    one = pairs.join(nodes.select(F.col("node").alias("u"), F.col("sketch").alias("_a")), "u")
-    both = one.join(nodes.select(F.col("node").alias("v"), F.col("sketch").alias("_b")), "v")
-    return both.select("u", "v", "_a", "_b").mapInArrow(_agreeing, "u long, v long")
+    A bucket is cut into blocks of about ``BLOCK`` members by a hash; every two
+    blocks meet in one task, which compares their members in memory and returns
+    links only, at most one for each member.
+    """
+    size = members.groupBy("b").agg(F.ceil(F.count("*") / F.lit(BLOCK)).cast("int").alias("n"))
+    mine = F.pmod(F.xxhash64("node"), F.col("n")).cast("int")
+    cells = (members.join(size, "b").withColumn("mine", mine)
+             .withColumn("other", F.explode(F.sequence(F.lit(0), F.col("n") - 1)))
+             .select("b", F.least("mine", "other").alias("lo"), F.greatest("mine", "other").alias("hi"), "mine", "node", "label"))
+    full = cells.join(nodes.select("node", "sketch", "bands"), "node").join(texts, "node")
+    return full.groupBy("b", "lo", "hi").applyInPandas(_compare, "u long, v long")
+
+
+def _compare(key, rows):
+    """Links of one cell: pairs of different components, in the first bucket that they share only, whose signatures
+    agree in ``AGREE`` of the components and whose texts are similar; none between members linked already here."""
+    import pandas as pd
+
+    b, lo, hi = key
+    rows = rows.sort_values("node", ignore_index=True)
+    node, label, mine = rows["node"].to_numpy(), rows["label"].to_numpy(), rows["mine"].to_numpy()
+    sketch = np.frombuffer(b"".join(rows["sketch"]), dtype=np.uint16).reshape(-1, _M)
+    bands = np.stack([np.asarray(x, dtype=np.int64) for x in rows["bands"]])
+    units: dict = {}
+
+    def bag(i):
+        """A bag as a set: the k-th copy of a shingle is an element of its own."""
+        if i not in units:
+            h, _ = shingles([rows["text"][i]])
+            h = np.sort(h)
+            start = np.flatnonzero(np.concatenate(([True], h[1:] != h[:-1])))
+            copy = np.arange(len(h)) - np.repeat(start, np.diff(np.append(start, len(h))))
+            units[i] = set(C.mix(h + copy.astype(_U) * _U(0x9E3779B97F4A7C15)).tolist())
+        return units[i]
+
+    root = {x: x for x in set(label.tolist())}
+
+    def find(x):
+        while root[x] != x:
+            root[x] = root[root[x]]
+            x = root[x]
+        return x
+
+    out = []
+    for i in range(len(node)):
+        after = np.arange(i + 1, len(node))
+        if lo != hi:
+            after = after[mine[after] != mine[i]]
+        after = after[label[after] != label[i]]
+        if not len(after):
+            continue
+        after = after[(sketch[after] == sketch[i]).mean(axis=1) >= AGREE]
+        if not len(after):
+            continue
+        shared = bands[after] == bands[i]
+        after = after[bands[i][shared.argmax(axis=1)] == b]
+        for j in after.tolist():
+            x, y = find(int(label[i])), find(int(label[j]))
+            if x == y:
+                continue
+            a, c = bag(i), bag(j)
+            both = len(a & c)
+            if both >= SIMILARITY * (len(a) + len(c) - both):
+                root[x] = y
+                out.append((int(node[i]), int(node[j])))
+    return pd.DataFrame(out, columns=["u", "v"]).astype("int64")
 
 
 def op1_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
