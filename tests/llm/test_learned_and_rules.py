@@ -174,6 +174,22 @@ def test_fences_follow_their_group(spark):
     assert not got[5000] and got[5001] and got[5002] and sum(got.values()) == len(rows) - 1
 
 
+def test_junk_does_not_move_its_own_fence(spark):
+    """A third of junk does not lift its group's limits: in one source, beside ordinary ones or alone, and in a
+    language of small sources."""
+    words = lambda i: " ".join(f"w{i % 7}x{k}" for k in range(100))
+    symbols = lambda i: " ".join(f"w{i % 7}x{k}" + "#" * (k < 40) for k in range(100))
+    short = lambda i: " ".join(chr(97 + (i + k * k) % 26) for k in range(100))
+    long = lambda i: " ".join(f"{'w' * 20}{i % 7}x{k}" for k in range(100))
+    for bad, beside in ((symbols, 4), (symbols, 0), (short, 4), (long, 4)):
+        rows = [(i, bad(i) if i % 3 == 0 else words(i), "en", "hot") for i in range(600)]
+        rows += [(1000 + i, words(i), "en", f"s{i % beside}") for i in range(150 * beside)]
+        rows += [(5001 + i, bad(i) if i % 3 == 0 else words(i), "de", f"tiny{i // 30}") for i in range(300)]
+        junk = {r[0] for r in rows if r[1] != words(r[0] - (1000 if r[3][0] == "s" else 5001 if r[2] == "de" else 0))}
+        got = quality_rules.judge(spark.createDataFrame(rows, "doc_id long, text string, lang string, source string"), carry=["doc_id"])
+        assert len(junk) == 300 and {r.doc_id for r in got.where("not kept").collect()} == junk, (bad(0)[:20], beside)
+
+
 def test_sketches_merge(spark):
     df = quality_rules.measure(spark.createDataFrame([(i, "w " * (10 + i), "en", f"s{i % 3}") for i in range(90)], "doc_id long, text string, lang string, source string"))
     fine = quality_rules.sketch(df, ["lang", "source"])

@@ -14,8 +14,16 @@ more than any other.  A group of fewer than ``MIN_DOCS`` documents uses its
 language's thresholds, and that of a small language the overall ones.
 
 *Verdict.*  A text passing the base rules is dropped when a measure lies above
-``q90 + SPREAD * (q90 - q50) + slack`` of its group, or (mean word length) below
-``q10 - SPREAD * (q50 - q10) - slack``.
+the limit of its group, or (mean word length) below it.  The upper limit is
+``q90 + SPREAD * (q90 - q50) + slack``, but no more than its *cap*: q90 is junk's
+own value once more than a tenth of the group is junk.  The cap is the larger of
+two values that such junk does not move: the lower half of the group mirrored,
+``q50 + (SPREAD + 1) * (q50 - q10) + slack``, and the plain limit of the ordinary
+groups of the language (of all, if those have fewer than ``MIN_DOCS`` documents).
+A group is ordinary in a measure if its q90 lies within its mirrored lower half;
+groups of fewer than ``MIN_DOCS`` documents count as one group of their language.
+The lower limit has the same form, with the quantiles turned around.  Junk that
+makes up half of a group or more is its usual range and is not found.
 
 Defined cases: NULL and empty texts have no words, fail the base rules and are
 not kept; a NULL language or source is a group of its own; repeated rows are
@@ -26,6 +34,9 @@ read, so further columns do no harm; the operator's own columns are prefixed.
 
 from __future__ import annotations
 
+from functools import reduce
+from operator import and_
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -120,30 +131,68 @@ def quantiles(sketches: DataFrame, keys: list[str]) -> DataFrame:
     return group.select(*keys, "measure", "n", point(10).alias("q10"), point(50).alias("q50"), point(90).alias("q90"))
 
 
+def _limits(k: str) -> tuple[Column, Column, Column]:
+    """(plain limit, mirrored limit, whether the group is ordinary) of the measure ``k``."""
+    if k == "word_down":
+        mirrored = F.col("q50") - (SPREAD + 1) * (F.col("q90") - F.col("q50")) - MEASURES[k]
+        return F.col("q10") - SPREAD * (F.col("q50") - F.col("q10")) - MEASURES[k], mirrored, F.col("q10") >= mirrored
+    mirrored = F.col("q50") + (SPREAD + 1) * (F.col("q50") - F.col("q10")) + MEASURES[k]
+    return F.col("q90") + SPREAD * (F.col("q90") - F.col("q50")) + MEASURES[k], mirrored, F.col("q90") <= mirrored
+
+
+def _of(k: str, value: Column) -> Column:
+    return F.max(F.when(F.col("measure") == ("word_up" if k == "word_down" else k), value))
+
+
 def fences(points: DataFrame, keys: list[str]) -> DataFrame:
-    """One row for each group: its size and, for each measure, the limit."""
-    up = F.col("q90") + SPREAD * (F.col("q90") - F.col("q50"))
-    down = F.col("q10") - SPREAD * (F.col("q50") - F.col("q10"))
-    def limit(k):
-        if k == "word_down":
-            return F.max(F.when(F.col("measure") == "word_up", down - MEASURES[k]))
-        return F.max(F.when(F.col("measure") == k, up + MEASURES[k]))
-    return points.groupBy(*keys).agg(F.max("n").alias("n"), *[limit(k).alias(k) for k in MEASURES])
+    """One row for each group: its size and, for each measure, the plain limit and (``mirrored_``) the mirrored one."""
+    return points.groupBy(*keys).agg(F.max("n").alias("n"), *[_of(k, _limits(k)[0]).alias(k) for k in MEASURES],
+                                     *[_of(k, _limits(k)[1]).alias(f"mirrored_{k}") for k in MEASURES])
+
+
+def ordinary(fine: DataFrame) -> DataFrame:
+    """Sketches by _lang, ``side`` (a key of MEASURES), measure and bucket of the groups that are ordinary in that measure."""
+    size = fine.groupBy("_lang", "_source", "measure").agg(F.sum("n").alias("_size"))
+    same = lambda a, b, keys: reduce(and_, [F.col(f"{a}.{k}").eqNullSafe(F.col(f"{b}.{k}")) for k in keys])
+    # the sources too small to be judged alone share the group NULL
+    pooled = (fine.alias("a").join(size.alias("b"), same("a", "b", ["_lang", "_source", "measure"]))
+              .select("a._lang", F.when(F.col("_size") >= MIN_DOCS, F.struct("a._source")).alias("_group"), "a.measure", "bucket", "n"))
+    sides = F.filter(F.array(*[F.when((F.col("measure") == ("word_up" if k == "word_down" else k)) & _limits(k)[2], F.lit(k)) for k in MEASURES]),
+                     lambda x: x.isNotNull())
+    good = quantiles(pooled, ["_lang", "_group"]).select("_lang", "_group", "measure", F.explode(sides).alias("side"))
+    return (pooled.alias("a").join(good.alias("b"), same("a", "b", ["_lang", "_group", "measure"]))
+            .select("a._lang", "side", "a.measure", "bucket", "n"))
+
+
+def bounds(sketches: DataFrame, keys: list[str]) -> DataFrame:
+    """One row for each group of ``keys``: the plain limits (``bound_``) of :func:`ordinary` sketches, and their sizes (``size_``)."""
+    points = quantiles(merge(sketches, [*keys, "side"]), [*keys, "side"])
+    of = lambda k, value: F.max(F.when(F.col("side") == k, value))
+    return points.groupBy(*keys).agg(*[of(k, _limits(k)[0]).alias(f"bound_{k}") for k in MEASURES], *[of(k, F.col("n")).alias(f"size_{k}") for k in MEASURES])
 
 
 def thresholds(measured: DataFrame, lang: str = "lang", source: str = "source") -> DataFrame:
-    """One row for each (language, source): the limits in force, from the finest group that is large enough."""
+    """One row for each (language, source): the limits in force, from the finest group that is large enough, capped."""
     rows = measured.where(~F.col("base_failed")).select(
         F.col(lang).alias("_lang"), F.col(source).alias("_source"), "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_lines", "n_repeat_words")
-    fine = sketch(rows, ["_lang", "_source"])
+    fine = materialize(sketch(rows, ["_lang", "_source"]), "quality-sketches")
     middle = merge(fine, ["_lang"])
     whole = merge(middle, [])
+    usual = ordinary(fine)
     f = fences(quantiles(fine, ["_lang", "_source"]), ["_lang", "_source"]).alias("f")
     m = fences(quantiles(middle, ["_lang"]), ["_lang"]).alias("m")
     w = fences(quantiles(whole, []), []).alias("w")
-    joined = f.join(m, F.col("f._lang").eqNullSafe(F.col("m._lang")), "left").join(w)  # w is one row
+    b = bounds(usual, ["_lang"]).alias("b")
+    a = bounds(usual, []).alias("a")
+    joined = (f.join(m, F.col("f._lang").eqNullSafe(F.col("m._lang")), "left").join(w)  # w and a are one row each
+              .join(b, F.col("f._lang").eqNullSafe(F.col("b._lang")), "left").join(a))
     pick = lambda k: F.when(F.col("f.n") >= MIN_DOCS, F.col(f"f.{k}")).when(F.col("m.n") >= MIN_DOCS, F.col(f"m.{k}")).otherwise(F.col(f"w.{k}"))
-    return joined.select(F.col("f._lang").alias("_lang"), F.col("f._source").alias("_source"), *[pick(k).alias(f"limit_{k}") for k in MEASURES])
+
+    def capped(k):
+        bound = F.when(F.col(f"b.size_{k}") >= MIN_DOCS, F.col(f"b.bound_{k}")).otherwise(F.col(f"a.bound_{k}"))  # NULL if no group is ordinary
+        inner, outer = (F.greatest, F.least) if k == "word_down" else (F.least, F.greatest)
+        return inner(pick(k), outer(pick(f"mirrored_{k}"), bound))
+    return joined.select(F.col("f._lang").alias("_lang"), F.col("f._source").alias("_source"), *[capped(k).alias(f"limit_{k}") for k in MEASURES])
 
 
 def judge(docs: DataFrame, text: str = "text", lang: str = "lang", source: str = "source", carry: list[str] | None = None) -> DataFrame:
