@@ -135,6 +135,20 @@ def test_decontamination_odd_rows(spark, odd_docs, monkeypatch):
     assert decontaminate.find(docs, empty(items)).count() == 0 and decontaminate.remove(docs, empty(items)).count() == docs.count()
 
 
+def test_terms_of_most_items(spark):
+    """Templated items, untemplated ones among them, and a single item are found, whole and with the last word altered."""
+    template = " ".join(f"template{k}" for k in range(30))
+    own = lambda i, n: " ".join(f"own{i}x{k}" for k in range(n))
+    few = [(i, f"{template} {own(i, 15)}" if i % 10 else own(i, 15)) for i in range(300)]  # nine of ten share 30 words
+    many = [(i, f"{template[:230]} {own(i, 15)}" if i % 33 else own(i, 15)) for i in range(300)]  # 97 of 100
+    for items in (few, many, few[:1], few[1:2], few[1:3]):
+        docs = [(i, f"{few[1][1]} and {t}") for i, t in items] + [(1000 + i, f"{t.rsplit(' ', 1)[0]} another") for i, t in items]
+        got = decontaminate.find(spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string"))
+        pairs = {(r.doc_id, r.item_id) for r in got.collect()}
+        assert pairs >= {(k, i) for i, _ in items for k in (i, 1000 + i)}
+        assert all(k % 1000 == i or i == 1 for k, i in pairs)
+
+
 def test_block_max_prunes_nothing_due(spark):
     """All items at or above the threshold are retrieved, whatever the blocks."""
     rng = np.random.default_rng(2)

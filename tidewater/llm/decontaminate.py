@@ -4,7 +4,9 @@ The test items are the indexed collection, the training passages the queries.
 
 *Index.*  Terms are lower-cased runs of letters and digits.  Every (term, item)
 posting holds its BM25 impact as a share of the item's own total, so an item
-that a passage holds whole scores 1.  Items stand in blocks of ``BLOCK``; for
+that a passage holds whole scores 1.  The inverse document frequency is
+``log(1 + (N - n + 0.5) / (n + 0.5))``, above 0 also for a term of all items, so
+that no term lowers a score or a bound.  Items stand in blocks of ``BLOCK``; for
 each term and block the index keeps the largest impact.
 
 *Query.*  A document is read as passages of ``2 * S`` words, ``S`` apart, with S the
@@ -226,7 +228,7 @@ def _blocks(items: DataFrame):
     frequency = found.groupBy("term").agg(F.count("*").alias("n"))
     for k in range(n):
         own = found.where(F.col("_block") == k).select("term").distinct().join(frequency, "term").collect()
-        idf = {r["term"]: float(np.log(1 + max(0.0, count - r["n"]) + 0.5) - np.log(r["n"] + 0.5)) for r in own}
+        idf = {r["term"]: float(np.log1p((max(0, count - r["n"]) + 0.5) / (r["n"] + 0.5))) for r in own}  # above 0: block maxima are bounds
         block = sorted((tuple(r) for r in items.where(F.col("_block") == k).select("item_id", "text").collect()), key=repr)
         block = [(i, t) for i, t in block if len(terms([t])[0])]
         if block:
