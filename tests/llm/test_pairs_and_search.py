@@ -149,6 +149,25 @@ def test_terms_of_most_items(spark):
         assert all(k % 1000 == i or i == 1 for k, i in pairs)
 
 
+def test_one_altered_word_of_a_short_part(spark):
+    """One word altered in a short answer or question leaves a hit; a copy without the answer is none."""
+    say = lambda i, what, n: [f"{what}{i}x{k}" for k in range(n)]
+    items, docs, want = [], [], set()
+    for i in range(1, 17):
+        for k, (q, a) in enumerate(((say(i, "q", 60), say(i, "a", i)), (say(100 + i, "q", i), say(100 + i, "a", 60)))):
+            item, short = 2 * i + k, (a, q)[k]
+            items.append((item, " ".join(q) + "?\n" + " ".join(a) + "."))
+            for at in range(i):
+                changed = [w if n != at else "altered" for n, w in enumerate(short)]
+                docs.append((1000 * item + at, " ".join(q + changed if k == 0 else changed + a)))
+                want.add((1000 * item + at, item))
+            if i > 1:
+                docs.append((1000 * item + 500, " ".join((q, a)[k])))
+    got = decontaminate.find(spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string"))
+    got = {(r.doc_id, r.item_id) for r in got.collect()}
+    assert want <= got and not [p for p in got if p[0] % 1000 == 500]
+
+
 def test_block_max_prunes_nothing_due(spark):
     """All items at or above the threshold are retrieved, whatever the blocks."""
     rng = np.random.default_rng(2)

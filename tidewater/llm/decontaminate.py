@@ -19,9 +19,11 @@ retrieved; there is no top-k.
 *Verification.*  An item is its question and, after the last line break or
 sentence end, its answer.  ``question_overlap`` and ``answer_overlap`` are the
 shares of their five-word shingles found in the passage (a part of fewer than
-five words counts as one shingle).  A document is contaminated by an item if
-``overlap``, over the shingles of both, is ``OVERLAP`` or more, and both parts
-reach ``PART``.
+five words counts as one shingle); a part of fewer than ``SHORT`` words is judged
+by the share of its words instead, and one of a single word together with the
+word beside it, so that one altered word does not decide.  A document is
+contaminated by an item if ``overlap``, over the shingles of both, is ``OVERLAP``
+or more, and both parts reach ``PART``.
 
 The index is broadcast in blocks of items with at most ``MAX_INDEX_CHARS``
 characters of text each (measured first), and the documents are read once for
@@ -58,6 +60,8 @@ THRESHOLD = 0.5
 OVERLAP = 0.8
 PART = 0.5
 SHINGLE = 5
+#: words below which a part is judged by its words: from here on, one altered word leaves half of the shingles
+SHORT = 3 * SHINGLE - 1
 #: characters of item text in one broadcast index
 MAX_INDEX_CHARS = 16_000_000
 _U = np.uint64
@@ -103,7 +107,10 @@ class Index:
             split = [terms([p])[0] if p else words[:0] for p in split_item(t)]
             if not len(split[0]):
                 split = [words, words[:0]]
-            self.parts.append([(shingles(x, min(SHINGLE, len(x))), min(SHINGLE, len(x))) for x in split])
+            at = len(split[0])
+            near = [words[:max(at, 2)], words[max(0, min(at, len(words) - 2)):]]
+            self.parts.append([(shingles(x, min(SHINGLE, len(x))), min(SHINGLE, len(x)), y if 0 < len(x) < SHORT else None)
+                               for x, y in zip(split, near)])
             lengths.append(len(words))
             own, tf = np.unique(words, return_counts=True)
             w = np.array([idf[int(x)] for x in own.view(np.int64)]) * tf * (K1 + 1) / (tf + K1 * (1 - B + B * len(words) / average))
@@ -276,13 +283,14 @@ def _searcher(index: Index):
         for rows, parts in C.chunks(texts):
             words, owner = terms(parts)
             for row, item, score, passage in index.search(words, owner, len(parts)):
-                overlaps, sizes = [], []
-                for hashes, width in index.parts[item]:
+                overlaps, sizes, judged = [], [], []
+                for hashes, width, short in index.parts[item]:
                     sizes.append(len(hashes))
                     overlaps.append(float(np.isin(hashes, shingles(passage, width)).mean()) if len(hashes) else 1.0)
+                    judged.append(overlaps[-1] if short is None else float(np.isin(short, passage).mean()))
                 both = float(np.dot(overlaps, sizes) / sum(sizes))
-                if both >= OVERLAP and min(overlaps) >= PART:
-                    key, value = (int(rows[row]), item), (both, score, *overlaps)
+                if both >= OVERLAP and min(judged) >= PART:
+                    key, value = (int(rows[row]), item), (both, score, *judged)
                     if key not in best or value[:2] > best[key][:2]:
                         best[key] = value
         keys = sorted(best)
