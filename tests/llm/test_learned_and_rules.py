@@ -242,6 +242,12 @@ def test_trees_learn_from_labelled_urls(spark):
     assert {r.verdict for r in url_filter.judge(pages, empty(labelled), rules=()).collect()} == {"allow"}
 
 
+def test_a_repeated_id_does_not_shrink_the_sample(spark):
+    rows = [("hot", 1)] * 20_000 + [(f"u{i}", 1) for i in range(500)] + [(f"v{i}", 0) for i in range(20)] * 400
+    got = C.sample_ids(spark.createDataFrame(rows, "doc_id string, y int"), "y", 100).collect()
+    assert collections.Counter(r.y for r in got) == {1: 100, 0: 20}
+
+
 # -- queries and pipeline --------------------------------------------------------------------------
 
 

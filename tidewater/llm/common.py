@@ -49,10 +49,9 @@ def sample_ids(keys: DataFrame, by: str, most: int, seed: int = 7) -> DataFrame:
     """
     from pyspark.sql.window import Window
 
-    h = F.xxhash64("doc_id", F.lit(seed))
-    keys = keys.select("doc_id", by).where(F.col("doc_id").isNotNull() & F.col(by).isNotNull())
-    n = keys.groupBy(by).agg(F.count("*").alias("_n"))
-    near = (keys.withColumn("_h", h).join(F.broadcast(n), by)  # one row for each class to be learned
+    keys = keys.select("doc_id", by).where(F.col("doc_id").isNotNull() & F.col(by).isNotNull()).withColumn("_h", F.xxhash64("doc_id", F.lit(seed)))
+    n = keys.select(by, "_h").distinct().groupBy(by).agg(F.count("*").alias("_n"))  # ids, not rows: a repeated one counts once
+    near = (keys.join(F.broadcast(n), by)  # one row for each class to be learned
             .where((F.col("_h") / F.lit(2.0 ** 64) + 0.5) * F.col("_n") < 1.2 * most + 100))
     order = Window.partitionBy(by).orderBy("_h", "doc_id")
     return near.select("doc_id", by, "_h").distinct().withColumn("_r", F.row_number().over(order)).where(F.col("_r") <= most).select("doc_id", by)
