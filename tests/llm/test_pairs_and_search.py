@@ -258,6 +258,20 @@ def test_mixing_meets_its_targets(spark, sf):
     assert abs(sum(x.copies * x.n_tokens for x in rows) / n.sum() - 1) < 0.1
 
 
+def test_mixing_domain_without_a_target(spark, sf):
+    """It keeps its share and the named domains share the rest; targets out of reach are reported."""
+    docs = C.table(spark, sf, "documents")
+    labelled = mixing.labelled_languages(docs, C.table(spark, sf, "labels"))
+    rows = mixing.mix(docs, labelled, {"en": 0.5, "de": 0.25, "fr": 0.25}).collect()
+    n, p, r = np.array([x.n_tokens for x in rows], float), np.array([x.posterior for x in rows]), np.array([x.rate for x in rows])
+    es = (n @ p / n.sum())[2]
+    assert np.allclose((n * r) @ p / n.sum(), [0.25 * (1 - es), 0.5 * (1 - es), es, 0.25 * (1 - es)], atol=1e-3)
+    assert all(x.rate > 0.5 for x in rows if x.domain == "es")
+    flat = spark.createDataFrame([(10, [0.9, 0.1])] * 3, "n_tokens long, posterior array<double>")
+    with pytest.warns(UserWarning, match="not reached"):
+        mixing.fit_rates(flat, np.array([0.1, 0.9]))
+
+
 def test_mixing_odd_rows(spark, odd_docs, labels):
     labelled = mixing.labelled_languages(odd_docs, labels)
     out = mixing.mix(odd_docs, labelled, mixing.TARGETS, odd_docs.columns[:5])

@@ -15,7 +15,8 @@
    of as many sums as there are domains.  A document's rate is a function of its
    posterior and of the residuals so far, so it is recomputed in the task: no
    state is kept, and a lost executor costs only its tasks.  Iterations end when
-   every domain is within ``TOLERANCE`` of its target, or after ``STEPS``.
+   every domain is within ``TOLERANCE`` of its target, or after ``STEPS``; targets
+   that are not reached by then are reported by a warning that names the shares.
 
 ``copies`` turns the rate into whole readings: its floor, plus one with the
 probability of the fraction, drawn by a hash of doc_id and text.
@@ -23,13 +24,17 @@ probability of the fraction, drawn by a hash of doc_id and text.
 Defined cases: NULL and empty texts have no tokens and the posterior of the
 classifier's constant; their rate counts for nothing but is given.  A target of
 a domain that was not learned is left out and the others are scaled to sum to
-1; without any learnable row or usable target there is one domain, ``all``, and
-every rate is 1.  Repeated rows are documents each (equal rows get equal rates).
+1; a learned domain that has no target keeps its present share of the tokens, and
+the targets are scaled to the rest (a target of 0 does remove a domain); without
+any learnable row or usable target there is one domain, ``all``, and every rate
+is 1.  Repeated rows are documents each (equal rows get equal rates).
 Columns of ``docs`` are carried through on request; others do no harm.
 """
 
 from __future__ import annotations
 
+import warnings
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
@@ -138,7 +143,8 @@ def rates(p: np.ndarray, steps: list[np.ndarray]) -> np.ndarray:
 
 
 def fit_rates(table: DataFrame, target: np.ndarray) -> list[np.ndarray]:
-    """Gradient steps (one vector of the domains' size for each iteration) that bring the totals to the targets."""
+    """Gradient steps (one vector of the domains' size for each iteration) that bring the totals to the targets
+    (weights, scaled here; NaN: the present share)."""
     n = len(target)
     names = [f"s{k}" for k in range(n)]
 
@@ -156,12 +162,15 @@ def fit_rates(table: DataFrame, target: np.ndarray) -> list[np.ndarray]:
     tokens = now.sum()
     if tokens <= 0:
         return []
+    keep = np.isnan(target)
+    target = np.where(keep, now / tokens, target / np.nansum(target) * (1 - (now / tokens)[keep].sum()))
     share, goal, steps = np.maximum(now / tokens, 1e-12), target * tokens, []
-    for _ in range(STEPS):
-        if np.all(np.abs(now - goal) <= TOLERANCE * np.maximum(goal, TOLERANCE * tokens)):
-            break
+    reached = lambda: np.all(np.abs(now - goal) <= TOLERANCE * np.maximum(goal, TOLERANCE * tokens))
+    while not reached() and len(steps) < STEPS:
         steps.append((now - goal) / (tokens * share))
         now = totals(steps)
+    if not reached():
+        warnings.warn(f"target shares {target.tolist()} not reached after {STEPS} steps: {(now / tokens).tolist()}", stacklevel=2)
     return steps
 
 
@@ -170,10 +179,10 @@ def mix(docs: DataFrame, labelled: DataFrame, targets: dict[str, float], keep: l
     posterior, rate, copies."""
     keep = [c for c in keep or ["doc_id"] if c not in ("n_tokens", "domain", "posterior", "rate", "copies")]
     model = fit(docs, labelled)
-    weight = np.array([max(0.0, targets.get(d, 0.0)) for d in model["domains"]])
+    weight = np.array([max(0.0, targets[d]) if d in targets else np.nan for d in model["domains"]])
     seed = docs.withColumn("__draw", F.xxhash64("doc_id", "text") / F.lit(2.0 ** 64) + 0.5)
     table = materialize(posteriors(seed, model, [*keep, "__draw"]), "posteriors")
-    steps = fit_rates(table, weight / weight.sum()) if weight.sum() > 0 else []
+    steps = fit_rates(table, weight) if np.nansum(weight) > 0 else []
     n = len(model["domains"])
     schema = T.StructType([*table.schema.fields, T.StructField("rate", T.DoubleType())])
     place = table.columns.index("posterior")
