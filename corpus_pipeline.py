@@ -10,8 +10,8 @@ returns a DataFrame, which is written as Parquet and reread as the next one's
 4. benchmark decontamination: rows that hold a benchmark item go,
 5. mixing: the rows that are left, with rates that meet the target weights.
 
-No stage can be expressed in SQL as a whole (three learn a model), so there is
-no oracle; the tests hold each stage against a brute-force version.
+The whole cannot be expressed in SQL (two stages learn a model), so there is no
+oracle; the tests compare the stages with their operators, mixing with its targets.
 """
 
 from __future__ import annotations
