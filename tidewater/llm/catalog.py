@@ -2,7 +2,8 @@
 
 from __future__ import annotations
 
-from tidewater.llm import chat_format, decontaminate, language_id, mixing, near_dedup, quality_classifier, quality_rules, token_counts, toxicity, url_filter
+from tidewater.llm import (chat_format, decontaminate, language_id, mixing, near_dedup, quality_classifier, quality_rules, suffix_dedup,
+                           token_counts, toxicity, url_filter)
 
 REGISTRY = {
     "op1_near_dedup": (near_dedup.op1_near_dedup, None),
@@ -15,4 +16,5 @@ REGISTRY = {
     "op8_url_filter": (url_filter.op8_url_filter, None),
     "op9_quality_classifier": (quality_classifier.op9_quality_classifier, None),
     "op10_language_id": (language_id.op10_language_id, None),
+    "op12_suffix_dedup": (suffix_dedup.op12_suffix_dedup, None),
 }
