@@ -2,8 +2,8 @@
 
 from __future__ import annotations
 
-from tidewater.llm import (chat_format, decontaminate, language_id, mixing, near_dedup, quality_classifier, quality_rules, suffix_dedup,
-                           token_counts, toxicity, url_filter)
+from tidewater.llm import (chat_format, decontaminate, hard_negatives, language_id, mixing, near_dedup, quality_classifier, quality_rules, suffix_dedup,
+                           token_alignment, token_counts, toxicity, url_filter)
 
 REGISTRY = {
     "op1_near_dedup": (near_dedup.op1_near_dedup, None),
@@ -16,5 +16,7 @@ REGISTRY = {
     "op8_url_filter": (url_filter.op8_url_filter, None),
     "op9_quality_classifier": (quality_classifier.op9_quality_classifier, None),
     "op10_language_id": (language_id.op10_language_id, None),
+    "op11_hard_negatives": (hard_negatives.op11_hard_negatives, hard_negatives.OP11_SQL),
     "op12_suffix_dedup": (suffix_dedup.op12_suffix_dedup, None),
+    "op13_token_alignment": (token_alignment.op13_token_alignment, None),
 }

@@ -98,7 +98,7 @@ def anchors(data: np.ndarray, begin: np.ndarray, end: np.ndarray, length: int):
     return text, at, first, last, grams[at]
 
 
-def _anchor_rows(length: int):
+def _anchor_rows(length: int, piece_bytes: int = PIECE):
     import xxhash
 
     def pieces(column):
@@ -111,8 +111,8 @@ def _anchor_rows(length: int):
         for row in np.flatnonzero(np.diff(offsets) >= length).tolist():
             at = offsets[row]
             while offsets[row + 1] - at >= length:
-                yield row, at - offsets[row], data[at:min(at + PIECE, offsets[row + 1])]
-                at += PIECE - length + 1
+                yield row, at - offsets[row], data[at:min(at + piece_bytes, offsets[row + 1])]
+                at += piece_bytes - length + 1
 
     def chunk(held):
         data = np.concatenate([p for _, _, p in held])
@@ -144,7 +144,7 @@ def _anchor_rows(length: int):
                 pick = pa.array(rows)
                 return pa.RecordBatch.from_arrays([batch.column(0).take(pick), batch.column(1).take(pick), *(pa.array(c.astype(np.int64)) for c in columns)], names=names)
             for piece in pieces(batch.column(2)):
-                if held and size + len(piece[2]) > PIECE:
+                if held and size + len(piece[2]) > piece_bytes:
                     yield flush()
                     held, size = [], 0
                 held.append(piece)
@@ -374,10 +374,10 @@ def _keyed(docs: DataFrame, *more: str) -> DataFrame:
     return docs.select(*more, F.xxhash64("doc_id", "text").alias("k1"), F.xxhash64("text", F.lit(7), "doc_id").alias("k2"), "text")
 
 
-def repeated_spans(docs: DataFrame, length: int = LENGTH, hot: int = HOT) -> DataFrame:
+def repeated_spans(docs: DataFrame, length: int = LENGTH, hot: int = HOT, piece: int = PIECE) -> DataFrame:
     """(k1, k2, low, high): byte runs of repeated strings; they may overlap and come several times."""
     keyed = _keyed(docs)
-    found = materialize(keyed.mapInArrow(_anchor_rows(length), _ANCHOR), "anchors")
+    found = materialize(keyed.mapInArrow(_anchor_rows(length, piece), _ANCHOR), "anchors")
     grams = (found.groupBy("gram").agg(F.sum("n").alias("_n"), F.min("context").alias("_a"), F.max("context").alias("_b"))
              .where(F.col("_n") > 1).select("gram", (F.col("_a") != F.col("_b")).alias("mixed")))
     again = materialize(found.join(grams, "gram"), "repeated-anchors")
@@ -439,12 +439,13 @@ def merge_spans(low: np.ndarray, high: np.ndarray) -> tuple[np.ndarray, np.ndarr
     return low[new], reach[np.append(np.flatnonzero(new)[1:], len(low)) - 1]
 
 
-def remove_repeats(docs: DataFrame, length: int = LENGTH, keep: list[str] | None = None, hot: int = HOT) -> DataFrame:
+def remove_repeats(docs: DataFrame, length: int = LENGTH, keep: list[str] | None = None, hot: int = HOT,
+                   piece: int = PIECE) -> DataFrame:
     """``keep`` columns of each row, n_bytes, spans (removed runs of bytes: low, high) and kept (the bytes that stay)."""
     if length < 16:
         raise ValueError("length must be 16 at least")
     keep = keep or ["doc_id"]
-    spans = (repeated_spans(docs, length, hot).distinct().groupBy("k1", "k2")
+    spans = (repeated_spans(docs, length, hot, piece).distinct().groupBy("k1", "k2")
              .agg(F.collect_list("low").alias("__low"), F.collect_list("high").alias("__high")))
     carried = [F.col(f"`{c}`").alias(f"__keep{i}") for i, c in enumerate(keep)]
     rows = docs.select(*carried, F.xxhash64("doc_id", "text").alias("k1"), F.xxhash64("text", F.lit(7), "doc_id").alias("k2"), "text")
