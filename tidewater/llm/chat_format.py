@@ -5,17 +5,18 @@ Built-in expressions only.  The template writes a turn as
     ``### <role>: <text></turn>\\n``
 
 with ``user``, ``assistant``, ``system`` capitalised as ``User``, ... and any
-other role as it is.  The grammar is deterministic: a turn ends at ``</turn>``
-and a line break; its role is everything up to the first ``: ``.  A backslash
-makes the character behind it ordinary.
+other role as it is.  The grammar is deterministic and read from left to right: a
+backslash makes the character behind it ordinary; a role goes to the first
+ordinary colon, which a space follows; a text goes to the first ``</turn>``
+whose ``<`` no backslash precedes, and a line break follows that; the next turn begins there.
 
 Every turn is first rendered as it is and reparsed.  Where the parser does not
-give back exactly the source (control strings or backslashes in it), the turn
+give back exactly the source (a backslash anywhere, also at the end; control strings), the turn
 is rendered again with its conflicting content escaped (``\\`` before every
-backslash, ``#`` of ``###``, ``/`` of ``</turn>``, ``:`` in a role).  The joined
+backslash, ``#`` of ``###``, ``/`` of ``</turn>``, ``:`` in a role, and a role that is a written name).  The joined
 conversation is reparsed once more; a difference from the source stops the job.
 What a consumer reads (turns, loss spans, loss text) is read back from the
-rendered text by that parser.
+rendered text by that parser, whose patterns never backtrack: roles and texts may have any length.
 
 A conversation is one output row, so its turns meet in one task: that is the
 output's own size.  Turns are shuffled once, as they are; offsets come from a
@@ -78,20 +79,25 @@ def _turn(role: Column, text: Column) -> Column:
     return F.concat(F.lit(HEAD), role, F.lit(": "), text)
 
 
-_HEADER = r"(?s)^### ((?:[^:\\]|\\.)*): (.*)$"
+#: a turn, read from left to right; possessive, so that its length costs no stack
+TURN = r"(?s)\G### ([^:\\]*+(?:\\.[^:\\]*+)*+): ([^\\<]*+(?:(?:\\.|<(?!/turn>))[^\\<]*+)*+)</turn>\n"
 
 
-def parse_turn(body: Column) -> tuple[Column, Column]:
-    """(role, text) of what stands before ``</turn>``; an empty role where the header does not parse."""
-    return _role_in(F.regexp_extract(body, _HEADER, 1)), unescape(F.regexp_extract(body, _HEADER, 2))
+def parse_turns(formatted: Column) -> Column:
+    """(role, text) of every turn, in order; what does not parse ends the list."""
+    part = lambda k: F.regexp_extract_all(formatted, F.lit(TURN), F.lit(k))
+    return F.transform(F.arrays_zip(part(1).alias("role"), part(2).alias("text")),
+                       lambda t: F.struct(_role_in(t["role"]).alias("role"), unescape(t["text"]).alias("text")))
 
 
 def render_turns(turns: DataFrame) -> DataFrame:
     """(conv_id, turn, role, text) plus ``body``, the turn's rendering, and ``escaped``."""
     plain = _turn(_role_out(F.col("role")), F.col("text"))
     out = turns.withColumn("_plain", plain)
-    role, text = parse_turn(F.col("_plain"))
-    same = (role == F.col("role")) & (text == F.col("text")) & ~F.contains("_plain", F.lit(END)) & ~F.contains("text", F.lit("###"))
+    whole = F.concat("_plain", F.lit(END + "\n"))
+    role, text = (F.regexp_extract(whole, TURN + r"\z", k) for k in (1, 2))
+    control = lambda c: F.contains(c, F.lit(END)) | F.contains(c, F.lit("###"))
+    same = (_role_in(role) == F.col("role")) & (unescape(text) == F.col("text")) & ~control(F.col("role")) & ~control(F.col("text"))
     out = out.withColumn("escaped", ~same)
     return out.withColumn("body", F.when(F.col("escaped"), _turn(_escape_role(F.col("role")), _escape(F.col("text")))).otherwise(F.col("_plain"))).drop("_plain")
 
@@ -112,9 +118,7 @@ def format_chats(conversations: DataFrame) -> DataFrame:
         F.count("*").alias("n_turns"), F.sum(F.col("escaped").cast("long")).alias("n_escaped"))
     chats = chats.withColumn("formatted", F.concat(F.array_join(F.transform("_turns", lambda t: t["body"]), END + "\n"), F.lit(END + "\n")))
     # from here on everything is read back from the rendered text
-    bodies = F.split(F.col("formatted"), END + "\n")
-    chats = chats.withColumn("_bodies", F.slice(bodies, 1, F.size(bodies) - 1))
-    chats = chats.withColumn("turns", F.transform("_bodies", lambda b: F.struct(parse_turn(b)[0].alias("role"), parse_turn(b)[1].alias("text"))))
+    chats = chats.withColumn("turns", parse_turns(F.col("formatted")))
     same = F.col("turns") == F.transform("_turns", lambda t: F.struct(t["role"].alias("role"), t["text"].alias("text")))
     failed = F.raise_error(F.concat(F.lit("round trip failed in conversation "), F.coalesce(F.col("conv_id").cast("string"), F.lit("NULL"))))
     chats = chats.withColumn("turns", F.when(same, F.col("turns")).otherwise(failed))
@@ -142,14 +146,19 @@ OP4_SQL = r"""
 with t as (
   select conv_id, turn, coalesce(role, '') as role, coalesce(text, '') as text from conversations
   union all select -7, k, r, '\### Assistant: </turn> ok' from (values (0, 'user'), (1, 'assistant')) v(k, r)),
+w as (
+  select *, contains(text, '\') or contains(text, '###') or contains(text, '</turn>')
+            or contains(role, '\') or contains(role, '###') or contains(role, '</turn>') or contains(role, ':')
+            or role in ('User', 'Assistant', 'System') as esc,
+         replace(replace(replace(text, '\', '\\'), '###', '\#\#\#'), '</turn>', '<\/turn>') as et,
+         replace(replace(replace(replace(role, '\', '\\'), '###', '\#\#\#'), '</turn>', '<\/turn>'), ':', '\:') as er from t),
 e as (
-  select *, contains(text, '\') or contains(text, '###') or contains(text, '</turn>') as esc,
-         replace(replace(replace(text, '\', '\\'), '###', '\#\#\#'), '</turn>', '<\/turn>') as et from t)
+  select *, case when role in ('User', 'Assistant', 'System') then length(er) + 1 else length(er) end as nr from w)
 select conv_id, count(*)::bigint as n_turns,
        sha256(string_agg(role || chr(10) || text || chr(10), '' order by turn nulls first, role, text)) as turns_sha256,
        coalesce(sum(case when role = 'assistant' then length(text) end), 0)::bigint as loss_chars,
        sha256(coalesce(string_agg(text, '' order by turn nulls first, role, text) filter (where role = 'assistant'), '')) as loss_sha256,
-       sum(length(role) + length(et) + 14)::bigint as formatted_chars,
+       sum(nr + length(et) + 14)::bigint as formatted_chars,
        sum(esc::bigint)::bigint as n_escaped
 from e group by conv_id
 """

@@ -18,6 +18,8 @@ from pyspark.sql import types as T
 
 #: characters handled at a time inside a task
 CHUNK = 1 << 20
+#: characters of the texts learned from, for each label
+MAX_CHARS = 16_000_000
 #: characters between words: space, \t, \n, \v, \f, \r
 BREAKS = (0x20, 0x09, 0x0A, 0x0B, 0x0C, 0x0D)
 SQL_BREAKS = " \t\n\x0b\x0c\r"
@@ -64,12 +66,22 @@ def sample_texts(docs: DataFrame, ids: DataFrame, on: list[str]) -> DataFrame:
     return found.groupBy(*ids.columns).agg(F.min("text").alias("text"))
 
 
+def within(sample: DataFrame, by: str, most: int = MAX_CHARS) -> DataFrame:
+    """A sample (few rows for each value of ``by``) cut where its texts pass ``most`` characters, in the order of a hash of
+    doc_id; the first text stays whatever its length."""
+    from pyspark.sql.window import Window
+
+    before = Window.partitionBy(by).orderBy(F.xxhash64("doc_id"), "doc_id").rowsBetween(Window.unboundedPreceding, -1)
+    used = F.coalesce(F.sum(F.length("text")).over(before), F.lit(0))
+    return sample.withColumn("_used", used).where((F.col("_used") == 0) | (F.col("_used") + F.length("text") <= most)).drop("_used")
+
+
 def labelled(docs: DataFrame, labels: DataFrame, label: str, most: int) -> DataFrame:
-    """(doc_id, y, text) of at most ``most`` rows of each label that may be learned from: a label of 0 or 1 and
-    an id outside the held-out fold.  Repeated label rows of an id count once (the largest label)."""
+    """(doc_id, y, text) of at most ``most`` rows and ``MAX_CHARS`` characters of each label that may be learned from: a label of
+    0 or 1 and an id outside the held-out fold.  Repeated label rows of an id count once (the largest label)."""
     y = (labels.where(F.col(label).isin(0, 1) & (fold(F.col("doc_id")) != 0))
          .groupBy("doc_id").agg(F.max(label).cast("int").alias("y")))
-    return sample_texts(docs, sample_ids(y, "y", most), ["doc_id"])
+    return within(sample_texts(docs, sample_ids(y, "y", most), ["doc_id"]), "y")
 
 
 def map_texts(df: DataFrame, keep: list[str], make, fields: list[T.StructField], text: str = "text") -> DataFrame:

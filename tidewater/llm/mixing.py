@@ -3,7 +3,7 @@
 1. *Posteriors.*  A linear softmax over hashed character pairs and triples,
    learned from a labelled table (doc_id, domain), gives every document a
    probability for each domain.  At most ``MAX_TRAIN`` documents of each domain
-   are learned from (documented bound, chosen by a hash of the id).
+   are learned from (documented bound, chosen by a hash of the id, and of at most ``common.MAX_CHARS`` characters).
 2. *Rates.*  With n_i tokens (words) and posterior p_i, a document read r_i times
    adds r_i * n_i * p_i to the domain totals.  Rates r_i >= 0 minimise the squared
    distance of the expected totals from the targets, by projected gradient:
@@ -68,23 +68,57 @@ def _events(parts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     return np.concatenate((bucket(pair[use2]), bucket(triple[use3]))), np.concatenate((part[1:][use2], part[2:][use3])), words
 
 
-def train(texts: list[str], y: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray]:
-    """Softmax weights (BUCKETS, n) and constants over bucket frequencies: full batches, Adam."""
-    x = np.zeros((len(texts), BUCKETS), dtype=np.float32)
+def _triples(texts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(text, bucket, frequency of the bucket in the text), sorted: what is not zero of the texts' frequencies."""
+    found = [np.zeros(0, dtype=np.int64)]
+    counts = [np.zeros(0, dtype=np.int64)]
     for rows, parts in C.pieces(texts):
         bucket, part, _ = _events(parts)
-        np.add.at(x, (rows[part], bucket), 1)
-    x /= np.maximum(x.sum(axis=1, keepdims=True), 1)
-    scale = 1.0 / (np.sqrt((x ** 2).mean(axis=0)) + 1e-4)
-    x *= scale
+        key, n = np.unique(rows[part].astype(np.int64) * BUCKETS + bucket, return_counts=True)
+        found.append(key)
+        counts.append(n)
+    key, back = np.unique(np.concatenate(found), return_inverse=True)  # parts of a long text meet
+    n = np.bincount(back, weights=np.concatenate(counts), minlength=len(key))
+    row = (key // BUCKETS).astype(np.int32)
+    total = np.bincount(row, weights=n, minlength=len(texts))
+    return row, (key % BUCKETS).astype(np.int32), (n / total[row]).astype(np.float32)
+
+
+def _times(start: np.ndarray, index: np.ndarray, value: np.ndarray, dense: np.ndarray, most: int = 1 << 19) -> np.ndarray:
+    """A sparse matrix (rows ``start[i]:start[i + 1]`` of index and value) times a dense one, ``most`` entries at a time."""
+    out = np.zeros((len(start) - 1, dense.shape[1]), dtype=np.float32)
+    lo = 0
+    while lo < len(out):
+        hi = max(lo + 1, int(np.searchsorted(start, start[lo] + most, side="right")) - 1)
+        a, b = start[lo], start[hi]
+        full = np.flatnonzero(start[lo + 1:hi + 1] > start[lo:hi])
+        if len(full):
+            out[lo + full] = np.add.reduceat(value[a:b, None] * dense[index[a:b]], start[lo:hi][full] - a, axis=0)
+        lo = hi
+    return out
+
+
+def train(texts: list[str], y: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray]:
+    """Softmax weights (BUCKETS, n) and constants over bucket frequencies: full batches, Adam.
+
+    Frequencies are kept as triples, so memory grows with the texts' distinct buckets and not with BUCKETS x texts.
+    """
+    row, bucket, x = _triples(texts)
+    scale = 1.0 / (np.sqrt(np.bincount(bucket, weights=x.astype(np.float64) ** 2, minlength=BUCKETS) / max(1, len(texts))) + 1e-4)
+    x = x * scale[bucket].astype(np.float32)
+    by_text = np.searchsorted(row, np.arange(len(texts) + 1))
+    order = np.argsort(bucket, kind="stable")
+    row_t, x_t = row[order], x[order]
+    by_bucket = np.searchsorted(bucket[order], np.arange(BUCKETS + 1))
+    del row, order
     goal = np.eye(n, dtype=np.float32)[y]
-    weight = (1.0 / np.maximum(np.bincount(y, minlength=n), 1))[y][:, None] / n
+    weight = ((1.0 / np.maximum(np.bincount(y, minlength=n), 1))[y][:, None] / n).astype(np.float32)
     w, b = np.zeros((BUCKETS, n)), np.zeros(n)
     mw, vw, mb, vb = 0.0, 0.0, 0.0, 0.0
     for step in range(1, 61):
-        p = _softmax(x @ w.astype(np.float32) / 30 + b)
+        p = _softmax(_times(by_text, bucket, x, w.astype(np.float32)) / 30 + b.astype(np.float32))
         d = (p - goal) * weight
-        gw, gb = x.T @ d / 30 + 1e-5 * w, d.sum(axis=0)
+        gw, gb = _times(by_bucket, row_t, x_t, d) / 30 + 1e-5 * w, d.sum(axis=0)
         mw, vw, mb, vb = 0.9 * mw + 0.1 * gw, 0.99 * vw + 0.01 * gw ** 2, 0.9 * mb + 0.1 * gb, 0.99 * vb + 0.01 * gb ** 2
         w -= 0.05 * (mw / (1 - 0.9 ** step)) / (np.sqrt(vw / (1 - 0.99 ** step)) + 1e-8)
         b -= 0.05 * (mb / (1 - 0.9 ** step)) / (np.sqrt(vb / (1 - 0.99 ** step)) + 1e-8)
@@ -99,7 +133,7 @@ def _softmax(z: np.ndarray) -> np.ndarray:
 def fit(docs: DataFrame, labelled: DataFrame, max_train: int = MAX_TRAIN) -> dict:
     """The classifier of ``labelled`` (doc_id, domain)."""
     ids = C.sample_ids(labelled.select("doc_id", F.col("domain").cast("string").alias("domain")), "domain", max_train)
-    got = C.collect_texts(C.sample_texts(docs, ids, ["doc_id"]), "doc_id", "domain", "text")
+    got = C.collect_texts(C.within(C.sample_texts(docs, ids, ["doc_id"]), "domain"), "doc_id", "domain", "text")
     domains = sorted({r[1] for r in got})
     if not domains:
         return {"domains": ["all"], "w": np.zeros((BUCKETS, 1), dtype=np.float32), "b": np.zeros(1)}

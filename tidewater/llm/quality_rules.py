@@ -222,21 +222,18 @@ def op7_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return judge(docs, carry=["doc_id"]).select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")
 
 
-_LIMITS = "\n".join(f"""       , case when f.n >= {MIN_DOCS} then f.{k} when m.n >= {MIN_DOCS} then m.{k} else w.{k} end as {k}""" for k in MEASURES)
-_FENCE = ", ".join([f"max(case when measure = '{k}' then q90 + {SPREAD} * (q90 - q50) + {s} end) as {k}" for k, s in MEASURES.items() if k != "word_down"]
-                   + [f"max(case when measure = 'word_up' then q10 - {SPREAD} * (q50 - q10) - {MEASURES['word_down']} end) as word_down"])
+def _sql_points(source: str, keys: str) -> str:
+    """n, q10, q50 and q90 by ``keys`` of a table of sketches (``keys``, bucket, n)."""
+    point = lambda q: f"min(case when seen >= (total * {q} + 99) // 100 then bucket end) as q{q}"
+    return f"""(select {keys}, max(total) as n, {point(10)}, {point(50)}, {point(90)}
+      from (select *, sum(n) over (partition by {keys} order by bucket) as seen, sum(n) over (partition by {keys}) as total
+            from (select {keys}, bucket, sum(n) as n from {source} group by {keys}, bucket)) group by {keys})"""
 
 
-def _sql_points(source: str, keys: str) -> str:
-    by = f"{keys}, " if keys else ""
-    return f"""(select {by}max(n) as n, {_FENCE} from (
-      select {by}measure, max(total) as n,
-             min(case when seen >= (total * 10 + 99) // 100 then bucket end) as q10,
-             min(case when seen >= (total * 50 + 99) // 100 then bucket end) as q50,
-             min(case when seen >= (total * 90 + 99) // 100 then bucket end) as q90
-      from (select *, sum(n) over (partition by {by}measure order by bucket) as seen, sum(n) over (partition by {by}measure) as total
-            from (select {by}measure, bucket, count(*) as n from {source} group by {by}measure, bucket)) group by {by}measure)
-      {'group by ' + keys if keys else ''})"""
+_SIDES = ", ".join(f"('{k}', '{'word_up' if k == 'word_down' else k}', {slack}, {str(k == 'word_down').lower()})" for k, slack in MEASURES.items())
+_PLAIN = f"case when down then q10 - {SPREAD} * (q50 - q10) - slack else q90 + {SPREAD} * (q90 - q50) + slack end"
+_MIRRORED = f"case when down then q50 - {SPREAD + 1} * (q90 - q50) - slack else q50 + {SPREAD + 1} * (q50 - q10) + slack end"
+_PIVOT = ", ".join(f"max(case when side = '{k}' then edge end) as {k}" for k in MEASURES)
 
 
 OP7_SQL = rf"""
@@ -264,11 +261,32 @@ pairs as (
   select lang, source, measure, val - val % (cast(pow(2, greatest(length(bin(val)) - 7, 0)) as bigint)) as bucket from (
     select lang, source, unnest(['symbols', 'dup_lines', 'repeats', 'word_up']) as measure,
            unnest([symbols, dup_lines, repeats, word]) as val from v where not base_failed)),
+sk as (select lang, source, measure, bucket, count(*) as n from pairs group by all),
+sides as (select * from (values {_SIDES}) x(side, measure, slack, down)),
+fine as (select lang, source, side, down, n, {_PLAIN} as plain, {_MIRRORED} as mirrored from {_sql_points('sk', 'lang, source, measure')} join sides using (measure)),
+middle as (select lang, side, n, {_PLAIN} as plain, {_MIRRORED} as mirrored from {_sql_points('sk', 'lang, measure')} join sides using (measure)),
+whole as (select side, n, {_PLAIN} as plain, {_MIRRORED} as mirrored from {_sql_points('sk', 'measure')} join sides using (measure)),
+pooled as (  -- the sources too small to be judged alone are one group of their language
+  select lang, case when sum(n) over (partition by lang, source, measure) >= {MIN_DOCS} then coalesce('s' || source, 'null') end as grp, measure, bucket, n from sk),
+good as (
+  select lang, grp, measure, side, slack, down from {_sql_points('pooled', 'lang, grp, measure')} join sides using (measure)
+  where case when down then q10 >= {_MIRRORED} else q90 <= {_MIRRORED} end),
+usual as (
+  select p.lang, g.side, g.slack, g.down, p.bucket, p.n from pooled p join good g
+  on p.lang is not distinct from g.lang and p.grp is not distinct from g.grp and p.measure = g.measure),
+by_lang as (select lang, side, n, {_PLAIN} as plain from {_sql_points('usual', 'lang, side, slack, down')}),
+overall as (select side, n, {_PLAIN} as plain from {_sql_points('usual', 'side, slack, down')}),
+edges as (
+  select f.lang, f.source, f.side, f.down,
+         case when f.n >= {MIN_DOCS} then f.plain when m.n >= {MIN_DOCS} then m.plain else w.plain end as plain,
+         case when f.n >= {MIN_DOCS} then f.mirrored when m.n >= {MIN_DOCS} then m.mirrored else w.mirrored end as mirrored,
+         case when b.n >= {MIN_DOCS} then b.plain else a.plain end as bound
+  from fine f join middle m on f.lang is not distinct from m.lang and f.side = m.side join whole w on f.side = w.side
+  left join by_lang b on f.lang is not distinct from b.lang and f.side = b.side left join overall a on f.side = a.side),
 lim as (
-  select f.lang, f.source {_LIMITS}
-  from {_sql_points('pairs', 'lang, source')} f
-  left join {_sql_points('pairs', 'lang')} m on f.lang is not distinct from m.lang
-  cross join {_sql_points('pairs', '')} w)
+  select lang, source, {_PIVOT} from (
+    select *, case when down then greatest(plain, least(mirrored, bound)) else least(plain, greatest(mirrored, bound)) end as edge from edges)
+  group by lang, source)
 select doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed,
        not base_failed and not coalesce(v.symbols > lim.symbols, false) and not coalesce(v.dup_lines > lim.dup_lines, false)
        and not coalesce(v.repeats > lim.repeats, false) and not coalesce(v.word > lim.word_up, false)

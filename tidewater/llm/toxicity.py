@@ -12,8 +12,8 @@ learned from.  A text's score is that of its worst word, calibrated.
 Since the softmax is linear in the average, scoring needs one number for each
 n-gram bucket: one pass over the texts, no shuffle, a table of 1 MB.
 
-*Learning* takes at most ``MAX_TRAIN`` texts of each label (documented bound,
-whole texts, chosen by a hash of the id) outside the held-out fold.
+*Learning* takes at most ``MAX_TRAIN`` texts and ``common.MAX_CHARS`` characters of each label
+(documented bounds, whole texts, chosen by a hash of the id) outside the held-out fold.
 
 Defined cases: NULL texts, empty texts and texts without letters or digits
 score as a text with no word at all (the lowest score); without labels of both
@@ -95,14 +95,16 @@ def train(texts: list[str], y: np.ndarray, seed: int = 3) -> np.ndarray | None:
         fresh = np.zeros(len(word) + 1, dtype=bool)
         fresh[first] = True
         known = np.union1d(known, uniq)
-        words.append(word)
-        owners.append(rows[part])
+        # a text's distinct words
+        own_words, at = np.unique(word, return_inverse=True)
+        pair = np.unique(part.astype(np.int64) * len(own_words) + at)
+        words.append(own_words[pair % max(1, len(own_words))])
+        owners.append(rows[pair // max(1, len(own_words))])
         gram_words.append(word[own[fresh[own]]])
         gram_buckets.append(bucket[fresh[own]])
     if not len(known):
         return None
     gram_word, gram_bucket = np.searchsorted(known, np.concatenate(gram_words)), np.concatenate(gram_buckets)
-    # a text's distinct words
     pair = np.unique(np.concatenate(owners).astype(np.int64) * len(known) + np.searchsorted(known, np.concatenate(words)))
     owner, word = pair // len(known), pair % len(known)
     used, gram = np.unique(gram_bucket, return_inverse=True)
@@ -124,9 +126,17 @@ def train(texts: list[str], y: np.ndarray, seed: int = 3) -> np.ndarray | None:
         grad = {"E": per_gram[:, None] * u + 1e-6 * p["E"], "U": np.stack([-du, du]) + 1e-5 * p["U"],
                 "b": np.array([-1.0, 1.0]) * dz.sum()}
         for k in p:
-            m[k] = 0.9 * m[k] + 0.1 * grad[k]
-            v[k] = 0.99 * v[k] + 0.01 * grad[k] ** 2
-            p[k] = p[k] - 0.05 * (m[k] / (1 - 0.9 ** step)) / (np.sqrt(v[k] / (1 - 0.99 ** step)) + 1e-8)
+            m[k] *= 0.9  # in place: the embeddings are what takes memory here
+            m[k] += 0.1 * grad[k]
+            np.square(grad[k], out=grad[k])
+            grad[k] *= 0.01
+            v[k] *= 0.99
+            v[k] += grad[k]
+            step_size = np.sqrt(v[k] / (1 - 0.99 ** step), out=grad[k])
+            step_size += 1e-8
+            np.divide(m[k], step_size, out=step_size)
+            step_size *= 0.05 / (1 - 0.9 ** step)
+            p[k] -= step_size
     out = np.zeros(BUCKETS + 1)
     out[used] = p["E"] @ (p["U"][1] - p["U"][0])
     out[-1] = p["b"][1] - p["b"][0]
