@@ -169,11 +169,11 @@ def test_one_altered_word_of_a_short_part(spark):
 
 
 def test_block_max_prunes_nothing_due(spark):
-    """All items at or above the threshold are retrieved, whatever the blocks."""
+    """All items that get what they need are retrieved, whatever the blocks."""
     rng = np.random.default_rng(2)
     texts = [" ".join(f"t{int(x)}" for x in rng.zipf(1.3, 30) % 400) for _ in range(90)]
     df = collections.Counter(w for t in texts for w in set(C.run_hashes(*_spans(t)).view(np.int64).tolist()))
-    idf = {k: float(np.log((90 - v + 1.5) / (v + 0.5))) for k, v in df.items()}
+    idf = {k: float(np.log1p((90 - v + 0.5) / (v + 0.5))) for k, v in df.items()}
     import pyarrow as pa
     index = decontaminate.Index(list(range(90)), texts, idf, 30.0, pa.int64())
     queries = [" ".join(rng.permutation(texts[k].split())[:24]) for k in range(60)]
@@ -186,10 +186,62 @@ def test_block_max_prunes_nothing_due(spark):
             impact[int(index.owner[at])][int(index.index.keys[k])] = index.impact[at]
     for r, q in enumerate(queries):
         have = set(decontaminate.terms([q])[0].tolist())
-        want |= {(r, i) for i, w in impact.items() if sum(v for t, v in w.items() if t in have) >= decontaminate.THRESHOLD - 1e-9}
+        want |= {(r, i) for i, w in impact.items() if sum(v for t, v in w.items() if t in have) >= index.need[i]}
     assert got == want and len(want) >= 40
 
 
+def test_least_share_is_a_lower_bound_over_all_gaps():
+    rng = np.random.default_rng(5)
+    for _ in range(60):
+        n, cut = int(rng.integers(1, 40)), int(rng.integers(0, 40))
+        words = rng.integers(0, 25, n).astype(np.uint64)
+        parts = [words[:min(cut, n)], words[min(cut, n):]]
+        parts = parts if len(parts[0]) else [words, words[:0]]
+        share = dict(zip(np.unique(words).tolist(), rng.dirichlet(np.full(len(np.unique(words)), 0.3)).tolist()))
+        least = decontaminate.least_share(parts, share)
+        for _ in range(200):  # random altered words: any passage that still counts has at least that share
+            gone = rng.random(n) < rng.choice([0.02, 0.05, 0.1])
+            at = int(rng.integers(0, n))
+            gone[at:at + int(rng.integers(0, 10))] = True
+            total = lost = done = 0
+            for p in parts:
+                k = min(5, len(p))
+                for i in range(max(0, len(p) - k + 1) if len(p) else 0):
+                    total, lost = total + 1, lost + bool(gone[done + i:done + i + k].any())
+                done += len(p)
+            if (total - lost) / total >= decontaminate.OVERLAP:
+                held = set(words[~gone].tolist())
+                assert sum(v for w, v in share.items() if w in held) >= least - 1e-9
+
+
+def test_templated_items_with_gaps_are_found(spark):
+    """Items that differ in 8 of 50 words; copies with gaps of any kind against brute force over shingles."""
+    rng = np.random.default_rng(8)
+    template = [f"tpl{i}" for i in range(42)]
+    items, docs = [], []
+    for k in range(300):
+        at = int(rng.integers(0, 43))
+        own = [f"own{k}x{i}" for i in range(8)]
+        items.append((k, " ".join(template[:at] + own + template[at:])))
+        words = items[-1][1].split()
+        if k % 3 == 0:  # five of the eight own words altered, next to each other
+            s = at + int(rng.integers(0, 4))
+            words[s:s + 5] = [f"new{i}" for i in range(5)]
+        elif k % 3 == 1:
+            for i in rng.integers(0, 50, int(rng.integers(1, 4))):
+                words[int(i)] = "other"
+        docs.append((1000 + k, " ".join([f"front{k}"] * 7 + words + [f"back{k}"] * 9)))
+    docs.append((9, " ".join(template)))
+    want = set()
+    grams = lambda w: [tuple(w[i:i + 5]) for i in range(len(w) - 4)]
+    for d, t in docs:
+        have = set(grams(t.split()))
+        want |= {(d, i) for i, x in items if np.mean([g in have for g in grams(x.split())]) >= decontaminate.OVERLAP}
+    got = decontaminate.find(spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string"))
+    assert {(r.doc_id, r.item_id) for r in got.collect()} == want and len(want) > 200
+    assert any(d - 1000 == i and i % 3 == 0 for d, i in want)
+
+
 def _spans(text):
     codes, _ = C.code_points([text.lower()])
     return (codes, *C.word_spans(C.char_table("alnum")[codes]))

@@ -12,9 +12,11 @@ each term and block the index keeps the largest impact.
 *Query.*  A document is read as passages of ``2 * S`` words, ``S`` apart, with S the
 longest item of the index, so that a copied item lies whole in some passage.
 For each passage, the block maxima of its terms add up to a bound; only blocks
-whose bound reaches ``THRESHOLD`` are opened and their items scored (block-max
-WAND over all blocks at once).  All items at or above the threshold are
-retrieved; there is no top-k.
+whose bound reaches what one of their items needs are opened and their items scored (block-max
+WAND over all blocks at once).  An item needs ``THRESHOLD`` of its total, or less: the
+lowest share that a passage with ``OVERLAP`` of its shingles can have (:func:`least_share`), so that an item whose
+weight lies in few words beside a common template is found when some of them are altered.
+All items that get what they need are retrieved; there is no top-k.
 
 *Verification.*  An item is its question and, after the last line break or
 sentence end, its answer.  ``question_overlap`` and ``answer_overlap`` are the
@@ -55,7 +57,7 @@ from tidewater.session import materialize
 
 K1, B = 1.2, 0.75
 BLOCK = 8
-#: share of an item's own BM25 total from which on it is retrieved
+#: share of an item's own BM25 total from which on it is retrieved, at the latest
 THRESHOLD = 0.5
 OVERLAP = 0.8
 PART = 0.5
@@ -95,13 +97,55 @@ def split_item(text: str) -> tuple[str, str]:
     return (body, "") if cut <= 0 else (body[:cut], body[cut:])
 
 
+def _removable(value: np.ndarray, budget: int) -> np.ndarray:
+    """Largest sum of word values that gaps costing 0 .. ``budget`` shingles can take from one part of an item.
+
+    A gap of g words inside costs g + 4 shingles, at either end g, the whole part all that it has.
+    """
+    n, never = len(value), -1.0
+    best = np.zeros(budget + 1)
+    if not n:
+        return best
+    k = min(SHINGLE, n)
+
+    def paid(x, cost):
+        out = np.full(budget + 1, never)
+        out[cost:] = x[:max(0, budget + 1 - cost)]
+        return out
+    kept, inner = np.zeros(budget + 1), np.full(budget + 1, never)  # the last word is kept, or in a gap inside
+    first, last = np.zeros(budget + 1), np.full(budget + 1, never)  # all words so far are the gap at the start; the gap at the end has begun
+    for v in value:
+        add = lambda x: np.where(x < 0, never, x + v)
+        kept, inner, first, last = (
+            np.maximum(np.maximum(kept, inner), first),
+            add(np.maximum(paid(kept, k), paid(inner, 1))), add(paid(first, 1)), add(np.maximum(paid(np.maximum(kept, first), 1), paid(last, 1))))
+    whole = paid(np.full(budget + 1, value.sum()), n - k + 1)
+    return np.maximum.accumulate(np.max([best, kept, inner, last, first, whole], axis=0))
+
+
+def least_share(parts: list[np.ndarray], share: dict[int, float]) -> float:
+    """The lowest share of an item's BM25 total that a passage holding ``OVERLAP`` of its shingles can have (a lower bound).
+
+    ``parts`` are the words of question and answer, ``share`` each word's part of the total; a word that occurs
+    several times goes only if all of them do, so each occurrence counts its part.
+    """
+    size = sum(max(1, len(p) - SHINGLE + 1) for p in parts if len(p))
+    budget = size - int(np.ceil(OVERLAP * size - 1e-9))
+    every = np.concatenate(parts)
+    words, at, times = np.unique(every, return_inverse=True, return_counts=True)
+    value = (np.array([share.get(int(w), 0.0) for w in words]) / times)[at]
+    cut = len(parts[0])
+    a, b = _removable(value[:cut], budget), _removable(value[cut:], budget)
+    return 1.0 - max(a[i] + b[budget - i] for i in range(budget + 1))
+
+
 class Index:
     """Impact-ordered postings of a block of items, with block maxima."""
 
     def __init__(self, ids: list, texts: list[str], idf: dict, average: float, id_type: pa.DataType):
         self.ids, self.parts = ids, []
         self.id_type = id_type
-        owner, term, impact, lengths = [], [], [], []
+        owner, term, impact, lengths, need = [], [], [], [], []
         for i, t in enumerate(texts):
             words = terms([t])[0]
             split = [terms([p])[0] if p else words[:0] for p in split_item(t)]
@@ -117,6 +161,7 @@ class Index:
             owner.append(np.full(len(own), i))
             term.append(own)
             impact.append(w / w.sum())
+            need.append(min(THRESHOLD, least_share(split, dict(zip(own.tolist(), impact[-1].tolist())))) - 1e-9)
         owner, term, impact = (np.concatenate(x) for x in (owner, term, impact))
         self.stride = max(lengths)
         vocabulary, at = np.unique(term, return_inverse=True)
@@ -131,9 +176,12 @@ class Index:
         self.block = uniq % (len(ids) // BLOCK + 1)
         self.block_first = np.searchsorted(uniq // (len(ids) // BLOCK + 1), np.arange(len(vocabulary) + 1))
         self.n_blocks = len(ids) // BLOCK + 1
+        self.need = np.full(self.n_blocks * BLOCK, np.inf)
+        self.need[:len(ids)] = need
+        self.block_need = self.need.reshape(-1, BLOCK).min(axis=1)
 
     def search(self, words: np.ndarray, owner: np.ndarray, n: int):
-        """Yield (row, item, score, passage words) for every item at or above the threshold, by passage."""
+        """Yield (row, item, score, passage words) for every item that gets what it needs, by passage."""
         first = np.searchsorted(owner, np.arange(n + 1))
         length = np.diff(first)
         cells = np.maximum(1, -(-length // self.stride)) * (length > 0)
@@ -165,7 +213,7 @@ class Index:
         size = self.block_first[term + 1] - self.block_first[term]
         at = _ranges(self.block_first[term], size)
         bound = np.bincount(np.repeat((passage - base) * self.n_blocks, size) + self.block[at], weights=self.most[at])
-        opened = np.flatnonzero(bound >= THRESHOLD - 1e-9)
+        opened = np.flatnonzero(bound >= self.block_need[np.arange(len(bound)) % self.n_blocks])
         if not len(opened):
             return
         # items of the opened blocks, term by term
@@ -181,7 +229,8 @@ class Index:
         place = slot[np.repeat(passage * self.n_blocks, size) + item // BLOCK]
         ok = place >= 0
         score = np.bincount(place[ok] * BLOCK + item[ok] % BLOCK, weights=self.impact[at][ok], minlength=len(opened) * BLOCK)
-        for k in np.flatnonzero(score >= THRESHOLD - 1e-9):
+        items = (opened % self.n_blocks)[:, None] * BLOCK + np.arange(BLOCK)
+        for k in np.flatnonzero(score >= self.need[items].ravel()):
             block = opened[k // BLOCK]
             cell = base + block // self.n_blocks
             row = row_of_cell[cell]

@@ -41,7 +41,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidewater.llm import common as C
-from tidewater.session import materialize
+from tidewater.session import materialize, memory_bytes
 
 MIN_DOCS = 100
 SPREAD = 4
@@ -49,6 +49,8 @@ SPREAD = 4
 MEASURES = {"symbols": 60, "dup_lines": 300, "repeats": 150, "word_up": 1500, "word_down": 1500}
 #: added to the number of lines and words in a share, so that one line that recurs does not condemn a short text
 FEW_LINES, FEW_WORDS = 5, 100
+#: size of the table of limits up to which it is broadcast
+LIMIT_BYTES = 16 << 20
 SYMBOLS = "#*$%&|<>"
 WINDOW = 5
 #: what measure() adds
@@ -206,7 +208,9 @@ def judge(docs: DataFrame, text: str = "text", lang: str = "lang", source: str =
     if carry is not None:
         out = out.select(*dict.fromkeys([*carry, lang, source]), *COLUMNS)
     measured = materialize(out, "quality-measures")
-    limits = thresholds(measured, lang, source)
+    limits = materialize(thresholds(measured, lang, source), "quality-limits")
+    if memory_bytes(limits) <= LIMIT_BYTES:  # one row for each language and source: rows with their texts then stay where they are
+        limits = F.broadcast(limits)
     joined = measured.join(limits, measured[lang].eqNullSafe(limits["_lang"]) & measured[source].eqNullSafe(limits["_source"]), "left")
     value = _per_mille()
     out = [value[k] < F.col(f"limit_{k}") if k == "word_down" else value[k] > F.col(f"limit_{k}") for k in MEASURES]
