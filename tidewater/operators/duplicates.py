@@ -82,23 +82,28 @@ def broadcast_limit(df: DataFrame) -> int:
 
 
 def flag_duplicates(df: DataFrame, cols: list[str], flag: str, base: DataFrame | None = None,
-                    materialize_keys: bool = False) -> DataFrame:
+                    materialize_keys: bool = False, taken: DataFrame | None = None) -> DataFrame:
     """Add boolean column ``flag``: True when the row's ``cols`` value repeats.
 
     ``base`` is the frame the counts come from (default ``df``); passing the
     unflagged input keeps several flag joins from re-running each other.
     ``materialize_keys`` writes the duplicate-key set (one row per duplicated
     value) to the shared checkpoint folder once, so frames read several times
-    do not recompute it and the join sees its measured size.
+    do not recompute it and the join sees its measured size.  Values of ``taken`` (column ``key``) count as
+    repeated wherever they occur (one column only).
     """
     keys = [f"__dk{i}" for i in range(len(cols))]
     dup_set = duplicate_keys(base if base is not None else df, cols)
+    if taken is not None:
+        own = (base if base is not None else df).select(key_hash(cols).alias("__h"), F.col(_q(cols[0]))).distinct()
+        again = own.join(taken, own[_q(cols[0])].eqNullSafe(taken["key"]), "left_semi")
+        dup_set = dup_set.select("__h", F.col(_q(cols[0]))).unionByName(again).distinct()
     small = False
     if materialize_keys:
-        from tidewater.session import materialize_sized, memory_bytes
-        dup_set, size = materialize_sized(dup_set.select("__h", *[F.col(_q(c)) for c in cols]), "dupkeys")
+        from tidewater.session import materialize_measured
+        dup_set, size, in_memory = materialize_measured(dup_set.select("__h", *[F.col(_q(c)) for c in cols]), "dupkeys")
         # files are compressed: what counts is the size in memory
-        small = size <= broadcast_limit(df) and memory_bytes(dup_set) <= broadcast_limit(df)
+        small = size <= broadcast_limit(df) and in_memory <= broadcast_limit(df)
     dups = dup_set.select(
         F.col("__h").alias("__dh"),
         *[F.col(_q(c)).alias(k) for c, k in zip(cols, keys)],

@@ -21,6 +21,7 @@ Plan, chosen for skew:
 
 from __future__ import annotations
 
+from dataclasses import dataclass, field
 from typing import Any
 
 from pyspark.sql import Column, DataFrame
@@ -129,10 +130,9 @@ BROADCAST_LIMIT_CONF = "spark.tidewater.upsert.broadcastLimitBytes"
 DEFAULT_BROADCAST_LIMIT = 128 * 1024 * 1024
 
 
-def _check_upsert(target: DataFrame, source: DataFrame, keys: list[str], order_by: str | None) -> None:
+def _check_upsert(tcols: list[str], source: DataFrame, keys: list[str], order_by: str | None) -> None:
     if not keys:
         raise JobError("SPEC_INVALID", "UPSERT needs upsert_keys")
-    tcols = target.columns
     missing = [k for k in keys if k not in tcols or k not in source.columns]
     if missing:
         raise JobError("COLUMN_NOT_FOUND", f"upsert key(s) {missing} missing")
@@ -214,6 +214,35 @@ def merge_broadcast(target: DataFrame, keyed: DataFrame, null_key_rows: DataFram
     return updated.unionByName(inserted).unionByName(_null_key_inserts(null_key_rows, target, order_by, defaults))
 
 
+@dataclass
+class MergeSource:
+    """An UPSERT's source, aligned to the target and free of repeated keys."""
+    keyed: DataFrame
+    null_keys: DataFrame
+    small: bool = False  # measured to be within the broadcast limit
+    executed: list[DataFrame] = field(default_factory=list)  # frames already run
+
+
+def prepare_source(schema: T.StructType, source: DataFrame, keys: list[str], order_by: str | None,
+                   measure: bool = True, broadcast_limit: int | None = None) -> MergeSource:
+    """One alignment for update, insert and NULL-key rows, in any plan.
+
+    ``measure``: the deduplicated rows are written once to the shared checkpoint folder, which also gives their size; at
+    most ``broadcast_limit`` bytes (session setting ``spark.tidewater.upsert.broadcastLimitBytes``, default 128 MB)
+    in files and in memory count as small.
+    """
+    spark = source.sparkSession
+    tcols = [f.name for f in schema.fields]
+    _check_upsert(tcols, source, keys, order_by)
+    keyed, null_keys = split_source(align_types(source, schema), keys, order_by)
+    if not measure:
+        return MergeSource(keyed, null_keys)
+    from tidewater.session import materialize_measured
+    limit = broadcast_limit if broadcast_limit is not None else int(spark.conf.get(BROADCAST_LIMIT_CONF, str(DEFAULT_BROADCAST_LIMIT)))
+    written, on_disk, in_memory = materialize_measured(keyed, "upsert-source")
+    return MergeSource(written, null_keys, on_disk <= limit and in_memory <= limit, [keyed])
+
+
 def upsert(target: DataFrame, source: DataFrame, keys: list[str] | tuple[str, ...],
            order_by: str | None = None, defaults: dict[str, Any] | None = None,
            plan: str = "shuffle", broadcast_limit: int | None = None) -> DataFrame:
@@ -223,28 +252,14 @@ def upsert(target: DataFrame, source: DataFrame, keys: list[str] | tuple[str, ..
 
 def plan_upsert(target: DataFrame, source: DataFrame, keys: list[str] | tuple[str, ...],
                 order_by: str | None = None, defaults: dict[str, Any] | None = None,
-                plan: str = "shuffle", broadcast_limit: int | None = None) -> tuple[DataFrame, list[DataFrame]]:
+                plan: str = "shuffle", broadcast_limit: int | None = None, source_ready: MergeSource | None = None) -> tuple[DataFrame, list[DataFrame]]:
     """The merged target, and the frames already executed while planning it
     (the materialised source), for callers that read observed metrics.
 
-    ``plan="shuffle"``: full outer join (any size).  ``plan="auto"``: the
-    deduplicated source is written once to the shared checkpoint folder and
-    its size measured; at most ``broadcast_limit`` bytes (session setting
-    ``spark.tidewater.upsert.broadcastLimitBytes``, default 128 MB) it is
-    broadcast and the target is never shuffled, otherwise the full outer join.
+    ``plan="shuffle"``: full outer join (any size).  ``plan="auto"``: a source that :func:`prepare_source` measures
+    as small is broadcast and the target is never shuffled, otherwise the full outer join.
     """
     keys = list(keys)
-    _check_upsert(target, source, keys, order_by)
-    # one alignment for update, insert and NULL-key rows, in either plan
-    keyed, null_key_rows = split_source(align_types(source, target.schema), keys, order_by)
-    executed: list[DataFrame] = []
-    if plan == "auto":
-        from tidewater.session import materialize_sized, memory_bytes
-        executed.append(keyed)
-        keyed, size = materialize_sized(keyed, "upsert-source")
-        limit = broadcast_limit
-        if limit is None:
-            limit = int(target.sparkSession.conf.get(BROADCAST_LIMIT_CONF, str(DEFAULT_BROADCAST_LIMIT)))
-        if size <= limit and memory_bytes(keyed) <= limit:
-            return merge_broadcast(target, keyed, null_key_rows, keys, order_by, defaults), executed
-    return merge_shuffled(target, keyed, null_key_rows, keys, order_by, defaults), executed
+    ready = source_ready or prepare_source(target.schema, source, keys, order_by, plan == "auto", broadcast_limit)
+    merge = merge_broadcast if ready.small else merge_shuffled
+    return merge(target, ready.keyed, ready.null_keys, keys, order_by, defaults), ready.executed

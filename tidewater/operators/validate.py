@@ -150,7 +150,7 @@ class ValidationOutcome:
 
 def validate(df: DataFrame, rules: list[ValidationRule] | tuple[ValidationRule, ...],
              extra_columns: list[str] | tuple[str, ...] = (), persist: bool = False,
-             materialize_keys: bool | str = "auto") -> ValidationOutcome:
+             materialize_keys: bool | str = "auto", seen: dict[str, DataFrame] | None = None) -> ValidationOutcome:
     """Flag every rule on ``df``.
 
     ``extra_columns`` are carried along but not validated (for example a row
@@ -161,6 +161,7 @@ def validate(df: DataFrame, rules: list[ValidationRule] | tuple[ValidationRule,
     DUPLICATE_CHECK — is written once to the shared checkpoint folder
     (``materialize_keys="auto"``: when such a rule exists) and joined from
     there.  ``persist=True`` caches the whole flagged frame instead.
+    ``seen`` gives, by column, values (column ``key``) that count as occurring once more for UNIQUE.
     """
     extra = list(extra_columns)
     data_cols = [c for c in df.columns if c not in extra]
@@ -203,7 +204,8 @@ def validate(df: DataFrame, rules: list[ValidationRule] | tuple[ValidationRule,
     flagged = df
     mat = bool(population) if materialize_keys == "auto" else bool(materialize_keys)
     for flag, cols in population:
-        flagged = flag_duplicates(flagged, cols, flag, base=df, materialize_keys=mat)
+        taken = (seen or {}).get(cols[0]) if len(cols) == 1 else None
+        flagged = flag_duplicates(flagged, cols, flag, base=df, materialize_keys=mat, taken=taken)
     if local:
         flagged = flagged.select("*", *[p.alias(f) for f, p in local])
     # stable column order: data, extra, flags in rule order

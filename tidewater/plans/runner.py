@@ -7,10 +7,16 @@ Observations also yield every rule's failure count and the source row count,
 (3) the target write, whose Observation yields the rows written and the new
 mark.  Only counters and a few log lines ever reach the driver.
 
-Order of effects (at-least-once, keyed by run id): violations, STOP decision,
-target write, then ONE append of the run record carrying its step log and the
-new mark — so a mark only ever becomes visible together with its successful
-run.
+Order of effects (keyed by run id): violations, STOP decision, target write, then ONE append of the run
+record carrying its step log and the new mark — so a mark only ever becomes
+visible together with its successful run.  A path target gets the rows and the load's receipt
+(run, rows, marks) in one commit (:mod:`tidewater.sources.publish`).  A run that is lost between that
+commit and its record has loaded its slice all the same: the next run of the job
+finds the receipt and goes on behind it, and a run repeated under the same id loads nothing twice.
+
+A source that need not give the same rows again (JDBC, a limit, SQL with a limit or
+a random function, a frame handed in) is written once to the shared checkpoint folder, which both passes
+read (:func:`repeats`).
 """
 
 from __future__ import annotations
@@ -28,15 +34,16 @@ from pyspark.sql import types as T
 from tidewater.errors import JobError
 from tidewater.fixed import STEP_MESSAGES as MSG
 from tidewater.fixed import TEST_RUN_DEFAULT_ROWS
-from tidewater.operators.drift import check_drift
+from tidewater.operators.drift import check_drift, drift_texts, null_checks
 from tidewater.operators.mapping import apply_mappings
 from tidewater.operators.rowindex import with_row_index
 from tidewater.operators.validate import validate
 from tidewater.plans.observed import Probe
 from tidewater.plans.store import RunStore, utcnow
-from tidewater.session import scratch_scope
-from tidewater.sources.readers import read_source
-from tidewater.sources.sinks import write_frame
+from tidewater.session import materialize, scratch_scope
+from tidewater.sources import publish
+from tidewater.sources.readers import BAD_ROW, CSV_VALUE, read_source
+from tidewater.sources.sinks import PATH_KINDS, write_frame
 from tidewater.spec import JobSpec, check_spec
 
 
@@ -91,20 +98,52 @@ def mark_text(value) -> str | None:
     return None if value is None else str(value)
 
 
+def repeats(spec: JobSpec, df: DataFrame, limited: bool, given: bool) -> bool:
+    """Whether reading the source again gives the same rows: files do; a cut without order, a database or a frame
+    handed in (``given``) need not; SQL does unless it holds a limit, a sample or a random function."""
+    if limited or given or spec.source.kind.lower() == "jdbc":
+        return False
+    if spec.source.kind.lower() in ("sql", "table"):
+        plan = df._jdf.queryExecution().analyzed()
+        text = plan.toString()
+        return not any(x in text for x in ("GlobalLimit", "LocalLimit", "Sample ", "rand(", "randn(", "uuid(", "monotonically_increasing_id"))
+    return True
+
+
+def _quarantine(store: RunStore, spec: JobSpec, run_id: str, started, bad_rows: DataFrame, res: RunResult, log: _Log) -> None:
+    """Append the rows that do not parse to the violation store and count them (rows read, rows and records rejected)."""
+    probe = Probe("bad-rows")
+    watched = probe.attach(bad_rows, F.count(F.lit(1)).alias("rows"))
+    reason = F.col(BAD_ROW)
+    rows = watched.select(
+        F.lit(run_id).alias("job_run_id"), F.lit(spec.id).alias("pipeline_id"), F.struct(reason["line"].alias("line")).alias("source_data"),
+        F.lit(None).cast("int").alias("rule_index"), reason["column"].alias("error_column"), reason["rule"].alias("error_rule"),
+        reason["message"].alias("error_message"), F.lit("REJECT").alias("action"), F.lit(started).alias("created_at"), F.lit(started.date()).alias("run_date"))
+    store.append_violations(rows, spec.id)
+    n = int(probe.result(rows).get("rows", 0) or 0)
+    res.source_count += n
+    res.rejected_rows += n
+    res.rejected_count += n
+    if n:
+        log.warn("SOURCE_READ_DONE", f"{n:,} rows do not parse; they are kept as violations")
+
+
 def run_job(spark: SparkSession, spec: JobSpec, store: RunStore | None = None, run_type: str = "MANUAL",
             test_limit: int | None = None, source_df: DataFrame | None = None, run_id: str | None = None,
-            raise_on_error: bool = True) -> RunResult:
+            raise_on_error: bool = True, source_repeats: bool | None = None, seen: dict[str, DataFrame] | None = None) -> RunResult:
     """Execute one run of ``spec``; see the module docstring.  Intermediate
     folders the run writes to the shared checkpoint folder are removed when it
-    ends."""
+    ends.  ``source_repeats`` says that the source gives the same rows each time (None: see :func:`repeats`);
+    ``seen`` gives, by column, values (column ``key``) that UNIQUE counts as taken already."""
     with scratch_scope(spark):
-        return _run_job(spark, spec, store, run_type, test_limit, source_df, run_id, raise_on_error)
+        return _run_job(spark, spec, store, run_type, test_limit, source_df, run_id, raise_on_error, source_repeats, seen)
 
 
 def _run_job(spark: SparkSession, spec: JobSpec, store: RunStore | None, run_type: str,
              test_limit: int | None, source_df: DataFrame | None, run_id: str | None,
-             raise_on_error: bool) -> RunResult:
+             raise_on_error: bool, source_repeats: bool | None, seen_keys: dict[str, DataFrame] | None) -> RunResult:
     store = store or RunStore.default(spark)
+    repeated_id = run_id  # a run that the caller may repeat names itself
     run_id = run_id or uuid.uuid4().hex
     log = _Log(run_id)
     started = utcnow()
@@ -118,11 +157,20 @@ def _run_job(spark: SparkSession, spec: JobSpec, store: RunStore | None, run_typ
         log.info("SOURCE_CONNECT", MSG["SOURCE_CONNECT"].format(name=spec.source.table or spec.source.path or spec.source.kind))
         log.info("TARGET_CONNECT", MSG["TARGET_CONNECT"].format(name=spec.target.table or spec.target.path or spec.target.kind))
 
-        # -- checkpoint (incremental)
-        mark = None
+        # -- checkpoint (incremental), and what the last run of the job has left in the target
+        mark = recorded = None
+        path_target = spec.target.kind.lower() in PATH_KINDS
+        left = publish.receipt_of(spark, spec.target.path, spec.id) if path_target and not is_test and strategy in ("INCREMENTAL", "APPEND") else None
+        if left and repeated_id and left["run"] == repeated_id:
+            log.warn("TARGET_WRITE_DONE", f"run {run_id} has loaded its {left['rows']:,} rows before; nothing is loaded again")
+            res.success_count, res.mark, res.status = left["rows"], left["mark"], "SUCCESS"
+            return res
         if strategy == "INCREMENTAL" and source_df is None:
             m = store.mark_of(spec.id)
-            mark = m["checkpoint_value"] if m else None
+            recorded = mark = m["checkpoint_value"] if m else None
+            if left and left["mark"] is not None and left["from"] == recorded and left["mark"] != recorded:
+                log.warn("CHECKPOINT", f"run {left['run']} left no record but {left['rows']:,} rows up to {left['mark']}")
+                mark = res.mark = left["mark"]
             log.info("CHECKPOINT", MSG["CHECKPOINT"].format(value=mark, column=spec.source.checkpoint_col) if mark
                      else MSG["CHECKPOINT_FIRST"])
 
@@ -141,11 +189,18 @@ def _run_job(spark: SparkSession, spec: JobSpec, store: RunStore | None, run_typ
             log.info("NO_DATA", MSG["NO_DATA"])
             res.status = "SUCCESS"
             return res
-        # stored files give the same rows in every pass; a stream's batch, a database or a cut without order need not
-        source_repeats = source_df is None and not limit and spec.source.kind.lower() in ("parquet", "orc", "csv", "tsv", "txt", "json") \
+        same_rows = repeats(spec, src, bool(limit), source_df is not None) if source_repeats is None else source_repeats
+        if not same_rows and spec.rules and not spec.cache:
+            src = materialize(src, "pinned-source")  # both passes read these rows
+        source_repeats = spec.source.kind.lower() in ("parquet", "orc", "csv", "tsv", "txt", "json") and source_df is None and not limit \
             and not spec.cache and spec.mark_from != "source"
+        bad_rows = None
+        if BAD_ROW in src.columns:  # rows that do not parse: counted and kept as violations, never loaded
+            bad_rows = src.where(F.col(BAD_ROW).isNotNull())
+            src = src.where(F.col(BAD_ROW).isNull()).drop(BAD_ROW)
         src_probe = Probe("src")
-        src_exprs = [F.count(F.lit(1)).alias("rows")]
+        nulls = null_checks(src, spec.expected_schema, spec.schema_drift_action)
+        src_exprs = [F.count(F.lit(1)).alias("rows"), *nulls]
         cp_col = spec.source.checkpoint_col
         if strategy == "INCREMENTAL" and spec.mark_from == "source" and cp_col in src.columns:
             src_exprs.append(mark_expr(src, cp_col).alias("mark"))
@@ -153,10 +208,14 @@ def _run_job(spark: SparkSession, spec: JobSpec, store: RunStore | None, run_typ
         src = src_probe.attach(src, *src_exprs)
         executed: list[DataFrame] = []  # frames whose plans ran (for the source probe)
 
-        # -- drift
-        for w in check_drift(src, spec.expected_schema, spec.schema_drift_action):
+        # -- drift: the schema now; NULLs where none are expected are counted by the pass that counts the source
+        for w in check_drift(src, spec.expected_schema, spec.schema_drift_action, data=False):
             log.warn("SCHEMA_DRIFT", w)
 
+        def check_nulls(seen: dict) -> None:
+            for w in drift_texts(spec.expected_schema, spec.schema_drift_action, seen):
+                log.warn("SCHEMA_DRIFT", w)
+
         # -- map + transform (excluded mappings are dropped; see README)
         mapped = src
         sources = {c: c for c in src.columns}
@@ -178,7 +237,7 @@ def _run_job(spark: SparkSession, spec: JobSpec, store: RunStore | None, run_typ
         valid = mapped.drop(*extra) if extra else mapped
         if spec.rules:
             log.info("VALIDATION_START", MSG["VALIDATION_START"].format(n=len(spec.rules)))
-            outcome = validate(mapped, spec.rules, extra_columns=extra, persist=spec.cache)
+            outcome = validate(mapped, spec.rules, extra_columns=extra, persist=spec.cache, seen=seen_keys)
             for i in outcome.skipped:
                 log.warn("VALIDATION_START", f"rule {i} ({spec.rules[i].rule_type}) skipped: column missing or no-op")
         if outcome is not None and outcome.rules:
@@ -198,15 +257,20 @@ def _run_job(spark: SparkSession, spec: JobSpec, store: RunStore | None, run_typ
                 got = outcome.flagged.agg(*outcome.count_exprs()).collect()[0].asDict()
                 executed.append(outcome.flagged)
             counts = {k: int(v or 0) for k, v in got.items()}
-            res.source_count = int(src_probe.result(*executed).get("rows", 0) or 0)
+            seen = src_probe.result(*executed)
+            res.source_count = int(seen.get("rows", 0) or 0)
+            if bad_rows is not None:
+                _quarantine(store, spec, run_id, started, bad_rows, res, log)
             log.info("SOURCE_READ_DONE", MSG["SOURCE_READ_DONE"].format(n=res.source_count))
+            if nulls:
+                check_nulls(seen)
             if counts.get("__rows", 0) == 0 and res.source_count == 0:
                 log.info("NO_DATA", MSG["NO_DATA"])
                 res.status = "SUCCESS"
                 return res
-            res.per_rule = outcome.per_rule(counts)
-            res.rejected_rows = counts["__rejected_rows"]
-            res.rejected_count = outcome.violation_record_count(counts)
+            res.per_rule += outcome.per_rule(counts)
+            res.rejected_rows += counts["__rejected_rows"]
+            res.rejected_count += outcome.violation_record_count(counts)
             for w in outcome.warnings(counts):
                 log.warn("VALIDATION_WARN", w)
                 res.warnings.append(w)
@@ -219,7 +283,10 @@ def _run_job(spark: SparkSession, spec: JobSpec, store: RunStore | None, run_typ
                 # the source's rows are counted: without the observation the valid side's filters reach its scan
                 again = apply_mappings(raw_src, spec.mappings, keep_unmapped=spec.keep_unmapped).frame if spec.mappings else raw_src
                 valid = validate(again, spec.rules, persist=False).valid()
-            log.info("VALIDATION_DONE", MSG["VALIDATION_DONE"].format(n=counts["__rows"] - res.rejected_rows))
+            log.info("VALIDATION_DONE", MSG["VALIDATION_DONE"].format(n=counts["__rows"] - counts["__rejected_rows"]))
+
+        if bad_rows is not None and (outcome is None or not outcome.rules):
+            _quarantine(store, spec, run_id, started, bad_rows, res, log)
 
         # rules were given but none applies: no violation pass observed the
         # source, so probe it before a FULL_LOAD could truncate the target
@@ -240,20 +307,36 @@ def _run_job(spark: SparkSession, spec: JobSpec, store: RunStore | None, run_typ
         else:
             log.info("TARGET_WRITE_START", MSG["TARGET_WRITE_START"].format(strategy=strategy))
             obs_exprs = [mark_expr(valid, mark_col).alias("mark")] if mark_col else []
+            counted = outcome is not None and bool(outcome.rules)
+
+            def mark_after(got: dict):
+                if strategy == "INCREMENTAL" and spec.mark_from == "source":
+                    return src_probe.result(*executed).get("mark")
+                return got.get("mark") if mark_col else None
+
+            def receipt(got: dict) -> dict | None:
+                """What goes into the commit; nothing is committed if this raises."""
+                if nulls and not counted:
+                    check_nulls(src_probe.result(*executed))
+                if strategy not in ("APPEND", "INCREMENTAL"):
+                    return None
+                new = mark_text(mark_after(got)) or res.mark
+                return {"job": spec.id, "run": run_id, "rows": int(got.get("rows", 0) or 0), "from": recorded, "mark": new}
+
+            if nulls and not counted and not path_target:
+                check_nulls(raw_src.agg(*nulls).first().asDict())
             wr = write_frame(spark, valid, spec.target, strategy, spec.upsert_keys, spec.order_by,
-                             spec.batch_size, obs_exprs)
+                             spec.batch_size, obs_exprs, receipt)
             res.success_count = wr.rows_written
             log.info("TARGET_CONNECTED", MSG["TARGET_CONNECTED"].format(ms=wr.connect_ms))
             log.info("TARGET_WRITE_DONE", MSG["TARGET_WRITE_DONE"].format(n=wr.rows_written))
-            new_mark = (wr.observed or {}).get("mark") if mark_col else None
-            if strategy == "INCREMENTAL" and spec.mark_from == "source":
-                new_mark = src_probe.result(*executed).get("mark")
+            new_mark = mark_after(wr.observed or {})
             if strategy == "INCREMENTAL" and new_mark is not None:
                 # stored with the run record (one append, after the target write)
                 res.mark = mark_text(new_mark)
                 log.info("CHECKPOINT_UPDATED", MSG["CHECKPOINT_UPDATED"].format(value=res.mark))
         if not spec.rules or outcome is None or not outcome.rules:
-            res.source_count = int(src_probe.result(*executed).get("rows", 0) or 0)
+            res.source_count += int(src_probe.result(*executed).get("rows", 0) or 0)
             log.info("SOURCE_READ_DONE", MSG["SOURCE_READ_DONE"].format(n=res.source_count))
         res.status = "SUCCESS"
         log.info("JOB_SUCCESS", MSG["JOB_SUCCESS"])
@@ -265,7 +348,8 @@ def _run_job(spark: SparkSession, spec: JobSpec, store: RunStore | None, run_typ
             raise
         return res
     except Exception as e:  # noqa: BLE001
-        res.status, res.error_code, res.error_message = "FAILED", "UNEXPECTED", MSG["JOB_UNEXPECTED"].format(error=e)
+        code = "READ_FAILED" if CSV_VALUE in str(e) or "MALFORMED_" in str(e) else "UNEXPECTED"
+        res.status, res.error_code, res.error_message = "FAILED", code, MSG["JOB_UNEXPECTED"].format(error=e)
         log.error("JOB_FAILED", res.error_message, traceback.format_exc())
         if raise_on_error:
             raise

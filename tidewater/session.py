@@ -185,15 +185,14 @@ def materialize_sized(df, name: str):
     return spark.read.parquet(path), int(size)
 
 
-def memory_bytes(df) -> int:
-    """Bytes of ``df``'s values in memory, uncompressed: text by its length,
-    nested values by their JSON length, the rest by the width of its type.
-    One aggregate; meant for frames just materialised."""
+def row_bytes(schema):
+    """Column of a row's bytes in memory, uncompressed: text by its length, nested values by their JSON length, the
+    rest by the width of its type."""
     from pyspark.sql import functions as F
     from pyspark.sql import types as T
     fixed = {T.ByteType: 1, T.BooleanType: 1, T.ShortType: 2, T.IntegerType: 4, T.FloatType: 4, T.DateType: 4}
     width, lengths = 16, []  # 16: a row's own overhead
-    for f in df.schema.fields:
+    for f in schema.fields:
         c = F.col("`" + f.name.replace("`", "``") + "`")
         width += fixed.get(type(f.dataType), 8)
         if isinstance(f.dataType, (T.StringType, T.BinaryType)):
@@ -203,7 +202,24 @@ def memory_bytes(df) -> int:
     each = F.lit(width).cast("long")
     for n in lengths:
         each = each + F.coalesce(n, F.lit(0))
-    return int(df.agg(F.coalesce(F.sum(each), F.lit(0)).alias("b")).first()["b"])
+    return each
+
+
+def memory_bytes(df) -> int:
+    """Bytes of ``df``'s values in memory; one aggregate, meant for frames just materialised."""
+    from pyspark.sql import functions as F
+    return int(df.agg(F.coalesce(F.sum(row_bytes(df.schema)), F.lit(0)).alias("b")).first()["b"])
+
+
+def materialize_measured(df, name: str):
+    """:func:`materialize`, plus the size on disk and the size in memory, which the write itself observes."""
+    from pyspark.sql import functions as F
+
+    from tidewater.plans.observed import Probe
+    probe = Probe("size")
+    watched = probe.attach(df, F.sum(row_bytes(df.schema)).alias("b"))
+    out, size = materialize_sized(watched, name)
+    return out, size, int(probe.result(watched).get("b") or 0)  # nothing observed: the plan was provably empty
 
 
 def parse_bytes(text) -> int:

@@ -22,6 +22,7 @@ from tidewater.fixed import (
     PREVIEW_DEFAULT_ROWS,
     PREVIEW_MAX_ROWS,
 )
+from tidewater.sources import publish
 from tidewater.spec import SourceSpec
 
 
@@ -123,12 +124,12 @@ def enable_charset(spark: SparkSession, encoding: str | None) -> None:
         spark.conf.set("spark.sql.legacy.javaCharsets", "true")
 
 
-def normalise_null_tokens(df: DataFrame, tokens=CSV_NULL_TOKENS) -> DataFrame:
-    """Map every token in ``tokens`` to NULL in all string columns."""
+def normalise_null_tokens(df: DataFrame, tokens=CSV_NULL_TOKENS, but: tuple = ()) -> DataFrame:
+    """Map every token in ``tokens`` to NULL in all string columns (``but`` some)."""
     toks = list(tokens)
     return df.select(*[
         F.when(F.col(_q(f.name)).isin(toks), F.lit(None).cast("string")).otherwise(F.col(_q(f.name))).alias(f.name)
-        if isinstance(f.dataType, T.StringType) else F.col(_q(f.name))
+        if isinstance(f.dataType, T.StringType) and f.name not in but else F.col(_q(f.name))
         for f in df.schema.fields
     ])
 
@@ -170,37 +171,86 @@ def infer_types(df: DataFrame) -> T.StructType:
     return T.StructType(fields)
 
 
-def read_csv(spark: SparkSession, path: str, sep: str = ",", encoding: str = "UTF-8", header: bool = True,
+#: struct (line, column, rule, message) of a row that does not parse, NULL for the others
+BAD_ROW = "__bad_row"
+_CORRUPT = "__corrupt"
+BAD_ROW_MODES = ("fail", "quarantine")
+#: what an error of the strict reader begins with
+CSV_VALUE = "CSV value"
+
+
+def read_csv(spark: SparkSession, path: str | list[str], sep: str = ",", encoding: str = "UTF-8", header: bool = True,
              null_tokens=CSV_NULL_TOKENS, schema: T.StructType | str | None = None,
-             infer: bool = True, multi_line: bool | None = None) -> DataFrame:
+             infer: bool = True, multi_line: bool | None = None, bad_rows: str = "fail") -> DataFrame:
     """CSV/TSV/TXT reader.
 
-    Quoted fields may hold separators, doubled quotes and line breaks.  A row
-    with too few or too many fields fails the read.  ``multi_line`` says whether
+    Quoted fields may hold separators, doubled quotes and line breaks.  ``multi_line`` says whether
     quoted line breaks occur; files that have them cannot be split between
     tasks.  None finds out by one pass over the lines (an odd number of quotes).
 
     All fields are read as text, the null tokens become NULL, then either the
-    given ``schema`` is applied or types are inferred (see :func:`infer_types`).
+    given ``schema`` is applied (by the header's names) or types are inferred (see :func:`infer_types`).
     Dates stay text unless a schema says otherwise.
+
+    No value becomes NULL because it does not fit.  ``bad_rows`` says what happens to rows with
+    too few or too many fields, and to values outside the given type:
+
+    * ``fail``: the read fails (as it does, in either mode, where files differ in their headers),
+    * ``quarantine``: the frame has a further column ``BAD_ROW``, NULL for rows that parse, else why the row does not; a run
+      keeps those rows as violations and loads the others.
     """
+    if bad_rows not in BAD_ROW_MODES:
+        raise JobError("SPEC_INVALID", f"bad_rows must be one of {list(BAD_ROW_MODES)}")
     enable_charset(spark, encoding)
     if multi_line is None:
         odd = F.pmod(F.length("value") - F.length(F.replace("value", F.lit('"'), F.lit(""))), F.lit(2)) == 1
         multi_line = not spark.read.text(path).where(odd).isEmpty()
-    raw = (spark.read.option("header", str(header).lower()).option("sep", sep)
-           .option("encoding", encoding).option("inferSchema", "false").option("escape", '"')
-           .option("multiLine", str(multi_line).lower()).option("columnPruning", "false")
-           .option("mode", "FAILFAST").csv(path))
-    raw = normalise_null_tokens(raw, null_tokens)
+    reader = (spark.read.option("header", str(header).lower()).option("sep", sep)
+              .option("encoding", encoding).option("inferSchema", "false").option("escape", '"')
+              .option("multiLine", str(multi_line).lower()).option("columnPruning", "false").option("enforceSchema", "false"))
+    quarantine = bad_rows == "quarantine"
+    if quarantine:
+        names = reader.csv(path).schema  # the header only
+        raw = (reader.schema(T.StructType([*names.fields, T.StructField(_CORRUPT, T.StringType())])).option("mode", "PERMISSIVE")
+               .option("columnNameOfCorruptRecord", _CORRUPT).option("enforceSchema", "true").csv(path))
+    else:
+        raw = reader.option("mode", "FAILFAST").csv(path)
+    fields = [f.name for f in raw.schema.fields if f.name != _CORRUPT]
+    clean = normalise_null_tokens(raw.select(*[F.col(_q(c)) for c in fields], *([F.col(_CORRUPT).alias(BAD_ROW)] if quarantine else [])),
+                                  null_tokens, but=(BAD_ROW,))
     if schema is not None:
         st = T.DataType.fromDDL(schema) if isinstance(schema, str) else schema
     elif infer:
-        st = infer_types(raw)
+        whole = clean.where(F.col(BAD_ROW).isNull()).drop(BAD_ROW) if quarantine else clean
+        st = infer_types(whole)
     else:
-        return raw
-    return raw.select(*[F.col(_q(f.name)).try_cast(f.dataType).alias(f.name) if not isinstance(f.dataType, T.StringType)
-                        else F.col(_q(f.name)) for f in st.fields])
+        st = T.StructType([T.StructField(c, T.StringType()) for c in fields])
+    return _typed_rows(clean, st, fields, sep, quarantine)
+
+
+def _typed_rows(rows: DataFrame, st: T.StructType, fields: list[str], sep: str, quarantine: bool) -> DataFrame:
+    """Text columns in the types of ``st``; a value that does not fit fails the read or marks its row."""
+    out, misfits = [], []
+    line = F.to_csv(F.struct(*[F.col(_q(c)) for c in fields]), {"sep": sep})
+    for f in st.fields:
+        c = F.col(_q(f.name))
+        if isinstance(f.dataType, T.StringType):
+            out.append(c)
+            continue
+        value = c.try_cast(f.dataType)
+        lost = c.isNotNull() & value.isNull()
+        message = F.concat(F.lit(f"{CSV_VALUE} does not fit {f.name} {f.dataType.simpleString()}: "), F.substring(c, 1, 200))
+        if quarantine:
+            out.append(value.alias(f.name))
+            misfits.append(F.when(lost, F.struct(line.alias("line"), F.lit(f.name).alias("column"), F.lit("CSV_TYPE").alias("rule"), message.alias("message"))))
+        else:
+            out.append(F.when(lost, F.raise_error(message).cast(f.dataType)).otherwise(value).alias(f.name))
+    if not quarantine:
+        return rows.select(*out)
+    width = F.when(F.col(BAD_ROW).isNotNull(), F.struct(
+        F.col(BAD_ROW).alias("line"), F.lit("").alias("column"), F.lit("CSV_FORMAT").alias("rule"),
+        F.lit(f"the row does not have {len(fields)} fields").alias("message")))
+    return rows.select(*out, F.coalesce(width, *misfits).alias(BAD_ROW))
 
 
 # ---------------------------------------------------------------------------
@@ -219,11 +269,18 @@ def _load(spark: SparkSession, spec: SourceSpec) -> DataFrame:
         reader = spark.read.options(**{k: str(v) for k, v in o.items() if k != "schema"})
         if o.get("schema"):
             reader = reader.schema(o["schema"])
-        return reader.format(kind).load(spec.path)
+
+        def load(paths: list[str], base: str) -> DataFrame:
+            own = reader.option("basePath", base) if paths != [base] else reader
+            return own.format(kind).load(paths)
+        if any(c in spec.path for c in "*?[{"):
+            return load([spec.path], spec.path)
+        return publish.load_live(spark, spec.path, load)  # also what a lost writer has committed but not moved in
     if kind in ("csv", "tsv", "txt"):
         sep = o.get("delimiter") or o.get("sep") or ("\t" if kind == "tsv" else ",")
         return read_csv(spark, spec.path, sep=sep, encoding=o.get("encoding", "UTF-8"),
-                        header=bool(o.get("header", True)), schema=o.get("schema"), multi_line=o.get("multiLine"))
+                        header=bool(o.get("header", True)), schema=o.get("schema"), multi_line=o.get("multiLine"),
+                        bad_rows=str(o.get("bad_rows", "fail")).lower())
     if kind == "jdbc":
         kw = {k: v for k, v in o.items() if k in (
             "url", "user", "password", "driver", "schema", "fetchsize", "partition_column",

@@ -5,12 +5,13 @@ FULL_LOAD / TRUNCATE_INSERT   replace the rows, keep the target's schema.
 OVERWRITE   replace rows *and* schema.
 UPSERT   merge on keys (:mod:`tidewater.operators.merge`).
 
-Path targets (Parquet / ORC / CSV) that are replaced are written to a staging
-sibling first and swapped in by rename, so a plan that reads the target (an
-UPSERT always does) never sees it half-deleted and a failed write leaves the
-old data in place; partitioned UPSERT swaps only the touched partition
-directories; a swap a lost driver left half done is undone before the next
-read (:func:`recover_swaps`).  Catalog tables use ``insertInto``, from a frame
+Path targets (Parquet / ORC / CSV / JSON) take every change by
+:mod:`tidewater.sources.publish`: new files are staged, committed by one rename and
+moved in, so a plan may read the target it changes, a failed write leaves
+the old rows, and a lost driver leaves the old rows or the new ones.  An UPSERT into Parquet or
+ORC rewrites only the files that hold a key of the source (:func:`touched_files`); a
+partitioned one whose partition columns are keys looks for them only in the partitions touched.
+Catalog tables use ``insertInto``, from a frame
 first written to the shared checkpoint folder when the plan reads the table it
 overwrites.  The row count comes from an ``Observation`` on the written frame —
 no second pass.
@@ -20,9 +21,10 @@ from __future__ import annotations
 
 import re
 import time
-import uuid
+from collections.abc import Callable
 from dataclasses import dataclass
 from functools import reduce
+from urllib.parse import unquote
 
 from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
@@ -31,12 +33,15 @@ from pyspark.sql import types as T
 
 from tidewater.errors import JobError
 from tidewater.fixed import ERROR_MESSAGES, LOAD_STRATEGIES
-from tidewater.operators.merge import align_to_schema, plan_upsert, split_source
+from tidewater.operators.merge import MergeSource, align_to_schema, plan_upsert, prepare_source, split_source
 from tidewater.plans.observed import Probe
 from tidewater.session import ensure_checkpoint_dir, materialize, rebalance_for_write
+from tidewater.sources import publish
 from tidewater.spec import TargetSpec
 
 PATH_KINDS = ("parquet", "orc", "csv", "json")
+#: kinds whose files an UPSERT replaces one by one
+FILE_MERGE_KINDS = ("parquet", "orc")
 
 
 def _q(name: str) -> str:
@@ -49,6 +54,7 @@ class WriteResult:
     rows_skipped: int = 0
     observed: dict | None = None
     connect_ms: int = 0
+    files_replaced: int | None = None  # UPSERT by files: how many were rewritten
 
 
 # ---------------------------------------------------------------------------
@@ -111,17 +117,33 @@ def _writer(df: DataFrame, target: TargetSpec, mode: str):
     return w
 
 
-def _typed_partitions(spark: SparkSession, target: TargetSpec, like: T.StructType | None) -> DataFrame:
-    """The target's files, partition columns in the types of the frame to be
+def _typed_partitions(spark: SparkSession, target: TargetSpec, like: T.StructType | None) -> Callable[[list[str], str], DataFrame]:
+    """A loader of the target's files, partition columns in the types of the frame to be
     written (text if it lacks them): folder names alone would make ``'01'`` an integer."""
-    reader = spark.read.format(target.kind)
-    if not target.partition_by:
-        return reader.load(target.path)
-    have = {f.name: f.dataType for f in like.fields} if like is not None else {}
-    found = reader.load(target.path).schema
-    fields = [T.StructField(f.name, have.get(f.name, T.StringType() if like is not None else f.dataType), True)
-              if f.name in target.partition_by else f for f in found.fields]
-    return spark.read.format(target.kind).schema(T.StructType(fields)).load(target.path)
+    def load(paths: list[str], base: str) -> DataFrame:
+        reader = spark.read.format(target.kind)
+        if target.evolve == "add":  # files of different ages may differ in columns
+            reader = reader.option("mergeSchema", "true")
+        if paths != [base]:
+            reader = reader.option("basePath", base)
+        if not target.partition_by:
+            return reader.load(paths)
+        have = {f.name: f.dataType for f in like.fields} if like is not None else {}
+        fields = [T.StructField(f.name, have.get(f.name, T.StringType() if like is not None else f.dataType), True)
+                  if f.name in target.partition_by else f for f in reader.load(paths).schema.fields]
+        return reader.schema(T.StructType(fields)).load(paths)
+    return load
+
+
+def _evolved(spark: SparkSession, current: DataFrame, incoming: DataFrame, target: TargetSpec, ignore: str | None) -> DataFrame:
+    """``current`` with the columns of ``incoming`` that it lacks, NULL in its rows; a catalog table gains them."""
+    new = [f for f in incoming.schema.fields if f.name not in current.columns and f.name != ignore]
+    if not new:
+        return current
+    if target.kind.lower() == "table":
+        spark.sql(f"ALTER TABLE {target.table} ADD COLUMNS ({', '.join(f'{_q(f.name)} {f.dataType.simpleString()}' for f in new)})")
+        return spark.read.table(target.table)
+    return current.withColumns({f.name: F.lit(None).cast(f.dataType) for f in new})
 
 
 _NO_TABLE = re.compile(r"does(n't| not) exist|not exist|invalid object name|no such table|42S02|42P01|unknown table", re.I)
@@ -134,15 +156,15 @@ def read_target(spark: SparkSession, target: TargetSpec, like: T.StructType | No
     the text it holds."""
     kind = target.kind.lower()
     if kind in PATH_KINDS:
-        if not path_exists(spark, target.path):
+        if not publish.exists(spark, target.path):
             return None
         try:
             if kind == "csv":
                 from tidewater.sources.readers import read_csv
-                return read_csv(spark, target.path, sep=target.options.get("delimiter", target.options.get("sep", ",")),
-                                encoding=target.options.get("encoding", "UTF-8"), null_tokens=(), infer=False,
-                                multi_line=True)
-            return _typed_partitions(spark, target, like)
+                return publish.load_live(spark, target.path, lambda paths, base: read_csv(
+                    spark, paths, sep=target.options.get("delimiter", target.options.get("sep", ",")),
+                    encoding=target.options.get("encoding", "UTF-8"), null_tokens=(), infer=False, multi_line=True))
+            return publish.load_live(spark, target.path, _typed_partitions(spark, target, like))
         except AnalysisException as e:  # folder without data files (e.g. a failed first write)
             if (e.getCondition() or "") != "UNABLE_TO_INFER_SCHEMA" and "EMPTY_SCHEMA" not in str(e):
                 raise
@@ -166,23 +188,16 @@ def read_target(spark: SparkSession, target: TargetSpec, like: T.StructType | No
 # physical writes
 # ---------------------------------------------------------------------------
 
-def _staged_replace(spark: SparkSession, df: DataFrame, target: TargetSpec) -> None:
-    """Write to a sibling folder, then swap it in by rename."""
-    tag = uuid.uuid4().hex[:12]
-    staging = f"{target.path.rstrip('/')}.__staging-{tag}"
-    retired = f"{target.path.rstrip('/')}.__retiredall-{tag}"
+def _staged(spark: SparkSession, df: DataFrame, target: TargetSpec) -> str:
+    """Write ``df`` to a staging folder beside the target."""
+    staging = publish.staging_path(target.path)
     _writer(df, target, "overwrite").format(target.kind).save(staging)
-    had_old = path_exists(spark, target.path)
-    if had_old:
-        _rename(spark, target.path, retired)
-    try:
-        _rename(spark, staging, target.path)
-    except Exception:
-        if had_old:
-            _rename(spark, retired, target.path)
-        raise
-    if had_old:
-        _delete(spark, retired)
+    return staging
+
+
+def _staged_replace(spark: SparkSession, df: DataFrame, target: TargetSpec) -> None:
+    """Write ``df`` and put it in the target's place."""
+    publish.publish(spark, target.path, _staged(spark, df, target), replace=True)
 
 
 def _partition_dirs(spark: SparkSession, root: str, depth: int) -> list[str]:
@@ -194,38 +209,57 @@ def _partition_dirs(spark: SparkSession, root: str, depth: int) -> list[str]:
         for rel, path in level:
             for st in fs.listStatus(path):
                 name = st.getPath().getName()
-                if st.isDirectory() and "=" in name and not name.startswith(("_", ".")):
+                if st.isDirectory() and "=" in name and not name.startswith("."):
                     nxt.append((f"{rel}/{name}" if rel else name, st.getPath()))
         level = nxt
     return [rel for rel, _ in level]
 
 
-def _staged_partition_swap(spark: SparkSession, df: DataFrame, target: TargetSpec) -> None:
-    """Write the replaced partitions once to a staging sibling, then swap each
-    partition directory in by rename (untouched partitions are not written)."""
-    tag = uuid.uuid4().hex[:12]
-    root = target.path.rstrip("/")
-    staging, retired = f"{root}.__staging-{tag}", f"{root}.__retired-{tag}"
-    _writer(df, target, "overwrite").format(target.kind).save(staging)
-    fs, _ = _fs(spark, root)
-    jvm = spark.sparkContext._jvm
-    for rel in _partition_dirs(spark, staging, len(target.partition_by)):
-        dst = jvm.org.apache.hadoop.fs.Path(f"{root}/{rel}")
-        if fs.exists(dst):
-            old = jvm.org.apache.hadoop.fs.Path(f"{retired}/{rel}")
-            fs.mkdirs(old.getParent())
-            if not fs.rename(dst, old):
-                raise JobError("WRITE_FAILED", f"rename {dst} failed")
-        else:
-            fs.mkdirs(dst.getParent())
-        if not fs.rename(jvm.org.apache.hadoop.fs.Path(f"{staging}/{rel}"), dst):
-            raise JobError("WRITE_FAILED", f"rename into {dst} failed")
-    _delete(spark, staging)
-    _delete(spark, retired)
+def touched_files(spark: SparkSession, current: DataFrame, target: TargetSpec, source: MergeSource, keys: list[str]) -> list[str]:
+    """Relative paths of the target's files that hold a key of the source.
+
+    Reads the key columns only.  The range of each key goes to the scan, so that files (and row groups)
+    outside it are skipped by their statistics; the rest is a semi-join, with the source's keys broadcast where they were
+    measured to be small.  One row for each touched file reaches the driver, which lists the target's files anyway.
+    """
+    fields = {f.name: f.dataType for f in current.schema.fields}
+    ordered = [k for k in keys if isinstance(fields[k], (T.IntegralType, T.DateType, T.TimestampType, T.TimestampNTZType, T.StringType, T.DecimalType))]
+    mine = source.keyed.select(*[F.col(_q(k)) for k in keys])
+    scan = current.select(*[F.col(_q(k)) for k in keys], F.col("_metadata.file_path").alias("__file"))
+    if ordered:
+        ends = mine.agg(*[f(F.col(_q(k))).alias(f"{n}{i}") for i, k in enumerate(ordered) for n, f in (("a", F.min), ("b", F.max))]).first()
+        for i, k in enumerate(ordered):
+            if ends[f"a{i}"] is None:  # no key at all
+                return []
+            low, high = (F.lit(ends[f"{n}{i}"]).cast(fields[k]) for n in "ab")
+            scan = scan.where((F.col(_q(k)) >= low) & (F.col(_q(k)) <= high))
+    mine = F.broadcast(mine) if source.small else mine
+    found = scan.join(mine, keys, "left_semi").select("__file").distinct().collect()
+    fs, p = _fs(spark, target.path)
+    base = fs.makeQualified(p).toUri().getPath().rstrip("/")
+    out = []
+    for r in found:
+        full = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(unquote(r["__file"])).toUri().getPath()
+        out.append(full[len(base):].lstrip("/"))
+    return sorted(out)
+
+
+def _upsert_by_files(spark: SparkSession, current: DataFrame, incoming: DataFrame, target: TargetSpec, keys: list[str],
+                     order_by: str | None) -> tuple[DataFrame, list[DataFrame], list[str]]:
+    """(rows of the new files, frames executed while planning, files that they replace)."""
+    source = prepare_source(current.schema, incoming, keys, order_by)
+    touched = touched_files(spark, current, target, source, keys)
+    if touched:
+        held = (spark.read.format(target.kind).schema(current.schema).option("basePath", target.path)
+                .load([f"{target.path.rstrip('/')}/{f}" for f in touched]))
+    else:
+        held = spark.createDataFrame([], current.schema)
+    out, ran = plan_upsert(held, incoming, keys, order_by, target.defaults, source_ready=source)
+    return out, ran, touched
 
 
 def recover_swaps(spark: SparkSession, path: str) -> list[str]:
-    """Undo a swap a lost driver left half done; called by a writer before it reads the target.
+    """Undo a swap by renames, as earlier versions did it, that a lost driver left half done.
 
     A whole swap renames ``target -> target.__retiredall-<tag>`` and then ``staging
     -> target``: the retired rows are the target only while there is none.  A
@@ -272,10 +306,6 @@ def recover_swaps(spark: SparkSession, path: str) -> list[str]:
     return restored
 
 
-def _append_path(df: DataFrame, target: TargetSpec) -> None:
-    _writer(df, target, "append").format(target.kind).save(target.path)
-
-
 def _jdbc_options(target: TargetSpec, batch_size: int) -> dict[str, str]:
     o = {k: str(v) for k, v in target.options.items()}
     o["dbtable"] = target.table
@@ -285,14 +315,17 @@ def _jdbc_options(target: TargetSpec, batch_size: int) -> dict[str, str]:
 
 def write_frame(spark: SparkSession, df: DataFrame, target: TargetSpec, strategy: str,
                 upsert_keys=(), order_by: str | None = None, batch_size: int = 10000,
-                observe_exprs: list | None = None) -> WriteResult:
-    """Load ``df`` into ``target`` with one of the six strategies."""
+                observe_exprs: list | None = None, receipt: Callable[[dict], dict | None] | None = None) -> WriteResult:
+    """Load ``df`` into ``target`` with one of the six strategies.
+
+    ``receipt`` turns what was observed into the load's receipt, which a path target gets in the same commit."""
     strategy = strategy.upper()
     if strategy not in LOAD_STRATEGIES:
         raise JobError("SPEC_INVALID", f"unknown load strategy {strategy!r}")
     kind = target.kind.lower()
     ensure_checkpoint_dir(spark)
     if kind in PATH_KINDS:
+        publish.settle(spark, target.path)
         recover_swaps(spark, target.path)
     began = time.monotonic()
     current = read_target(spark, target, df.schema)
@@ -300,6 +333,11 @@ def write_frame(spark: SparkSession, df: DataFrame, target: TargetSpec, strategy
     if current is None and not target.create_if_not_exists:
         raise JobError("TABLE_NOT_FOUND", f"target {target.table or target.path} does not exist")
 
+    if target.evolve == "add" and current is not None and strategy != "OVERWRITE":
+        if kind not in ("parquet", "orc", "table"):
+            raise JobError("SPEC_INVALID", f"a {kind} target cannot gain columns")
+        current = _evolved(spark, current, df, target, order_by if strategy == "UPSERT" else None)
+
     # 1. the frame to write; the Observation counts the incoming rows as
     #    they stream into the write (for UPSERT: the source side of the merge)
     # (an UPSERT's source is written while planning, so planning can fail as a write does)
@@ -307,6 +345,7 @@ def write_frame(spark: SparkSession, df: DataFrame, target: TargetSpec, strategy
     exprs = [F.count(F.lit(1)).alias("rows")] + list(observe_exprs or [])
     incoming = probe.attach(df, *exprs)
     ran: list[DataFrame] = []  # frames executed while planning (materialised UPSERT source)
+    removes: list[str] | None = None  # files that the new ones replace
     scoped = (strategy == "UPSERT" and current is not None and kind in PATH_KINDS and target.partition_by
               and set(target.partition_by) <= set(upsert_keys))
     try:
@@ -320,11 +359,14 @@ def write_frame(spark: SparkSession, df: DataFrame, target: TargetSpec, strategy
                 # The partition columns are part of the key, so no row can move
                 # between partitions; the touched set (one row per partition) is
                 # semi-joined, which lets dynamic partition pruning skip the rest.
+                # Whole partitions are replaced, which keeps their files few.
                 parts = list(target.partition_by)
                 touched = df.select(*[F.col(_q(c)).alias(f"__p_{c}") for c in parts]).distinct()
                 same = reduce(lambda a, b: a & b, [current[_q(c)].eqNullSafe(touched[_q(f"__p_{c}")]) for c in parts])
                 current_part = current.join(touched, same, "left_semi")
                 out, ran = plan_upsert(current_part, incoming, list(upsert_keys), order_by, target.defaults, plan="auto")
+            elif kind in FILE_MERGE_KINDS:
+                out, ran, removes = _upsert_by_files(spark, current, incoming, target, list(upsert_keys), order_by)
             else:
                 out, ran = plan_upsert(current, incoming, list(upsert_keys), order_by, target.defaults, plan="auto")
         elif strategy == "OVERWRITE" or current is None:
@@ -346,14 +388,17 @@ def write_frame(spark: SparkSession, df: DataFrame, target: TargetSpec, strategy
     replace = strategy in ("FULL_LOAD", "TRUNCATE_INSERT", "OVERWRITE", "UPSERT")
     try:
         if kind in PATH_KINDS:
+            staging = _staged(spark, out, target)
+            got = probe.result(out, *ran)  # {} when the incoming rows were provably empty
             if scoped:
-                # the plan reads the partitions it replaces: write them once to
-                # a staging sibling, then swap those partition directories in
-                _staged_partition_swap(spark, out, target)
-            elif replace:
-                _staged_replace(spark, out, target)
-            else:
-                _append_path(out, target)
+                dirs = tuple(f"{rel}/" for rel in _partition_dirs(spark, staging, len(target.partition_by)))
+                removes = [f for f in publish.data_files(spark, target.path) if f.startswith(dirs)] if dirs else []
+            try:
+                slip = receipt(dict(got)) if receipt else None
+            except Exception:
+                _delete(spark, staging)  # the load was called off
+                raise
+            publish.publish(spark, target.path, staging, replace=replace and removes is None, removes=removes or (), receipt=slip)
         elif kind == "table":
             # a plan that reads the table it overwrites is cut on the shared
             # checkpoint folder first; others are written directly
@@ -375,11 +420,13 @@ def write_frame(spark: SparkSession, df: DataFrame, target: TargetSpec, strategy
                 out.write.format("jdbc").options(**o).mode("append").save()
         else:
             raise JobError("SPEC_INVALID", f"unknown target kind {target.kind!r}")
-    except JobError:
+    except (JobError, publish.DriverLost):
         raise
     except Exception as e:  # noqa: BLE001
         from tidewater.sources.readers import is_connection_error
         code = "TARGET_CONNECTION_FAILED" if kind == "jdbc" and is_connection_error(e) else "WRITE_FAILED"
         raise JobError(code, ERROR_MESSAGES["WRITE_FAILED"].format(what=target.table or target.path), str(e))
-    got = probe.result(out, *ran)  # {} when the incoming rows were provably empty
-    return WriteResult(rows_written=int(got.get("rows", 0) or 0), observed=dict(got), connect_ms=connect_ms)
+    if kind not in PATH_KINDS:
+        got = probe.result(out, *ran)
+    return WriteResult(rows_written=int(got.get("rows", 0) or 0), observed=dict(got), connect_ms=connect_ms,
+                       files_replaced=None if scoped or removes is None else len(removes))

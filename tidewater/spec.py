@@ -71,6 +71,7 @@ class TargetSpec:
     create_if_not_exists: bool = True
     partition_by: tuple[str, ...] = ()
     defaults: dict[str, Any] = field(default_factory=dict)  # column -> default for absent columns
+    evolve: str = "none"  # "add": a column that the target lacks is added to it, NULL in older rows
     options: dict[str, Any] = field(default_factory=dict)
 
 
@@ -143,7 +144,7 @@ def job_from_dict(d: dict) -> JobSpec:
     if d.get("source_connection") or d.get("target_connection"):
         return _job_from_connections(d, src_cfg, tgt_cfg)
     src_opts = dict(src_cfg.get("options") or {})
-    for k in ("lookback", "mark_partition_column", "delimiter", "encoding", "header", "schema"):
+    for k in ("lookback", "mark_partition_column", "delimiter", "encoding", "header", "schema", "multiLine", "bad_rows"):
         if k in src_cfg:
             src_opts.setdefault(k, src_cfg[k])
     source = SourceSpec(
@@ -161,6 +162,7 @@ def job_from_dict(d: dict) -> JobSpec:
         create_if_not_exists=bool(tgt_cfg.get("create_if_not_exists", True)),
         partition_by=tuple(tgt_cfg.get("partition_by") or ()),
         defaults=dict(tgt_cfg.get("defaults") or {}),
+        evolve=str(tgt_cfg.get("evolve") or "none").lower(),
         options=dict(tgt_cfg.get("options") or {}),
     )
     return _finish_job(d, source, target)
@@ -217,5 +219,7 @@ def check_spec(spec: JobSpec) -> None:
             raise JobError("SPEC_INVALID", f"rule {rt} needs a column")
     if spec.schema_drift_action.upper() not in ("WARN", "STOP", "IGNORE"):
         raise JobError("SPEC_INVALID", f"unknown drift action {spec.schema_drift_action!r}")
+    if spec.target.evolve not in ("none", "add"):
+        raise JobError("SPEC_INVALID", f"evolve must be 'none' or 'add', not {spec.target.evolve!r}")
     if spec.mark_from not in ("valid", "source"):
         raise JobError("SPEC_INVALID", f"mark_from must be 'valid' or 'source'")
