@@ -4,7 +4,7 @@ from pyspark.sql import functions as F
 from tidewater.errors import JobError, ValidationStop
 from tidewater.operators import history
 from tidewater.plans.runner import run_job
-from tidewater.plans.store import RunStore
+from tidewater.plans.store import RunStore, utcnow
 from tidewater.session import scratch_path
 from tidewater.spec import ColumnMapping as M
 from tidewater.spec import JobSpec, SourceSpec, TargetSpec
@@ -200,15 +200,70 @@ def test_run_removes_its_intermediate_folders(spark, sf_small, store):
 def test_store_compaction_keeps_history(spark, sf_small):
     import glob
     from tidewater.session import local_path
+    from datetime import timedelta
     store = RunStore(spark, scratch_path(spark, "compact_store"))
-    for i in range(3):
-        run_job(spark, orders_spec(spark, sf_small, name=f"c{i}"), store)
+    for _ in range(3):
+        run_job(spark, orders_spec(spark, sf_small, name="c"), store)
     before = sorted(map(tuple, store.runs().select("id", "status", "success_count").collect()))
-    assert len(glob.glob(local_path(store.path("runs")) + "/*.parquet")) == 3
-    store.compact()
-    assert len(glob.glob(local_path(store.path("runs")) + "/*.parquet")) == 1
+    files = lambda: glob.glob(local_path(store.path("run_records")) + "/job=*/day=*/*.parquet")
+    assert len(files()) == 3
+    assert store.compact() == 0 and len(files()) == 3  # today is not closed
+    assert store.compact(before=utcnow().date() + timedelta(days=1)) == 3 and len(files()) == 1
     assert sorted(map(tuple, store.runs().select("id", "status", "success_count").collect())) == before
     assert store.logs().count() > 0
+    run_job(spark, orders_spec(spark, sf_small, name="c"), store)  # a record beside the compacted ones
+    assert store.runs().count() == 4 and store.compact(before=utcnow().date() + timedelta(days=1)) == 2
+
+
+def test_a_mark_reads_only_its_job_and_the_days_behind_the_snapshot(spark):
+    import datetime as dt
+    store = RunStore(spark, scratch_path(spark, "mark_store"))
+    for job in ("a", "b"):
+        for day in range(1, 6):
+            when = dt.datetime(2024, 1, day, 12)
+            store.append_run({"id": f"{job}{day}", "pipeline_id": job, "status": "SUCCESS", "run_type": "MANUAL", "started_at": when, "finished_at": when, "duration_seconds": 1.0,
+                              "source_count": 1, "target_count": 1, "success_count": 1, "error_count": 0, "rejected_count": 0, "rejected_rows": 0, "error_message": None, "error_detail": None,
+                              "created_at": when, "checkpoint_column": "k", "checkpoint_value": f"{job}{day}"}, [])
+    full = sorted((r.pipeline_id, r.checkpoint_value) for r in store.marks().collect())
+    store.compact(before=dt.date(2024, 1, 4))
+    assert full == [("a", "a5"), ("b", "b5")] == sorted((r.pipeline_id, r.checkpoint_value) for r in store.marks().collect())
+    assert store.mark_of("a")["checkpoint_value"] == "a5" and store.mark_of("c") is None
+    plan = store.marks("a")._jdf.queryExecution().executedPlan().toString()
+    scan = next(line for line in plan.splitlines() if "FileScan" in line and "day#" in line)
+    assert "PartitionFilters" in scan and "job" in scan.split("PartitionFilters")[1] and "(day" in scan.split("PartitionFilters")[1].split("PushedFilters")[0]
+    # a mark that only the snapshot holds
+    store.compact(before=dt.date(2024, 1, 20))
+    assert store.mark_of("b")["checkpoint_value"] == "b5" and store.records("b", since=dt.date(2024, 1, 20)).count() == 0
+
+
+def test_row_numbers_of_files_write_nothing(spark, sf_small):
+    """Numbers come from the scan: the plan of the violations has no other source, and nothing is materialised."""
+    import os
+    from tidewater.session import ensure_checkpoint_dir, local_path
+    src = scratch_path(spark, "rownum_src")
+    spark.range(100).selectExpr("id as k", "id % 10 as v").repartitionByRange(4, "k").sortWithinPartitions("k").write.parquet(src)
+    base = local_path(ensure_checkpoint_dir(spark) + "/tidewater-scratch")
+    before = set(os.listdir(base))
+    store = RunStore(spark, scratch_path(spark, "rownum_store"))
+    spec = JobSpec(name="rn", source=SourceSpec(kind="parquet", path=src), target=TargetSpec(kind="parquet", path=scratch_path(spark, "rownum")), row_index=True, row_key=("k",),
+                   rules=(V("RANGE", "v", {"max": 7}),), load_strategy="FULL_LOAD")
+    run_job(spark, spec, store)
+    assert not [n for n in set(os.listdir(base)) - before if n.startswith("rowindex-")]
+    got = {(r.k, r.row_number) for r in store.violations().collect()}
+    assert got == {(k, k) for k in range(100) if k % 10 > 7}
+    assert spark.read.parquet(spec.target.path).columns == ["k", "v"]
+
+
+def test_a_deep_page_is_a_filter_and_a_top_k(spark):
+    from tidewater.operators import history
+    df = spark.range(1000).selectExpr("id", "timestamp_ntz'2024-01-01 00:00:00' + make_interval(0, 0, 0, cast(id / 3 as int)) as created_at")
+    rows, token = [], None
+    while page := history.page_after(df, token, 300).collect():
+        rows += [r.id for r in page]
+        token = history.page_token(page[-1])
+    assert rows == list(range(999, -1, -1))
+    plan = history.page_after(df, token, 300)._jdf.queryExecution().executedPlan().toString()
+    assert "TakeOrderedAndProject" in plan and "Offset" not in plan
 
 
 def test_history_over_a_real_store(spark, sf_small):

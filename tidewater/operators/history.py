@@ -12,6 +12,7 @@ error_count, rejected_count, created_at)``, ``pipelines(id, name, status)``,
 from __future__ import annotations
 
 import datetime as _dt
+import json
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -96,6 +97,30 @@ def list_runs(runs: DataFrame, pipeline_id=None, status: str | None = None,
     return df.limit(int(limit))
 
 
+def page_token(row, order_cols=("created_at", "id")) -> str:
+    """Where the next page begins: the last row's order columns, as text that a caller can keep."""
+    return json.dumps([None if row[c] is None else str(row[c]) for c in order_cols])
+
+
+def page_after(runs: DataFrame, token: str | None = None, limit: int = RUN_PAGE_DEFAULT, order_cols=("created_at", "id")) -> DataFrame:
+    """R6 by seeking: the ``limit`` newest rows behind ``token`` (None: the first page).
+
+    The order columns must be unique together and are never NULL.  The bound is a filter, which reaches the scan, and the page a top-k
+    (every task keeps its best ``limit``): a deep page costs what the first one does, where an offset sorts and skips all rows before it.
+    """
+    df = runs
+    if token is not None:
+        types = {f.name: f.dataType for f in runs.schema.fields}
+        last = [F.lit(v).cast(types[c]) for c, v in zip(order_cols, json.loads(token))]
+        behind, equal = F.lit(False), F.lit(True)
+        for c, v in zip(order_cols, last):
+            behind = behind | (equal & (F.col(c) < v))
+            equal = equal & (F.col(c) == v)
+        # said of the first column alone as well: a range that the scan understands
+        df = df.where((F.col(order_cols[0]) <= last[0]) & behind)
+    return df.orderBy(*[F.col(c).desc() for c in order_cols]).limit(int(limit))
+
+
 def run_log(logs: DataFrame, job_run_id=None, order_cols=("created_at",)) -> DataFrame:
     """R7: log rows of one run (or of every run) in time order."""
     df = logs if job_run_id is None else logs.where(F.col("job_run_id") == F.lit(job_run_id))

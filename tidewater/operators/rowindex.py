@@ -7,6 +7,9 @@ partition count, not the data), turn the counts into start offsets on the
 driver, and add them back through a broadcast of that per-partition table.
 The tagged frame is written to the shared checkpoint folder first so both
 passes see identical ids even if tasks are retried on other executors.
+
+Parquet files tell a row's place themselves (:func:`with_file_index`): the place in its file plus
+the rows of the files before it.  Nothing is written, and any scan gives a row the same number.
 """
 
 from __future__ import annotations
@@ -17,6 +20,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 _LOW_BITS = 33
+#: files whose offsets are broadcast; beyond, the join is left to the planner
+MAX_BROADCAST_FILES = 100_000
 
 
 def with_row_index(df: DataFrame, name: str = "row_number", order_by: list[str] | None = None) -> DataFrame:
@@ -42,3 +47,19 @@ def with_row_index(df: DataFrame, name: str = "row_number", order_by: list[str]
     out = tagged.join(F.broadcast(offsets), part == F.col("p"), "left")
     return out.select(*[F.col("`" + c.replace("`", "``") + "`") for c in df.columns],
                       (F.col("start") + local).alias(name))
+
+
+def with_file_index(df: DataFrame, name: str = "row_number") -> DataFrame:
+    """Append a dense 0-based ``name`` column to a plain scan of Parquet files: files in the order of their paths, rows as they stand in them.
+
+    One count for each file first, which reads no column.
+    """
+    file = F.col("_metadata.file_path")
+    counts = sorted((r["f"], int(r["n"])) for r in df.select(file.alias("f")).groupBy("f").agg(F.count(F.lit(1)).alias("n")).collect())  # a row for each file
+    starts = [0] + list(accumulate(n for _, n in counts))[:-1]
+    offsets = df.sparkSession.createDataFrame([(f, s) for (f, _), s in zip(counts, starts)], "__file string, __start long")
+    if len(counts) <= MAX_BROADCAST_FILES:
+        offsets = F.broadcast(offsets)
+    columns = [F.col("`" + c.replace("`", "``") + "`") for c in df.columns]
+    rows = df.select(*columns, file.alias("__file"), F.col("_metadata.row_index").alias("__at"))
+    return rows.join(offsets, "__file").select(*columns, (F.col("__start") + F.col("__at")).alias(name))

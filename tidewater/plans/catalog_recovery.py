@@ -12,10 +12,10 @@ from pyspark.sql import functions as F
 from tidewater.errors import JobError
 from tidewater.operators import history
 from tidewater.operators.drift import as_struct
-from tidewater.plans.catalog_core import V, table
+from tidewater.plans.catalog_core import M, V, table
 from tidewater.plans.catalog_flow import _target
 from tidewater.plans.runner import run_job
-from tidewater.plans.store import RunStore
+from tidewater.plans.store import LOG_STRUCT, RunStore
 from tidewater.session import scratch_path
 from tidewater.sources import publish
 from tidewater.sources.readers import read_source
@@ -325,7 +325,79 @@ D_EVOLVE_APPEND_SQL = """
 select o_orderkey, o_custkey, case when o_orderkey % 2 = 1 then o_orderpriority end as o_orderpriority, case when o_orderkey % 6 = 0 then 'late' end as note from orders"""
 
 
+# ======================================================================= R / A
+def r_mark_snapshot(spark, d):
+    """Marks of a history of many runs, part of it in the snapshot and compacted: as a scan of all of it gives them."""
+    e = table(spark, d, "events")
+    runs = (e.groupBy((F.col("user_id") % 25).alias("j"), F.col("ts").cast("date").alias("day"))
+            .agg(F.max("ts").alias("at"), F.count("*").alias("n"), F.max("event_id").alias("m")))
+    nulls = {"run_type": "string", "error_count": "bigint", "error_message": "string", "error_detail": "string", "logs": f"array<{LOG_STRUCT}>"}
+    records = runs.select(
+        F.concat_ws("-", "j", "day").alias("id"), F.concat(F.lit("job"), F.col("j")).alias("pipeline_id"),
+        F.when(F.col("n") % 5 == 0, F.lit("FAILED")).otherwise(F.lit("SUCCESS")).alias("status"), F.col("at").alias("started_at"), F.col("at").alias("finished_at"),
+        F.lit(1.0).alias("duration_seconds"), *[F.col("n").alias(c) for c in ("source_count", "target_count", "success_count", "rejected_count", "rejected_rows")],
+        F.col("at").alias("created_at"), F.lit("event_id").alias("checkpoint_column"),
+        F.when(F.col("n") % 3 != 0, F.col("m").cast("string")).alias("checkpoint_value"), *[F.lit(None).cast(t).alias(c) for c, t in nulls.items()])
+    store = _store(spark, "r_mark_snapshot")
+    for k in range(3):  # several appends, so that days hold several files
+        store.append_records(records.where(F.pmod(F.xxhash64("id"), F.lit(3)) == k))
+    middle = e.agg(F.expr("date_add(cast(min(ts) as date), cast(datediff(max(ts), min(ts)) / 2 as int))").alias("d")).first()["d"]
+    store.compact(before=middle)
+    before = publish.data_files(spark, store.path("run_records"))
+    store.compact(before=middle)  # nothing is left to do
+    same = before == publish.data_files(spark, store.path("run_records"))
+    n = store.runs().count()
+    return store.marks().select("pipeline_id", "checkpoint_value", F.lit(n).alias("runs"), F.lit(same).alias("settled"))
+
+
+R_MARK_SNAPSHOT_SQL = """
+with r as (select user_id % 25 as j, cast(ts as date) as day, max(ts) as last_ts, count(*) as n, max(event_id) as m from events group by all)
+select 'job' || j as pipeline_id, arg_max(m, last_ts)::varchar as checkpoint_value, (select count(*) from r) as runs, true as settled
+from r where n % 5 <> 0 and n % 3 <> 0 group by j"""
+
+
+def r_page_seek(spark, d):
+    """All pages of a table, each sought from the last row of the one before; every row once."""
+    runs = table(spark, d, "events").select(F.col("event_id").alias("id"), F.col("ts").alias("created_at"), F.col("user_id").alias("pipeline_id"))
+    limit = max(1000, -(-runs.count() // 12))
+    token, pages = None, 0
+    path = scratch_path(spark, "r_page_seek")
+    while True:
+        page = history.page_after(runs, token, limit)
+        page.withColumn("page", F.lit(pages)).write.mode("append").parquet(path)
+        last = spark.read.parquet(path).where(F.col("page") == pages).orderBy("created_at", "id").limit(1).collect()
+        if not last:
+            break
+        token, pages = history.page_token(last[0]), pages + 1
+    return spark.read.parquet(path).groupBy("page").agg(F.count("*").alias("n"), F.min("id").alias("a"), F.sum("id").alias("s"), F.countDistinct("id").alias("ids"))
+
+
+R_PAGE_SEEK_SQL = """
+with l as (select greatest(1000, (count(*) + 11) // 12) as k from events),
+p as (select event_id as id, ((row_number() over (order by ts desc, event_id desc) - 1) // k)::int as page from events, l)
+select page, count(*) as n, min(id) as a, sum(id)::bigint as s, count(distinct id) as ids from p group by page"""
+
+
+def a_row_index_files(spark, d):
+    """Row numbers of violations of a run over Parquet files: files in the order of their names, rows as they stand in them."""
+    source = scratch_path(spark, "a_row_index_files_source")
+    table(spark, d, "orders").select("o_orderkey", "o_totalprice", "o_orderpriority").repartitionByRange(7, "o_orderkey").sortWithinPartitions("o_orderkey").write.parquet(source)
+    store = _store(spark, "a_row_index_files")
+    spec = JobSpec(name="a_row_index_files", source=SourceSpec(kind="parquet", path=source), target=_target(spark, "a_row_index_files"), row_key=("o_orderkey",), row_index=True,
+                   mappings=(M("price", "o_totalprice", 0),), rules=(V("RANGE", "price", {"max": 300000}),), load_strategy="FULL_LOAD")
+    run_job(spark, spec, store)
+    return store.violations().select("o_orderkey", "row_number", "error_column")
+
+
+A_ROW_INDEX_FILES_SQL = """
+with p as (select o_orderkey, o_totalprice, row_number() over (order by o_orderkey) - 1 as row_number from orders)
+select o_orderkey, row_number, 'price' as error_column from p where o_totalprice > 300000"""
+
+
 QUERIES = {
+    "r_mark_snapshot": (r_mark_snapshot, R_MARK_SNAPSHOT_SQL),
+    "r_page_seek": (r_page_seek, R_PAGE_SEEK_SQL),
+    "a_row_index_files": (a_row_index_files, A_ROW_INDEX_FILES_SQL),
     "l_upsert_touched_files": (l_upsert_touched_files, L_UPSERT_TOUCHED_FILES_SQL),
     "l_publish_crash": (l_publish_crash, L_PUBLISH_CRASH_SQL),
     "i_crash_retry": (i_crash_retry, I_CRASH_RETRY_SQL),

@@ -36,7 +36,7 @@ from tidewater.fixed import STEP_MESSAGES as MSG
 from tidewater.fixed import TEST_RUN_DEFAULT_ROWS
 from tidewater.operators.drift import check_drift, drift_texts, null_checks
 from tidewater.operators.mapping import apply_mappings
-from tidewater.operators.rowindex import with_row_index
+from tidewater.operators.rowindex import with_file_index, with_row_index
 from tidewater.operators.validate import validate
 from tidewater.plans.observed import Probe
 from tidewater.plans.store import RunStore, utcnow
@@ -44,7 +44,7 @@ from tidewater.session import materialize, scratch_scope
 from tidewater.sources import publish
 from tidewater.sources.readers import BAD_ROW, CSV_VALUE, read_source
 from tidewater.sources.sinks import PATH_KINDS, write_frame
-from tidewater.spec import JobSpec, check_spec
+from tidewater.spec import ColumnMapping, JobSpec, check_spec
 
 
 @dataclass
@@ -110,6 +110,11 @@ def repeats(spec: JobSpec, df: DataFrame, limited: bool, given: bool) -> bool:
     return True
 
 
+def _plain_scan(df: DataFrame) -> bool:
+    """Whether the frame is one scan of files and nothing else (then its rows' places are known)."""
+    return df._jdf.queryExecution().analyzed().getClass().getSimpleName() == "LogicalRelation"
+
+
 def _quarantine(store: RunStore, spec: JobSpec, run_id: str, started, bad_rows: DataFrame, res: RunResult, log: _Log) -> None:
     """Append the rows that do not parse to the violation store and count them (rows read, rows and records rejected)."""
     probe = Probe("bad-rows")
@@ -198,6 +203,14 @@ def _run_job(spark: SparkSession, spec: JobSpec, store: RunStore | None, run_typ
         if BAD_ROW in src.columns:  # rows that do not parse: counted and kept as violations, never loaded
             bad_rows = src.where(F.col(BAD_ROW).isNotNull())
             src = src.where(F.col(BAD_ROW).isNull()).drop(BAD_ROW)
+        # row numbers: Parquet files tell them, where every row that is read stays
+        numbered = bool(spec.row_index and spec.rules and source_repeats and same_rows and mark is None and spec.source.kind.lower() == "parquet"
+                        and not any(t.transform_type.upper() == "NULL_HANDLING" for m in spec.mappings for t in m.transform_rules)
+                        and _plain_scan(src))
+        maps = spec.mappings
+        if numbered:
+            src = with_file_index(src, "__row_number")
+            maps = (*maps, ColumnMapping("__row_number", "__row_number", 1 << 30)) if maps else maps
         src_probe = Probe("src")
         nulls = null_checks(src, spec.expected_schema, spec.schema_drift_action)
         src_exprs = [F.count(F.lit(1)).alias("rows"), *nulls]
@@ -209,7 +222,7 @@ def _run_job(spark: SparkSession, spec: JobSpec, store: RunStore | None, run_typ
         executed: list[DataFrame] = []  # frames whose plans ran (for the source probe)
 
         # -- drift: the schema now; NULLs where none are expected are counted by the pass that counts the source
-        for w in check_drift(src, spec.expected_schema, spec.schema_drift_action, data=False):
+        for w in check_drift(src.drop("__row_number"), spec.expected_schema, spec.schema_drift_action, data=False):
             log.warn("SCHEMA_DRIFT", w)
 
         def check_nulls(seen: dict) -> None:
@@ -221,14 +234,16 @@ def _run_job(spark: SparkSession, spec: JobSpec, store: RunStore | None, run_typ
         sources = {c: c for c in src.columns}
         if spec.mappings:
             log.info("MAPPING", MSG["MAPPING"].format(n=len(spec.mappings)))
-            mr = apply_mappings(src, spec.mappings, keep_unmapped=spec.keep_unmapped)
+            mr = apply_mappings(src, maps, keep_unmapped=spec.keep_unmapped)
             mapped, sources = mr.frame, mr.source_names
             for w in mr.warnings:
                 log.warn("MAPPING", w)
             log.info("TRANSFORM_DONE", MSG["TRANSFORM_DONE"])
 
         extra = []
-        if spec.row_index:
+        if numbered:
+            extra = ["__row_number"]
+        elif spec.row_index:
             executed.append(mapped)  # it is written once here, which the source probe sees
             mapped = with_row_index(mapped, "__row_number")
             extra = ["__row_number"]

@@ -1,16 +1,20 @@
 """Run store: append-only Parquet tables below one shared folder.
 
-* ``runs`` — one row per run: state, counts, error, the high-water mark the
-  run produced and its step log as an array of structs.  The whole record is
+* ``run_records`` — one row per run: state, counts, error, the high-water mark the
+  run produced and its step log as an array of structs, in a folder for each job and, in it, for each day on
+  which runs were recorded.  The whole record is
   one append, so a run, its log and its mark become visible together (or not
-  at all).
+  at all).  (``runs``, the flat table of earlier versions, is still read.)
+* ``mark_snapshot`` — the marks of all runs recorded before a day.  A job's mark is read
+  from there and from the job's folders of that day and later, whatever the length of the history.
 * ``violations`` — one row per (row, failing rule), a folder for each job and
   row shape, in it one for each run date (:meth:`violations_of` reads only
   those of its run); the failing row is kept as a typed struct.
 
 Views: :meth:`logs` explodes the step logs, :meth:`marks` is the latest mark
 per job (an aggregate over successful runs).  Append-only keeps writers from
-ever overwriting something a reader uses.
+ever overwriting something a reader uses; :meth:`compact` rewrites closed days only, by
+:mod:`tidewater.sources.publish`, while other runs append.
 """
 
 from __future__ import annotations
@@ -42,6 +46,9 @@ MARKS_SCHEMA = ("pipeline_id string, checkpoint_column string, checkpoint_value
                 "updated_at timestamp_ntz, job_run_id string")
 
 
+RECORDS, SNAPSHOT = "run_records", "mark_snapshot"
+
+
 def utcnow() -> _dt.datetime:
     return _dt.datetime.now(_dt.timezone.utc).replace(tzinfo=None)
 
@@ -68,13 +75,39 @@ class RunStore:
         return path_exists(self.spark, self.path(name))
 
     # ------------------------------------------------------------------ reads
+    def records(self, pipeline_id: str | None = None, since: _dt.date | None = None, before: _dt.date | None = None) -> DataFrame:
+        """Run records with their logs, of one job or all, recorded from ``since`` on and before ``before``: filters on
+        the folders, so that nothing else is listed as input."""
+        from tidewater.sources import publish
+        frames = []
+        if publish.exists(self.spark, self.path(RECORDS)):
+            def load(paths, base):
+                reader = self.spark.read.schema(RUNS_SCHEMA + ", job string, day date")
+                return (reader.option("basePath", base) if paths != [base] else reader).parquet(*paths)
+            found = publish.load_live(self.spark, self.path(RECORDS), load)
+            if pipeline_id is not None:
+                found = found.where((F.col("job") == _short(pipeline_id)) & (F.col("pipeline_id") == pipeline_id))
+            if since is not None:
+                found = found.where(F.col("day") >= F.lit(since))
+            if before is not None:
+                found = found.where(F.col("day") < F.lit(before))
+            frames.append(found.drop("job", "day"))
+        if self._exists("runs"):  # the flat table of earlier versions
+            old = self.spark.read.schema(RUNS_SCHEMA).parquet(self.path("runs"))
+            day = F.col("finished_at").cast("date")
+            if pipeline_id is not None:
+                old = old.where(F.col("pipeline_id") == pipeline_id)
+            if since is not None:
+                old = old.where(day >= F.lit(since))
+            if before is not None:
+                old = old.where(day < F.lit(before))
+            frames.append(old)
+        if not frames:
+            return self.spark.createDataFrame([], RUNS_SCHEMA)
+        return reduce(DataFrame.unionByName, frames)
+
     def runs_with_logs(self) -> DataFrame:
-        if self._exists("runs"):
-            try:
-                return self.spark.read.schema(RUNS_SCHEMA).parquet(self.path("runs"))
-            except AnalysisException:  # folder without data files yet
-                pass
-        return self.spark.createDataFrame([], RUNS_SCHEMA)
+        return self.records()
 
     def runs(self) -> DataFrame:
         """Run records (without the nested step log)."""
@@ -86,18 +119,36 @@ class RunStore:
         return (r.select(F.col("id").alias("job_run_id"), F.explode("logs").alias("l"))
                  .select("job_run_id", "l.seq", "l.level", "l.stage", "l.message", "l.detail", "l.created_at"))
 
-    def marks(self) -> DataFrame:
-        """Latest high-water mark per job (from successful runs that set one)."""
-        r = self.runs().where((F.col("status") == "SUCCESS") & F.col("checkpoint_value").isNotNull())
-        latest = F.max_by(F.struct(F.col("checkpoint_column"), F.col("checkpoint_value"),
-                                   F.col("finished_at").alias("updated_at"), F.col("id").alias("job_run_id")),
-                          F.col("finished_at"))
-        return r.groupBy("pipeline_id").agg(latest.alias("m")).select("pipeline_id", "m.*")
+    def _snapshot(self) -> tuple[DataFrame | None, _dt.date | None]:
+        """(marks of the runs recorded before a day, that day)."""
+        from tidewater.sources import publish
+        if not publish.exists(self.spark, self.path(SNAPSHOT)):
+            return None, None
+        rows = publish.load_live(self.spark, self.path(SNAPSHOT), lambda paths, base: self.spark.read.schema(MARKS_SCHEMA + ", as_of date").parquet(*paths))
+        head = rows.where(F.col("pipeline_id").isNull()).select("as_of").first()
+        return rows.where(F.col("pipeline_id").isNotNull()).drop("as_of"), head["as_of"] if head else None
+
+    @staticmethod
+    def _latest(rows: DataFrame) -> DataFrame:
+        """The latest of a job's marks."""
+        latest = F.max_by(F.struct("checkpoint_column", "checkpoint_value", "updated_at", "job_run_id"), F.col("updated_at"))
+        return rows.groupBy("pipeline_id").agg(latest.alias("m")).select("pipeline_id", "m.*")
+
+    @staticmethod
+    def _marks_in(records: DataFrame) -> DataFrame:
+        found = records.where((F.col("status") == "SUCCESS") & F.col("checkpoint_value").isNotNull())
+        return found.select("pipeline_id", "checkpoint_column", "checkpoint_value", F.col("finished_at").alias("updated_at"), F.col("id").alias("job_run_id"))
+
+    def marks(self, pipeline_id: str | None = None) -> DataFrame:
+        """Latest high-water mark per job, or of one (from successful runs that set one)."""
+        old, as_of = self._snapshot()
+        rows = self._marks_in(self.records(pipeline_id, since=as_of))
+        if old is not None:
+            rows = rows.unionByName(old if pipeline_id is None else old.where(F.col("pipeline_id") == pipeline_id))
+        return self._latest(rows)
 
     def mark_of(self, pipeline_id: str) -> dict | None:
-        if not self._exists("runs"):
-            return None
-        rows = self.marks().where(F.col("pipeline_id") == pipeline_id).collect()
+        rows = self.marks(pipeline_id).collect()
         return rows[0].asDict() if rows else None
 
     def _shapes(self, pipeline_id: str | None = None) -> list[str]:
@@ -150,22 +201,45 @@ class RunStore:
         row = dict(record)
         row["logs"] = [{k: l[k] for k in ("seq", "level", "stage", "message", "detail", "created_at")}
                        for l in logs]
-        self.spark.createDataFrame([row], RUNS_SCHEMA).coalesce(1).write.mode("append").parquet(self.path("runs"))
+        self.append_records(self.spark.createDataFrame([row], RUNS_SCHEMA).coalesce(1), {row["pipeline_id"]: _short(row["pipeline_id"])})
+
+    def append_records(self, records: DataFrame, jobs: dict[str, str] | None = None) -> None:
+        """Append run records (``RUNS_SCHEMA``), each under its job and the day it finished."""
+        job = F.lit(next(iter(jobs.values()))) if jobs and len(jobs) == 1 else F.substring(F.sha1(F.col("pipeline_id").cast("binary")), 1, 16)
+        records.withColumns({"job": job, "day": F.col("finished_at").cast("date")}).write.mode("append").partitionBy("job", "day").parquet(self.path(RECORDS))
+
+    def compact(self, before: _dt.date | None = None) -> int:
+        """Rewrite the small files of days before ``before`` (None: yesterday, so that no run still appends to
+        them) into one for each job and day, and take the marks of those days into the snapshot.
 
-    def compact(self, target_file_bytes: int = 128 * 1024 * 1024) -> None:
-        """Rewrite the run table (one small file per run) into files of about
-        ``target_file_bytes`` by a staged write and rename swap.  Violations
+        Runs may go on appending: only the files that were read are replaced, in one commit.  Violations
         need no compaction: each run appends them with a distributed write
-        sized by the data.  Run this when no run is writing to the store."""
-        from tidewater.sources.sinks import _fs, _staged_replace
-        from tidewater.spec import TargetSpec
-        if not self._exists("runs"):
-            return
-        fs, p = _fs(self.spark, self.path("runs"))
-        size = int(fs.getContentSummary(p).getLength())
-        n = max(1, -(-size // target_file_bytes))
-        _staged_replace(self.spark, self.runs_with_logs().repartition(n),
-                        TargetSpec(kind="parquet", path=self.path("runs")))
+        sized by the data.  Returns the number of files replaced."""
+        from tidewater.sources import publish
+        before = before or utcnow().date() - _dt.timedelta(days=1)
+        root, small = self.path(RECORDS), []
+        if publish.exists(self.spark, root):
+            publish.settle(self.spark, root)
+            folders: dict[str, list[str]] = {}
+            for f in publish.data_files(self.spark, root):
+                folder = f.rsplit("/", 1)[0]
+                if folder.rsplit("day=", 1)[-1] < before.isoformat():
+                    folders.setdefault(folder, []).append(f)
+            small = [f for files in folders.values() if len(files) > 1 for f in files]
+        if small:
+            rows = self.spark.read.schema(RUNS_SCHEMA + ", job string, day date").option("basePath", root).parquet(*[f"{root}/{f}" for f in small])
+            staging = publish.staging_path(root)
+            rows.repartition("job", "day").write.partitionBy("job", "day").parquet(staging)
+            publish.publish(self.spark, root, staging, removes=small)
+        old, as_of = self._snapshot()
+        if as_of is None or as_of < before:
+            rows = self._marks_in(self.records(since=as_of, before=before))
+            rows = self._latest(rows.unionByName(old) if old is not None else rows).withColumn("as_of", F.lit(before))
+            head = self.spark.createDataFrame([(None, None, None, None, None, before)], MARKS_SCHEMA + ", as_of date")
+            staging = publish.staging_path(self.path(SNAPSHOT))
+            rows.unionByName(head).coalesce(1).write.parquet(staging)
+            publish.publish(self.spark, self.path(SNAPSHOT), staging, replace=True)
+        return len(small)
 
     def append_violations(self, df: DataFrame, pipeline_id: str) -> None:
         """Distributed append.  Violations are a sparse filter over the whole

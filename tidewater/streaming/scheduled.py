@@ -43,10 +43,10 @@ def stream_key(spec: JobSpec, checkpoint_location: str) -> str:
     return f"{spec.id}-{hashlib.sha1(checkpoint_location.encode()).hexdigest()[:10]}"
 
 
-def last_loaded_batch(store: RunStore, key: str) -> int:
-    """Highest batch id of this stream recorded as SUCCESS (-1 if none)."""
+def last_loaded_batch(store: RunStore, key: str, pipeline_id: str | None = None) -> int:
+    """Highest batch id of this stream recorded as SUCCESS (-1 if none); only the job's records are read."""
     prefix = f"{key}-batch-"
-    ids = (store.runs().where(F.col("id").startswith(prefix) & (F.col("status") == "SUCCESS"))
+    ids = (store.records(pipeline_id).where(F.col("id").startswith(prefix) & (F.col("status") == "SUCCESS"))
            .select(F.substring(F.col("id"), len(prefix) + 1, 1 << 20).cast("bigint").alias("b")))
     got = ids.agg(F.max("b")).collect()[0][0]
     return -1 if got is None else int(got)
@@ -104,7 +104,7 @@ def batch_runner(spec: JobSpec, store: RunStore, key: str, prepare=None, repeats
     ``prepare`` turns each batch into the rows to load (e.g. the files of a CSV stream); ``repeats`` says
     that a batch gives the same rows each time.  A batch that was committed to the target but not recorded is recorded
     without loading it again (its receipt is in the target)."""
-    state = {"done": last_loaded_batch(store, key)}
+    state = {"done": last_loaded_batch(store, key, spec.id)}
     seen = SeenKeys(store, key, unique) if unique else None
 
     def one_batch(batch_df: DataFrame, batch_id: int) -> None:
