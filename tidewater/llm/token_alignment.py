@@ -17,7 +17,7 @@ its B id counts more.  To score links, the most frequent pairs are
 broadcast: at most ``MAX_SHARED``, all from a power of two of the count on; links of other pairs are joined
 to the counts in a shuffle.  Both ways give the same numbers.
 
-Long texts are encoded in parts of about ``common.CHUNK`` characters, cut at a single space between two ASCII
+Long texts are encoded in parts of about ``PART`` characters, cut at a single space between two ASCII
 letters: neither tokenizer joins bytes across it (checked for the pieces of B), and a part begins with that space.
 
 Defined cases: a NULL or empty text, or one whose joined token bytes of A or B are not the space and the
@@ -28,7 +28,9 @@ read besides ``keep``, so further columns do no harm.  The vocabulary files have
 
 from __future__ import annotations
 
+import json
 import os
+import re
 from functools import lru_cache
 
 import numpy as np
@@ -42,6 +44,13 @@ from tidewater.session import materialize
 
 BYTE_BPE = "/opt/tokenizers/byte_bpe_50k.json"
 PIECE_BPE = "/opt/tokenizers/piece_bpe_32k.model"
+#: the pieces of a byte-level BPE
+PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
+#: characters without a break between letters and others from which on a text goes to the library with the heap
+RUN = 2000
+_LONG_RUN = re.compile(r"\S{%d}|\s{%d}" % (RUN, RUN))
+#: characters encoded at a time, and about the length of the parts of a long text
+PART = 1 << 18
 #: pairs in the broadcast table of counts
 MAX_SHARED = 1 << 18
 SPACE = "▁"
@@ -59,7 +68,12 @@ def byte_alphabet() -> dict[str, int]:
 
 
 class Encoder:
-    """Both tokenizers, each with the bytes, the length and the decimal text of its ids."""
+    """Both tokenizers, each with the bytes, the length and the decimal texts of its ids.
+
+    The byte-level BPE is run by the faster of two libraries (``fast``) where its file lets both give the same ids: plain
+    byte-level pieces by ``PATTERN``, no normaliser, and merges in the order of their ids.  Texts with
+    a run of ``RUN`` characters without a break go to the other, which sorts such a piece's merges in a heap.
+    """
 
     def __init__(self, a: str, b: str):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"  # tasks are what runs in parallel
@@ -79,16 +93,38 @@ class Encoder:
         bytes_b = [bytes([int(p[3:5], 16)]) if self.b.is_byte(i) else p.replace(SPACE, " ").encode() for i, p in enumerate(pieces)]
         self.bytes = bytes_a, bytes_b
         self.size = tuple(np.array([len(x) for x in t], dtype=np.int64) for t in self.bytes)
-        self.text = tuple([str(i) for i in range(len(t))] for t in self.bytes)
+        self.shown = [f"{i}{after}" for t, pair in zip(self.bytes, (",|", ",;")) for after in pair for i in range(len(t))]
         self.cuts = not any(SPACE in p.lstrip(SPACE) for p in pieces)
+        self.fast = self._fast(a, alphabet)
+
+    def _fast(self, path: str, alphabet: dict[str, int]):
+        with open(path, encoding="utf-8") as f:
+            spec = json.load(f)
+        split, model = spec.get("pre_tokenizer") or {}, spec["model"]
+        ids = model["vocab"]
+        merges = [m.split(" ") if isinstance(m, str) else m for m in model.get("merges", [])]
+        ranks = [ids.get("".join(m), -1) for m in merges]
+        plain = (model.get("type") == "BPE" and split.get("type") == "ByteLevel" and not split.get("add_prefix_space") and split.get("use_regex", True)
+                 and not spec.get("normalizer") and all(x < y for x, y in zip(ranks, ranks[1:])) and all(ids[c] < ranks[0] for c in alphabet))
+        if not plain:
+            return None
+        import tiktoken
+        own = {self.bytes[0][i]: i for i in ranks} | {bytes([v]): ids[c] for c, v in alphabet.items()}
+        return tiktoken.Encoding("byte-level", pat_str=PATTERN, mergeable_ranks=own, special_tokens={})
+
+    def _ids_a(self, texts: list[str]) -> list[np.ndarray]:
+        slow = [i for i, t in enumerate(texts) if self.fast is None or _LONG_RUN.search(t)]
+        out = [None] * len(texts)
+        for i, e in zip(slow, self.many([" " + texts[i] for i in slow], add_special_tokens=False)):
+            out[i] = np.array(e.ids, dtype=np.int64)
+        return [self.fast.encode_to_numpy(" " + t, disallowed_special=()).astype(np.int64) if x is None else x for t, x in zip(texts, out)]
 
     def encode(self, texts: list[str]):
         """Ids of A and of B for each text, None where their bytes are not a space and the text."""
-        ids_a = [e.ids for e in self.many([" " + t for t in texts], add_special_tokens=False)]
-        for t, x, y in zip(texts, ids_a, self.b.encode(texts, num_threads=1)):
+        for t, x, y in zip(texts, self._ids_a(texts), self.b.encode(texts, num_threads=1)):
             raw = b" " + t.encode()
-            same = all(b"".join(map(table.__getitem__, ids)) == raw for table, ids in zip(self.bytes, (x, y)))
-            yield (x, y) if same else None
+            same = int(self.size[0][x].sum()) == len(raw) and all(b"".join(map(t.__getitem__, ids)) == raw for t, ids in zip(self.bytes, (x.tolist(), y)))
+            yield (x, np.array(y, dtype=np.int64)) if same else None
 
 
 @lru_cache(maxsize=2)
@@ -115,24 +151,31 @@ def parts(text: str, limit: int) -> list[str]:
 # -- alignment -------------------------------------------------------------------------------------
 
 
-def align(a: list[int], b: list[int]) -> tuple[list[int], list[int]]:
-    """Ends of the groups, as numbers of tokens of A and of B before them; ``a`` and ``b`` are rising ends with the same last one."""
+def align(a: list[int], b: list[int]) -> list[tuple[int, int, int, int]]:
+    """Stretches of A and B tokens (from and to, of A, then of B) of rising ends with the same last one: those of
+    one-to-one groups, as long as they go, and each irregular group.  A stretch with as many tokens of B as of A, whose first ends agree, is of the first kind."""
     i = j = 0
-    n, cut_a, cut_b = len(a), [], []
+    n, out = len(a), []
     while i < n:
-        if a[i] == b[j]:  # a one-to-one stretch: gallop at this shift
-            from_i, from_j, step = i, j, 1
-            while i < n and (run := a[i:i + step]) == b[j:j + step]:
-                i += len(run)
-                j += len(run)
-                step *= 2
-            while step > 1 and i < n:
-                step //= 2
-                if (run := a[i:i + step]) == b[j:j + step]:
+        from_i, from_j = i, j
+        if a[i] == b[j]:  # a one-to-one stretch: look, then gallop at this shift
+            near = min(i + 8, n)
+            i += 1
+            j += 1
+            while i < near and a[i] == b[j]:
+                i += 1
+                j += 1
+            if i == near < n:
+                step = 8
+                while i < n and (run := a[i:i + step]) == b[j:j + step]:
                     i += len(run)
                     j += len(run)
-            cut_a.extend(range(from_i + 1, i + 1))
-            cut_b.extend(range(from_j + 1, j + 1))
+                    step *= 2
+                while step > 1 and i < n:
+                    step //= 2
+                    if (run := a[i:i + step]) == b[j:j + step]:
+                        i += len(run)
+                        j += len(run)
         else:  # an irregular group: merge the ends until they meet
             x, y = a[i], b[j]
             while x != y:
@@ -144,13 +187,23 @@ def align(a: list[int], b: list[int]) -> tuple[list[int], list[int]]:
                     y = b[j]
             i += 1
             j += 1
-            cut_a.append(i)
-            cut_b.append(j)
-    return cut_a, cut_b
+        out.append((from_i, i, from_j, j))
+    return out
+
+
+def groups(runs: list[tuple[int, int, int, int]], single: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Ends of the groups, as numbers of tokens of A and of B before them."""
+    from_a, to_a, from_b, to_b = np.array(runs, dtype=np.int64).T
+    count = np.where(single, to_a - from_a, 1)
+    run = np.repeat(np.arange(len(count)), count)
+    nth = np.arange(1, len(run) + 1) - (np.cumsum(count) - count)[run]
+    one = single[run]
+    return np.where(one, from_a[run] + nth, to_a[run]), np.where(one, from_b[run] + nth, to_b[run])
 
 
 def links(end_a: np.ndarray, end_b: np.ndarray, cut_a: np.ndarray, cut_b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Token numbers (of A, of B) of all links; the arrays may hold several texts one after the other, with rising ends."""
+    """Token numbers (of A, of B) of all links of the groups that end at the given cuts; the arrays may hold several texts
+    one after the other, with rising ends."""
     size_a, size_b = np.diff(cut_a, prepend=0), np.diff(cut_b, prepend=0)
     single = (size_a == 1) & (size_b == 1)
     odd_a, odd_b = np.flatnonzero(np.repeat(~single, size_a)), np.flatnonzero(np.repeat(~single, size_b))
@@ -159,102 +212,110 @@ def links(end_a: np.ndarray, end_b: np.ndarray, cut_a: np.ndarray, cut_b: np.nda
             np.concatenate((cut_b[single] - 1, odd_b[np.searchsorted(end_b[odd_b], stretch)])))
 
 
-def groups_text(ids_a: list[str], ids_b: list[str], cut_a: list[int], cut_b: list[int]) -> str:
-    """``a1,a2|b1;a3|b2,b3``."""
-    out, i, j = [], 0, 0
-    for p, q in zip(cut_a, cut_b):
-        if p - i == 1 and q - j == 1:
-            out.append(f"{ids_a[i]}|{ids_b[j]}")
-        else:
-            out.append(f"{','.join(ids_a[i:p])}|{','.join(ids_b[j:q])}")
-        i, j = p, q
-    return ";".join(out)
+def groups_text(ids_a: np.ndarray, ids_b: np.ndarray, cut_a: np.ndarray, cut_b: np.ndarray, shown: list[str], n_a: int, n_b: int) -> str:
+    """``a1,a2|b1;a3|b2,b3``.
+
+    ``shown`` has each id with what follows it: A's before a comma, A's before a bar, B's before a comma, B's before a semicolon.
+    """
+    size_a, size_b = np.diff(cut_a, prepend=0), np.diff(cut_b, prepend=0)
+    which = np.empty(len(ids_a) + len(ids_b), dtype=np.int64)
+    last_a, last_b = np.zeros(len(ids_a), dtype=np.int64), np.zeros(len(ids_b), dtype=np.int64)
+    last_a[cut_a - 1] = n_a
+    last_b[cut_b - 1] = n_b
+    which[np.arange(len(ids_a)) + np.repeat(cut_b - size_b, size_a)] = ids_a + last_a
+    which[np.arange(len(ids_b)) + np.repeat(cut_a, size_b)] = 2 * n_a + ids_b + last_b
+    return "".join(map(shown.__getitem__, which.tolist()))[:-1]
+
+
+_NUMBERS = ("n_a", "n_b", "n_groups", "n_links")
+
+
+def _solve(own: Encoder, texts: list[str]):
+    """Numbers, groups, and the distinct pairs with their times, of each text (a part of a document); None where it has no tokens."""
+    found = list(own.encode(texts))
+    out: list = [None] * len(texts)
+    ends, cuts, all_ids, owner, base, count = ([], []), ([], []), ([], []), [], 0, (0, 0)
+    for i, got in enumerate(found):
+        if got is None:
+            continue
+        end = [np.cumsum(size[ids]) for size, ids in zip(own.size, got)]
+        la, lb = (e.tolist() for e in end)
+        runs = align(la, lb)
+        cut = groups(runs, np.array([la[r[0]] == lb[r[2]] for r in runs]))
+        n = (len(la), len(lb))
+        out[i] = [np.array((*n, len(cut[0]), sum(n) - len(cut[0]))), groups_text(*got, *cut, own.shown, len(own.size[0]), len(own.size[1])), None, None]
+        for k in range(2):
+            ends[k].append(end[k] + base)
+            cuts[k].append(cut[k] + count[k])
+            all_ids[k].append(got[k])
+        owner.append(np.full(n[0], i))
+        base += la[-1]
+        count = (count[0] + n[0], count[1] + n[1])
+    if not owner:
+        return out
+    at_a, at_b = links(*(np.concatenate(e) for e in ends), *(np.concatenate(c) for c in cuts))
+    id_a, id_b = (np.concatenate(x) for x in all_ids)
+    bits_a, bits_b = len(own.size[0]).bit_length(), len(own.size[1]).bit_length()
+    key = (np.concatenate(owner)[at_a] << (bits_a + bits_b)) | (id_a[at_a] << bits_b) | id_b[at_b]
+    key, times = np.unique(key, return_counts=True)
+    text = key >> (bits_a + bits_b)
+    pair = (key >> bits_b & ((1 << bits_a) - 1)) << 32 | key & ((1 << bits_b) - 1)
+    first = np.flatnonzero(np.concatenate(([True], text[1:] != text[:-1])))
+    for s, e in zip(first.tolist(), [*first[1:].tolist(), len(text)]):
+        out[text[s]][2:] = [pair[s:e], times[s:e]]
+    return out
 
 
 def align_texts(docs: DataFrame, keep: list[str] | None = None, a: str = BYTE_BPE, b: str = PIECE_BPE) -> DataFrame:
     """``keep`` columns of each row, n_a, n_b, n_groups, n_links, groups (text), pairs and times: its distinct id
     pairs, each as ``a * 2**32 + b``, and how many links hold each."""
-    fields = [T.StructField(n, T.LongType()) for n in ("n_a", "n_b", "n_groups", "n_links")] + [
-        T.StructField("groups", T.StringType()), T.StructField("pairs", T.ArrayType(T.LongType())), T.StructField("times", T.ArrayType(T.LongType()))]
+    keep = keep or ["doc_id"]
+    longs = T.ArrayType(T.LongType())
+    schema = T.StructType([docs.schema[c] for c in keep] + [T.StructField(n, T.LongType()) for n in _NUMBERS] + [
+        T.StructField("groups", T.StringType()), T.StructField("pairs", longs), T.StructField("times", longs)])
+
+    def merged(parts):
+        """One document of its parts."""
+        if not parts or any(p is None for p in parts):
+            return np.zeros(4, dtype=np.int64), "", np.zeros(0, dtype=np.int64), np.zeros(0, dtype=np.int64)
+        if len(parts) == 1:
+            return parts[0]
+        pair, back = np.unique(np.concatenate([p[2] for p in parts]), return_inverse=True)
+        times = np.zeros(len(pair), dtype=np.int64)
+        np.add.at(times, back, np.concatenate([p[3] for p in parts]))
+        return sum(p[0] for p in parts), ";".join(p[1] for p in parts), pair, times
 
-    def make():
+    def run(batches):
         own = encoder(a, b)
 
-        def units(texts):
-            for i, t in enumerate(texts):
-                if t:
-                    for p in parts(t, C.CHUNK) if own.cuts and len(t) > C.CHUNK else [t]:
-                        yield i, p
-
-        def work(texts):
-            n = len(texts)
-            number = np.zeros((4, n), dtype=np.int64)
-            text, found, bad = [[] for _ in range(n)], [[] for _ in range(n)], set()
-
-            def solve(rows, held):
-                ids, base = ([], []), 0
-                ends, cuts, owner = ([], []), ([], []), []
-                counts = [0, 0]
-                for row, got in zip(rows, own.encode(held)):
-                    if got is None:
-                        bad.add(row)
-                        continue
-                    x, y = got
-                    end_a, end_b = np.cumsum(own.size[0][x]), np.cumsum(own.size[1][y])
-                    cut_a, cut_b = align(end_a.tolist(), end_b.tolist())
-                    text[row].append(groups_text([own.text[0][k] for k in x], [own.text[1][k] for k in y], cut_a, cut_b))
-                    number[:, row] += (len(x), len(y), len(cut_a), len(x) + len(y) - len(cut_a))
-                    for k, (own_ids, end, cut) in enumerate(((x, end_a, cut_a), (y, end_b, cut_b))):
-                        ids[k].append(own_ids)
-                        ends[k].append(end + base)
-                        cuts[k].append(np.array(cut) + counts[k])
-                        counts[k] += len(own_ids)
-                    owner.append(np.full(len(x), row))
-                    base += int(end_a[-1])
-                if not owner:
-                    return
-                at_a, at_b = links(*(np.concatenate(e) for e in ends), *(np.concatenate(c) for c in cuts))
-                all_a, all_b = (np.concatenate([np.asarray(x, dtype=np.int64) for x in i]) for i in ids)
-                row, pair = np.concatenate(owner)[at_a], all_a[at_a] << 32 | all_b[at_b]
-                order = np.lexsort((pair, row))
-                row, pair = row[order], pair[order]
-                new = np.flatnonzero(np.concatenate(([True], (row[1:] != row[:-1]) | (pair[1:] != pair[:-1]))))
-                times = np.diff(np.append(new, len(row)))
-                row, pair = row[new], pair[new]
-                first = np.flatnonzero(np.concatenate(([True], row[1:] != row[:-1])))
-                for s, e in zip(first, np.append(first[1:], len(row))):
-                    found[row[s]].append((pair[s:e], times[s:e]))
-
-            rows, held, size = [], [], 0
-            for row, unit in units(texts):
-                rows.append(row)
-                held.append(unit)
-                size += len(unit)
-                if size >= C.CHUNK // 2:
-                    solve(rows, held)
-                    rows, held, size = [], [], 0
-            if held:
-                solve(rows, held)
-            pairs, times = [], []
-            for row, f in enumerate(found):
-                if row in bad or not f:
-                    number[:, row] = 0
-                    text[row] = []
-                    pairs.append([])
-                    times.append([])
-                elif len(f) == 1:
-                    pairs.append(f[0][0])
-                    times.append(f[0][1])
-                else:  # parts of a long text
-                    pair, back = np.unique(np.concatenate([p for p, _ in f]), return_inverse=True)
-                    pairs.append(pair)
-                    times.append(np.bincount(back, weights=np.concatenate([t for _, t in f])).astype(np.int64))
-            longs = pa.list_(pa.int64())
-            return None, {**{f.name: x for f, x in zip(fields, number)}, "groups": pa.array([";".join(t) for t in text], pa.string()),
-                          "pairs": pa.array(pairs, longs), "times": pa.array(times, longs)}
-        return work
-
-    return C.map_texts(docs, keep or ["doc_id"], make, fields)
+        def rows(batch, start, texts):
+            units = [(i, u) for i, t in enumerate(texts) if t for u in (parts(t, PART) if own.cuts and len(t) > PART else [t])]
+            solved: list[list] = [[] for _ in texts]
+            held, size = [], 0
+            for k, (i, u) in enumerate(units):
+                held.append((i, u))
+                size += len(u)
+                if size >= PART or k + 1 == len(units):
+                    for (x, _), got in zip(held, _solve(own, [y for _, y in held])):
+                        solved[x].append(got)
+                    held, size = [], 0
+            done = [merged(s) for s in solved]
+            bounds = np.concatenate(([0], np.cumsum([len(d[2]) for d in done])))
+            lists = [pa.ListArray.from_arrays(pa.array(bounds, pa.int32()), pa.array(np.concatenate([d[k] for d in done]).astype(np.int64))) for k in (2, 3)]
+            return pa.RecordBatch.from_arrays(
+                [batch.column(i).slice(start, len(texts)) for i in range(len(keep))] + [pa.array([int(d[0][k]) for d in done], pa.int64()) for k in range(4)]
+                + [pa.array([d[1] for d in done], pa.string()), *lists], names=schema.names)
+
+        for batch in batches:
+            start, texts, size = 0, [], 0
+            for i in range(batch.num_rows):
+                texts.append(batch.column(len(keep))[i].as_py())
+                size += len(texts[-1] or "")
+                if size >= PART or i + 1 == batch.num_rows:
+                    yield rows(batch, start, texts)
+                    start, texts, size = i + 1, [], 0
+
+    return docs.select(*keep, "text").mapInArrow(run, schema)
 
 
 # -- counts ----------------------------------------------------------------------------------------
