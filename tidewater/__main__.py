@@ -43,8 +43,7 @@ def _store(spark, base):
 
 
 def _print_rows(df, limit: int | None = None) -> None:
-    rows = df.limit(limit).collect() if limit else df.collect()
-    for r in rows:
+    for r in df.limit(limit).collect() if limit else df.toLocalIterator():  # all rows: a partition at a time
         print(json.dumps(r.asDict(recursive=True), default=str, ensure_ascii=False))
 
 

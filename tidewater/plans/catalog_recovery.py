@@ -19,7 +19,7 @@ from tidewater.plans.store import LOG_STRUCT, RunStore
 from tidewater.session import scratch_path
 from tidewater.sources import publish
 from tidewater.sources.readers import read_source
-from tidewater.sources.sinks import read_target, write_frame
+from tidewater.sources.sinks import compact_target, read_target, write_frame
 from tidewater.spec import JobSpec, SourceSpec
 from tidewater.streaming.scheduled import UniqueAcross, start_stream
 
@@ -63,6 +63,31 @@ select coalesce(s.l_orderkey, l.l_orderkey) as l_orderkey, coalesce(s.l_linenumb
 from l full join s on l.l_orderkey = s.l_orderkey and l.l_linenumber = s.l_linenumber"""
 
 
+def l_compact_files(spark, d):
+    """Small files of a target, partitioned and not, become few in one commit; a compaction that is lost changes nothing that a reader sees."""
+    o = table(spark, d, "orders").select("o_orderkey", "o_custkey", "o_orderstatus")
+    out = []
+    for by in ((), ("o_orderstatus",)):
+        t = _target(spark, f"l_compact_files_{len(by)}", partition_by=by)
+        for k in range(4):
+            write_frame(spark, o.where(F.col("o_orderkey") % 4 == k).repartition(3), t, "APPEND")
+        before = len(publish.data_files(spark, t.path))
+        try:
+            with publish.lost_at("moving"):
+                compact_target(spark, t)
+        except publish.DriverLost:
+            pass
+        seen = read_target(spark, t).count()
+        replaced = compact_target(spark, t) or before  # settles the lost one first
+        few = len(publish.data_files(spark, t.path)) <= 3 and replaced == before
+        out.append(spark.read.parquet(t.path).select("o_orderkey", "o_custkey", "o_orderstatus", F.lit(len(by)).alias("columns"), F.lit(few).alias("few"), F.lit(seen).alias("seen")))
+    return out[0].unionByName(out[1])
+
+
+L_COMPACT_FILES_SQL = """
+select o_orderkey, o_custkey, o_orderstatus, k as columns, true as few, (select count(*) from orders) as seen from orders, (values (0), (1)) v(k)"""
+
+
 def l_publish_crash(spark, d):
     """A replacement is lost at each of its steps: what a reader sees then, and after the next writer has come."""
     o = table(spark, d, "orders").select("o_orderkey", "o_custkey")
@@ -399,6 +424,7 @@ QUERIES = {
     "r_page_seek": (r_page_seek, R_PAGE_SEEK_SQL),
     "a_row_index_files": (a_row_index_files, A_ROW_INDEX_FILES_SQL),
     "l_upsert_touched_files": (l_upsert_touched_files, L_UPSERT_TOUCHED_FILES_SQL),
+    "l_compact_files": (l_compact_files, L_COMPACT_FILES_SQL),
     "l_publish_crash": (l_publish_crash, L_PUBLISH_CRASH_SQL),
     "i_crash_retry": (i_crash_retry, I_CRASH_RETRY_SQL),
     "i_append_retry": (i_append_retry, I_APPEND_RETRY_SQL),

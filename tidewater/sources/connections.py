@@ -88,6 +88,8 @@ def source_from_connection(conn: dict, source_config: dict | None = None) -> Sou
     if t == "CSV":
         path = extra.get("file_path") or conn.get("host")
         opts = {"delimiter": extra.get("delimiter", ","), "encoding": extra.get("encoding", "UTF-8")}
+        # what saves passes over the files or says what happens to rows that do not parse
+        opts |= {k: extra[k] for k in ("multiLine", "schema", "bad_rows") if k in extra}
         return SourceSpec(kind="csv", path=path, checkpoint_col=cfg.get("checkpoint_col"), options=opts)
     table = cfg.get("table")
     part = {k: cfg[k] for k in ("partition_column", "lower_bound", "upper_bound", "num_partitions", "fetchsize")

@@ -306,6 +306,40 @@ def recover_swaps(spark: SparkSession, path: str) -> list[str]:
     return restored
 
 
+def compact_target(spark: SparkSession, target: TargetSpec, file_bytes: int = 128 * 1024 * 1024) -> int:
+    """Rewrite the files of a path target that are smaller than half of ``file_bytes`` into files of about that size, folder
+    by folder, in one commit; the others stay.  Loads by touched files and appends leave small files behind.
+
+    Returns the number of files replaced.
+    """
+    if target.kind.lower() not in FILE_MERGE_KINDS:
+        raise JobError("SPEC_INVALID", f"a {target.kind} target is not compacted")
+    publish.settle(spark, target.path)
+    root = target.path.rstrip("/")
+    if not path_exists(spark, root):
+        return 0
+    fs, _ = _fs(spark, root)
+    folders: dict[str, list[tuple[str, int]]] = {}
+    for f in publish.data_files(spark, root):
+        size = int(fs.getFileStatus(spark.sparkContext._jvm.org.apache.hadoop.fs.Path(f"{root}/{f}")).getLen())
+        if size * 2 < file_bytes:
+            folders.setdefault(f.rpartition("/")[0], []).append((f, size))
+    small = {k: v for k, v in folders.items() if len(v) > 1}
+    files = [f for v in small.values() for f, _ in v]
+    if not files:
+        return 0
+    found = _typed_partitions(spark, target, None)([root], root).schema
+    # folder names as they are written: '01' is no number here
+    schema = T.StructType([T.StructField(f.name, T.StringType()) if f.name in target.partition_by else f for f in found.fields])
+    rows = spark.read.format(target.kind).schema(schema).option("basePath", root).load([f"{root}/{f}" for f in files])
+    if target.partition_by:  # sized by bytes; a folder of many is split
+        rows = rows.hint("rebalance", *[F.col(_q(c)) for c in target.partition_by])
+    else:
+        rows = rows.coalesce(max(1, -(-sum(n for v in small.values() for _, n in v) // file_bytes)))
+    publish.publish(spark, root, _staged(spark, rows, target), removes=files)
+    return len(files)
+
+
 def _jdbc_options(target: TargetSpec, batch_size: int) -> dict[str, str]:
     o = {k: str(v) for k, v in target.options.items()}
     o["dbtable"] = target.table
