@@ -123,8 +123,8 @@ def _quarantine(store: RunStore, spec: JobSpec, run_id: str, started, bad_rows:
     rows = watched.select(
         F.lit(run_id).alias("job_run_id"), F.lit(spec.id).alias("pipeline_id"), F.struct(reason["line"].alias("line")).alias("source_data"),
         F.lit(None).cast("int").alias("rule_index"), reason["column"].alias("error_column"), reason["rule"].alias("error_rule"),
-        reason["message"].alias("error_message"), F.lit("REJECT").alias("action"), F.lit(started).alias("created_at"), F.lit(started.date()).alias("run_date"))
-    store.append_violations(rows, spec.id)
+        reason["message"].alias("error_message"), F.lit("REJECT").alias("action"), F.lit(started).alias("created_at"))
+    store.append_violations(rows, spec.id, started.date())
     n = int(probe.result(rows).get("rows", 0) or 0)
     res.source_count += n
     res.rejected_rows += n
@@ -263,8 +263,8 @@ def _run_job(spark: SparkSession, spec: JobSpec, store: RunStore | None, run_typ
             viol = outcome.violations(row_key=spec.row_key, include_source=True,
                                       row_number_col=extra[0] if extra else None, frame=observed)
             viol = viol.select(F.lit(run_id).alias("job_run_id"), F.lit(spec.id).alias("pipeline_id"), "*",
-                               F.lit(started).alias("created_at"), F.lit(started.date()).alias("run_date"))
-            store.append_violations(viol, spec.id)
+                               F.lit(started).alias("created_at"))
+            store.append_violations(viol, spec.id, started.date())
             executed.append(viol)
             got = rule_probe.result(viol)
             if not got:

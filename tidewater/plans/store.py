@@ -24,10 +24,12 @@ import hashlib
 from dataclasses import dataclass
 from functools import reduce
 
+import pyarrow as pa
 from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
+from pyspark.sql.pandas.types import to_arrow_schema
 
 from tidewater.session import ensure_checkpoint_dir
 
@@ -201,11 +203,14 @@ class RunStore:
         row = dict(record)
         row["logs"] = [{k: l[k] for k in ("seq", "level", "stage", "message", "detail", "created_at")}
                        for l in logs]
-        self.append_records(self.spark.createDataFrame([row], RUNS_SCHEMA).coalesce(1), {row["pipeline_id"]: _short(row["pipeline_id"])})
-
-    def append_records(self, records: DataFrame, jobs: dict[str, str] | None = None) -> None:
-        """Append run records (``RUNS_SCHEMA``), each under its job and the day it finished."""
-        job = F.lit(next(iter(jobs.values()))) if jobs and len(jobs) == 1 else F.substring(F.sha1(F.col("pipeline_id").cast("binary")), 1, 16)
+        folder = f"{self.path(RECORDS)}/job={_short(row['pipeline_id'])}/day={row['finished_at'].date().isoformat()}"
+        schema = T.DataType.fromDDL(RUNS_SCHEMA)
+        rows = pa.Table.from_pylist([row], schema=to_arrow_schema(schema))  # a local relation: one small job
+        self.spark.createDataFrame(rows, schema).write.mode("append").parquet(folder)
+
+    def append_records(self, records: DataFrame) -> None:
+        """Append any number of run records (``RUNS_SCHEMA``), each under its job and the day it finished."""
+        job = F.substring(F.sha1(F.col("pipeline_id").cast("binary")), 1, 16)
         records.withColumns({"job": job, "day": F.col("finished_at").cast("date")}).write.mode("append").partitionBy("job", "day").parquet(self.path(RECORDS))
 
     def compact(self, before: _dt.date | None = None) -> int:
@@ -241,15 +246,17 @@ class RunStore:
             publish.publish(self.spark, self.path(SNAPSHOT), staging, replace=True)
         return len(small)
 
-    def append_violations(self, df: DataFrame, pipeline_id: str) -> None:
-        """Distributed append.  Violations are a sparse filter over the whole
+    def append_violations(self, df: DataFrame, pipeline_id: str, run_date: _dt.date) -> None:
+        """Distributed append of a run's violations to the folder of its job, row shape and day.
+
+        Violations are a sparse filter over the whole
         scan: written straight from a million scan tasks they would make a
         million tiny files, so such plans are rebalanced first (AQE sizes the
         output files by bytes; see :func:`tidewater.session.rebalance_for_write`)."""
         from tidewater.session import rebalance_for_write
         shape = _short(df.schema.simpleString())
-        rebalance_for_write(df).write.mode("append").partitionBy("run_date").parquet(
-            self.path(f"violations/job={_short(pipeline_id)}/shape={shape}"))
+        rebalance_for_write(df).write.mode("append").parquet(
+            self.path(f"violations/job={_short(pipeline_id)}/shape={shape}/run_date={run_date.isoformat()}"))
 
 
 def violations_as_json(violations: DataFrame) -> DataFrame:
