@@ -9,8 +9,8 @@ largest inner product that any of its rows can have.  Two matrix products bound
 
 *Search*, twice: first an anchor's positives (the best rows of its label), then, for each positive, the best rows of other labels
 within a window of scores.  The anchor's own block is read first.  Its results raise the
-lower end of the search (to the last of the best found, if there are enough), and only blocks whose bounds meet what
-is left are read.  Blocks and the searches that need them meet in a shuffle by block: a block's
+lower end of the search (to the last of the best found, if there are enough; of equal scores only smaller ids still count), and only blocks whose
+bounds meet what is left are read.  Blocks and the searches that need them meet in a shuffle by block: a block's
 matrix is moved once, a search's vectors once for each block that it must read.  All matches that may still count leave the task, at most the
 wanted number for each search and block; a window function ranks them.
 
@@ -134,7 +134,7 @@ def _best(score: np.ndarray, ids: np.ndarray, ok: np.ndarray, most: int) -> np.n
 
 # -- blocks and anchors ----------------------------------------------------------------------------
 
-_BLOCK = "block long, n int, ids binary, labels binary, vectors binary, low binary, high binary"
+_BLOCK = "block long, n int, first long, ids binary, labels binary, vectors binary, low binary, high binary"
 
 
 def write_blocks(rows: DataFrame, scale: int, axes: np.ndarray, limits: np.ndarray, size: int = BLOCK) -> DataFrame:
@@ -167,8 +167,8 @@ def write_blocks(rows: DataFrame, scale: int, axes: np.ndarray, limits: np.ndarr
             ids, labels = (np.array([r[k] for r in part], dtype=np.int64) for k in (0, 1))
             q = np.frombuffer(b"".join(r[2] for r in part), dtype="<i4").reshape(-1, d).astype(np.int64)
             done += 1
-            return pa.RecordBatch.from_arrays([pa.array([first + done - 1]), pa.array([len(part)], pa.int32()), *(
-                pa.array([_pack(x)], pa.binary()) for x in (ids, labels, q, q.min(axis=0), q.max(axis=0)))], names=["block", "n", "ids", "labels", "vectors", "low", "high"])
+            return pa.RecordBatch.from_arrays([pa.array([first + done - 1]), pa.array([len(part)], pa.int32()), pa.array([int(ids.min())]), *(
+                pa.array([_pack(x)], pa.binary()) for x in (ids, labels, q, q.min(axis=0), q.max(axis=0)))], names=["block", "n", "first", "ids", "labels", "vectors", "low", "high"])
         for batch in batches:
             for r in zip(*(batch.column(k).to_pylist() for k in range(3))):
                 if r != before:  # equal rows are neighbours here
@@ -185,8 +185,9 @@ def write_blocks(rows: DataFrame, scale: int, axes: np.ndarray, limits: np.ndarr
     return q.repartitionByRange(*order).sortWithinPartitions(*order).select("vec_id", "label", "q").mapInArrow(blocks, _BLOCK)
 
 
-#: searches of one home block: for each anchor its place there, id, label and vector; for each search the anchor it belongs to, its number, and the scores it looks for
-_SEARCH = "home long, place binary, anchor binary, labels binary, vectors binary, who binary, number binary, low binary, high binary, target binary"
+#: searches of one home block: for each anchor its place there, id, label and vector; for each search the anchor it belongs to, its number, the scores it looks
+#: for (``low`` itself only with ids below ``upto``), and the score of its positive
+_SEARCH = "home long, place binary, anchor binary, labels binary, vectors binary, who binary, number binary, low binary, upto binary, high binary, target binary"
 _FIELDS = [f.split()[0] for f in _SEARCH.split(", ")]
 
 
@@ -199,7 +200,7 @@ def _search(row: dict) -> dict:
 def _packed(s: dict, pick: np.ndarray) -> list:
     """The searches ``pick`` of ``s`` with the anchors that they need."""
     used, who = np.unique(s["who"][pick], return_inverse=True)
-    own = {k: s[k][used] for k in ("place", "anchor", "labels", "vectors")} | {k: s[k][pick] for k in ("number", "low", "high", "target")} | {"who": who}
+    own = {k: s[k][used] for k in ("place", "anchor", "labels", "vectors")} | {k: s[k][pick] for k in ("number", "low", "upto", "high", "target")} | {"who": who}
     return [s["home"], *(_pack(own[k]) for k in _FIELDS[1:])]
 
 
@@ -213,7 +214,7 @@ def _own_anchors(every: int, d: int):
                 at = np.flatnonzero(ids % every == 0)
                 if len(at):
                     m = len(at)
-                    out.append([r["block"], *map(_pack, (at, ids[at], labels[at], q.reshape(-1, d)[at], np.arange(m), np.zeros(m, int), np.full(m, _LOW), np.full(m, -_LOW), np.zeros(m, int)))])
+                    out.append([r["block"], *map(_pack, (at, ids[at], labels[at], q.reshape(-1, d)[at], np.arange(m), np.zeros(m, int), np.full(m, _LOW), np.full(m, -_LOW), np.full(m, -_LOW), np.zeros(m, int)))])
             if out:
                 yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64() if k == 0 else pa.binary()) for k, c in enumerate(zip(*out))], names=_FIELDS)
     return run
@@ -244,8 +245,8 @@ def _read(searches: DataFrame, blocks: DataFrame, same: bool, most: int, d: int)
                 ok = own if same else ~own
                 if s["home"] == r["block"]:
                     ok[np.arange(len(s["place"])), s["place"]] = False  # the anchor itself
-                for k, (a, low, high) in enumerate(zip(s["who"], s["low"], s["high"])):
-                    at = _best(score[a], ids, ok[a] & (score[a] >= low) & (score[a] <= high), most)
+                for k, (a, low, upto, high) in enumerate(zip(s["who"], s["low"], s["upto"], s["high"])):
+                    at = _best(score[a], ids, ok[a] & (score[a] >= low) & (score[a] <= high) & ((score[a] > low) | (ids < upto)), most)
                     if len(at):
                         one = np.ones(len(at), dtype=np.int64)
                         out.append(np.stack((one * s["home"], one * s["place"][a], one * s["number"][k], one * s["anchor"][a], one * s["target"][k], ids[at], score[a][at])))
@@ -260,15 +261,16 @@ def _ranked(hits: DataFrame, most: int) -> DataFrame:
 
 def _raised(searches: DataFrame, hits: DataFrame, most: int) -> DataFrame:
     """Searches with their lower ends raised to the last of the ``most`` best hits, where there are so many."""
-    enough = _ranked(hits, most).where(F.col("rank") == most).groupBy("home").agg(F.collect_list(F.struct("place", "number", "score")).alias("enough"))
+    enough = _ranked(hits, most).where(F.col("rank") == most).groupBy("home").agg(F.collect_list(F.struct("place", "number", "score", "id")).alias("enough"))
 
     def run(batches):
         for batch in batches:
             out = []
             for r in batch.to_pylist():
                 s = _search(r)
-                least = {(e["place"], e["number"]): e["score"] for e in r["enough"] or []}
-                s["low"] = np.array([max(low, least.get((int(s["place"][a]), int(k)), low)) for a, k, low in zip(s["who"], s["number"], s["low"])], dtype=np.int64)
+                least = {(e["place"], e["number"]): (e["score"], e["id"]) for e in r["enough"] or []}  # within the search, so not below its low end
+                ends = [least.get((int(s["place"][a]), int(k)), (low, upto)) for a, k, low, upto in zip(s["who"], s["number"], s["low"], s["upto"])]
+                s["low"], s["upto"] = np.array(ends, dtype=np.int64).reshape(-1, 2).T
                 out.append(_packed(s, np.arange(len(s["who"]))))
             yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64() if k == 0 else pa.binary()) for k, c in enumerate(zip(*out))], names=_FIELDS)
     return searches.join(enough, "home", "left").mapInArrow(run, _SEARCH)
@@ -277,15 +279,16 @@ def _raised(searches: DataFrame, hits: DataFrame, most: int) -> DataFrame:
 def _choose(searches: DataFrame, blocks: DataFrame, d: int) -> DataFrame:
     """Searches, once for each block (but their own) whose bounds meet what they look for: with ``block``."""
     n = blocks.count()
-    zones = blocks.select("block", "low", "high")
+    zones = blocks.select("block", "first", "low", "high")
 
-    def wanted(batch, name, low, high):
+    def wanted(batch, name, first, low, high):
         """(search rows, blocks) of the searches of a batch against zones."""
         out = []
         for r in batch.to_pylist():
             s = _search({k: r[k] for k in _FIELDS})
             least, most = bounds(s["vectors"], low, high)
-            need = (most[s["who"]] >= s["low"][:, None]) & (least[s["who"]] <= s["high"][:, None]) & (name != s["home"])
+            most, end = most[s["who"]], s["low"][:, None]
+            need = ((most > end) | (most == end) & (first < s["upto"][:, None])) & (least[s["who"]] <= s["high"][:, None]) & (name != s["home"])
             for b in np.flatnonzero(need.any(axis=0)):
                 out.append([int(name[b]), *_packed(s, np.flatnonzero(need[:, b]))])
                 if len(out) >= 1000:
@@ -298,7 +301,7 @@ def _choose(searches: DataFrame, blocks: DataFrame, d: int) -> DataFrame:
         return pa.RecordBatch.from_arrays([pa.array(c, pa.int64() if k < 2 else pa.binary()) for k, c in enumerate(zip(*out))], names=["block", *_FIELDS])
 
     def pack(rows):
-        return (np.array([r["block"] for r in rows], dtype=np.int64), *(np.array([_unpack(r[k]) for r in rows], dtype=np.int64).reshape(-1, d) for k in ("low", "high")))
+        return (*(np.array([r[k] for r in rows], dtype=np.int64) for k in ("block", "first")), *(np.array([_unpack(r[k]) for r in rows], dtype=np.int64).reshape(-1, d) for k in ("low", "high")))
 
     schema = f"block long, {_SEARCH}"
     if n * d * 16 <= ZONE_BYTES:
@@ -309,8 +312,8 @@ def _choose(searches: DataFrame, blocks: DataFrame, d: int) -> DataFrame:
                 yield from wanted(batch, *shared.value)
         return searches.mapInArrow(run, schema)
     shards = -(-n // SHARD)
-    left = zones.select(F.pmod(F.xxhash64("block"), F.lit(shards)).alias("shard"), F.lit(0).alias("kind"), "block", "low", "high", *[F.lit(None).cast("long" if k == "home" else "binary").alias(f"s_{k}") for k in _FIELDS])
-    right = searches.select(F.explode(F.sequence(F.lit(0).cast("long"), F.lit(shards - 1).cast("long"))).alias("shard"), F.lit(1).alias("kind"), F.lit(None).cast("long").alias("block"), F.lit(None).cast("binary").alias("low"),
+    left = zones.select(F.pmod(F.xxhash64("block"), F.lit(shards)).alias("shard"), F.lit(0).alias("kind"), "block", "first", "low", "high", *[F.lit(None).cast("long" if k == "home" else "binary").alias(f"s_{k}") for k in _FIELDS])
+    right = searches.select(F.explode(F.sequence(F.lit(0).cast("long"), F.lit(shards - 1).cast("long"))).alias("shard"), F.lit(1).alias("kind"), F.lit(None).cast("long").alias("block"), F.lit(None).cast("long").alias("first"), F.lit(None).cast("binary").alias("low"),
                             F.lit(None).cast("binary").alias("high"), *[F.col(k).alias(f"s_{k}") for k in _FIELDS])
     met = left.unionByName(right).repartition("shard").sortWithinPartitions("shard", "kind")
 
@@ -322,7 +325,7 @@ def _choose(searches: DataFrame, blocks: DataFrame, d: int) -> DataFrame:
                     shard, held, zone = s, [], None
                 one = batch.slice(i, 1)
                 if kind == 0:
-                    held.append(one.select(["block", "low", "high"]).to_pylist()[0])
+                    held.append(one.select(["block", "first", "low", "high"]).to_pylist()[0])
                 else:
                     zone = zone or pack(held)
                     yield from wanted(one.select([f"s_{k}" for k in _FIELDS]).rename_columns(_FIELDS), *zone)
@@ -350,7 +353,7 @@ def _windows(positives: DataFrame, searches: DataFrame, least: int, most: int) -
                 rows = [(a, k, -(-least * x // 100), most * x // 100, x) for a, k, x in rows]
                 rows = np.array([x for x in rows if x[2] <= x[3]], dtype=np.int64).reshape(-1, 5).T
                 if rows.shape[1]:
-                    s |= dict(zip(("who", "number", "low", "high", "target"), rows))
+                    s |= dict(zip(("who", "number", "low", "high", "target"), rows)) | {"upto": np.full(rows.shape[1], -_LOW)}
                     out.append(_packed(s, np.arange(rows.shape[1])))
             if out:
                 yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64() if k == 0 else pa.binary()) for k, c in enumerate(zip(*out))], names=_FIELDS)
