@@ -36,8 +36,6 @@ documents.  Only ``doc_id`` and ``text`` are read besides ``keep``, so further c
 
 from __future__ import annotations
 
-import hashlib
-
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
@@ -487,22 +485,3 @@ def op12_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = remove_repeats(C.table(spark, sf_dir, "documents").select("doc_id", "text"))
     removed = F.aggregate("spans", F.lit(0).cast("long"), lambda s, r: s + r["high"] - r["low"])
     return out.select("doc_id", "n_bytes", removed.alias("n_removed"), F.size("spans").cast("long").alias("n_spans"), F.sha2("kept", 256).alias("kept_sha256"))
-
-
-def brute_force(texts: list[str | None], length: int = LENGTH) -> list[tuple[int, int, int, str]]:
-    """(n_bytes, n_removed, n_spans, digest) of each text by counting every string; for tests."""
-    raw = [(t or "").encode() for t in texts]
-    seen: dict[bytes, int] = {}
-    for r in raw:
-        for i in range(len(r) - length + 1):
-            seen[r[i:i + length]] = seen.get(r[i:i + length], 0) + 1
-    out = []
-    for r in raw:
-        gone = np.zeros(len(r) + 1, dtype=bool)
-        for i in range(len(r) - length + 1):
-            if seen[r[i:i + length]] > 1:
-                gone[i:i + length] = True
-        edges = int(np.sum(gone[:-1] & ~np.concatenate(([False], gone[:-2])))) if len(r) else 0
-        kept = bytes(np.frombuffer(r, dtype=np.uint8)[~gone[:-1]])
-        out.append((len(r), int(gone.sum()), edges, hashlib.sha256(kept).hexdigest()))
-    return out
