@@ -29,6 +29,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidewater.llm import common as C
+from tidewater.session import materialize
 
 #: (verdict, rule); a rule is a host, then a path that begins with a slash
 RULES = (("allow", "com/"), ("block", "example.com/en/"), ("allow", "www.example.com/en/"), ("block", "net/es/"), ("block", "net/fr/"))
@@ -130,7 +131,7 @@ def judge(pages: DataFrame, labelled: DataFrame | None = None, rules=RULES) -> D
         both = with_suffix_statistics(lexical(both))
         rows, learn = both.where("_page").drop("_page"), both.where(~F.col("_page") & F.col("y").isNotNull())
     sample = C.sample_ids(learn.select(F.col("url").alias("doc_id"), "y"), "y", MAX_TRAIN).select(F.col("doc_id").alias("url"), "y")
-    train = learn.join(F.broadcast(sample), ["url", "y"], "left_semi")
+    train = materialize(learn.join(F.broadcast(sample), ["url", "y"], "left_semi").select("y", *FEATURES), "url-training")  # read once by each tree
     kinds = {r["y"] for r in train.select("y").distinct().collect()}
     final = F.coalesce(F.col("_ruled"), F.when(F.col("score") > 0.5, "block").otherwise("allow")).alias("verdict")
     if kinds != {0, 1}:
