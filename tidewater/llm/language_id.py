@@ -28,6 +28,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from tidewater.llm import common as C
+from tidewater.session import materialize
 
 ORDER = 4
 #: texts learned from, for each language
@@ -152,7 +153,7 @@ def fit(spark: SparkSession, docs: DataFrame, max_train: int = MAX_TRAIN) -> dic
     """The model, its calibration and its rejection limit, from the rows outside the held-out fold."""
     rows = docs.select("doc_id", F.col("lang").cast("string").alias("lang"), "text").where(C.fold(F.col("doc_id")) != 0)
     sample = C.sample_texts(rows, C.sample_ids(rows, "lang", max_train), ["doc_id", "lang"])
-    sample = sample.withColumn("_part", F.pmod(F.xxhash64("doc_id", F.lit(11)), F.lit(3)))
+    sample = materialize(sample.withColumn("_part", F.pmod(F.xxhash64("doc_id", F.lit(11)), F.lit(3))), "language-sample")
 
     def make():
         def work(texts):
